@@ -368,3 +368,138 @@ def _ivf_search_pre(spark, sf):
     v = vectors(spark, sf)
     return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="pre",
                                   index=label_index(v)))
+
+
+# -- S6-S8: generation ------------------------------------------------------------
+
+from quiver.operators import dml  # noqa: E402
+from quiver.sources import generate as gen  # noqa: E402
+
+DIM = 64
+SEED = gen.DEFAULT_SEED
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    """Row summary compared by the oracle: metadata plus the rounded vector sum."""
+    vsum = F.aggregate("embed", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return df.select("id", "i32v", "f32v", "strv", F.round(vsum, 6).alias("vsum"))
+
+
+def _summary_sql(rel: str) -> str:
+    return f"SELECT id, i32v, f32v, strv, round(list_sum(CAST(embed AS DOUBLE[])), 6) AS vsum FROM ({rel})"
+
+
+def _u_sql(seed: int) -> str:
+    return gen.generate_sql_u(str(seed), "id", "0")
+
+
+def _sample_sql(rel: str, n: int, seed: int) -> str:
+    return f"SELECT id FROM ({rel}) ORDER BY {_u_sql(seed)}, id LIMIT {n}"
+
+
+_V_COLS = "SELECT id, embed, i32v, f32v, strv FROM v"
+
+
+@register("gen_md5", f"WITH {S.V} " + _summary_sql(gen.rows_sql("SELECT id FROM v", DIM, SEED)))
+def _gen_md5(spark, sf):
+    """S7 (md5 family): a synthetic row for every id of the table."""
+    v = vectors(spark, sf)
+    return _summary(gen.rows_for_ids(v.select("id"), DIM, SEED, "md5"))
+
+
+@register("gen_fast")
+def _gen_fast(spark, sf):
+    """S7 (xxhash64 family, JVM-side): a synthetic row for every id of the table."""
+    v = vectors(spark, sf)
+    return _summary(gen.rows_for_ids(v.select("id"), DIM, SEED, "fast"))
+
+
+@register("gen_metadata", f"WITH {S.V}, m AS ({gen.rows_sql('SELECT id FROM v', 1, SEED)}) "
+          "SELECT v.id, m.i32v, m.f32v, m.strv, round(list_sum(CAST(v.embed AS DOUBLE[])), 6) AS vsum "
+          "FROM v JOIN m ON m.id = v.id")
+def _gen_metadata(spark, sf):
+    """Stored vectors get id = start_id + position and synthetic metadata."""
+    e = vectors(spark, sf).select(F.col("id").alias("pos"), "embed")
+    return _summary(gen.metadata_for(e, SEED, 0, "md5"))
+
+
+# -- T3-T10: DML -------------------------------------------------------------------
+
+_N_INS, _N_UPD, _N_DEL = 100, 80, 50
+
+
+@register("sample_ids", f"WITH {S.V} " + _sample_sql("SELECT id FROM v", 50, SEED))
+def _sample_ids(spark, sf):
+    """Exactly n ids in hash order (sort + limit: the sample size is the feature)."""
+    return dml.sample_ids(vectors(spark, sf), 50, SEED, "md5")
+
+
+@register("sample_ids_ranged", f"WITH {S.V} " + _sample_sql("SELECT id FROM v", 300, SEED))
+def _sample_ids_ranged(spark, sf):
+    """T7, large-n path: range partitioning by hash key, boundary partition ranked."""
+    return dml.sample_ids(vectors(spark, sf), 300, SEED, "md5", take_ordered_max=0)
+
+
+@register("max_id", "SELECT coalesce(max(vec_id), 0) AS max_id FROM embeddings")
+def _max_id(spark, sf):
+    return dml.max_id(vectors(spark, sf))
+
+
+def _ins_sql(base: str, n: int, seed: int) -> str:
+    ids = f"SELECT (SELECT coalesce(max(id), 0) FROM ({base})) + 1 + range AS id FROM range({n})"
+    return f"SELECT id, embed, i32v, f32v, strv FROM ({base}) UNION ALL {gen.rows_sql(ids, DIM, seed)}"
+
+
+def _upd_sql(base: str, n: int, pick_seed: int, gen_seed: int) -> str:
+    ids = _sample_sql(base, n, pick_seed)
+    return (
+        f"SELECT b.id, coalesce(u.embed, b.embed) AS embed, coalesce(u.i32v, b.i32v) AS i32v, b.f32v, b.strv "
+        f"FROM ({base}) b LEFT JOIN ({gen.rows_sql(ids, DIM, gen_seed)}) u ON u.id = b.id"
+    )
+
+
+def _del_sql(base: str, n: int, seed: int) -> str:
+    return f"SELECT * FROM ({base}) WHERE id NOT IN ({_sample_sql(base, n, seed)})"
+
+
+@register("insert_rows", f"WITH {S.V} " + _summary_sql(_ins_sql(_V_COLS, _N_INS, SEED)))
+def _insert_rows(spark, sf):
+    """T5 + T6: n generated rows appended at max_id + 1; the whole table is returned."""
+    return _summary(dml.insert(vectors(spark, sf), _N_INS, DIM, SEED, "md5"))
+
+
+@register("update_rows", f"WITH {S.V} " + _summary_sql(_upd_sql(_V_COLS, _N_UPD, SEED + 1, SEED + 2)))
+def _update_rows(spark, sf):
+    v = vectors(spark, sf)
+    ids = dml.sample_ids(v, _N_UPD, SEED + 1, "md5")
+    return _summary(dml.update(v, ids, DIM, SEED + 2, "md5", n_hint=_N_UPD))
+
+
+@register("delete_rows", f"WITH {S.V} " + _summary_sql(_del_sql(_V_COLS, _N_DEL, SEED + 3)))
+def _delete_rows(spark, sf):
+    v = vectors(spark, sf)
+    return _summary(dml.delete(v, dml.sample_ids(v, _N_DEL, SEED + 3, "md5")))
+
+
+def _mix_sql() -> str:
+    ni, nu, nd = dml.mix_counts(100, (1, 8, 1))
+    t1 = _ins_sql(_V_COLS, ni, SEED)
+    t2 = _upd_sql("SELECT * FROM t1", nu, SEED + 1, SEED + 2)
+    t3 = _del_sql("SELECT * FROM t2", nd, SEED + 3)
+    return f"WITH {S.V}, t1 AS ({t1}), t2 AS ({t2}), t3 AS ({t3}) " + _summary_sql("SELECT * FROM t3")
+
+
+@register("mix_batch", _mix_sql())
+def _mix_batch(spark, sf):
+    """One batch of 100 operations, ratios 1:8:1 (insert, update, delete in that order)."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    return _summary(dml.mix(v, 100, (1, 8, 1), 100, DIM, SEED, "md5"))
+
+
+@register("append_rows", f"WITH {S.V} " + _summary_sql(
+    f"{_V_COLS} UNION ALL SELECT id + 1000000 AS id, embed, i32v, f32v, strv FROM v"))
+def _append_rows(spark, sf):
+    """The same vectors with id + 1000000 appended (key uniqueness checked)."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    extra = v.withColumn("id", F.col("id") + 1_000_000)
+    return _summary(dml.bulk_load(v, extra))
