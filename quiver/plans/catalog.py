@@ -503,3 +503,67 @@ def _append_rows(spark, sf):
     v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
     extra = v.withColumn("id", F.col("id") + 1_000_000)
     return _summary(dml.bulk_load(v, extra))
+
+
+# -- M1-M4: metrics over the run log (events as a run log) ---------------------------
+
+from quiver.operators import report  # noqa: E402
+from quiver.schema import read_table  # noqa: E402
+
+_LOG_SQL = (
+    "log AS (SELECT user_id AS run_id, event_type AS test_name, event_id AS qid, ts AS started_at, "
+    "CAST(value AS DOUBLE) AS seconds, CAST(1 AS BIGINT) AS rows FROM events)"
+)
+_M1_SQL = (
+    "SELECT test_name, count(*) AS queries, "
+    "CASE WHEN wall_s > 0 THEN round(count(*) / wall_s, 6) ELSE 0.0 END AS qps, "
+    "round(sum(seconds) / count(*) * 1000.0, 6) AS avg_latency_ms, round(wall_s, 6) AS wall_s FROM ("
+    "SELECT *, (max(epoch_us(started_at) + seconds * 1e6) OVER (PARTITION BY test_name) - "
+    "min(epoch_us(started_at)) OVER (PARTITION BY test_name)) / 1e6 AS wall_s FROM log) GROUP BY test_name, wall_s"
+)
+_M2_SQL = (
+    "SELECT test_name, CAST(sum(rows) AS BIGINT) AS rows, round(sum(seconds), 6) AS time_s, "
+    "round(CASE WHEN sum(seconds) > 0 THEN sum(rows) / sum(seconds) ELSE 0.0 END, 6) AS rows_per_sec FROM log GROUP BY test_name"
+)
+
+
+def _log(spark, sf):
+    return report.run_log_from_events(read_table(spark, sf, "events"))
+
+
+def _round_all(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("log_throughput", f"WITH {_LOG_SQL} {_M1_SQL}")
+def _log_throughput(spark, sf):
+    """M1: qps over the wall span and mean latency per test."""
+    return _round_all(report.throughput(_log(spark, sf)), ["qps", "avg_latency_ms", "wall_s"])
+
+
+@register("log_rows_per_s", f"WITH {_LOG_SQL} {_M2_SQL}")
+def _log_rows(spark, sf):
+    """M2: rows per second per test."""
+    return _round_all(report.rows_per_second(_log(spark, sf)), ["time_s", "rows_per_sec"])
+
+
+@register(
+    "log_cold_start",
+    f"WITH {_LOG_SQL} SELECT run_id, count(*) AS n, round(arg_min(seconds, started_at), 6) AS cold_s, "
+    "round(CASE WHEN count(*) > 1 THEN (sum(seconds) - arg_min(seconds, started_at)) / (count(*) - 1) END, 6) AS warm_avg_s "
+    "FROM log GROUP BY run_id",
+)
+def _log_cold(spark, sf):
+    """M3: first query of each run apart from the rest."""
+    return _round_all(report.cold_start(_log(spark, sf)), ["cold_s", "warm_avg_s"])
+
+
+@register("stats_union", f"WITH {_LOG_SQL}, m1 AS ({_M1_SQL}), m2 AS ({_M2_SQL}) "
+          "SELECT avg_latency_ms, qps, queries, rows, rows_per_sec, test_name, time_s, wall_s "
+          "FROM (SELECT * FROM m1 UNION ALL BY NAME SELECT * FROM m2)")
+def _stats_union(spark, sf):
+    """M4: ragged stats tables merged by name, columns sorted."""
+    log = _log(spark, sf)
+    m1 = _round_all(report.throughput(log), ["qps", "avg_latency_ms", "wall_s"])
+    m2 = _round_all(report.rows_per_second(log), ["time_s", "rows_per_sec"])
+    return report.merge_stats([m1, m2])
