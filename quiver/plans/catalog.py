@@ -567,3 +567,72 @@ def _stats_union(spark, sf):
     m1 = _round_all(report.throughput(log), ["qps", "avg_latency_ms", "wall_s"])
     m2 = _round_all(report.rows_per_second(log), ["time_s", "rows_per_sec"])
     return report.merge_stats([m1, m2])
+
+
+# -- V8: scalar quantization -------------------------------------------------------------
+
+from quiver.operators import pq  # noqa: E402
+
+
+def _quant_sql(qtype: str) -> str:
+    cmin, cmax = (-128, 127) if qtype == "int8" else (0, 255)
+    t = "TINYINT" if qtype == "int8" else "SMALLINT"
+    return (
+        f"WITH {S.V}, b AS (SELECT min(CAST(x AS DOUBLE)) AS lo, max(CAST(x AS DOUBLE)) AS hi FROM (SELECT unnest(embed) AS x FROM v)), "
+        f"e AS (SELECT id, unnest(range(len(embed))) AS pos, CAST(unnest(embed) AS DOUBLE) AS x FROM v) "
+        f"SELECT id, CAST(pos AS INTEGER) AS pos, CAST(CAST(least(greatest(round((x - lo) * ({cmax - cmin} / (hi - lo)) + {cmin}), {cmin}), {cmax}) AS {t}) AS INTEGER) AS code "
+        "FROM e, b"
+    )
+
+
+for _qt in ("int8", "uint8"):
+
+    def _q(spark, sf, _qt=_qt):
+        v = vectors(spark, sf).select("id", "embed")
+        return pq.quantize_table(v, _qt).select("id", F.posexplode("embed").alias("pos", "code")).select(
+            "id", "pos", F.col("code").cast("int").alias("code"))
+
+    register(f"quant_{_qt}", _quant_sql(_qt))(_q)
+
+
+# -- I4-I5: product quantization (label-mean codebook, m = 8, no coarse step) ------------
+
+PQ_M = 8
+
+
+def _pq_index(v: DataFrame) -> pq.IvfPqIndex:
+    cb = pq.codebook_from_labels(v, PQ_M, DIM)
+    return pq.build_ivfpq(v, PQ_M, DIM, lists=1, codebook=cb, n_probes=1)
+
+
+_DS = DIM // PQ_M
+_PQ_SQL = (
+    "cb AS (SELECT sub, code, list(CAST(x AS FLOAT) ORDER BY j) AS centroid FROM ("
+    "SELECT sub, code, j, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM ("
+    f"SELECT label AS code, CAST(pos // {_DS} AS INTEGER) AS sub, pos % {_DS} AS j, x FROM ("
+    "SELECT label, unnest(range(len(embed))) AS pos, unnest(embed) AS x FROM v)) GROUP BY sub, code, j) GROUP BY sub, code), "
+    "enc AS (SELECT id, sub, code FROM (SELECT v.id, cb.sub, cb.code, row_number() OVER (PARTITION BY v.id, cb.sub ORDER BY "
+    f"list_distance(CAST(list_slice(v.embed, cb.sub * {_DS} + 1, cb.sub * {_DS} + {_DS}) AS DOUBLE[]), CAST(cb.centroid AS DOUBLE[])), cb.code) AS rn "
+    "FROM v CROSS JOIN cb) WHERE rn = 1)"
+)
+
+
+@register("pq_encode", f"WITH {S.V}, {_PQ_SQL} SELECT id, sub, code FROM enc")
+def _pq_encode(spark, sf):
+    v = vectors(spark, sf)
+    return _pq_index(v).codes.select("id", F.posexplode("codes").alias("sub", "code")).select(
+        "id", "sub", F.col("code").cast("int").alias("code"))
+
+
+@register(
+    "pq_search",
+    f"WITH {S.V}, {_PQ_SQL}, adc AS (SELECT q.id AS qid, e.id AS id, sum(power(list_distance("
+    f"CAST(list_slice(q.embed, e.sub * {_DS} + 1, e.sub * {_DS} + {_DS}) AS DOUBLE[]), CAST(cb.centroid AS DOUBLE[])), 2)) AS d2 "
+    "FROM v q CROSS JOIN enc e JOIN cb ON cb.sub = e.sub AND cb.code = e.code GROUP BY q.id, e.id), "
+    "r AS (SELECT qid, id, sqrt(d2) AS d, row_number() OVER (PARTITION BY qid ORDER BY round(d2, 9), id) AS rk FROM adc) "
+    f"{S.ranked_select('r')} WHERE rk <= {K}",
+)
+def _pq_search(spark, sf):
+    """Table-lookup distances over PQ codes, top-k per query."""
+    v = vectors(spark, sf)
+    return _ranked(_pq_index(v).search(queries_from(v), K))
