@@ -636,3 +636,60 @@ def _pq_search(spark, sf):
     """Table-lookup distances over PQ codes, top-k per query."""
     v = vectors(spark, sf)
     return _ranked(_pq_index(v).search(queries_from(v), K))
+
+
+# -- I6-I8: kNN graph -------------------------------------------------------------------
+
+from quiver.operators import graph  # noqa: E402
+
+IGD, GD = 16, 8
+
+
+def _graph_sql() -> str:
+    h = GD // 2
+    return (
+        f"WITH {S.V}, {S.knn_cte('r0', IGD + 1, 'l2')}, "
+        "e0 AS (SELECT qid AS src, id AS dst, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM r0 WHERE id <> qid), "
+        f"e AS (SELECT * FROM e0 WHERE rank <= {IGD}), "
+        "tri AS (SELECT a.src AS s, b.dst AS t, count(*) AS nd FROM e a JOIN e b ON b.src = a.dst "
+        "JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> b.dst AND greatest(a.rank, b.rank) < c.rank GROUP BY a.src, b.dst), "
+        "sc AS (SELECT e.src, e.dst, e.rank, coalesce(tri.nd, 0) AS detours FROM e LEFT JOIN tri ON tri.s = e.src AND tri.t = e.dst), "
+        "fwd AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY detours, rank) AS pos FROM sc), "
+        f"kept AS (SELECT * FROM fwd WHERE pos <= {h}), "
+        "rev AS (SELECT src, dst, k1, k2 FROM (SELECT dst AS src, src AS dst, rank AS k1, src AS k2, "
+        f"row_number() OVER (PARTITION BY dst ORDER BY rank, src) AS rn FROM kept) WHERE rn <= {GD}), "
+        "cands AS (SELECT src, dst, 0 AS prio, detours AS k1, rank AS k2 FROM kept UNION ALL "
+        f"SELECT src, dst, 1 AS prio, k1, k2 FROM rev UNION ALL SELECT src, dst, 2 AS prio, detours AS k1, rank AS k2 FROM fwd WHERE pos > {h}), "
+        "uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY prio, k1, k2) AS u FROM cands "
+        "WHERE src <> dst) WHERE u = 1), "
+        "fin AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY prio, k1, k2) AS rank FROM uniq) "
+        f"SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM fin WHERE rank <= {GD}"
+    )
+
+
+@register("graph_build_exact", _graph_sql())
+def _graph_build(spark, sf):
+    """Exact 16-NN graph pruned to degree 8 by detour counts, plus reverse edges."""
+    v = vectors(spark, sf)
+    return graph.build_graph(v, GD, IGD, "l2").edges.select("src", "dst", F.col("rank").cast("int").alias("rank"))
+
+
+@register("graph_detours", f"WITH {S.V}, {S.knn_cte('r0', IGD + 1, 'l2')}, "
+          "e0 AS (SELECT qid AS src, id AS dst, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM r0 WHERE id <> qid), "
+          f"e AS (SELECT * FROM e0 WHERE rank <= {IGD}), "
+          "tri AS (SELECT a.src AS s, b.dst AS t, count(*) AS nd FROM e a JOIN e b ON b.src = a.dst "
+          "JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> b.dst AND greatest(a.rank, b.rank) < c.rank GROUP BY a.src, b.dst) "
+          "SELECT e.src, e.dst, CAST(e.rank AS INTEGER) AS rank, CAST(coalesce(tri.nd, 0) AS BIGINT) AS detours "
+          "FROM e LEFT JOIN tri ON tri.s = e.src AND tri.t = e.dst")
+def _graph_detours(spark, sf):
+    """I6 step 2: detour count of every edge of the exact 16-NN graph."""
+    v = vectors(spark, sf)
+    return graph.detours(graph.knn_edges(v, IGD, "l2")).select("src", "dst", F.col("rank").cast("int").alias("rank"), "detours")
+
+
+@register("graph_search")
+def _graph_search(spark, sf):
+    """Beam search over the pruned graph for every stored vector (rows-only; recall bound in tests)."""
+    v = vectors(spark, sf)
+    g = graph.build_graph(v, GD, IGD, "l2", itopk=32, search_width=4, n_seeds=9, max_iter=8)
+    return _ranked(g.search(queries_from(v), K))
