@@ -693,3 +693,69 @@ def _graph_search(spark, sf):
     v = vectors(spark, sf)
     g = graph.build_graph(v, GD, IGD, "l2", itopk=32, search_width=4, n_seeds=9, max_iter=8)
     return _ranked(g.search(queries_from(v), K))
+
+
+# -- S9, I14: streaming (file stream of the table, several files, one per trigger) -----------
+
+from quiver.session import scratch_dir  # noqa: E402
+from quiver.streaming import maintain  # noqa: E402
+
+
+def _table_stream(spark, sf, files: int = 4) -> DataFrame:
+    """Stream fixture: the vector table written as several Parquet files, read one file per trigger."""
+    v = vectors(spark, sf)
+    src = scratch_dir(spark, "stream-src")
+    v.repartitionByRange(files, "id").write.parquet(src)
+    return spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@register("stream_ivf", f"WITH {S.V}, {S.label_centroids_cte()}, {S.assign_cte()} SELECT id, list_id FROM asg")
+def _stream_ivf(spark, sf):
+    """Rows arrive on a stream and are appended to the lists of an existing index (= batch assignment)."""
+    v = vectors(spark, sf)
+    index = label_index(v)
+    out, ck = scratch_dir(spark, "stream-lists"), scratch_dir(spark, "stream-ck")
+    q = maintain.maintain_ivf(_table_stream(spark, sf), index, out, ck)
+    q.awaitTermination()
+    return maintain.read_stream_lists(spark, out).select("id", "list_id")
+
+
+@register("stream_gen", f"WITH {S.V} " + _summary_sql(gen.rows_sql("SELECT id FROM v", DIM, SEED)))
+def _stream_gen(spark, sf):
+    """The generator applied to a stream of the table's ids, written per micro-batch."""
+    ids = _table_stream(spark, sf).select("id")
+    out, ck = scratch_dir(spark, "stream-gen"), scratch_dir(spark, "stream-gen-ck")
+    q = maintain.write_batches(maintain.generate_for_stream(ids, DIM, SEED, "md5"), out, ck)
+    q.awaitTermination()
+    return _summary(spark.read.parquet(out))
+
+
+# -- S1-S2, W1-W3: CSV round trip; S4-S5: binary round trip ----------------------------------
+
+from quiver.sources import text as csv_io  # noqa: E402
+
+
+@register("csv_io", f"WITH {S.V} SELECT {_META}, round(list_sum(CAST(embed AS DOUBLE[])), 6) AS vsum FROM v")
+def _csv_io(spark, sf):
+    """W1-W3 then S1-S2: chunked gzip CSV written and read back by prefix."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    out = scratch_dir(spark, "csv")
+    csv_io.write_csv(v, out, chunks=3, compress_level=1)
+    back = csv_io.read_csv(spark, prefix=f"{out}/part-")
+    return _summary(back)
+
+
+from quiver.sources import binary as vecbin  # noqa: E402
+
+for _suffix in (".fbin", ".fvecs"):
+
+    def _q(spark, sf, _suffix=_suffix):
+        """S4/S5 (+S6): table vectors written as binary part files, read back as a vector table."""
+        v = vectors(spark, sf)
+        out = scratch_dir(spark, "vecbin")
+        vecbin.write_vectors(v, out, _suffix, parts=3)
+        back = vecbin.read_vectors(spark, out, rows_per_partition=128)
+        return back.select(F.col("pos").alias("id"), F.round(F.aggregate("embed", F.lit(0.0).cast("double"),
+                                                                         lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+
+    register(f"{_suffix[1:]}_io", f"WITH {S.V} SELECT id, round(list_sum(CAST(embed AS DOUBLE[])), 6) AS vsum FROM v")(_q)
