@@ -138,12 +138,14 @@ class _Reader(DataSourceReader):
             base += n
         if len(dims) > 1:
             raise ValueError(f"files of different dimensions: {sorted(dims)}")
-        return parts
+        return parts or [_Range("", 0, 0, 0, 0)]
 
     def read(self, partition: _Range):
         import pyarrow as pa
 
         p = partition
+        if p.count == 0:
+            return
         n, d, rec, off = header(p.path)
         kind = file_kind(p.path)
         with open(p.path, "rb") as f:
