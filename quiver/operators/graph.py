@@ -97,11 +97,29 @@ class GraphIndex:
 
 def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_degree: int = 128, metric: str = "l2",
                 index=None, **search_kw) -> GraphIndex:
-    """kNN graph with detour pruning."""
+    """kNN graph with detour pruning.
+
+    The initial neighbour lists are exact while the table fits the broadcast
+    budget; above it (an all-pairs self search would replicate the corpus per
+    query block) they come from an IVF index built here unless one is given.
+    Vectors and edges are hash partitioned by id once and checkpointed, so
+    search steps shuffle only the small frontier and candidate tables.
+    """
+    from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _conf_int, _vector_stats
+    from quiver.operators import ivf
+
     m = resolve_metric(metric)
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
+    if index is None:
+        n, dim = _vector_stats(table, "embed")
+        if n * max(dim, 1) * 4 > _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES):
+            index = ivf.build_ivf(table, metric=m, n_probes=8)
     e = knn_edges(table, intermediate_graph_degree, m, index)
-    g = prune(detours(e), graph_degree)
-    return GraphIndex(table.select("id", "embed"), g, m, **search_kw)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = prune(detours(e), graph_degree).repartition(parts, "src").checkpoint(eager=True)
+    vec = table.select("id", "embed").repartition(parts, "id").checkpoint(eager=True)
+    return GraphIndex(vec, g, m, **search_kw)
 
 
 def hnsw_params(m: int = 100, ef_construction: int = 400, ef_search: int = 200) -> dict:

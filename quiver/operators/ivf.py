@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from quiver.functions.vector import normalize, resolve_metric
 from quiver.operators.knn import KNN_SCHEMA, _collect_matrix, _conf_int, _vector_stats, rank_partials
 from quiver.operators.topk_kernel import TopK, vectors_from_arrow
+from quiver.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK_BYTES = 64 << 20
 CENTROID_BROADCAST_BYTES = 256 << 20
@@ -45,13 +46,17 @@ def lists_rule(n: int) -> int:
 def centroids_from_labels(df: DataFrame, label_col: str = "label", vec_col: str = "embed", digits: int = 6) -> DataFrame:
     """Deterministic centroids: mean vector per label (double sums, rounded).
 
-    Exploded to (label, pos, x) and averaged with partial aggregation, so a
-    label holding most rows is combined map-side before the shuffle.
+    A JVM vector aggregate (Spark ML Summarizer) with partial aggregation,
+    so a label holding most rows is combined map-side before the shuffle.
     """
-    cells = df.select(F.col(label_col).cast("int").alias("list_id"), F.posexplode(vec_col).alias("pos", "x"))
-    means = cells.groupBy("list_id", "pos").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("x"))
-    return means.groupBy("list_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"].cast("float")).alias("centroid")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = df.groupBy(F.col(label_col).cast("int").alias("list_id")).agg(
+        Summarizer.mean(array_to_vector(vec_col)).alias("mean"))
+    return means.select(
+        "list_id",
+        F.transform(vector_to_array("mean"), lambda x: F.round(x, digits).cast("float")).alias("centroid"),
     )
 
 
@@ -135,7 +140,10 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                n_probes: int | None = None, qvec_col: str = "embed", block_bytes: int | None = None, **_) -> DataFrame:
         """Probe ``n_probes`` lists, rank exactly inside them, filter first (``pre``)."""
-        probes = self.probes(queries, n_probes, qvec_col)
+        ensure_checkpoint_dir(queries.sparkSession)
+        # (qid, list_id) is consumed twice (probe counts and query cells):
+        # computed once and checkpointed (queries x probes small rows).
+        probes = self.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
         rows = self.lists if where is None else self.lists.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col(self.vec_col).alias("v")]
@@ -211,15 +219,33 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
     ``lists`` (default :func:`lists_rule`) clusters.
     """
     m = resolve_metric(metric)
+    spark = df.sparkSession
     if centroids is None:
         lists = lists or lists_rule(df.count())
         centroids = train_centroids(df, lists, train_percent, m, seed, vec_col)
+    centroids = freeze_centroids(centroids)
     assigned = assign(df, centroids, m, vec_col)
-    sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    idx = IvfIndex(centroids, assigned, sizes, m, n_probes, vec_col)
     if path:
-        idx = save_ivf(idx, path)
-    return idx
+        idx = IvfIndex(centroids, assigned, assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), m, n_probes, vec_col)
+        return save_ivf(idx, path)
+    # An in-memory index is still a materialised structure: the assigned rows
+    # are checkpointed to the shared checkpoint folder once, not re-assigned
+    # by every search.
+    ensure_checkpoint_dir(spark)
+    lists_t = assigned.checkpoint(eager=True)
+    sizes = lists_t.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    return IvfIndex(centroids, lists_t, sizes, m, n_probes, vec_col)
+
+
+def freeze_centroids(centroids: DataFrame) -> DataFrame:
+    """Compute the centroid table once (bounded by the list count) as a local relation."""
+    spark = centroids.sparkSession
+    n = centroids.count()
+    budget = _conf_int(spark, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
+    first = centroids.select(F.size("centroid").alias("d")).first()
+    if first is not None and n * first["d"] * 4 > budget:
+        return centroids.checkpoint(eager=True)
+    return spark.createDataFrame(centroids.select("list_id", "centroid").collect(), "list_id int, centroid array<float>")
 
 
 def save_ivf(idx: IvfIndex, path: str, kind: str = "ivfflat", extra_meta: dict | None = None) -> IvfIndex:

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
 from quiver.operators.knn import _collect_matrix, _conf_int, rank_partials
-from quiver.operators.topk_kernel import EXTRA, exact, vectors_from_arrow
+from quiver.operators.topk_kernel import exact, vectors_from_arrow
+from quiver.session import ensure_checkpoint_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
 
@@ -167,7 +168,8 @@ class IvfPqIndex:
                n_probes: int | None = None, qvec_col: str = "embed", rerank: int | None = None, **_) -> DataFrame:
         """Probe lists, table-lookup distances, optional exact re-rank of ``k * rerank``."""
         rr = self.rerank if rerank is None else rerank
-        probes = self.coarse.probes(queries, n_probes, qvec_col)
+        ensure_checkpoint_dir(queries.sparkSession)
+        probes = self.coarse.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
         rows = self.codes if where is None else self.codes.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col("codes")]
@@ -252,6 +254,7 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
             centroids = spark.createDataFrame([(0, [0.0] * dim)], "list_id int, centroid array<float>")
         else:
             centroids = ivf.train_centroids(df, lists or ivf.lists_rule(df.count()), train_percent, mt, seed, vec_col)
+    centroids = ivf.freeze_centroids(centroids)
     assigned = ivf.assign(df, centroids, mt, vec_col)
     if codebook is None:
         # Residuals of a training sample, JVM-side: the centroid table is bounded
@@ -265,6 +268,8 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
     coded = encode(assigned, codebook, centroids, vec_col)
     if keep_vectors is False or (keep_vectors is None and not rerank):
         coded = coded.drop(vec_col)
+    ensure_checkpoint_dir(spark)
+    coded = coded.checkpoint(eager=True)
     sizes = coded.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     coarse = ivf.IvfIndex(centroids, coded, sizes, mt, n_probes, vec_col)
     return IvfPqIndex(coarse, codebook, m, mt, rerank)
