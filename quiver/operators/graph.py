@@ -22,6 +22,7 @@ oriented: a batch of queries advances together, one Spark job per step.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -122,6 +123,31 @@ def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_deg
     return GraphIndex(vec, g, m, **search_kw)
 
 
+def save_graph(g: GraphIndex, path: str) -> GraphIndex:
+    """Vectors, edges and search parameters in a directory."""
+    from quiver.operators.ivf import _write_text
+
+    p = path.rstrip("/")
+    g.vectors.write.mode("overwrite").parquet(f"{p}/vectors")
+    g.edges.write.mode("overwrite").parquet(f"{p}/edges")
+    meta = {"type": "graph", "metric": g.metric, "itopk": g.itopk, "search_width": g.search_width,
+            "n_seeds": g.n_seeds, "max_iter": g.max_iter, "seed": g.seed}
+    _write_text(g.vectors.sparkSession, f"{p}/meta.json", json.dumps(meta))
+    return load_graph(g.vectors.sparkSession, p)
+
+
+def load_graph(spark, path: str) -> GraphIndex:
+    from quiver.operators.ivf import _read_text
+
+    p = path.rstrip("/")
+    meta = json.loads(_read_text(spark, f"{p}/meta.json"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vec = spark.read.parquet(f"{p}/vectors").repartition(parts, "id")
+    edges = spark.read.parquet(f"{p}/edges").repartition(parts, "src")
+    return GraphIndex(vec, edges, meta["metric"], meta["itopk"], meta["search_width"], meta["n_seeds"], meta["max_iter"],
+                      meta["seed"])
+
+
 def hnsw_params(m: int = 100, ef_construction: int = 400, ef_search: int = 200) -> dict:
     """I8: hnsw settings served by the single-layer graph."""
     return {"graph_degree": m, "intermediate_graph_degree": max(m, ef_construction), "itopk": max(ef_search, 1)}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
 from quiver.operators.knn import _collect_matrix, _conf_int, rank_partials
-from quiver.operators.topk_kernel import exact, vectors_from_arrow
+from quiver.operators.topk_kernel import exact, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -198,8 +198,7 @@ class IvfPqIndex:
                 ids = cpdf["id"].to_numpy().astype(np.int64)
                 D = adc_distances(Q - cen, codes, CB_)
                 keep = min(len(ids), k * rr if rr else k)
-                cand = np.argpartition(D, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(
-                    np.arange(len(ids)), (len(Q), len(ids)))
+                cand = topk_indices(D, keep, ids)
                 Dc = np.take_along_axis(D, cand, axis=1)
                 if rr:
                     X = np.stack(cpdf["x"].to_numpy()).astype(np.float64)
@@ -228,6 +227,20 @@ class IvfPqIndex:
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
 
+def save_ivfpq(idx: IvfPqIndex, path: str) -> IvfPqIndex:
+    """Codes as IVF lists, plus the codebook and PQ parameters in meta.json."""
+    p = path.rstrip("/")
+    idx.codebook.write.mode("overwrite").parquet(f"{p}/codebook")
+    coarse = ivf.save_ivf(idx.coarse, p, kind="ivfpq", extra_meta={"m": idx.m, "rerank": idx.rerank})
+    return IvfPqIndex(coarse, idx.codebook.sparkSession.read.parquet(f"{p}/codebook"), idx.m, idx.metric, idx.rerank)
+
+
+def load_ivfpq(spark, path: str, n_probes: int | None = None) -> IvfPqIndex:
+    coarse = ivf.load_ivf(spark, path, n_probes)
+    return IvfPqIndex(coarse, spark.read.parquet(f"{path.rstrip('/')}/codebook"), int(coarse.meta["m"]), coarse.metric,
+                      int(coarse.meta.get("rerank", 0)))
+
+
 def adc_distances(Qres: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
     """Squared distances of each residual query to each encoded row: sum_s lut[q, s, codes[:, s]]."""
     m, nc, ds = CB.shape

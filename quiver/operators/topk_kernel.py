@@ -69,6 +69,25 @@ def exact(metric: str, Q: np.ndarray, Xc: np.ndarray) -> np.ndarray:
     return D
 
 
+def topk_indices(D: np.ndarray, keep: int, ids: np.ndarray) -> np.ndarray:
+    """Column indices of the ``keep`` smallest entries per row, ordered by (D, id) at the boundary.
+
+    ``argpartition`` alone may cut a run of equal values arbitrarily; rows
+    where the boundary splits ties are redone exactly (rare).
+    """
+    nq, n = D.shape
+    if keep >= n:
+        return np.broadcast_to(np.arange(n), (nq, n)).copy()
+    part = np.argpartition(D, keep - 1, axis=1)[:, :keep]
+    vals = np.take_along_axis(D, part, axis=1)
+    kth = vals.max(axis=1)
+    split = (D == kth[:, None]).sum(axis=1) > (vals == kth[:, None]).sum(axis=1)
+    for r in np.nonzero(split)[0]:
+        cand = np.nonzero(D[r] <= kth[r])[0]
+        part[r] = cand[np.lexsort((ids[cand], D[r, cand]))[:keep]]
+    return part
+
+
 class TopK:
     """Running per-query top-k over blocks of corpus rows."""
 
@@ -101,10 +120,7 @@ class TopK:
             e = min(nq, s + tile)
             Qt = self.Q[s:e]
             D = _approx(self.metric, Qt, self.qn[s:e], X, xn)
-            if kk < n:
-                cand = np.argpartition(D, kk - 1, axis=1)[:, :kk]
-            else:
-                cand = np.broadcast_to(np.arange(n), (e - s, n))
+            cand = topk_indices(D, kk, ids)
             Dc = exact(self.metric, Qt, X[cand])
             Dc = np.where(np.isnan(Dc), np.inf, Dc)
             self._merge(s, e, Dc, ids[cand], flags[cand])

@@ -759,3 +759,71 @@ for _suffix in (".fbin", ".fvecs"):
                                                                          lambda a, x: a + x.cast("double")), 6).alias("vsum"))
 
     register(f"{_suffix[1:]}_io", f"WITH {S.V} SELECT id, round(list_sum(CAST(embed AS DOUBLE[])), 6) AS vsum FROM v")(_q)
+
+
+# -- I12, R8, K7, I5 re-rank ---------------------------------------------------------------
+
+
+@register("ivf_save_load", ORACLE["ivf_search"])
+def _ivf_save_load(spark, sf):
+    """Index written to a directory, read back, then searched."""
+    v = vectors(spark, sf)
+    path = scratch_dir(spark, "ivf-index")
+    ivf.build_ivf(v, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=N_PROBES, path=path)
+    return _ranked(ivf.load_ivf(spark, path).search(queries_from(v), K))
+
+
+@register("pq_save_load", ORACLE["pq_search"])
+def _pq_save_load(spark, sf):
+    v = vectors(spark, sf)
+    path = scratch_dir(spark, "pq-index")
+    pq.save_ivfpq(_pq_index(v), path)
+    return _ranked(pq.load_ivfpq(spark, path).search(queries_from(v), K))
+
+
+@register("recall_gt_matrix", ORACLE["recall_gt_k"])
+def _recall_gt_matrix(spark, sf):
+    """Ground truth as a matrix row per query (neighbors array) turned into (qid, rank, id)."""
+    v = vectors(spark, sf)
+    qs = queries_from(v)
+    exact = knn_mod.knn(v, qs, K, "l2")
+    matrix = exact.groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rk", "id"))), lambda s: s["id"]).alias("neighbors"))
+    res = label_index(v).search(qs, K)
+    return _round_recall(recall.gt_recall(res, recall.gt_relation(matrix), K, qs.select("qid")), "recall_rate").select(
+        "total_queries", "correct_hits", "recall_rate", "k")
+
+
+@register("knn_query_prefix", f"WITH {S.V}, qp AS (SELECT * FROM v ORDER BY id LIMIT 100), "
+          f"{S.knn_cte('r', K, 'l2', queries='qp')} {S.ranked_select('r')}")
+def _knn_query_prefix(spark, sf):
+    """K7: the first 100 queries of the query set (the prefix is the feature), whole corpus."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.knn(v, knn_mod.query_prefix(queries_from(v), 100), K, "l2"))
+
+
+@register(
+    "pq_search_rerank",
+    f"WITH {S.V}, {_PQ_SQL}, adc AS (SELECT q.id AS qid, e.id AS id, sum(power(list_distance("
+    f"CAST(list_slice(q.embed, e.sub * {_DS} + 1, e.sub * {_DS} + {_DS}) AS DOUBLE[]), CAST(cb.centroid AS DOUBLE[])), 2)) AS d2 "
+    "FROM v q CROSS JOIN enc e JOIN cb ON cb.sub = e.sub AND cb.code = e.code GROUP BY q.id, e.id), "
+    f"c AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d2, 9), id) AS ck FROM adc) WHERE ck <= {4 * K}), "
+    f"x AS (SELECT c.qid, c.id, {S.dist('l2', 'q.embed', 'r.embed')} AS d FROM c JOIN v q ON q.id = c.qid JOIN v r ON r.id = c.id), "
+    "r AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM x) "
+    f"{S.ranked_select('r')} WHERE rk <= {K}",
+)
+def _pq_search_rerank(spark, sf):
+    """I5 with exact re-rank of the top 4k table-lookup candidates."""
+    v = vectors(spark, sf)
+    cb = pq.codebook_from_labels(v, PQ_M, DIM)
+    idx = pq.build_ivfpq(v, PQ_M, DIM, lists=1, codebook=cb, n_probes=1, rerank=4)
+    return _ranked(idx.search(queries_from(v), K))
+
+
+@register("graph_save_load")
+def _graph_save_load(spark, sf):
+    """I12 for the graph index (rows-only, like graph_search)."""
+    v = vectors(spark, sf)
+    path = scratch_dir(spark, "graph-index")
+    g = graph.save_graph(graph.build_graph(v, GD, IGD, "l2", itopk=32, search_width=4, n_seeds=9, max_iter=8), path)
+    return _ranked(g.search(queries_from(v), K))

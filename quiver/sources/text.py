@@ -17,6 +17,21 @@ from quiver.functions.vector import parse_vector, to_text
 from quiver.schema import CSV_SCHEMA
 
 
+# Hadoop zlib compression level names for gzip levels 0-9.
+ZLIB_LEVELS = {
+    0: "NO_COMPRESSION",
+    1: "BEST_SPEED",
+    2: "TWO",
+    3: "THREE",
+    4: "FOUR",
+    5: "FIVE",
+    6: "SIX",
+    7: "SEVEN",
+    8: "EIGHT",
+    9: "BEST_COMPRESSION",
+}
+
+
 def expand_paths(spark: SparkSession, files: Iterable[str] = (), prefix: str | None = None) -> list[str]:
     """Explicit files plus every file whose basename starts with ``prefix``, sorted by name."""
     out = list(files)
@@ -81,6 +96,7 @@ def write_csv(df: DataFrame, path: str, *, chunks: int | None = None, compress_l
         out = out.repartitionByRange(int(chunks), "id").sortWithinPartitions("id")
     w = out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n")
     if compress_level is not None:
-        # Hadoop's gzip codec uses its default level; the level is accepted for config compatibility.
-        w = w.option("compression", "gzip")
+        # Writer options reach the Hadoop configuration of the write job; the
+        # zlib codec reads its level from there.
+        w = w.option("compression", "gzip").option("zlib.compress.level", ZLIB_LEVELS[int(compress_level)])
     w.csv(path)

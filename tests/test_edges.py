@@ -170,3 +170,33 @@ def test_csv_crlf_quoted_gzip(spark, tmp_dir):
     assert list(rows[0]["embed"]) == [0.5, 1.5] and rows[1]["strv"] == "NA"
     first_two = text.query_set(df, start_id=2, n=2).collect()
     assert [r["id"] for r in first_two] == [2, 3]
+
+
+def test_many_duplicates_keep_smallest_ids(spark):
+    rows = [(i, [1.0, 2.0], 0, 0.0, "a") for i in range(40, 0, -1)] + [(100, [5.0, 5.0], 0, 0.0, "a")]
+    t = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    q = spark.createDataFrame([(0, [1.0, 2.0])], "qid long, embed array<float>")
+    got = [r["id"] for r in knn.knn(t, q, 5, "l2").orderBy("rk").collect()]
+    assert got == [1, 2, 3, 4, 5]
+
+
+def test_topk_indices_ties():
+    from quiver.operators.topk_kernel import topk_indices
+
+    D = np.array([[3.0, 1.0, 1.0, 1.0, 0.5]])
+    ids = np.array([10, 9, 3, 7, 20])
+    sel = topk_indices(D, 3, ids)[0]
+    assert sorted(ids[sel].tolist()) == [3, 7, 20]
+
+
+def test_gzip_level_changes_size(spark, tmp_dir):
+    from quiver.sources.generate import generate
+
+    df = generate(spark, 2000, 16, partitions=1)
+    sizes = {}
+    for lvl in (1, 9):
+        out = os.path.join(tmp_dir, f"l{lvl}")
+        text.write_csv(df, out, compress_level=lvl)
+        sizes[lvl] = sum(os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".gz"))
+        assert text.read_csv(spark, [out]).count() == 2000
+    assert sizes[9] < sizes[1]
