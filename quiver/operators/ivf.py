@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quiver.functions.vector import normalize, resolve_metric
 from quiver.operators.knn import KNN_SCHEMA, _collect_matrix, _conf_int, _vector_stats, rank_partials
-from quiver.operators.topk_kernel import TopK, vectors_from_arrow
+from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK_BYTES = 64 << 20
@@ -191,20 +191,18 @@ def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: Da
     schema = KNN_SCHEMA + (", ok boolean" if with_flag else "")
     fn = kernel_factory(with_flag) if kernel_factory else _flat_cell(k, metric, with_flag)
     keys = ["list_id", "csplit", "qsplit"]
-    return crep.groupBy(*keys).cogroup(qrep.groupBy(*keys)).applyInPandas(fn, schema)
+    return crep.groupBy(*keys).cogroup(qrep.groupBy(*keys)).applyInArrow(fn, schema)
 
 
 def _flat_cell(k: int, metric: str, with_flag: bool):
-    def cell(cpdf, qpdf):
-        import pandas as pd
-
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"qid": [], "id": [], "d": []} | ({"ok": []} if with_flag else {}))
-        Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
-        X = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        top = TopK(qpdf["qid"].to_numpy().astype(np.int64), Q, k, metric)
-        top.add(cpdf["id"].to_numpy().astype(np.int64), X, cpdf["ok"].to_numpy().astype(bool) if with_flag else None)
-        return top.result(with_flag=with_flag).to_pandas()
+    def cell(ct, qt):
+        import pyarrow as pa
+
+        if ct.num_rows == 0 or qt.num_rows == 0:
+            return empty_result(with_flag)
+        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v")), k, metric)
+        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v")), flags_from(ct) if with_flag else None)
+        return pa.Table.from_batches([top.result(with_flag=with_flag)])
 
     return cell
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import distance, resolve_metric
-from quiver.operators.topk_kernel import TopK, vectors_from_arrow
+from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
 
 KNN_SCHEMA = "qid long, id long, d double"
 KNN_RANKED_SCHEMA = "qid long, id long, d double, rk int"
@@ -149,19 +149,14 @@ def _grid_partials(c, q, k, m, with_flag, nq, nc, dim, blk) -> DataFrame:
     crep = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     schema = KNN_SCHEMA + (", ok boolean" if with_flag else "")
 
-    def cell(cpdf, qpdf):
-        import pandas as pd
+    def cell(ct, qt):
+        if ct.num_rows == 0 or qt.num_rows == 0:
+            return empty_result(with_flag)
+        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v")), k, m)
+        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v")), flags_from(ct) if with_flag else None)
+        return pa.Table.from_batches([top.result(with_flag=with_flag)])
 
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"qid": [], "id": [], "d": []} | ({"ok": []} if with_flag else {}))
-        Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
-        X = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        top = TopK(qpdf["qid"].to_numpy().astype(np.int64), Q, k, m)
-        flags = cpdf["ok"].to_numpy().astype(bool) if with_flag else None
-        top.add(cpdf["id"].to_numpy().astype(np.int64), X, flags)
-        return top.result(with_flag=with_flag).to_pandas()
-
-    return crep.groupBy("qb", "cb").cogroup(qrep.groupBy("qb", "cb")).applyInPandas(cell, schema)
+    return crep.groupBy("qb", "cb").cogroup(qrep.groupBy("qb", "cb")).applyInArrow(cell, schema)
 
 
 def _replicated(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool) -> DataFrame:

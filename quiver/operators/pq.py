@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
 from quiver.operators.knn import _collect_matrix, _conf_int, rank_partials
-from quiver.operators.topk_kernel import exact, topk_indices, vectors_from_arrow
+from quiver.operators.topk_kernel import empty_result, exact, flags_from, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -185,38 +185,36 @@ class IvfPqIndex:
         m = self.metric
 
         def factory(with_flag):
-            def cell(cpdf, qpdf):
-                import pandas as pd
+            def cell(ct, qt):
+                import pyarrow as pa
 
-                if len(cpdf) == 0 or len(qpdf) == 0:
-                    return pd.DataFrame({"qid": [], "id": [], "d": []} | ({"ok": []} if with_flag else {}))
+                if ct.num_rows == 0 or qt.num_rows == 0:
+                    return empty_result(with_flag)
                 CB_, cids_, C_ = bc.value
-                lid = int(qpdf["list_id"].iloc[0])
+                lid = int(qt.column("list_id")[0].as_py())
                 cen = C_[int(np.nonzero(cids_ == lid)[0][0])].astype(np.float64)
-                Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
-                codes = np.stack(cpdf["codes"].to_numpy()).astype(np.int64)
-                ids = cpdf["id"].to_numpy().astype(np.int64)
+                Q = vectors_from_arrow(qt.column("v"))
+                codes = vectors_from_arrow(ct.column("codes")).astype(np.int64)
+                ids = ct.column("id").to_numpy().astype(np.int64)
                 D = adc_distances(Q - cen, codes, CB_)
                 keep = min(len(ids), k * rr if rr else k)
                 cand = topk_indices(D, keep, ids)
                 Dc = np.take_along_axis(D, cand, axis=1)
                 if rr:
-                    X = np.stack(cpdf["x"].to_numpy()).astype(np.float64)
-                    Dc = exact("l2sq", Q, X[cand])
+                    Dc = exact("l2sq", Q, vectors_from_arrow(ct.column("x"))[cand])
                 Ic = ids[cand]
                 order = np.lexsort((Ic, Dc), axis=1)[:, :k]
                 Dk = np.take_along_axis(Dc, order, axis=1)
                 if m == "l2":
                     Dk = np.sqrt(np.maximum(Dk, 0.0))
                 out = {
-                    "qid": np.repeat(qpdf["qid"].to_numpy().astype(np.int64), order.shape[1]),
+                    "qid": np.repeat(qt.column("qid").to_numpy().astype(np.int64), order.shape[1]),
                     "id": np.take_along_axis(Ic, order, axis=1).ravel(),
                     "d": Dk.ravel(),
                 }
                 if with_flag:
-                    okc = cpdf["ok"].to_numpy().astype(bool)[cand]
-                    out["ok"] = np.take_along_axis(okc, order, axis=1).ravel()
-                return pd.DataFrame(out)
+                    out["ok"] = np.take_along_axis(flags_from(ct)[cand], order, axis=1).ravel()
+                return pa.table(out)
 
             return cell
 

@@ -88,6 +88,17 @@ def topk_indices(D: np.ndarray, keep: int, ids: np.ndarray) -> np.ndarray:
     return part
 
 
+def empty_result(with_flag: bool = False) -> pa.Table:
+    cols = {"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())}
+    if with_flag:
+        cols["ok"] = pa.array([], pa.bool_())
+    return pa.table(cols)
+
+
+def flags_from(t: pa.Table, name: str = "ok") -> np.ndarray:
+    return t.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+
 class TopK:
     """Running per-query top-k over blocks of corpus rows."""
 
