@@ -161,7 +161,11 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
     itopk = max(itopk, k)
-    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(qvec_col).alias("qv"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Partitioned by qid once: the per-step joins of candidates with their
+    # query vectors then shuffle only the candidates.
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(qvec_col).alias("qv")).repartition(parts, "qid").checkpoint(
+        eager=True)
     vec = g.vectors.select("id", F.col("embed").alias("v"))
     seeds = [r["id"] for r in sample_ids(vec, g.n_seeds, g.seed).collect()]  # n_seeds ids, a parameter
     start = q.select("qid", "qv", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("id"))
@@ -171,7 +175,8 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
     for _ in range(max_iter):
         w = Window.partitionBy("qid").orderBy("d", "id")
         open_ = beam.where(~F.col("visited")).withColumn("o", F.row_number().over(w)).where(F.col("o") <= width).drop("o")
-        frontier = open_.select("qid", "id").checkpoint(eager=True)
+        # A window over the checkpointed beam: cheap to evaluate twice.
+        frontier = open_.select("qid", "id")
         if frontier.isEmpty():
             break
         marked = beam.join(frontier.withColumn("f", F.lit(True)), ["qid", "id"], "left").select(

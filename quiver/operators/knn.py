@@ -111,8 +111,9 @@ def knn(
             raise ValueError(f"corpus of {n} x {dim} is over the broadcast budget {bbytes} bytes; use 'sharded'")
         return _replicated(c, q, k, m, with_flag)
     nq, dim = _vector_stats(q, "v")
-    if dist != "grid" and nq * max(dim, 1) * 4 <= bbytes:
-        partials = _sharded_partials(c, q, k, m, with_flag)
+    # Broadcast bytes plus the per-task top-k state (ids, distances) of every query.
+    if dist != "grid" and nq * (max(dim, 1) * 4 + k * 24) <= bbytes:
+        partials = _sharded_partials(_bounded_tasks(c), q, k, m, with_flag)
     else:
         nc, cdim = _vector_stats(c, "v")
         partials = _grid_partials(c, q, k, m, with_flag, nq, nc, max(dim, cdim, 1), blk)
@@ -120,6 +121,19 @@ def knn(
     return out.select("qid", "id", "d", "rk", *(["ok"] if with_flag else []))
 
 
+def _bounded_tasks(c: DataFrame) -> DataFrame:
+    """Cap the kernel tasks near the cluster's parallelism (narrow coalesce, no shuffle).
+
+    Every kernel task emits k rows per query, so the partial shuffle grows with
+    the task count, not with the corpus; a corpus of tens of thousands of
+    splits is read by a bounded number of longer tasks.
+    """
+    spark = c.sparkSession
+    cap = _conf_int(spark, "quiver.knn.maxKernelTasks", 4 * spark.sparkContext.defaultParallelism)
+    n = c.rdd.getNumPartitions()
+    return c.coalesce(cap) if n > cap else c
+
+
 def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool) -> DataFrame:
     spark = c.sparkSession
     qids, Q, _ = _collect_matrix(q, "qid", "v")
