@@ -42,6 +42,24 @@ def _norm(x):
     return x
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "tinyint": "TINYINT",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_mismatches(df, rel) -> list:
+    spark_t = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_t = {d[0]: str(d[1]) for d in rel.description}
+    return [(c, spark_t[c], duck_t.get(c)) for c in spark_t if duck_t.get(c) != spark_t[c]]
+
+
 def canon(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
@@ -64,6 +82,10 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con) -> dict:
     if sorted(cols) != sorted(ocols):
         out["status"] = f"COLUMNS {sorted(cols)} vs {sorted(ocols)}"
         return out
+    bad_types = type_mismatches(df, rel)
+    if bad_types:
+        out["status"] = f"TYPES {bad_types}"
+        return out
     a, b = canon(rows, cols), canon(orows, ocols)
     if len(a) != len(b):
         out["status"] = "ROWCOUNT"
