@@ -145,7 +145,8 @@ class IvfIndex:
         # computed once and checkpointed (queries x probes small rows).
         probes = self.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
-        rows = self.lists if where is None else self.lists.where(where)
+        rows = prune_lists(self.lists, probes)
+        rows = rows if where is None else rows.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col(self.vec_col).alias("v")]
         if flag is not None:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
@@ -156,6 +157,22 @@ class IvfIndex:
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
 
+# Above this many probed lists the static partition filter is skipped.
+MAX_PRUNE_LISTS = 65536
+
+
+def prune_lists(lists: DataFrame, probes: DataFrame) -> DataFrame:
+    """Read only probed lists: a static ``list_id IN (...)`` partition filter.
+
+    The probed set is bounded by the list count (never by the data); the filter
+    prunes ``list_id=`` directories at planning time for saved indexes.
+    """
+    probed = [r[0] for r in probes.select("list_id").distinct().limit(MAX_PRUNE_LISTS + 1).collect()]
+    if not probed or len(probed) > MAX_PRUNE_LISTS:
+        return lists
+    return lists.where(F.col("list_id").isin(probed))
+
+
 def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: DataFrame, k: int, metric: str,
                 with_flag: bool, block_bytes: int, kernel_factory=None) -> DataFrame:
     """Partial top-k of probed queries inside each list, in bounded cells.

@@ -171,7 +171,8 @@ class IvfPqIndex:
         ensure_checkpoint_dir(queries.sparkSession)
         probes = self.coarse.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
-        rows = self.codes if where is None else self.codes.where(where)
+        rows = ivf.prune_lists(self.codes, probes)
+        rows = rows if where is None else rows.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col("codes")]
         if rr:
             cols.append(F.col(self.coarse.vec_col).alias("x"))

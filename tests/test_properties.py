@@ -144,3 +144,13 @@ def test_stream_generator(spark, tmp_dir):
     assert [r["id"] for r in got] == list(range(10, 10 + len(got)))
     expected = gen.generate(spark, len(got), 8, start_id=10).orderBy("id").collect()
     assert got == expected
+
+
+def test_saved_index_reads_only_probed_lists(spark, v, tmp_dir):
+    idx = ivf.build_ivf(v, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=1, path=f"{tmp_dir}/p")
+    one = queries_from(v).where("qid = 3")
+    res = idx.search(one, 5)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "list_id" in plan and " IN (" in plan
+    lid = [r["list_id"] for r in idx.probes(one, 1).collect()]
+    assert len(lid) == 1 and res.count() == 5
