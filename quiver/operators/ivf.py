@@ -157,6 +157,8 @@ class IvfIndex:
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
 
+# Per-list statistics are broadcast up to this many lists.
+MAX_BROADCAST_LISTS = 1 << 20
 # Above this many probed lists the static partition filter is skipped.
 MAX_PRUNE_LISTS = 65536
 
@@ -190,12 +192,15 @@ def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: Da
     # tables have one row per list (bounded by the list count) and are broadcast.
     pq = probes.join(q, "qid").select("list_id", "qid", "v")
     qstats = pq.groupBy("list_id").agg(F.count(F.lit(1)).alias("nq"), F.max(row_bytes).alias("rb"))
-    stats = list_sizes.join(F.broadcast(qstats), "list_id").select(
+    # One row per list: broadcast while the list count is within bounds.
+    small = list_sizes.count() <= MAX_BROADCAST_LISTS
+    bq = F.broadcast(qstats) if small else qstats
+    stats = list_sizes.join(bq, "list_id").select(
         "list_id",
         F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("rb") / F.lit(block_bytes))).cast("int").alias("cs"),
         F.greatest(F.lit(1), F.ceil(F.col("nq") * F.col("rb") / F.lit(block_bytes))).cast("int").alias("qs"),
     )
-    stats = F.broadcast(stats)
+    stats = F.broadcast(stats) if small else stats
     # Only probed lists are read: the semi join on the partition column lets
     # Spark prune list_id directories (dynamic partition pruning).
     rows = rows.join(stats, "list_id", "inner")
@@ -252,6 +257,11 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
     return IvfIndex(centroids, lists_t, sizes, m, n_probes, vec_col)
 
 
+def is_local(df: DataFrame) -> bool:
+    """Whether a DataFrame is a driver-side local relation (already size-checked)."""
+    return "LocalRelation" in df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName()
+
+
 def freeze_centroids(centroids: DataFrame) -> DataFrame:
     """Compute the centroid table once (bounded by the list count) as a local relation."""
     spark = centroids.sparkSession

@@ -88,7 +88,10 @@ def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train
 
 
 def _codebook_array(codebook: DataFrame) -> np.ndarray:
-    """(m, ncodes, dsub) float64 on the driver; size-checked (m * 2^bits * dsub floats)."""
+    """(m, ncodes, dsub) float64 on the driver; size-checked (m * 2^bits * dsub floats) before collecting."""
+    r = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    if (r["n"] or 0) * (r["d"] or 0) * 4 > CODEBOOK_BROADCAST_BYTES:
+        raise ValueError("codebook over the broadcast budget")
     t = codebook.select("sub", "code", "centroid").toArrow()
     subs = t.column("sub").to_numpy()
     codes = t.column("code").to_numpy()
@@ -274,7 +277,8 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
         cap = (1 << bits) * 256
         frac = min(1.0, train_percent / 100.0, cap / max(df.count(), 1))
         smp = assigned.sample(fraction=frac, seed=seed) if frac < 1.0 else assigned
-        res = smp.join(F.broadcast(centroids), "list_id").select(
+        cen = F.broadcast(centroids) if ivf.is_local(centroids) else centroids
+        res = smp.join(cen, "list_id").select(
             F.zip_with(vec_col, "centroid", lambda x, c: (x - c).cast("float")).alias(vec_col))
         codebook = train_codebooks(res, m, dim, bits, 100.0, seed, vec_col)
     coded = encode(assigned, codebook, centroids, vec_col)

@@ -52,10 +52,9 @@ def write_batches(stream: DataFrame, out_path: str, checkpoint: str, partition_b
 
 def maintain_ivf(stream: DataFrame, index: ivf.IvfIndex, out_path: str, checkpoint: str, available_now: bool = True):
     """Assign streamed rows to the index's frozen centroids and append them to its lists."""
-    # Frozen for the life of the stream: the centroid table is bounded by the
-    # list count; materialise it once instead of recomputing it per batch.
-    spark = stream.sparkSession
-    centroids = spark.createDataFrame(index.centroids.collect(), index.centroids.schema)
+    # Frozen for the life of the stream: materialised once (size-checked)
+    # instead of being recomputed per batch.
+    centroids = ivf.freeze_centroids(index.centroids)
 
     def assign(batch: DataFrame) -> DataFrame:
         return ivf.assign(batch, centroids, index.metric, index.vec_col)
