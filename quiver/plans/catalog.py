@@ -827,3 +827,16 @@ def _graph_save_load(spark, sf):
     path = scratch_dir(spark, "graph-index")
     g = graph.save_graph(graph.build_graph(v, GD, IGD, "l2", itopk=32, search_width=4, n_seeds=9, max_iter=8), path)
     return _ranked(g.search(queries_from(v), K))
+
+
+# -- I9 through a run configuration --------------------------------------------------------
+
+from quiver.plans.config_index import build_from_config  # noqa: E402
+
+
+@register("index_bruteforce", ORACLE["knn_l2"])
+def _index_bruteforce(spark, sf):
+    """The brute-force index of a config is exact search over the table."""
+    v = vectors(spark, sf)
+    idx = build_from_config(v, {"index": {"type": "bruteforce", "op_type": "vector_l2_ops"}, "mode": "single"})
+    return _ranked(idx.search(queries_from(v), K))

@@ -156,3 +156,64 @@ def test_saved_index_reads_only_probed_lists(spark, v, tmp_dir):
     plan = res._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(rf"list_id#\d+ (= {lid[0]}\b|IN \({lid[0]}\))", plan)
     assert len(lid) == 1 and res.count() == 5
+
+
+def _beam_reference(vecs, adj, q, seeds, itopk, width, max_iter, k):
+    """Brute-force beam search with the documented rules, for one query."""
+    import numpy as np
+
+    def dist(i):
+        return float(np.sqrt(((vecs[i] - q) ** 2).sum()))
+
+    beam = {i: dist(i) for i in seeds}
+    beam = dict(sorted(beam.items(), key=lambda x: (x[1], x[0]))[:itopk])
+    visited = set()
+    for _ in range(max_iter):
+        opened = sorted(((d, i) for i, d in beam.items() if i not in visited))[:width]
+        if not opened:
+            break
+        visited |= {i for _, i in opened}
+        new = {n for _, i in opened for n in adj.get(i, ()) if n not in beam}
+        beam.update({n: dist(n) for n in new})
+        beam = dict(sorted(beam.items(), key=lambda x: (x[1], x[0]))[:itopk])
+    return [i for i, _ in sorted(beam.items(), key=lambda x: (x[1], x[0]))[:k]]
+
+
+def test_graph_search_equals_brute_force_beam(spark):
+    import numpy as np
+
+    from quiver.operators.dml import sample_ids
+
+    small = vectors(spark, "/root/testdata/sf0.001")
+    g = graph.build_graph(small, 8, 16, "l2", itopk=16, search_width=2, n_seeds=5, max_iter=6)
+    got = {}
+    for r in g.search(queries_from(small), 5).collect():
+        got.setdefault(r["qid"], []).append((r["rk"], r["id"]))
+    vecs = {r["id"]: np.array(r["embed"], dtype=np.float64) for r in small.select("id", "embed").collect()}
+    adj = {}
+    for r in g.edges.orderBy("src", "rank").collect():
+        adj.setdefault(r["src"], []).append(r["dst"])
+    seeds = [r["id"] for r in sample_ids(g.vectors.select("id"), 5, g.seed).collect()]
+    for qid, q in vecs.items():
+        ref = _beam_reference(vecs, adj, q, seeds, 16, 2, 6, 5)
+        assert [i for _, i in sorted(got[qid])] == ref, qid
+
+
+@pytest.mark.parametrize(
+    "cfg,floor",
+    [
+        ({"index": {"type": "bruteforce", "op_type": "vector_l2_ops"}}, 1.0),
+        ({"index": {"type": "ivfflat", "lists": 8, "op_type": "vector_l2_ops"}, "env": {"probe_limit": 8,
+                                                                                       "kmeans_train_percent": 100}}, 1.0),
+        ({"index": {"type": "ivfpq", "lists": 4, "m": 8, "bits_per_code": 4, "op_type": "vector_l2_ops"}, "dimension": 64,
+          "env": {"probe_limit": 4, "kmeans_train_percent": 100}}, 0.3),
+        ({"index": {"type": "cagra", "graph_degree": 8, "intermediate_graph_degree": 16, "itopk_size": 32,
+                    "quantization": "float16", "op_type": "vector_l2_ops"}}, 0.85),
+        ({"index": {"type": "hnsw", "m": 8, "ef_construction": 16, "ef_search": 32, "op_type": "vector_l2_ops"}}, 0.85),
+    ],
+)
+def test_build_from_config(v, exact10, cfg, floor):
+    from quiver.plans.config_index import build_from_config
+
+    idx = build_from_config(v.select("id", "embed", "i32v", "f32v", "strv"), cfg)
+    assert _recall(idx.search(queries_from(v), 10), exact10) >= floor
