@@ -265,10 +265,10 @@ def is_local(df: DataFrame) -> bool:
 def freeze_centroids(centroids: DataFrame) -> DataFrame:
     """Compute the centroid table once (bounded by the list count) as a local relation."""
     spark = centroids.sparkSession
-    n = centroids.count()
+    n, dim = _vector_stats(centroids, "centroid")
     budget = _conf_int(spark, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
-    first = centroids.select(F.size("centroid").alias("d")).first()
-    if first is not None and n * first["d"] * 4 > budget:
+    if n * dim * 4 > budget:
+        ensure_checkpoint_dir(spark)
         return centroids.checkpoint(eager=True)
     return spark.createDataFrame(centroids.select("list_id", "centroid").collect(), "list_id int, centroid array<float>")
 
