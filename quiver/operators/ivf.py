@@ -80,7 +80,8 @@ def train_centroids(df: DataFrame, lists: int, train_percent: float = 10.0, metr
     return spark.createDataFrame(rows, "list_id int, centroid array<float>")
 
 
-def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str = "embed") -> DataFrame:
+def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str = "embed",
+           arrays: tuple | None = None) -> DataFrame:
     """Nearest-centroid ``list_id`` per row (ties -> smaller list id); all columns kept.
 
     The centroid matrix is size-checked and broadcast; rows stream through an
@@ -88,11 +89,7 @@ def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str
     """
     m = resolve_metric(metric)
     spark = df.sparkSession
-    n, dim = _vector_stats(centroids, "centroid")
-    budget = _conf_int(spark, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
-    if n * max(dim, 1) * 4 > budget:
-        raise ValueError(f"{n} centroids x {dim} exceed the broadcast budget {budget} bytes")
-    cids, C, _ = _collect_matrix(centroids, "list_id", "centroid")
+    cids, C = arrays if arrays is not None else centroid_arrays(centroids)
     bc = spark.sparkContext.broadcast((cids, C))
     names = df.columns
     vi = names.index(vec_col)
@@ -117,6 +114,17 @@ def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str
     return df.mapInArrow(kernel, out_schema)
 
 
+def centroid_arrays(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(list ids, centroid matrix) on the driver, size-checked before collecting."""
+    spark = centroids.sparkSession
+    n, dim = _vector_stats(centroids, "centroid")
+    budget = _conf_int(spark, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
+    if n * max(dim, 1) * 4 > budget:
+        raise ValueError(f"{n} centroids x {dim} exceed the broadcast budget {budget} bytes")
+    cids, C, _ = _collect_matrix(centroids, "list_id", "centroid")
+    return cids, C
+
+
 @dataclass
 class IvfIndex:
     centroids: DataFrame
@@ -127,14 +135,22 @@ class IvfIndex:
     vec_col: str = "embed"
     path: str | None = None
     meta: dict = field(default_factory=dict)
+    _cen: tuple | None = field(default=None, repr=False)
+
+    def centroid_matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """The (size-checked) centroid matrix, collected once per index object."""
+        if self._cen is None:
+            self._cen = centroid_arrays(self.centroids)
+        return self._cen
 
     def probes(self, queries: DataFrame, n_probes: int | None = None, qvec_col: str = "embed") -> DataFrame:
-        """(qid, list_id, probe_rank): the nearest lists of each query."""
-        from quiver.operators.knn import knn
+        """(qid, list_id, probe_rank): the nearest lists of each query (broadcast centroids, no shuffle)."""
+        from quiver.operators.knn import replicated_arrays
 
         p = n_probes or self.n_probes
-        r = knn(self.centroids, queries, p, self.metric, id_col="list_id", vec_col="centroid", qvec_col=qvec_col,
-                distribution="replicated")
+        cids, C = self.centroid_matrix()
+        q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
+        r = replicated_arrays(q, cids, C, p, self.metric)
         return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rk").alias("probe_rank"))
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
@@ -152,7 +168,8 @@ class IvfIndex:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
         partials = cell_search(rows, q, probes, self.list_sizes, k, self.metric, flag is not None,
-                               block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES))
+                               block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES),
+                               n_lists=len(self.centroid_matrix()[0]))
         out = rank_partials(partials, k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
@@ -176,7 +193,7 @@ def prune_lists(lists: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: DataFrame, k: int, metric: str,
-                with_flag: bool, block_bytes: int, kernel_factory=None) -> DataFrame:
+                with_flag: bool, block_bytes: int, kernel_factory=None, n_lists: int | None = None) -> DataFrame:
     """Partial top-k of probed queries inside each list, in bounded cells.
 
     rows: (list_id, id, v[, ok]); q: (qid, v); probes: (qid, list_id, ...).
@@ -193,7 +210,7 @@ def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: Da
     pq = probes.join(q, "qid").select("list_id", "qid", "v")
     qstats = pq.groupBy("list_id").agg(F.count(F.lit(1)).alias("nq"), F.max(row_bytes).alias("rb"))
     # One row per list: broadcast while the list count is within bounds.
-    small = list_sizes.count() <= MAX_BROADCAST_LISTS
+    small = (n_lists if n_lists is not None else list_sizes.count()) <= MAX_BROADCAST_LISTS
     bq = F.broadcast(qstats) if small else qstats
     stats = list_sizes.join(bq, "list_id").select(
         "list_id",
@@ -244,7 +261,8 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
         lists = lists or lists_rule(df.count())
         centroids = train_centroids(df, lists, train_percent, m, seed, vec_col)
     centroids = freeze_centroids(centroids)
-    assigned = assign(df, centroids, m, vec_col)
+    cen = centroid_arrays(centroids)
+    assigned = assign(df, centroids, m, vec_col, arrays=cen)
     if path:
         idx = IvfIndex(centroids, assigned, assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), m, n_probes, vec_col)
         return save_ivf(idx, path)
@@ -254,7 +272,7 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
     ensure_checkpoint_dir(spark)
     lists_t = assigned.checkpoint(eager=True)
     sizes = lists_t.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    return IvfIndex(centroids, lists_t, sizes, m, n_probes, vec_col)
+    return IvfIndex(centroids, lists_t, sizes, m, n_probes, vec_col, _cen=cen)
 
 
 def is_local(df: DataFrame) -> bool:

@@ -174,9 +174,16 @@ def _grid_partials(c, q, k, m, with_flag, nq, nc, dim, blk) -> DataFrame:
 
 
 def _replicated(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool) -> DataFrame:
-    spark = c.sparkSession
     ids, X, ex = _collect_matrix(c, "id", "v", ["ok"] if with_flag else None)
     flags = ex["ok"].astype(bool) if with_flag else None
+    return replicated_arrays(q, ids, X, k, m, flags)
+
+
+def replicated_arrays(q: DataFrame, ids: np.ndarray, X: np.ndarray, k: int, m: str,
+                      flags: np.ndarray | None = None) -> DataFrame:
+    """Top-k of every query ``(qid, v)`` against a driver-side, size-checked matrix (no shuffle)."""
+    spark = q.sparkSession
+    with_flag = flags is not None
     bc = spark.sparkContext.broadcast((ids, X, flags))
     schema = KNN_RANKED_SCHEMA + (", ok boolean" if with_flag else "")
 

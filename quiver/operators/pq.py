@@ -15,7 +15,7 @@ top ``k * rerank`` by table distance are re-ranked exactly from ``embed``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
-from quiver.operators.knn import _collect_matrix, _conf_int, rank_partials
+from quiver.operators.knn import _conf_int, rank_partials
 from quiver.operators.topk_kernel import empty_result, exact, flags_from, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
@@ -87,6 +87,13 @@ def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train
     return parts.groupBy("sub").applyInPandas(fit, "sub int, code int, centroid array<float>")
 
 
+def freeze_codebook(codebook: DataFrame) -> DataFrame:
+    """Compute the codebook once (size-checked, m * 2^bits rows) as a local relation."""
+    _codebook_array(codebook)  # raises when over the budget
+    spark = codebook.sparkSession
+    return spark.createDataFrame(codebook.select("sub", "code", "centroid").collect(), "sub int, code int, centroid array<float>")
+
+
 def _codebook_array(codebook: DataFrame) -> np.ndarray:
     """(m, ncodes, dsub) float64 on the driver; size-checked (m * 2^bits * dsub floats) before collecting."""
     r = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("d")).first()
@@ -104,17 +111,17 @@ def _codebook_array(codebook: DataFrame) -> np.ndarray:
     return out
 
 
-def encode(df: DataFrame, codebook: DataFrame, centroids: DataFrame | None = None, vec_col: str = "embed") -> DataFrame:
+def encode(df: DataFrame, codebook: DataFrame, centroids: DataFrame | None = None, vec_col: str = "embed",
+           cb_array: np.ndarray | None = None, cen_arrays: tuple | None = None) -> DataFrame:
     """I4: append ``codes array<smallint>`` (nearest sub-centroid per slice, ties -> smaller code).
 
     With ``centroids`` the residual to the row's ``list_id`` centroid is encoded.
     """
     spark = df.sparkSession
-    CB = _codebook_array(codebook)
+    CB = cb_array if cb_array is not None else _codebook_array(codebook)
     cen = None
     if centroids is not None:
-        cids, C, _ = _collect_matrix(centroids, "list_id", "centroid")
-        cen = (cids, C)
+        cen = cen_arrays if cen_arrays is not None else ivf.centroid_arrays(centroids)
     bc = spark.sparkContext.broadcast((CB, cen))
     names = df.columns
     vi = names.index(vec_col)
@@ -162,6 +169,7 @@ class IvfPqIndex:
     m: int
     metric: str = "l2"
     rerank: int = 0
+    _cb: np.ndarray | None = field(default=None, repr=False)
 
     @property
     def codes(self) -> DataFrame:
@@ -183,9 +191,10 @@ class IvfPqIndex:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
         spark = rows.sparkSession
-        CB = _codebook_array(self.codebook)
-        cids, C, _ = _collect_matrix(self.coarse.centroids, "list_id", "centroid")
-        bc = spark.sparkContext.broadcast((CB, cids, C))
+        if self._cb is None:
+            self._cb = _codebook_array(self.codebook)
+        cids, C = self.coarse.centroid_matrix()
+        bc = spark.sparkContext.broadcast((self._cb, cids, C))
         m = self.metric
 
         def factory(with_flag):
@@ -224,7 +233,8 @@ class IvfPqIndex:
 
         partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes,
                                    k, m, flag is not None,
-                                   _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES), kernel_factory=factory)
+                                   _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES), kernel_factory=factory,
+                                   n_lists=len(cids))
         out = rank_partials(partials, k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
@@ -270,25 +280,29 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
         else:
             centroids = ivf.train_centroids(df, lists or ivf.lists_rule(df.count()), train_percent, mt, seed, vec_col)
     centroids = ivf.freeze_centroids(centroids)
-    assigned = ivf.assign(df, centroids, mt, vec_col)
+    cen = ivf.centroid_arrays(centroids)
+    if codebook is not None:
+        codebook = freeze_codebook(codebook)
+    assigned = ivf.assign(df, centroids, mt, vec_col, arrays=cen)
     if codebook is None:
         # Residuals of a training sample, JVM-side: the centroid table is bounded
         # by the list count and broadcast into the join.
         cap = (1 << bits) * 256
         frac = min(1.0, train_percent / 100.0, cap / max(df.count(), 1))
         smp = assigned.sample(fraction=frac, seed=seed) if frac < 1.0 else assigned
-        cen = F.broadcast(centroids) if ivf.is_local(centroids) else centroids
-        res = smp.join(cen, "list_id").select(
+        cen_df = F.broadcast(centroids) if ivf.is_local(centroids) else centroids
+        res = smp.join(cen_df, "list_id").select(
             F.zip_with(vec_col, "centroid", lambda x, c: (x - c).cast("float")).alias(vec_col))
-        codebook = train_codebooks(res, m, dim, bits, 100.0, seed, vec_col)
-    coded = encode(assigned, codebook, centroids, vec_col)
+        codebook = freeze_codebook(train_codebooks(res, m, dim, bits, 100.0, seed, vec_col))
+    cb_arr = _codebook_array(codebook)
+    coded = encode(assigned, codebook, centroids, vec_col, cb_array=cb_arr, cen_arrays=cen)
     if keep_vectors is False or (keep_vectors is None and not rerank):
         coded = coded.drop(vec_col)
     ensure_checkpoint_dir(spark)
     coded = coded.checkpoint(eager=True)
     sizes = coded.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    coarse = ivf.IvfIndex(centroids, coded, sizes, mt, n_probes, vec_col)
-    return IvfPqIndex(coarse, codebook, m, mt, rerank)
+    coarse = ivf.IvfIndex(centroids, coded, sizes, mt, n_probes, vec_col, _cen=cen)
+    return IvfPqIndex(coarse, codebook, m, mt, rerank, _cb=cb_arr)
 
 
 # -- V8: scalar quantization of a whole table -----------------------------------------
