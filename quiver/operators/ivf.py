@@ -29,7 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.functions.vector import normalize, resolve_metric
-from quiver.operators.knn import KNN_SCHEMA, _collect_matrix, _conf_int, _vector_stats, rank_partials
+from quiver.operators.knn import (
+    DEFAULT_BROADCAST_BYTES,
+    KNN_SCHEMA,
+    _bounded_tasks,
+    _collect_matrix,
+    _conf_int,
+    _vector_stats,
+    rank_partials,
+)
 from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
@@ -154,8 +162,16 @@ class IvfIndex:
         return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rk").alias("probe_rank"))
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
-               n_probes: int | None = None, qvec_col: str = "embed", block_bytes: int | None = None, **_) -> DataFrame:
-        """Probe ``n_probes`` lists, rank exactly inside them, filter first (``pre``)."""
+               n_probes: int | None = None, qvec_col: str = "embed", block_bytes: int | None = None,
+               broadcast_bytes: int | None = None, **_) -> DataFrame:
+        """Probe ``n_probes`` lists, rank exactly inside them, filter first (``pre``).
+
+        Plan: when the query set and its probe map fit the broadcast budget,
+        they are broadcast and the (partition-pruned) lists are scanned once
+        by an Arrow kernel; each list's rows are ranked only against the
+        queries that probe it and no list row is shuffled. Otherwise the
+        bounded-cell cogroup plan (:func:`cell_search`) is used.
+        """
         ensure_checkpoint_dir(queries.sparkSession)
         # (qid, list_id) is consumed twice (probe counts and query cells):
         # computed once and checkpointed (queries x probes small rows).
@@ -167,13 +183,76 @@ class IvfIndex:
         if flag is not None:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
-        partials = cell_search(rows, q, probes, self.list_sizes, k, self.metric, flag is not None,
-                               block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES),
-                               n_lists=len(self.centroid_matrix()[0]))
+        plan = probe_plan(q, probes, k, broadcast_bytes)
+        if plan is not None:
+            partials = _bounded_tasks(rows).mapInArrow(_flat_scan_kernel(rows.sparkSession.sparkContext.broadcast(plan), k,
+                                                                         self.metric, flag is not None),
+                                                       KNN_SCHEMA + (", ok boolean" if flag is not None else ""))
+        else:
+            partials = cell_search(rows, q, probes, self.list_sizes, k, self.metric, flag is not None,
+                                   block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES),
+                                   n_lists=len(self.centroid_matrix()[0]))
         out = rank_partials(partials, k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
 
+def probe_plan(q: DataFrame, probes: DataFrame, k: int, budget: int | None = None):
+    """Driver-side query matrix and per-list query index (CSR), or None when over the budget.
+
+    Bytes = queries x (dim x 4 + k x 24) for vectors and per-task top-k state
+    plus 12 per (query, list) probe; checked before anything is collected.
+    """
+    spark = q.sparkSession
+    budget = budget or _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES)
+    nq, dim = _vector_stats(q, "v")
+    n_probe_rows = probes.count()
+    if nq * (max(dim, 1) * 4 + k * 24) + n_probe_rows * 12 > budget:
+        return None
+    qids, Q, _ = _collect_matrix(q, "qid", "v")
+    t = probes.select("qid", "list_id").toArrow()
+    p_qid = t.column("qid").to_numpy()
+    p_lid = t.column("list_id").to_numpy().astype(np.int64)
+    order = np.argsort(qids, kind="stable")
+    qidx = order[np.searchsorted(qids[order], p_qid)]
+    by_list = np.lexsort((qidx, p_lid))
+    lids, starts = np.unique(p_lid[by_list], return_index=True)
+    offsets = np.append(starts, len(by_list)).astype(np.int64)
+    return qids, Q, lids, offsets, qidx[by_list]
+
+
+def list_queries(plan, lid: int):
+    """Query row indices probing list ``lid`` (empty when none)."""
+    _, _, lids, offsets, qix = plan
+    j = int(np.searchsorted(lids, lid))
+    if j >= len(lids) or lids[j] != lid:
+        return qix[:0]
+    return qix[offsets[j]:offsets[j + 1]]
+
+
+def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
+    def kernel(batches):
+        plan = bplan.value
+        qids, Q = plan[0], plan[1]
+        top = TopK(qids, Q.astype(np.float64), k, metric)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            lids = rb.column(0).to_numpy()
+            ids = rb.column(1).to_numpy()
+            X = vectors_from_arrow(rb.column(2))
+            flags = rb.column(3).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
+            for lid in np.unique(lids):
+                sel = list_queries(plan, int(lid))
+                if len(sel) == 0:
+                    continue
+                mask = lids == lid
+                top.add(ids[mask], X[mask], flags[mask] if with_flag else None, qidx=sel)
+        if top.seen.any():
+            yield top.result(with_flag=with_flag)
+
+    return kernel
+
+
 # Per-list statistics are broadcast up to this many lists.
 MAX_BROADCAST_LISTS = 1 << 20
 # Above this many probed lists the static partition filter is skipped.

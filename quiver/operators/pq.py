@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
-from quiver.operators.knn import _conf_int, rank_partials
-from quiver.operators.topk_kernel import empty_result, exact, flags_from, topk_indices, vectors_from_arrow
+from quiver.operators.knn import KNN_SCHEMA, _bounded_tasks, _conf_int, rank_partials
+from quiver.operators.topk_kernel import TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -176,8 +176,13 @@ class IvfPqIndex:
         return self.coarse.lists
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
-               n_probes: int | None = None, qvec_col: str = "embed", rerank: int | None = None, **_) -> DataFrame:
-        """Probe lists, table-lookup distances, optional exact re-rank of ``k * rerank``."""
+               n_probes: int | None = None, qvec_col: str = "embed", rerank: int | None = None,
+               broadcast_bytes: int | None = None, **_) -> DataFrame:
+        """Probe lists, table-lookup distances, optional exact re-rank of ``k * rerank``.
+
+        Same two plans as IVF-flat: broadcast queries + one scan of the probed
+        lists when they fit the budget, bounded cogroup cells otherwise.
+        """
         rr = self.rerank if rerank is None else rerank
         ensure_checkpoint_dir(queries.sparkSession)
         probes = self.coarse.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
@@ -206,35 +211,56 @@ class IvfPqIndex:
                 CB_, cids_, C_ = bc.value
                 lid = int(qt.column("list_id")[0].as_py())
                 cen = C_[int(np.nonzero(cids_ == lid)[0][0])].astype(np.float64)
-                Q = vectors_from_arrow(qt.column("v"))
-                codes = vectors_from_arrow(ct.column("codes")).astype(np.int64)
-                ids = ct.column("id").to_numpy().astype(np.int64)
-                D = adc_distances(Q - cen, codes, CB_)
-                keep = min(len(ids), k * rr if rr else k)
-                cand = topk_indices(D, keep, ids)
-                Dc = np.take_along_axis(D, cand, axis=1)
-                if rr:
-                    Dc = exact("l2sq", Q, vectors_from_arrow(ct.column("x"))[cand])
-                Ic = ids[cand]
-                order = np.lexsort((Ic, Dc), axis=1)[:, :k]
-                Dk = np.take_along_axis(Dc, order, axis=1)
-                if m == "l2":
-                    Dk = np.sqrt(np.maximum(Dk, 0.0))
-                out = {
-                    "qid": np.repeat(qt.column("qid").to_numpy().astype(np.int64), order.shape[1]),
-                    "id": np.take_along_axis(Ic, order, axis=1).ravel(),
-                    "d": Dk.ravel(),
-                }
+                X = vectors_from_arrow(ct.column("x")) if rr else None
+                Dk, Ik, pos = pq_candidates(vectors_from_arrow(qt.column("v")), cen,
+                                            vectors_from_arrow(ct.column("codes")).astype(np.int64),
+                                            ct.column("id").to_numpy().astype(np.int64), CB_, k, rr, X, m)
+                out = {"qid": np.repeat(qt.column("qid").to_numpy().astype(np.int64), Dk.shape[1]), "id": Ik.ravel(),
+                       "d": Dk.ravel()}
                 if with_flag:
-                    out["ok"] = np.take_along_axis(flags_from(ct)[cand], order, axis=1).ravel()
+                    out["ok"] = flags_from(ct)[pos].ravel()
                 return pa.table(out)
 
             return cell
 
-        partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes,
-                                   k, m, flag is not None,
-                                   _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES), kernel_factory=factory,
-                                   n_lists=len(cids))
+        plan = ivf.probe_plan(q, probes, k, broadcast_bytes)
+        with_flag = flag is not None
+        if plan is not None:
+            bplan = spark.sparkContext.broadcast(plan)
+
+            def kernel(batches):
+                CB_, cids_, C_ = bc.value
+                pl = bplan.value
+                Q64 = pl[1].astype(np.float64)
+                top = TopK(pl[0], Q64, k, m)
+                for rb in batches:
+                    if rb.num_rows == 0:
+                        continue
+                    names = rb.schema.names
+                    lids = rb.column(0).to_numpy()
+                    ids = rb.column(1).to_numpy().astype(np.int64)
+                    codes = vectors_from_arrow(rb.column(2)).astype(np.int64)
+                    X = vectors_from_arrow(rb.column(names.index("x"))) if rr else None
+                    flags = rb.column(names.index("ok")).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
+                    for lid in np.unique(lids):
+                        sel = ivf.list_queries(pl, int(lid))
+                        if len(sel) == 0:
+                            continue
+                        mask = lids == lid
+                        cen = C_[int(np.nonzero(cids_ == lid)[0][0])].astype(np.float64)
+                        Dk, Ik, pos = pq_candidates(Q64[sel], cen, codes[mask], ids[mask], CB_, k, rr,
+                                                    X[mask] if rr else None, m)
+                        f = flags[mask][pos] if with_flag else np.ones(Ik.shape, dtype=bool)
+                        top.merge(sel, Dk, Ik, f)
+                        top.seen[sel] += int(mask.sum())
+                if top.seen.any():
+                    yield top.result(with_flag=with_flag)
+
+            partials = _bounded_tasks(rows).mapInArrow(kernel, KNN_SCHEMA + (", ok boolean" if with_flag else ""))
+        else:
+            partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, k, m, with_flag,
+                                       _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES),
+                                       kernel_factory=factory, n_lists=len(cids))
         out = rank_partials(partials, k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
@@ -253,6 +279,27 @@ def load_ivfpq(spark, path: str, n_probes: int | None = None) -> IvfPqIndex:
                       int(coarse.meta.get("rerank", 0)))
 
 
+def pq_candidates(Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, ids: np.ndarray, CB: np.ndarray, k: int,
+                  rerank: int, X: np.ndarray | None, metric: str):
+    """Top-k of queries ``Q`` among rows of one list: (distances, ids, row positions), each (nq, <=k).
+
+    Candidates by table-lookup distance (tie-aware); with ``rerank`` the top
+    ``k * rerank`` are re-ranked by exact distance from ``X``.
+    """
+    D = adc_distances(Q - cen, codes, CB)
+    keep = min(len(ids), k * rerank if rerank else k)
+    cand = topk_indices(D, keep, ids)
+    Dc = np.take_along_axis(D, cand, axis=1)
+    if rerank:
+        Dc = exact("l2sq", Q, X[cand])
+    Ic = ids[cand]
+    order = np.lexsort((Ic, Dc), axis=1)[:, :k]
+    Dk = np.take_along_axis(Dc, order, axis=1)
+    if metric == "l2":
+        Dk = np.sqrt(np.maximum(Dk, 0.0))
+    return Dk, np.take_along_axis(Ic, order, axis=1), np.take_along_axis(cand, order, axis=1)
+
+
 def adc_distances(Qres: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
     """Squared distances of each residual query to each encoded row: sum_s lut[q, s, codes[:, s]]."""
     m, nc, ds = CB.shape

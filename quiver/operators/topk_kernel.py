@@ -114,10 +114,12 @@ class TopK:
         self.best_f = np.zeros((nq, k), dtype=bool)
         self.seen = np.zeros(nq, dtype=np.int64)
 
-    def add(self, ids: np.ndarray, X: np.ndarray, flags: np.ndarray | None = None) -> None:
+    def add(self, ids: np.ndarray, X: np.ndarray, flags: np.ndarray | None = None,
+            qidx: np.ndarray | None = None) -> None:
+        """Merge rows ``(ids, X)`` into the top-k of all queries, or of the queries ``qidx`` only."""
         n = len(ids)
-        nq = len(self.qids)
-        if n == 0 or nq == 0:
+        sel = np.arange(len(self.qids)) if qidx is None else np.asarray(qidx)
+        if n == 0 or len(sel) == 0:
             return
         if X.shape[1] != self.Q.shape[1]:
             raise ValueError(f"vector dimension mismatch: queries {self.Q.shape[1]}, rows {X.shape[1]}")
@@ -126,28 +128,29 @@ class TopK:
         xn = np.sqrt(np.einsum("nd,nd->n", X, X))
         kk = min(n, self.k + EXTRA)
         dim = X.shape[1]
-        tile = max(1, min(nq, TILE_DOUBLES // max(n, kk * dim, 1)))
-        for s in range(0, nq, tile):
-            e = min(nq, s + tile)
-            Qt = self.Q[s:e]
-            D = _approx(self.metric, Qt, self.qn[s:e], X, xn)
+        tile = max(1, min(len(sel), TILE_DOUBLES // max(n, kk * dim, 1)))
+        for s in range(0, len(sel), tile):
+            rows = sel[s:s + tile]
+            Qt = self.Q[rows]
+            D = _approx(self.metric, Qt, self.qn[rows], X, xn)
             cand = topk_indices(D, kk, ids)
             Dc = exact(self.metric, Qt, X[cand])
             Dc = np.where(np.isnan(Dc), np.inf, Dc)
-            self._merge(s, e, Dc, ids[cand], flags[cand])
-        self.seen += n
-
-    def _merge(self, s: int, e: int, d: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
-        cd = np.concatenate([self.best_d[s:e], d], axis=1)
-        ci = np.concatenate([self.best_i[s:e], i], axis=1)
-        cf = np.concatenate([self.best_f[s:e], f], axis=1)
+            self.merge(rows, Dc, ids[cand], flags[cand])
+        self.seen[sel] += n
+
+    def merge(self, rows: np.ndarray, d: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
+        """Merge candidate (distance, id, flag) matrices into the top-k of query rows ``rows``."""
+        cd = np.concatenate([self.best_d[rows], d], axis=1)
+        ci = np.concatenate([self.best_i[rows], i], axis=1)
+        cf = np.concatenate([self.best_f[rows], f], axis=1)
         order = np.lexsort((ci, cd), axis=1)[:, : self.k]
-        self.best_d[s:e] = np.take_along_axis(cd, order, axis=1)
-        self.best_i[s:e] = np.take_along_axis(ci, order, axis=1)
-        self.best_f[s:e] = np.take_along_axis(cf, order, axis=1)
+        self.best_d[rows] = np.take_along_axis(cd, order, axis=1)
+        self.best_i[rows] = np.take_along_axis(ci, order, axis=1)
+        self.best_f[rows] = np.take_along_axis(cf, order, axis=1)
 
     def result(self, with_rank: bool = False, with_flag: bool = False) -> pa.RecordBatch:
-        valid = self.best_i != ID_SENTINEL
+        valid = self.best_i != ID_SENTINEL  # queries that saw no row emit nothing
         q = np.broadcast_to(self.qids[:, None], self.best_i.shape)[valid]
         i = self.best_i[valid]
         d = self.best_d[valid]

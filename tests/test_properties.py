@@ -217,3 +217,24 @@ def test_build_from_config(v, exact10, cfg, floor):
 
     idx = build_from_config(v.select("id", "embed", "i32v", "f32v", "strv"), cfg)
     assert _recall(idx.search(queries_from(v), 10), exact10) >= floor
+
+
+def test_ivf_broadcast_plan_equals_cell_plan(v):
+    from quiver.functions import filters as flt
+
+    idx = ivf.build_ivf(v, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=3)
+    cond = flt.where(i32v_lt=500)
+    a = _ids(idx.search(queries_from(v), 10, where=cond))
+    b = _ids(idx.search(queries_from(v), 10, where=cond, broadcast_bytes=1, block_bytes=6_000))
+    assert a == b
+    fa = sorted(tuple(r) for r in idx.search(queries_from(v), 10, flag=cond).collect())
+    fb = sorted(tuple(r) for r in idx.search(queries_from(v), 10, flag=cond, broadcast_bytes=1).collect())
+    assert fa == fb
+
+
+@pytest.mark.parametrize("rr", [0, 3])
+def test_pq_broadcast_plan_equals_cell_plan(v, rr):
+    idx = pq.build_ivfpq(v, 8, 64, lists=4, bits=4, train_percent=100.0, n_probes=2, rerank=rr)
+    a = _ids(idx.search(queries_from(v), 10))
+    b = _ids(idx.search(queries_from(v), 10, broadcast_bytes=1))
+    assert a == b
