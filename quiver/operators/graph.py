@@ -89,6 +89,21 @@ class GraphIndex:
     n_seeds: int = 16
     max_iter: int = 32
     seed: int = 42
+    _vec_ready: bool = False
+    _edges_ready: bool = False
+
+    def prepare(self) -> GraphIndex:
+        """Hash partition vectors by id and edges by src once (checkpointed) for the search joins."""
+        spark = self.vectors.sparkSession
+        ensure_checkpoint_dir(spark)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not self._vec_ready:
+            self.vectors = self.vectors.select("id", "embed").repartition(parts, "id").checkpoint(eager=True)
+            self._vec_ready = True
+        if not self._edges_ready:
+            self.edges = self.edges.repartition(parts, "src").checkpoint(eager=True)
+            self._edges_ready = True
+        return self
 
     def search(self, queries: DataFrame, k: int, itopk: int | None = None, search_width: int | None = None,
                max_iter: int | None = None, qvec_col: str = "embed", **_) -> DataFrame:
@@ -119,8 +134,8 @@ def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_deg
     e = knn_edges(table, intermediate_graph_degree, m, index)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = prune(detours(e), graph_degree).repartition(parts, "src").checkpoint(eager=True)
-    vec = table.select("id", "embed").repartition(parts, "id").checkpoint(eager=True)
-    return GraphIndex(vec, g, m, **search_kw)
+    # Vectors are partitioned for search on the first search (prepare()).
+    return GraphIndex(table.select("id", "embed"), g, m, **search_kw, _edges_ready=True)
 
 
 def save_graph(g: GraphIndex, path: str) -> GraphIndex:
@@ -141,9 +156,8 @@ def load_graph(spark, path: str) -> GraphIndex:
 
     p = path.rstrip("/")
     meta = json.loads(_read_text(spark, f"{p}/meta.json"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vec = spark.read.parquet(f"{p}/vectors").repartition(parts, "id")
-    edges = spark.read.parquet(f"{p}/edges").repartition(parts, "src")
+    vec = spark.read.parquet(f"{p}/vectors")
+    edges = spark.read.parquet(f"{p}/edges")
     return GraphIndex(vec, edges, meta["metric"], meta["itopk"], meta["search_width"], meta["n_seeds"], meta["max_iter"],
                       meta["seed"])
 
@@ -160,6 +174,7 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
 
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
+    g.prepare()
     itopk = max(itopk, k)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Partitioned by qid once: the per-step joins of candidates with their
