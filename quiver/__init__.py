@@ -5,4 +5,12 @@ DataFrame and returns one long table ``(qid, id, d, rk)``; indexes are ordinary
 Parquet tables built and searched by Spark jobs.
 """
 
-from quiver.session import get_session, scratch_dir  # noqa: F401
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Kernels and data-source classes are pickled by value, so executors run them
+# without quiver being installed or importable on their side.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from quiver.session import get_session, scratch_dir  # noqa: E402,F401
