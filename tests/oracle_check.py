@@ -17,6 +17,9 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+# STRICT=1 compares floats bit for bit (no rounding on the Python side).
+STRICT = os.environ.get("STRICT") == "1"
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -34,7 +37,7 @@ def _norm(x):
     if isinstance(x, float):
         if math.isnan(x):
             return "nan"
-        return round(x, 6)
+        return x if STRICT else round(x, 6)
     if isinstance(x, (list, tuple)):
         return tuple(_norm(y) for y in x)
     if hasattr(x, "item"):
