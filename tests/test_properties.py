@@ -1,5 +1,7 @@
 """Property tests: invariants that hold for any data."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +240,38 @@ def test_pq_broadcast_plan_equals_cell_plan(v, rr):
     a = _ids(idx.search(queries_from(v), 10))
     b = _ids(idx.search(queries_from(v), 10, broadcast_bytes=1))
     assert a == b
+
+
+def test_config_parsing_aliases():
+    from quiver.schema import Config
+
+    c = Config.from_json('{"index": {"type": "ivfflat", "n_lists": 7, "op_type": "vector_cosine_ops"}, '
+                         '"dimension": 64, "env": {"probe_limit": 3, "kmeans_train_percent": 20}}')
+    assert c.index.lists == 7 and c.metric == "vector_cosine_ops" and c.probe_limit == 3
+    assert c.kmeans_train_percent == 20.0 and c.dimension == 64
+
+
+def test_table_lifecycle(spark, tmp_dir):
+    path = f"{tmp_dir}/tbl"
+    t = dml.create_table(spark, path, 64)
+    assert t.count() == 0 and t.columns == ["id", "embed", "i32v", "f32v", "strv"]
+    assert t.schema["embed"].metadata == {"dim": 64}
+    assert dml.max_id(t).first()["max_id"] == 0
+    rows = gen.generate(spark, 30, 64, start_id=1)
+    v1 = dml.write_version(dml.bulk_load(t, rows), path + "_versions", 1)
+    assert spark.read.parquet(v1).count() == 30
+    with pytest.raises(ValueError):
+        dml.bulk_load(spark.read.parquet(v1), rows)  # ids already present
+    dml.drop_table(spark, path)
+    assert not os.path.exists(path)
+
+
+def test_recreate_and_chunks(spark, v, tmp_dir):
+    chunks = [v.where(F.col("id") < 200), v.where((F.col("id") >= 200) & (F.col("id") < 350)), v.where(F.col("id") >= 350)]
+    table = ivf.add_chunks(chunks)
+    assert table.count() == 500
+    p = f"{tmp_dir}/re"
+    a = ivf.build_ivf(table, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=2, path=p)
+    before = _ids(a.search(queries_from(v), 5))  # an index read from p is invalid once p is rebuilt
+    b = ivf.recreate_index(table, p, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=2)
+    assert _ids(b.search(queries_from(v), 5)) == before
