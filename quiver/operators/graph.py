@@ -187,15 +187,20 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
     beam = _score(start, vec, g.metric).withColumn("visited", F.lit(False))
     beam = _top(beam, itopk).checkpoint(eager=True)
     edges = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("nid"))
+    # Unvisited entries first (False < True), nearest first: one window over
+    # the beam (already partitioned by qid) opens the `width` best unvisited
+    # entries and marks them visited, with no join back to the beam.
+    w = Window.partitionBy("qid").orderBy("visited", "d", "id")
     for _ in range(max_iter):
-        w = Window.partitionBy("qid").orderBy("d", "id")
-        open_ = beam.where(~F.col("visited")).withColumn("o", F.row_number().over(w)).where(F.col("o") <= width).drop("o")
-        # A window over the checkpointed beam: cheap to evaluate twice.
-        frontier = open_.select("qid", "id")
+        o = F.row_number().over(w)
+        opened = ~F.col("visited") & (o <= width)
+        # No shuffle: the beam is checkpointed and partitioned by qid, so the
+        # window is recomputed cheaply by the emptiness check and the step.
+        marked = beam.select("qid", "id", "d", (F.col("visited") | opened).alias("visited"), opened.alias("opened"))
+        frontier = marked.where(F.col("opened")).select("qid", "id")
         if frontier.isEmpty():
             break
-        marked = beam.join(frontier.withColumn("f", F.lit(True)), ["qid", "id"], "left").select(
-            "qid", "id", "d", (F.col("visited") | F.coalesce("f", F.lit(False))).alias("visited"))
+        marked = marked.drop("opened")
         nbrs = frontier.join(edges, "id").select("qid", F.col("nid").alias("id")).distinct()
         new = nbrs.join(marked.select("qid", "id"), ["qid", "id"], "left_anti").join(q, "qid")
         scored = _score(new, vec, g.metric).withColumn("visited", F.lit(False))
