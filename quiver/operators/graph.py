@@ -89,6 +89,7 @@ class GraphIndex:
     n_seeds: int = 16
     max_iter: int = 32
     seed: int = 42
+    seed_family: str = "fast"  # hash family of the start-node draw ("md5" has a DuckDB twin)
     _vec_ready: bool = False
     _edges_ready: bool = False
 
@@ -146,7 +147,7 @@ def save_graph(g: GraphIndex, path: str) -> GraphIndex:
     g.vectors.write.mode("overwrite").parquet(f"{p}/vectors")
     g.edges.write.mode("overwrite").parquet(f"{p}/edges")
     meta = {"type": "graph", "metric": g.metric, "itopk": g.itopk, "search_width": g.search_width,
-            "n_seeds": g.n_seeds, "max_iter": g.max_iter, "seed": g.seed}
+            "n_seeds": g.n_seeds, "max_iter": g.max_iter, "seed": g.seed, "seed_family": g.seed_family}
     _write_text(g.vectors.sparkSession, f"{p}/meta.json", json.dumps(meta))
     return load_graph(g.vectors.sparkSession, p)
 
@@ -159,7 +160,7 @@ def load_graph(spark, path: str) -> GraphIndex:
     vec = spark.read.parquet(f"{p}/vectors")
     edges = spark.read.parquet(f"{p}/edges")
     return GraphIndex(vec, edges, meta["metric"], meta["itopk"], meta["search_width"], meta["n_seeds"], meta["max_iter"],
-                      meta["seed"])
+                      meta["seed"], meta.get("seed_family", "fast"))
 
 
 def hnsw_params(m: int = 100, ef_construction: int = 400, ef_search: int = 200) -> dict:
@@ -182,7 +183,7 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(qvec_col).alias("qv")).repartition(parts, "qid").checkpoint(
         eager=True)
     vec = g.vectors.select("id", F.col("embed").alias("v"))
-    seeds = [r["id"] for r in sample_ids(vec, g.n_seeds, g.seed).collect()]  # n_seeds ids, a parameter
+    seeds = [r["id"] for r in sample_ids(vec, g.n_seeds, g.seed, g.seed_family).collect()]  # n_seeds ids, a parameter
     start = q.select("qid", "qv", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("id"))
     beam = _score(start, vec, g.metric).withColumn("visited", F.lit(False))
     beam = _top(beam, itopk).checkpoint(eager=True)
