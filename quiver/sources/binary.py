@@ -216,10 +216,14 @@ def write_vectors(df: DataFrame, out_dir: str, suffix: str = ".fbin", parts: int
 
         mats = [vectors_from_arrow(b.column(1)) for b in batches if b.num_rows]
         X = np.concatenate(mats) if mats else np.zeros((0, 0))
-        pid = TaskContext.get().partitionId()
+        ctx = TaskContext.get()
+        pid = ctx.partitionId()
         path = os.path.join(out_dir, f"part-{pid:05d}{suffix}")
+        # Attempt-private temporary name, then an atomic rename: a retried or
+        # speculative attempt never leaves a half-written part behind.
+        tmp = os.path.join(out_dir, f".part-{pid:05d}{suffix}.{ctx.attemptNumber()}.{ctx.taskAttemptId()}.tmp")
         n, d = X.shape
-        with open(path, "wb") as f:
+        with open(tmp, "wb") as f:
             if kind == FVECS:
                 rec = np.empty((n, 1 + d), dtype=np.int32)
                 rec[:, 0] = d
@@ -228,6 +232,7 @@ def write_vectors(df: DataFrame, out_dir: str, suffix: str = ".fbin", parts: int
             else:
                 f.write(np.array([n, d], dtype=np.uint32).tobytes())
                 f.write(X.astype(SUFFIX_DTYPES[kind]).tobytes())
+        os.replace(tmp, path)
         yield pa.RecordBatch.from_pydict({"part": [path], "rows": [n]})
 
     ordered.mapInArrow(write_part, "part string, rows long").collect()
