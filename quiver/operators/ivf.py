@@ -355,19 +355,33 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
 
 
 def is_local(df: DataFrame) -> bool:
-    """Whether a DataFrame is a driver-side local relation (already size-checked)."""
-    return "LocalRelation" in df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName()
+    """Whether a DataFrame is a frozen, size-checked driver-side table (see :func:`freeze_centroids`)."""
+    return bool(getattr(df, "_quiver_frozen", False))
+
+
+def mark_frozen(df: DataFrame) -> DataFrame:
+    df._quiver_frozen = True
+    return df
 
 
 def freeze_centroids(centroids: DataFrame) -> DataFrame:
-    """Compute the centroid table once (bounded by the list count) as a local relation."""
+    """Compute the centroid table once (bounded by the list count) as a local relation.
+
+    A derived table (e.g. an aggregate over the whole vector table) is first
+    checkpointed, so the size check and the collect read the small result
+    instead of rescanning the source twice.
+    """
     spark = centroids.sparkSession
+    if is_local(centroids):
+        return centroids
+    ensure_checkpoint_dir(spark)
+    centroids = centroids.checkpoint(eager=True)
     n, dim = _vector_stats(centroids, "centroid")
     budget = _conf_int(spark, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
     if n * dim * 4 > budget:
-        ensure_checkpoint_dir(spark)
-        return centroids.checkpoint(eager=True)
-    return spark.createDataFrame(centroids.select("list_id", "centroid").collect(), "list_id int, centroid array<float>")
+        return centroids
+    return mark_frozen(spark.createDataFrame(centroids.select("list_id", "centroid").collect(),
+                                             "list_id int, centroid array<float>"))
 
 
 def save_ivf(idx: IvfIndex, path: str, kind: str = "ivfflat", extra_meta: dict | None = None) -> IvfIndex:

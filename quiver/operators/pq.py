@@ -89,9 +89,14 @@ def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train
 
 def freeze_codebook(codebook: DataFrame) -> DataFrame:
     """Compute the codebook once (size-checked, m * 2^bits rows) as a local relation."""
+    if ivf.is_local(codebook):
+        return codebook
+    ensure_checkpoint_dir(codebook.sparkSession)
+    codebook = codebook.checkpoint(eager=True)  # one pass over the source aggregate
     _codebook_array(codebook)  # raises when over the budget
     spark = codebook.sparkSession
-    return spark.createDataFrame(codebook.select("sub", "code", "centroid").collect(), "sub int, code int, centroid array<float>")
+    return ivf.mark_frozen(spark.createDataFrame(codebook.select("sub", "code", "centroid").collect(),
+                                                 "sub int, code int, centroid array<float>"))
 
 
 def _codebook_array(codebook: DataFrame) -> np.ndarray:
