@@ -429,6 +429,15 @@ def recreate_index(df: DataFrame, path: str, **kw) -> IvfIndex:
     return build_ivf(df, path=path, **kw)
 
 
+def with_appended(index: IvfIndex, rows: DataFrame) -> IvfIndex:
+    """The index with already-assigned rows (e.g. from :func:`quiver.streaming.maintain.maintain_ivf`) added to its lists."""
+    cols = index.lists.columns
+    lists = index.lists.unionByName(rows.select(*cols))
+    sizes = lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    return IvfIndex(index.centroids, lists, sizes, index.metric, index.n_probes, index.vec_col, index.path, dict(index.meta),
+                    _cen=index._cen)
+
+
 def add_chunks(chunks: list[DataFrame]) -> DataFrame:
     """Vectors added in chunks become one table; chunking is Spark partitions."""
     out = chunks[0]

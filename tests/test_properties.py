@@ -275,3 +275,19 @@ def test_recreate_and_chunks(spark, v, tmp_dir):
     before = _ids(a.search(queries_from(v), 5))  # an index read from p is invalid once p is rebuilt
     b = ivf.recreate_index(table, p, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=2)
     assert _ids(b.search(queries_from(v), 5)) == before
+
+
+def test_async_index_stream_equals_batch(spark, v, tmp_dir):
+    """Index created first on an empty table, rows indexed as they stream in."""
+    from quiver.streaming import maintain
+
+    cen = ivf.centroids_from_labels(v)
+    batch = ivf.build_ivf(v, metric="l2", centroids=cen, n_probes=3)
+    empty = ivf.build_ivf(v.limit(0), metric="l2", centroids=cen, n_probes=3)
+    src = f"{tmp_dir}/src"
+    v.repartitionByRange(4, "id").write.parquet(src)
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = f"{tmp_dir}/lists_stream"
+    maintain.maintain_ivf(stream, empty, out, f"{tmp_dir}/ck").awaitTermination()
+    streamed = ivf.with_appended(empty, maintain.read_stream_lists(spark, out))
+    assert _ids(streamed.search(queries_from(v), 10)) == _ids(batch.search(queries_from(v), 10))
