@@ -12,9 +12,13 @@ by a broadcast of the size-checked centroid matrix, ``REBALANCE(list_id)``
 write (AQE splits a hot list over several files).
 
 Search: the n_probes nearest lists per query (broadcast centroids, no
-shuffle), then one bounded cogroup cell per (list, corpus split, query split)
-so that neither a hot list nor a list probed by many queries lands whole in one
-task; partial top-k per cell, final ``row_number`` per query.
+shuffle); only probed list directories are read (static partition filter).
+Then either (a) the query set and a per-list map of probing queries are
+broadcast (size-checked) and the lists are scanned once by an Arrow kernel -
+no list row is shuffled; or (b) above the budget, one bounded cogroup cell per
+(list, corpus split, query split), so that neither a hot list nor a list
+probed by many queries lands whole in one task. Partial top-k per task or
+cell, final ``row_number`` per query.
 """
 
 from __future__ import annotations
@@ -297,8 +301,8 @@ def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: Da
         F.greatest(F.lit(1), F.ceil(F.col("nq") * F.col("rb") / F.lit(block_bytes))).cast("int").alias("qs"),
     )
     stats = F.broadcast(stats) if small else stats
-    # Only probed lists are read: the semi join on the partition column lets
-    # Spark prune list_id directories (dynamic partition pruning).
+    # Attach each list's split counts (broadcast, one row per list); the inner
+    # join also drops rows of lists nobody probes.
     rows = rows.join(stats, "list_id", "inner")
     crep = rows.withColumn("csplit", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int")).withColumn(
         "qsplit", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))
