@@ -5,8 +5,10 @@ Build (after Ootomo et al., CAGRA, arXiv:2308.15136):
 1. ``igd`` nearest neighbours of every vector -> ``edges(src, dst, rank)``
    (exact search, or through an IVF index for large tables).
 2. For each edge s->d, count detours s->z->d with
-   ``max(rank(s,z), rank(z,d)) < rank(s,d)``: an equi-join of edges on z
-   (wedges), a join back on (s, d), then a grouped count.
+   ``max(rank(s,z), rank(z,d)) < rank(s,d)``: by default a numpy kernel over
+   each node's grouped neighbour arrays (no row per two-hop path); the
+   relational form (wedge join on z, join back on (s, d), grouped count) is
+   kept as ``detours`` and gives the same counts.
 3. Per node keep the ``graph_degree/2`` edges with fewest detours (tie ->
    rank), then add reversed edges by rank (no duplicates, no self loops), then
    the remaining forward edges, up to ``graph_degree``.
@@ -25,6 +27,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +59,65 @@ def detours(edges: DataFrame) -> DataFrame:
         "src", "dst", "rank", F.coalesce("n_detours", F.lit(0)).cast("long").alias("detours"))
 
 
+def detours_arrays(edges: DataFrame) -> DataFrame:
+    """Step 2 without wedge rows: ``(src, dst, rank, detours)`` from grouped neighbour arrays.
+
+    Each node's out-list is grouped once (bounded by the degree); every edge
+    s->z is joined to z's list, and per source node a bounded group of
+    ``degree`` lists of ``degree`` ids goes through a numpy kernel that finds
+    rank(z, d) for all pairs with one sort + ``searchsorted``. The shuffle
+    carries ids packed in arrays instead of one row per two-hop path; hub
+    nodes on the join key are split by AQE's skew join.
+    """
+    adj = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("nb")).select(
+        F.col("src").alias("z"), F.transform("nb", lambda x: x["dst"]).alias("nz"))
+    two = edges.select(F.col("src").alias("s"), F.col("dst").alias("z"), F.col("rank").alias("r")).join(adj, "z", "left")
+    grp = two.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("r", "z", "nz"))).alias("lst"))
+    return grp.mapInArrow(_detour_kernel, "src long, dst long, rank int, detours long")
+
+
+def _detour_kernel(batches):
+    import pyarrow as pa
+
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        srcs = rb.column(0).to_numpy()
+        lst = rb.column(1)
+        out_s, out_d, out_r, out_c = [], [], [], []
+        for k in range(rb.num_rows):
+            items = lst[k].values  # struct array (r, z, nz), sorted by r
+            r = items.field("r").to_numpy().astype(np.int64)
+            z = items.field("z").to_numpy().astype(np.int64)
+            nz = items.field("nz")
+            g = len(z)
+            lens = np.array([0 if nz[j].is_valid is False else len(nz[j]) for j in range(g)], dtype=np.int64)
+            flat = nz.flatten().to_numpy().astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+            if len(flat):
+                rowid = np.repeat(np.arange(g), lens)
+                within = np.concatenate([np.arange(1, n + 1) for n in lens if n]) if lens.sum() else flat
+                uniq, inv = np.unique(np.concatenate([z, flat]), return_inverse=True)
+                cz, cf = inv[:g], inv[g:]
+                key = rowid * len(uniq) + cf
+                order = np.argsort(key, kind="stable")
+                skey, srank = key[order], within[order]
+                q = (np.arange(g)[:, None] * len(uniq) + cz[None, :]).ravel()
+                idx = np.minimum(np.searchsorted(skey, q), len(skey) - 1)
+                M = np.where(skey[idx] == q, srank[idx], np.iinfo(np.int64).max).reshape(g, g)  # M[j, i] = rank(z_j, z_i)
+                cond = (r[:, None] < r[None, :]) & (M < r[None, :])
+                cnt = cond.sum(axis=0)
+            else:
+                cnt = np.zeros(g, dtype=np.int64)
+            out_s.append(np.full(g, srcs[k], dtype=np.int64))
+            out_d.append(z)
+            out_r.append(r.astype(np.int32))
+            out_c.append(cnt.astype(np.int64))
+        if out_s:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_r)),
+                 pa.array(np.concatenate(out_c))], names=["src", "dst", "rank", "detours"])
+
+
 def prune(scored: DataFrame, graph_degree: int) -> DataFrame:
     """Step 3: final adjacency ``(src, dst, rank)`` with at most ``graph_degree`` edges per node."""
     half = max(1, graph_degree // 2)
@@ -113,7 +176,7 @@ class GraphIndex:
 
 
 def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_degree: int = 128, metric: str = "l2",
-                index=None, **search_kw) -> GraphIndex:
+                index=None, detour_method: str = "arrays", **search_kw) -> GraphIndex:
     """kNN graph with detour pruning.
 
     The initial neighbour lists are exact while the table fits the broadcast
@@ -134,7 +197,8 @@ def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_deg
             index = ivf.build_ivf(table, metric=m, n_probes=8)
     e = knn_edges(table, intermediate_graph_degree, m, index)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    g = prune(detours(e), graph_degree).repartition(parts, "src").checkpoint(eager=True)
+    scored = detours_arrays(e) if detour_method == "arrays" else detours(e)
+    g = prune(scored, graph_degree).repartition(parts, "src").checkpoint(eager=True)
     # Vectors are partitioned for search on the first search (prepare()).
     return GraphIndex(table.select("id", "embed"), g, m, **search_kw, _edges_ready=True)
 

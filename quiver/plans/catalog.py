@@ -682,9 +682,10 @@ def _graph_build(spark, sf):
           "SELECT e.src, e.dst, CAST(e.rank AS INTEGER) AS rank, CAST(coalesce(tri.nd, 0) AS BIGINT) AS detours "
           "FROM e LEFT JOIN tri ON tri.s = e.src AND tri.t = e.dst")
 def _graph_detours(spark, sf):
-    """I6 step 2: detour count of every edge of the exact 16-NN graph."""
+    """I6 step 2: detour count of every edge of the exact 16-NN graph (array kernel)."""
     v = vectors(spark, sf)
-    return graph.detours(graph.knn_edges(v, IGD, "l2")).select("src", "dst", F.col("rank").cast("int").alias("rank"), "detours")
+    return graph.detours_arrays(graph.knn_edges(v, IGD, "l2")).select("src", "dst", F.col("rank").cast("int").alias("rank"),
+                                                                        "detours")
 
 
 G_ITOPK, G_WIDTH, G_SEEDS, G_STEPS, G_SEED = 32, 4, 9, 8, 42

@@ -291,3 +291,10 @@ def test_async_index_stream_equals_batch(spark, v, tmp_dir):
     maintain.maintain_ivf(stream, empty, out, f"{tmp_dir}/ck").awaitTermination()
     streamed = ivf.with_appended(empty, maintain.read_stream_lists(spark, out))
     assert _ids(streamed.search(queries_from(v), 10)) == _ids(batch.search(queries_from(v), 10))
+
+
+def test_detour_methods_agree(v):
+    e = graph.knn_edges(v, 12, "l2").cache()
+    a = sorted(tuple(r) for r in graph.detours(e).collect())
+    b = sorted(tuple(r) for r in graph.detours_arrays(e).collect())
+    assert a == b and len(a) == 500 * 12
