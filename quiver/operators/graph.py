@@ -78,6 +78,7 @@ def detours_arrays(edges: DataFrame) -> DataFrame:
 
 def _detour_kernel(batches):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for rb in batches:
         if rb.num_rows == 0:
@@ -91,11 +92,12 @@ def _detour_kernel(batches):
             z = items.field("z").to_numpy().astype(np.int64)
             nz = items.field("nz")
             g = len(z)
-            lens = np.array([0 if nz[j].is_valid is False else len(nz[j]) for j in range(g)], dtype=np.int64)
-            flat = nz.flatten().to_numpy().astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+            lens = pc.list_value_length(nz).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = nz.flatten().to_numpy().astype(np.int64)
             if len(flat):
                 rowid = np.repeat(np.arange(g), lens)
-                within = np.concatenate([np.arange(1, n + 1) for n in lens if n]) if lens.sum() else flat
+                starts = np.cumsum(lens) - lens
+                within = np.arange(len(flat)) - np.repeat(starts, lens) + 1  # 1-based rank inside z_j's list
                 uniq, inv = np.unique(np.concatenate([z, flat]), return_inverse=True)
                 cz, cf = inv[:g], inv[g:]
                 key = rowid * len(uniq) + cf
