@@ -876,3 +876,36 @@ def _index_bruteforce(spark, sf):
     v = vectors(spark, sf)
     idx = build_from_config(v, {"index": {"type": "bruteforce", "op_type": "vector_l2_ops"}, "mode": "single"})
     return _ranked(idx.search(queries_from(v), K))
+
+
+# -- The reference's SQL form, through registered SQL functions ------------------------------
+
+from quiver.functions.sql import register_sql_functions  # noqa: E402
+
+
+@register("sql_knn_one", ORACLE["knn_one"])
+def _sql_knn_one(spark, sf):
+    """K1 as SQL text: l2_distance(embed, vec('[...]')), ordered, LIMIT k (vector text of row 7)."""
+    register_sql_functions(spark)
+    v = vectors(spark, sf)
+    v.createOrReplaceTempView("quiver_vectors")
+    text = v.where(F.col("id") == 7).select(vf.to_text("embed").alias("t")).first()["t"]
+    return spark.sql(
+        f"SELECT id, round(dist, 6) AS d FROM (SELECT id, l2_distance(embed, vec('{text}')) AS dist FROM quiver_vectors) "
+        f"ORDER BY dist, id LIMIT {K}"
+    )
+
+
+@register("sql_filtered_ip",
+          f"WITH {S.V}, q AS (SELECT embed FROM v WHERE id = 11) SELECT c.id, round({S.dist('ip', 'c.embed', 'q.embed')}, 6) AS d "
+          f"FROM v c, q WHERE c.i32v < {FILTER_WIDE} ORDER BY {S.dist('ip', 'c.embed', 'q.embed')}, c.id LIMIT {K}")
+def _sql_filtered_ip(spark, sf):
+    """K3 as SQL text with a filter and the inner-product order (nearest = largest dot)."""
+    register_sql_functions(spark)
+    v = vectors(spark, sf)
+    v.createOrReplaceTempView("quiver_vectors")
+    text = v.where(F.col("id") == 11).select(vf.to_text("embed").alias("t")).first()["t"]
+    return spark.sql(
+        f"SELECT id, round(dist, 6) AS d FROM (SELECT id, neg_inner_product(embed, vec('{text}')) AS dist "
+        f"FROM quiver_vectors WHERE i32v < {FILTER_WIDE}) ORDER BY dist, id LIMIT {K}"
+    )

@@ -200,3 +200,14 @@ def test_gzip_level_changes_size(spark, tmp_dir):
         sizes[lvl] = sum(os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".gz"))
         assert text.read_csv(spark, [out]).count() == 2000
     assert sizes[9] < sizes[1]
+
+
+def test_sql_functions(spark, tiny):
+    from quiver.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    tiny.createOrReplaceTempView("tiny_v")
+    got = spark.sql("SELECT id, l2_distance(embed, vec('[1, 0, 0]')) AS d, cosine_distance(embed, vec('0,1,0')) AS c, "
+                    "inner_product(embed, vec('[0,0,1]')) AS ip, vector_norm(embed) AS n FROM tiny_v ORDER BY id").collect()
+    assert got[0]["d"] == 0.0 and got[2]["c"] == 0.0 and got[3]["c"] is None
+    assert got[4]["ip"] == 2.0 and got[4]["n"] == 2.0
