@@ -51,3 +51,40 @@ def test_ivfflat_script_flow(spark, tmp_dir):
     ni, nu, nd = dml.mix_counts(100, (1, 8, 1))
     assert t.count() == 3300 + n - n // 4 + 2 * (ni - nd)
     assert t.select("id").distinct().count() == t.count()
+
+
+def test_fvecs_conversion_flow(spark, tmp_dir):
+    """.fvecs input -> vector table with synthetic metadata -> CSV -> exact self-recall 1.0."""
+    from quiver.sources import binary
+
+    vecs = gen.generate(spark, 1500, DIM, seed=5).select("id", "embed")
+    binary.write_vectors(vecs, os.path.join(tmp_dir, "base"), ".fvecs", parts=3)
+    table = binary.convert_to_table(spark, os.path.join(tmp_dir, "base"), seed=5, start_id=0)
+    assert table.count() == 1500 and table.agg(F.min("id"), F.max("id")).first() == (0, 1499)
+    text.write_csv(table, os.path.join(tmp_dir, "csv"), compress_level=1)
+    back = text.read_csv(spark, [os.path.join(tmp_dir, "csv")]).drop("_file")
+    res = knn.knn(back, back.select(F.col("id").alias("qid"), "embed"), 1, "l2")
+    r = recall.self_recall(res, back.withColumnRenamed("id", "qid")).first()
+    assert r["recall"] == 1.0 and r["total"] == 1500
+
+
+def test_ground_truth_file_flow(spark, tmp_dir):
+    """Queries as .fbin, ground truth as .ibin (nearest first), recall@k of an index against it."""
+    from quiver.operators import ivf
+    from quiver.sources import binary
+
+    table = gen.generate(spark, 2000, DIM, seed=11)
+    queries = gen.generate(spark, 100, DIM, seed=12).select("id", "embed")
+    binary.write_vectors(queries, os.path.join(tmp_dir, "q"), ".fbin", parts=2)
+    exact = knn.knn(table, queries.select(F.col("id").alias("qid"), "embed"), 10, "l2")
+    gt_rows = exact.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "id"))),
+                                                   lambda s: s["id"]).alias("nb"))
+    binary.write_vectors(gt_rows, os.path.join(tmp_dir, "gt"), ".ibin", parts=2, vec_col="nb", order_col="qid")
+
+    q = binary.read_vectors(spark, os.path.join(tmp_dir, "q")).select(F.col("pos").alias("qid"), "embed")
+    gt = recall.gt_relation(binary.read_ground_truth(spark, os.path.join(tmp_dir, "gt")))
+    index = ivf.build_ivf(table, lists=8, metric="l2", train_percent=100.0, n_probes=8)
+    full = recall.gt_recall(index.search(q, 10), gt, 10).first()
+    assert full["total_queries"] == 100 and full["recall_rate"] == 1.0
+    one = recall.gt_recall(index.search(q, 10, n_probes=1), gt, 10).first()
+    assert 0 < one["recall_rate"] <= 1.0
