@@ -298,3 +298,22 @@ def test_detour_methods_agree(v):
     a = sorted(tuple(r) for r in graph.detours(e).collect())
     b = sorted(tuple(r) for r in graph.detours_arrays(e).collect())
     assert a == b and len(a) == 500 * 12
+
+
+def test_bounded_kernel_tasks_same_result(spark, v, exact10):
+    spark.conf.set("quiver.knn.maxKernelTasks", "2")
+    try:
+        many = v.repartition(7)
+        assert _ids(knn.knn(many, queries_from(v), 10, "l2")) == _ids(exact10)
+    finally:
+        spark.conf.unset("quiver.knn.maxKernelTasks")
+
+
+def test_grid_plan_with_post_filter(v):
+    from quiver.functions import filters as flt
+
+    cond = flt.where(i32v_lt=500)
+    a = sorted(tuple(r) for r in knn.search(v, queries_from(v), 10, "l2", where=cond, mode="post", oversample=2).collect())
+    b = sorted(tuple(r) for r in knn.search(v, queries_from(v), 10, "l2", where=cond, mode="post", oversample=2,
+                                            broadcast_bytes=1, block_bytes=30_000).collect())
+    assert a == b and len(a) > 0
