@@ -257,6 +257,7 @@ def test_table_lifecycle(spark, tmp_dir):
     assert t.count() == 0 and t.columns == ["id", "embed", "i32v", "f32v", "strv"]
     assert t.schema["embed"].metadata == {"dim": 64}
     assert dml.max_id(t).first()["max_id"] == 0
+    assert sorted(r["id"] for r in dml.insert(t, 3, 64).collect()) == [1, 2, 3]  # empty table: first id is 1
     rows = gen.generate(spark, 30, 64, start_id=1)
     v1 = dml.write_version(dml.bulk_load(t, rows), path + "_versions", 1)
     assert spark.read.parquet(v1).count() == 30
