@@ -152,11 +152,14 @@ def mix_counts(batch: int, ratios: tuple[float, float, float]) -> tuple[int, int
 
 
 def mix(table: DataFrame, total_ops: int, ratios=(1, 8, 1), batch_size: int = 1000, dim: int | None = None,
-        seed: int = DEFAULT_SEED, family: str = "fast", checkpoint: bool = True) -> DataFrame:
+        seed: int = DEFAULT_SEED, family: str = "fast", checkpoint: bool = True, report: bool = False):
     """Mixed workload; per batch insert, then update, then delete, in that order.
 
     Each batch's table is checkpointed to the shared checkpoint folder so the
     lineage stays one batch long and a lost executor replays one batch only.
+    With ``report=True`` returns ``(table, stats)`` where ``stats`` has one row
+    per batch with the planned operations and the rows actually affected
+    (a sample cannot exceed the table), for the M2/M4 reports.
     """
     if checkpoint:
         ensure_checkpoint_dir(table.sparkSession)
@@ -164,18 +167,35 @@ def mix(table: DataFrame, total_ops: int, ratios=(1, 8, 1), batch_size: int = 10
         dim = int(table.select(F.size("embed")).first()[0])
     cur = table.select(*VECTOR_COLUMNS)
     done, b = 0, 0
+    stats = []
     while done < total_ops:
         cb = min(batch_size, total_ops - done)
         ni, nu, nd = mix_counts(cb, ratios)
         s = seed + 1000 * b
+        affected = [ni, 0, 0]
         if ni:
             cur = insert(cur, ni, dim, s, family)
         if nu:
-            cur = update(cur, sample_ids(cur, nu, s + 1, family), dim, s + 2, family, n_hint=nu)
+            ids = sample_ids(cur, nu, s + 1, family)
+            if report:
+                ids = ids.checkpoint(eager=True)
+                affected[1] = ids.count()
+            cur = update(cur, ids, dim, s + 2, family, n_hint=nu)
         if nd:
-            cur = delete(cur, sample_ids(cur, nd, s + 3, family))
+            ids = sample_ids(cur, nd, s + 3, family)
+            if report:
+                ids = ids.checkpoint(eager=True)
+                affected[2] = ids.count()
+            cur = delete(cur, ids)
         if checkpoint:
             cur = cur.checkpoint(eager=True)
+        stats.append((b, cb, ni, nu, nd, *affected))
         done += cb
         b += 1
-    return cur
+    if not report:
+        return cur
+    spark = table.sparkSession
+    stats_df = spark.createDataFrame(
+        stats, "batch int, ops int, planned_insert int, planned_update int, planned_delete int, "
+               "inserted long, updated long, deleted long")
+    return cur, stats_df

@@ -318,3 +318,14 @@ def test_grid_plan_with_post_filter(v):
     b = sorted(tuple(r) for r in knn.search(v, queries_from(v), 10, "l2", where=cond, mode="post", oversample=2,
                                             broadcast_bytes=1, block_bytes=30_000).collect())
     assert a == b and len(a) > 0
+
+
+def test_mix_report_planned_and_affected(spark):
+    small = gen.generate(spark, 50, 8, seed=3, start_id=1)
+    t, stats = dml.mix(small, 300, (1, 8, 1), batch_size=100, dim=8, report=True)
+    rows = stats.orderBy("batch").collect()
+    assert [r["ops"] for r in rows] == [100, 100, 100]
+    assert all(r["planned_update"] == 80 for r in rows)
+    # the table has 60 rows when the first batch updates: a sample cannot exceed it
+    assert rows[0]["updated"] == 60 and rows[0]["deleted"] == 10
+    assert t.count() == 50 + sum(r["inserted"] - r["deleted"] for r in rows)
