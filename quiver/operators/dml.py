@@ -82,13 +82,24 @@ def sample_ids(table: DataFrame, n: int, seed: int = DEFAULT_SEED, family: str =
     the n-th key are taken and only the boundary partition is ranked.
     """
     keyed = table.select("id", _hash_key(seed, family).alias("h"))
+    return smallest_n(keyed, n, ["h", "id"], take_ordered_max).select("id")
+
+
+def smallest_n(df: DataFrame, n: int, keys: list[str], take_ordered_max: int = TAKE_ORDERED_MAX) -> DataFrame:
+    """The ``n`` rows of ``df`` that come first in ``keys`` order (keys unique), without one task holding them.
+
+    Small n: sort + limit. Large n: one range partitioning by the keys,
+    checkpointed to the shared folder; only per-partition counts reach the
+    driver; partitions wholly below the n-th row are kept as they are and only
+    the boundary partition is ranked.
+    """
     if n <= take_ordered_max:
-        return keyed.orderBy("h", "id").limit(int(n)).select("id")
-    spark = table.sparkSession
+        return df.orderBy(*keys).limit(int(n))
+    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keyed.repartitionByRange(parts, "h", "id").withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
-    counts = sorted((r["pid"], r["c"]) for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     taken, full = 0, []
     boundary, rest = None, 0
     for pid, c in counts:
@@ -98,11 +109,10 @@ def sample_ids(table: DataFrame, n: int, seed: int = DEFAULT_SEED, family: str =
         else:
             boundary, rest = pid, n - taken
             break
-    out = ranged.where(F.col("pid").isin(full)).select("id")
+    out = ranged.where(F.col("_pid").isin(full))
     if boundary is not None and rest > 0:
-        b = ranged.where(F.col("pid") == boundary).orderBy("h", "id").limit(rest).select("id")
-        out = out.unionByName(b)
-    return out
+        out = out.unionByName(ranged.where(F.col("_pid") == boundary).orderBy(*keys).limit(rest))
+    return out.drop("_pid")
 
 
 def insert(table: DataFrame, n: int, dim: int, seed: int = DEFAULT_SEED, family: str = "fast") -> DataFrame:

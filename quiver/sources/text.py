@@ -76,11 +76,18 @@ def read_csv(spark: SparkSession, files: Iterable[str] = (), prefix: str | None
 
 
 def query_set(df: DataFrame, start_id: int = 0, n: int | None = None) -> DataFrame:
-    """S3: rows with ``id >= start_id``, then the first ``n`` in file order (file name, id)."""
+    """S3: rows with ``id >= start_id``, then the first ``n`` in file order (file name, id).
+
+    Large n (e.g. a million self-queries) is selected by range partitioning
+    rather than gathered into one task (see ``dml.smallest_n``).
+    """
+    from quiver.operators.dml import smallest_n
+
     q = df.where(F.col("id") >= F.lit(int(start_id)))
     order = ["_file", "id"] if "_file" in df.columns else ["id"]
-    q = q.orderBy(*order)
-    return q.limit(int(n)) if n is not None else q
+    if n is None:
+        return q.orderBy(*order)
+    return smallest_n(q, int(n), order)
 
 
 def write_csv(df: DataFrame, path: str, *, chunks: int | None = None, compress_level: int | None = None,

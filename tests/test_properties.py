@@ -329,3 +329,13 @@ def test_mix_report_planned_and_affected(spark):
     # the table has 60 rows when the first batch updates: a sample cannot exceed it
     assert rows[0]["updated"] == 60 and rows[0]["deleted"] == 10
     assert t.count() == 50 + sum(r["inserted"] - r["deleted"] for r in rows)
+
+
+def test_smallest_n_paths_agree(v):
+    a = sorted(r["id"] for r in dml.smallest_n(v, 321, ["i32v", "id"]).collect())
+    b = sorted(r["id"] for r in dml.smallest_n(v, 321, ["i32v", "id"], take_ordered_max=0).collect())
+    assert a == b and len(a) == 321
+    from quiver.sources import text
+
+    big = sorted(r["id"] for r in text.query_set(v, start_id=20, n=15_000).collect())
+    assert big == list(range(20, 500))
