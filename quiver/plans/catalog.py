@@ -407,7 +407,8 @@ def _gen_md5(spark, sf):
     return _summary(gen.rows_for_ids(v.select("id"), DIM, SEED, "md5"))
 
 
-@register("gen_fast")
+@register("gen_fast", f"WITH {S.V}, {gen.rows_sql_fast('SELECT id FROM v', DIM, SEED)} "
+          + _summary_sql("SELECT * FROM gen_rows"))
 def _gen_fast(spark, sf):
     """S7 (xxhash64 family, JVM-side): a synthetic row for every id of the table."""
     v = vectors(spark, sf)

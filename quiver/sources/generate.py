@@ -96,3 +96,79 @@ def rows_sql(ids_sql: str, dim: int, seed: int) -> str:
         f"SELECT id, {raw} AS raw, CAST(floor({u(seed + 1, '0')} * {I32V_RANGE}) AS INTEGER) AS i32v, "
         f"CAST({u(seed + 2, '0')} AS FLOAT) AS f32v, array_to_string({chars}, '') AS strv FROM ({ids_sql})))"
     )
+
+
+# -- DuckDB twin of the xxhash64 family ------------------------------------------------------
+
+# The five 64-bit primes of XXH64 and Spark's default hash seed.
+XXH_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+SPARK_HASH_SEED = 42
+
+
+def _xxh_long_stages(src: str, prefix: str, v_col: str, seed_col: str) -> list[tuple[str, str]]:
+    """CTE stages computing XXH64 of one 8-byte value (``v_col``) with seed ``seed_col``.
+
+    Values are UHUGEINT kept in [0, 2^64); every product of two such values
+    fits in 128 bits. Each stage is its own CTE so no expression is repeated.
+    """
+    p1, p2, p3, p4, p5 = (f"CAST({p} AS UHUGEINT)" for p in XXH_PRIMES)
+    m = "CAST(18446744073709551616 AS UHUGEINT)"
+    def rotl(x, r):
+        return f"(((({x}) << {r}) % {m}) | (({x}) >> {64 - r}))"
+    steps = [
+        f"*, ({seed_col} + {p5} + 8) % {m} AS _h, ({v_col} * {p2}) % {m} AS _k",
+        f"* REPLACE (({rotl('_k', 31)} * {p1}) % {m} AS _k)",
+        f"* REPLACE (xor(_h, _k) AS _h)",
+        f"* REPLACE (({rotl('_h', 27)} * {p1} + {p4}) % {m} AS _h)",
+        "* REPLACE (xor(_h, _h >> 33) AS _h)",
+        f"* REPLACE ((_h * {p2}) % {m} AS _h)",
+        "* REPLACE (xor(_h, _h >> 29) AS _h)",
+        f"* REPLACE ((_h * {p3}) % {m} AS _h)",
+        "* REPLACE (xor(_h, _h >> 32) AS _h)",
+    ]
+    out, prev = [], src
+    for i, sel in enumerate(steps):
+        name = f"{prefix}{i}"
+        out.append((name, f"SELECT {sel} FROM {prev}"))
+        prev = name
+    return out
+
+
+def rows_sql_fast(ids_sql: str, dim: int, seed: int) -> str:
+    """DuckDB twin of :func:`rows_for_ids` (xxhash64 family) over a relation with column ``id``.
+
+    Returns a CTE list (without WITH) ending in a relation ``gen_rows(id, embed, i32v, f32v, strv)``.
+    """
+    u64 = "CAST(((CAST({x} AS HUGEINT) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS UHUGEINT)"
+    triples = (
+        f"SELECT id, 'v' AS c, {seed} AS s, j FROM ({ids_sql}), range({dim}) t(j) "
+        f"UNION ALL SELECT id, 'i', {seed + 1}, 0 FROM ({ids_sql}) "
+        f"UNION ALL SELECT id, 'f', {seed + 2}, 0 FROM ({ids_sql}) "
+        f"UNION ALL SELECT id, 'l', {seed + 3}, -1 FROM ({ids_sql}) "
+        f"UNION ALL SELECT id, 'c', {seed + 3}, j FROM ({ids_sql}), range({STR_MAX_LEN}) t(j)"
+    )
+    ctes = [("xt", f"SELECT id, c, j, {u64.format(x='s')} AS vs, {u64.format(x='id')} AS vi, {u64.format(x='j')} AS vj, "
+                   f"CAST({SPARK_HASH_SEED} AS UHUGEINT) AS h0 FROM ({triples})")]
+    ctes += _xxh_long_stages("xt", "xa", "vs", "h0")
+    ctes.append(("xa_out", "SELECT id, c, j, vi, vj, _h AS h1 FROM xa8"))
+    ctes += _xxh_long_stages("xa_out", "xb", "vi", "h1")
+    ctes.append(("xb_out", "SELECT id, c, j, vj, _h AS h2 FROM xb8"))
+    ctes += _xxh_long_stages("xb_out", "xc", "vj", "h2")
+    ctes.append(("xu", "SELECT id, c, j, CAST(_h >> 11 AS DOUBLE) / 9007199254740992.0 AS u FROM xc8"))
+    ctes.append((
+        "xrow",
+        "SELECT id, list(u ORDER BY j) FILTER (WHERE c = 'v') AS raw, "
+        f"CAST(floor(max(u) FILTER (WHERE c = 'i') * {I32V_RANGE}) AS INTEGER) AS i32v, "
+        "CAST(max(u) FILTER (WHERE c = 'f') AS FLOAT) AS f32v, "
+        f"{STR_MIN_LEN} + CAST(floor(max(u) FILTER (WHERE c = 'l') * {STR_MAX_LEN - STR_MIN_LEN + 1}) AS INTEGER) AS slen, "
+        f"list(substr('{ALPHABET}', CAST(floor(u * {len(ALPHABET)}) AS INTEGER) + 1, 1) ORDER BY j) FILTER (WHERE c = 'c') AS chars "
+        "FROM xu GROUP BY id",
+    ))
+    ctes.append((
+        "gen_rows",
+        "SELECT id, CASE WHEN nrm = 0 THEN list_transform(raw, lambda x: CAST(x AS FLOAT)) "
+        "ELSE list_transform(raw, lambda x: CAST(x / nrm AS FLOAT)) END AS embed, i32v, f32v, "
+        "array_to_string(list_slice(chars, 1, slen), '') AS strv FROM ("
+        "SELECT *, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS nrm FROM xrow)",
+    ))
+    return ", ".join(f"{n} AS ({q})" for n, q in ctes)
