@@ -8,8 +8,11 @@ Plans (``distribution``):
   ``row_number() <= k`` window over ``qid`` merges the partials (Spark adds a
   partial WindowGroupLimit before the shuffle). Shuffle volume is
   partitions x queries x k rows, independent of the corpus width.
-* ``grid``: used automatically when the query set is over the broadcast
-  budget. Queries and corpus rows are hash-blocked; each (query block, corpus
+* ``sharded`` over query blocks: a query set up to ``maxScanBlocks`` times
+  the budget is split by hash into blocks, each broadcast (size-checked) to
+  its own kernel scan of the corpus; the corpus is read once per block and
+  never shuffled.
+* ``grid``: used automatically when the query set is larger still. Queries and corpus rows are hash-blocked; each (query block, corpus
   block) cell is a bounded cogroup handled by the same kernel. Nothing passes
   through the driver.
 * ``replicated``: the corpus is broadcast (size-checked) and the query set is
@@ -39,6 +42,9 @@ KNN_RANKED_SCHEMA = "qid long, id long, d double, rk int"
 DEFAULT_BROADCAST_BYTES = 256 << 20
 # Bytes of vectors per grid cell side (one cogroup side held in a task).
 DEFAULT_BLOCK_BYTES = 64 << 20
+# Query sets needing up to this many broadcast blocks scan the corpus once per
+# block (no corpus shuffle); larger ones use the grid plan.
+DEFAULT_MAX_SCAN_BLOCKS = 8
 
 
 def _conf_int(spark, key: str, default: int) -> int:
@@ -112,8 +118,22 @@ def knn(
         return _replicated(c, q, k, m, with_flag)
     nq, dim = _vector_stats(q, "v")
     # Broadcast bytes plus the per-task top-k state (ids, distances) of every query.
-    if dist != "grid" and nq * (max(dim, 1) * 4 + k * 24) <= bbytes:
+    q_bytes = nq * (max(dim, 1) * 4 + k * 24)
+    blocks = max(1, math.ceil(q_bytes / bbytes))
+    max_scans = _conf_int(spark, "quiver.knn.maxScanBlocks", DEFAULT_MAX_SCAN_BLOCKS)
+    if dist != "grid" and 1 < blocks <= max_scans:
+        blocks = _fit_blocks(q, blocks, max_scans, q_bytes / max(nq, 1), bbytes)
+    if dist != "grid" and blocks == 1:
         partials = _sharded_partials(_bounded_tasks(c), q, k, m, with_flag)
+    elif dist != "grid" and blocks <= max_scans:
+        # A few size-checked query blocks, each broadcast to its own scan of
+        # the corpus: the corpus is read `blocks` times but never shuffled.
+        bc = _bounded_tasks(c)
+        parts = [_sharded_partials(bc, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, m, with_flag)
+                 for b in range(blocks)]
+        partials = parts[0]
+        for p_ in parts[1:]:
+            partials = partials.unionByName(p_)
     else:
         nc, cdim = _vector_stats(c, "v")
         partials = _grid_partials(c, q, k, m, with_flag, nq, nc, max(dim, cdim, 1), blk)
@@ -121,6 +141,17 @@ def knn(
     return out.select("qid", "id", "d", "rk", *(["ok"] if with_flag else []))
 
 
+def _fit_blocks(q: DataFrame, blocks: int, max_blocks: int, row_bytes: float, budget: int) -> int:
+    """Smallest hash-block count whose largest block fits the budget (only ``blocks`` counts reach the driver)."""
+    while blocks <= max_blocks:
+        key = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+        largest = max(r["c"] for r in q.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
+        if largest * row_bytes <= budget:
+            return blocks
+        blocks += 1
+    return max_blocks + 1  # does not fit: grid plan
+
+
 def _bounded_tasks(c: DataFrame) -> DataFrame:
     """Cap the kernel tasks near the cluster's parallelism (narrow coalesce, no shuffle).
 

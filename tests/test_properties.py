@@ -339,3 +339,11 @@ def test_smallest_n_paths_agree(v):
 
     big = sorted(r["id"] for r in text.query_set(v, start_id=20, n=15_000).collect())
     assert big == list(range(20, 500))
+
+
+def test_blocked_broadcast_scans_equal_exact(v, exact10):
+    # about 248 kB of queries + state against a 100 kB budget: three or four scan blocks
+    got = knn.knn(v, queries_from(v), 10, "l2", broadcast_bytes=100_000)
+    assert _ids(got) == _ids(exact10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") >= 3 and "FlatMapCoGroups" not in plan
