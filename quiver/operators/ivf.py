@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from quiver.functions.vector import normalize, resolve_metric
 from quiver.operators.knn import (
     DEFAULT_BROADCAST_BYTES,
+    DEFAULT_MAX_SCAN_BLOCKS,
     KNN_SCHEMA,
     _bounded_tasks,
     _collect_matrix,
@@ -187,12 +188,11 @@ class IvfIndex:
         if flag is not None:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
-        plan = probe_plan(q, probes, k, broadcast_bytes)
-        if plan is not None:
-            partials = _bounded_tasks(rows).mapInArrow(_flat_scan_kernel(rows.sparkSession.sparkContext.broadcast(plan), k,
-                                                                         self.metric, flag is not None),
-                                                       KNN_SCHEMA + (", ok boolean" if flag is not None else ""))
-        else:
+        with_flag = flag is not None
+        partials = scan_partials(rows, q, probes, k, broadcast_bytes,
+                                 lambda bp: _flat_scan_kernel(bp, k, self.metric, with_flag),
+                                 KNN_SCHEMA + (", ok boolean" if with_flag else ""))
+        if partials is None:
             partials = cell_search(rows, q, probes, self.list_sizes, k, self.metric, flag is not None,
                                    block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES),
                                    n_lists=len(self.centroid_matrix()[0]))
@@ -224,6 +224,37 @@ def probe_plan(q: DataFrame, probes: DataFrame, k: int, budget: int | None = Non
     return qids, Q, lids, offsets, qidx[by_list]
 
 
+def scan_partials(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, budget: int | None, kernel_for, schema: str):
+    """Broadcast-scan partial top-k over the (pruned) list rows, or None when it does not fit.
+
+    The query set (+ probe map) is broadcast whole when it fits the budget,
+    else split by hash into at most ``quiver.knn.maxScanBlocks`` size-checked
+    blocks, each with its own scan of the lists (read again, never shuffled).
+    ``kernel_for(broadcast_plan)`` builds the mapInArrow kernel.
+    """
+    spark = rows.sparkSession
+    budget = budget or _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES)
+    plan = probe_plan(q, probes, k, budget)
+    if plan is not None:
+        return _bounded_tasks(rows).mapInArrow(kernel_for(spark.sparkContext.broadcast(plan)), schema)
+    nq, dim = _vector_stats(q, "v")
+    need = nq * (max(dim, 1) * 4 + k * 24) + probes.count() * 12
+    blocks = max(2, math.ceil(need / budget))
+    if blocks > _conf_int(spark, "quiver.knn.maxScanBlocks", DEFAULT_MAX_SCAN_BLOCKS):
+        return None
+    parts = []
+    for b in range(blocks):
+        in_block = F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b
+        plan_b = probe_plan(q.where(in_block), probes.where(in_block), k, budget)
+        if plan_b is None:  # an unlucky block over the budget: use the cell plan
+            return None
+        parts.append(_bounded_tasks(rows).mapInArrow(kernel_for(spark.sparkContext.broadcast(plan_b)), schema))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def list_queries(plan, lid: int):
     """Query row indices probing list ``lid`` (empty when none)."""
     _, _, lids, offsets, qix = plan

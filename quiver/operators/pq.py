@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
-from quiver.operators.knn import KNN_SCHEMA, _bounded_tasks, _conf_int, rank_partials
+from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials
 from quiver.operators.topk_kernel import TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir
 
@@ -228,11 +228,9 @@ class IvfPqIndex:
 
             return cell
 
-        plan = ivf.probe_plan(q, probes, k, broadcast_bytes)
         with_flag = flag is not None
-        if plan is not None:
-            bplan = spark.sparkContext.broadcast(plan)
 
+        def kernel_for(bplan):
             def kernel(batches):
                 CB_, cids_, C_ = bc.value
                 pl = bplan.value
@@ -261,8 +259,11 @@ class IvfPqIndex:
                 if top.seen.any():
                     yield top.result(with_flag=with_flag)
 
-            partials = _bounded_tasks(rows).mapInArrow(kernel, KNN_SCHEMA + (", ok boolean" if with_flag else ""))
-        else:
+            return kernel
+
+        partials = ivf.scan_partials(rows, q, probes, k, broadcast_bytes, kernel_for,
+                                     KNN_SCHEMA + (", ok boolean" if with_flag else ""))
+        if partials is None:
             partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, k, m, with_flag,
                                        _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES),
                                        kernel_factory=factory, n_lists=len(cids))

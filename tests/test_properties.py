@@ -347,3 +347,16 @@ def test_blocked_broadcast_scans_equal_exact(v, exact10):
     assert _ids(got) == _ids(exact10)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") >= 3 and "FlatMapCoGroups" not in plan
+
+
+def test_ivf_and_pq_blocked_scans_equal_single_scan(v):
+    from quiver.functions import filters as flt
+
+    idx = ivf.build_ivf(v, metric="l2", centroids=ivf.centroids_from_labels(v), n_probes=3)
+    cond = flt.where(i32v_lt=500)
+    a = _ids(idx.search(queries_from(v), 10, where=cond))
+    blocked = idx.search(queries_from(v), 10, where=cond, broadcast_bytes=100_000)  # about 3 blocks
+    assert _ids(blocked) == a
+    assert "FlatMapCoGroups" not in blocked._jdf.queryExecution().optimizedPlan().toString()
+    p = pq.build_ivfpq(v, 8, 64, lists=4, bits=4, train_percent=100.0, n_probes=2, rerank=2)
+    assert _ids(p.search(queries_from(v), 10, broadcast_bytes=100_000)) == _ids(p.search(queries_from(v), 10))
