@@ -211,3 +211,15 @@ def test_sql_functions(spark, tiny):
                     "inner_product(embed, vec('[0,0,1]')) AS ip, vector_norm(embed) AS n FROM tiny_v ORDER BY id").collect()
     assert got[0]["d"] == 0.0 and got[2]["c"] == 0.0 and got[3]["c"] is None
     assert got[4]["ip"] == 2.0 and got[4]["n"] == 2.0
+
+
+def test_empty_inputs(spark, tiny):
+    from quiver.operators import ivf
+
+    none_q = _q(tiny, [999])
+    assert knn.knn(tiny, none_q, 3, "l2").count() == 0
+    assert knn.knn(tiny.limit(0), _q(tiny, [1]), 3, "l2").count() == 0
+    cen = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0])], "list_id int, centroid array<float>")
+    idx = ivf.build_ivf(tiny, metric="l2", centroids=cen, n_probes=1)
+    assert idx.search(none_q, 3).count() == 0
+    assert idx.search(_q(tiny, [1]), 3).count() > 0
