@@ -6,15 +6,17 @@ Plans (``distribution``):
   broadcast after a size check, each corpus partition is a shard, an Arrow
   kernel keeps a partial top-k per query per partition, and a
   ``row_number() <= k`` window over ``qid`` merges the partials (Spark adds a
-  partial WindowGroupLimit before the shuffle). Shuffle volume is
-  partitions x queries x k rows, independent of the corpus width.
+  partial WindowGroupLimit before the shuffle). The kernel input is coalesced
+  to at most ``quiver.knn.maxKernelTasks`` tasks, so the shuffle is
+  tasks x queries x k rows, independent of the corpus size and width.
 * ``sharded`` over query blocks: a query set up to ``maxScanBlocks`` times
   the budget is split by hash into blocks, each broadcast (size-checked) to
   its own kernel scan of the corpus; the corpus is read once per block and
   never shuffled.
-* ``grid``: used automatically when the query set is larger still. Queries and corpus rows are hash-blocked; each (query block, corpus
-  block) cell is a bounded cogroup handled by the same kernel. Nothing passes
-  through the driver.
+* ``grid``: used automatically when the query set is larger still. Queries
+  and corpus rows are hash-blocked; each (query block, corpus block) cell is a
+  bounded cogroup handled by the same kernel. Nothing passes through the
+  driver.
 * ``replicated``: the corpus is broadcast (size-checked) and the query set is
   partitioned; each task returns final ranks, no shuffle at all.
 
