@@ -7,6 +7,9 @@ import importlib
 #: module: query function; a module's ORACLE is the twin, where SQL can express the query.
 _OPERATORS = {
     "jaccard_tree": "op5_jaccard_join",
+    "rule_cascade": "op6_rule_cascade",
+    "notice_search": "op7_license_notices",
+    "fair_mix": "op10_fair_mix",
 }
 
 
