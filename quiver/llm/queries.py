@@ -7,6 +7,7 @@ import importlib
 #: module: query function; a module's ORACLE is the twin, where SQL can express the query.
 _OPERATORS = {
     "url_filter": "op1_url_filter",
+    "template_decontam": "op3_template_decontam",
     "jaccard_tree": "op5_jaccard_join",
     "rule_cascade": "op6_rule_cascade",
     "notice_search": "op7_license_notices",
