@@ -8,6 +8,7 @@ import importlib
 _OPERATORS = {
     "url_filter": "op1_url_filter",
     "template_decontam": "op3_template_decontam",
+    "perspectives": "op4_chat_perspectives",
     "jaccard_tree": "op5_jaccard_join",
     "rule_cascade": "op6_rule_cascade",
     "notice_search": "op7_license_notices",
