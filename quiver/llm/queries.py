@@ -9,6 +9,7 @@ _OPERATORS = {
     "url_filter": "op1_url_filter",
     "template_decontam": "op3_template_decontam",
     "perspectives": "op4_chat_perspectives",
+    "quality_model": "op2_quality_scores",
     "jaccard_tree": "op5_jaccard_join",
     "rule_cascade": "op6_rule_cascade",
     "notice_search": "op7_license_notices",
