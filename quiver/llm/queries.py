@@ -13,6 +13,7 @@ _OPERATORS = {
     "jaccard_tree": "op5_jaccard_join",
     "rule_cascade": "op6_rule_cascade",
     "notice_search": "op7_license_notices",
+    "token_shards": "op8_token_shards",
     "fair_mix": "op10_fair_mix",
 }
 
