@@ -14,6 +14,7 @@ _OPERATORS = {
     "rule_cascade": "op6_rule_cascade",
     "notice_search": "op7_license_notices",
     "token_shards": "op8_token_shards",
+    "suffix_dedup": "op9_suffix_dedup",
     "fair_mix": "op10_fair_mix",
 }
 
