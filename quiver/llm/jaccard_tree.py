@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from quiver.llm import textkernel as K
 from quiver.llm.components import components
+from quiver.llm.selection import one_of_each, without
 from quiver.session import scratch_dir
 
 MIN_PART = {90: 4}  # smallest part (in shingles) that makes a key, by threshold; 2 elsewhere
@@ -375,10 +376,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, thr
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group (rows with a null id stay); a repeated id keeps one row."""
-    found = jaccard_components(spark, docs, width, threshold).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each group of linked documents: that of the smallest id. Rows with a null id stay."""
+    linked = jaccard_components(spark, docs, width, threshold).where("doc_id <> component_id")
+    return one_of_each(spark, without(spark, docs, linked))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

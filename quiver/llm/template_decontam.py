@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.llm.selection import without
+
 WINDOW = 8
 LITERALS = 4
 SHORTEST = 4
@@ -132,7 +134,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
-    return docs.join(leaks(spark, docs, benchmark, window).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(spark, docs, leaks(spark, docs, benchmark, window))
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
