@@ -219,7 +219,7 @@ gd AS (SELECT 0 AS step, list_transform(ys, lambda v: 0.0::DOUBLE) AS a FROM one
   FROM gd, one WHERE step < {STEPS}),
 alpha AS (SELECT unnest(urls) AS url, unnest(a) AS alpha FROM gd, one WHERE step = {STEPS}),
 w AS (SELECT bucket, sum(alpha * x) AS weight FROM lx JOIN alpha USING (url) GROUP BY bucket),
-p AS (SELECT row_number() OVER () AS rid, * FROM ({split_of('pages')})),
+p AS (SELECT row_number() OVER () AS rid, * FROM ({split_of('(SELECT page_id, url FROM pages)')})),
 scored AS (SELECT rid, sum(coalesce(weight, 0)) / sqrt(count(*)) AS s FROM ({grams.format('p', 'rid')}) g LEFT JOIN w USING (bucket) GROUP BY rid),
 r AS (SELECT page_id, host, path, CASE{cases.format(*texts)} END AS rule, CASE{cases.format(*verdicts)} END AS v,
   coalesce(s, 0) + (SELECT weight FROM w WHERE bucket = {BUCKETS}) AS s FROM p LEFT JOIN scored USING (rid))
