@@ -15,6 +15,7 @@ whatever its id; no other column is read.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from dataclasses import dataclass
 
@@ -45,6 +46,11 @@ class Notice:
     label: str
     edits: int
 
+    def pattern(self) -> str:
+        """For the ``regex`` library: the best match within the edits, between word limits."""
+        phrase = re.sub(r"([^\w ])", r"\\\1", self.phrase)
+        return rf"(?b)(?<![^ ])(?:{phrase}){{e<={self.edits}}}(?![^ ])"
+
     def pieces(self) -> list[tuple[int, str]]:
         n, k = len(self.phrase), self.edits + 1
         cuts = [n * i // k for i in range(k + 1)]
@@ -85,16 +91,15 @@ def fuzzy_spans(text: str, notice: Notice, pattern) -> list[tuple[int, int, int]
     zones: list[list[int]] = []
     hits = sorted({hit - offset for offset, piece in notice.pieces() for hit in _everywhere(text, piece)})
     for start in hits:
-        lo, hi = max(0, start - slack), min(len(text), start + n + 2 * slack)
+        lo, hi = max(0, start - slack), min(len(text), max(0, start) + n + 2 * slack)
+        lo, hi = text.rfind(" ", 0, lo) + 1, (text.find(" ", hi) + 1 or len(text) + 1) - 1  # whole words
         if zones and lo <= zones[-1][1]:
             zones[-1][1] = max(zones[-1][1], hi)
         else:
             zones.append([lo, hi])
     for lo, hi in zones:
         for m in pattern.finditer(text, lo, hi, overlapped=True):
-            a, b = m.span()
-            if (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " "):
-                found.append((sum(m.fuzzy_counts), a, b))
+            found.append((sum(m.fuzzy_counts), *m.span()))
     best: list[tuple[int, int, int]] = []
     for e, a, b in sorted(found):
         at = bisect_left(best, (a, b, e))
@@ -113,7 +118,7 @@ def notice_spans(docs: DataFrame, notices=NOTICES, share: float = EDIT_SHARE, ph
     def scan(batches):
         import regex
 
-        wanted = [(n, regex.compile(rf"(?b)(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.edits}}}")) for n in catalogue(notices, share)]
+        wanted = [(n, regex.compile(n.pattern())) for n in catalogue(notices, share)]
         for batch in batches:
             n_words, exact, spans = [], [], []
             for raw in batch.column(1):
