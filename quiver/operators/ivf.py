@@ -37,7 +37,6 @@ from quiver.operators.knn import (
     DEFAULT_BROADCAST_BYTES,
     DEFAULT_MAX_SCAN_BLOCKS,
     KNN_SCHEMA,
-    _bounded_tasks,
     _collect_matrix,
     _conf_int,
     _vector_stats,
@@ -52,8 +51,9 @@ CENTROID_BROADCAST_BYTES = 256 << 20
 
 def lists_rule(n: int) -> int:
     """n/1000 below a million rows, sqrt(n) from there on, at least 10."""
-    lists = int(n / 1000) if n < 1_000_000 else int(math.sqrt(n))
-    return max(lists, 10)
+    # A list per 1,000 rows up to a million rows, ten lists at least.
+    per_list, large, least = 1_000, 1_000_000, 10
+    return max(least, math.isqrt(n) if n >= large else n // per_list)
 
 
 def centroids_from_labels(df: DataFrame, label_col: str = "label", vec_col: str = "embed", digits: int = 6) -> DataFrame:
@@ -168,7 +168,7 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                n_probes: int | None = None, qvec_col: str = "embed", block_bytes: int | None = None,
-               broadcast_bytes: int | None = None, **_) -> DataFrame:
+               broadcast_bytes: int | None = None) -> DataFrame:
         """Probe ``n_probes`` lists, rank exactly inside them, filter first (``pre``).
 
         Plan: when the query set and its probe map fit the broadcast budget,
@@ -236,7 +236,7 @@ def scan_partials(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, budg
     budget = budget or _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES)
     plan = probe_plan(q, probes, k, budget)
     if plan is not None:
-        return _bounded_tasks(rows).mapInArrow(kernel_for(spark.sparkContext.broadcast(plan)), schema)
+        return rows.mapInArrow(kernel_for(spark.sparkContext.broadcast(plan)), schema)
     nq, dim = _vector_stats(q, "v")
     need = nq * (max(dim, 1) * 4 + k * 24) + probes.count() * 12
     blocks = max(2, math.ceil(need / budget))
@@ -248,7 +248,7 @@ def scan_partials(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, budg
         plan_b = probe_plan(q.where(in_block), probes.where(in_block), k, budget)
         if plan_b is None:  # an unlucky block over the budget: use the cell plan
             return None
-        parts.append(_bounded_tasks(rows).mapInArrow(kernel_for(spark.sparkContext.broadcast(plan_b)), schema))
+        parts.append(rows.mapInArrow(kernel_for(spark.sparkContext.broadcast(plan_b)), schema))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

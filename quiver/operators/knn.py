@@ -126,12 +126,11 @@ def knn(
     if dist != "grid" and 1 < blocks <= max_scans:
         blocks = _fit_blocks(q, blocks, max_scans, q_bytes / max(nq, 1), bbytes)
     if dist != "grid" and blocks == 1:
-        partials = _sharded_partials(_bounded_tasks(c), q, k, m, with_flag)
+        partials = _sharded_partials(c, q, k, m, with_flag)
     elif dist != "grid" and blocks <= max_scans:
         # A few size-checked query blocks, each broadcast to its own scan of
         # the corpus: the corpus is read `blocks` times but never shuffled.
-        bc = _bounded_tasks(c)
-        parts = [_sharded_partials(bc, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, m, with_flag)
+        parts = [_sharded_partials(c, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, m, with_flag)
                  for b in range(blocks)]
         partials = parts[0]
         for p_ in parts[1:]:
@@ -154,19 +153,6 @@ def _fit_blocks(q: DataFrame, blocks: int, max_blocks: int, row_bytes: float, bu
     return max_blocks + 1  # does not fit: grid plan
 
 
-def _bounded_tasks(c: DataFrame) -> DataFrame:
-    """Cap the kernel tasks near the cluster's parallelism (narrow coalesce, no shuffle).
-
-    Every kernel task emits k rows per query, so the partial shuffle grows with
-    the task count, not with the corpus; a corpus of tens of thousands of
-    splits is read by a bounded number of longer tasks.
-    """
-    spark = c.sparkSession
-    cap = _conf_int(spark, "quiver.knn.maxKernelTasks", 4 * spark.sparkContext.defaultParallelism)
-    n = c.rdd.getNumPartitions()
-    return c.coalesce(cap) if n > cap else c
-
-
 def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool) -> DataFrame:
     spark = c.sparkSession
     qids, Q, _ = _collect_matrix(q, "qid", "v")
@@ -269,6 +255,8 @@ def search(
     * ``force``: exact filtered scan, the index is not used.
     """
     md = mode.lower()
+    if index is not None and md != "force" and resolve_metric(metric) != resolve_metric(index.metric):
+        raise ValueError(f"the index ranks by {index.metric}, not by {metric}")
     if md in ("normal", "pre"):
         if index is not None:
             return index.search(queries, k, where=where, **kw)

@@ -182,7 +182,7 @@ class IvfPqIndex:
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                n_probes: int | None = None, qvec_col: str = "embed", rerank: int | None = None,
-               broadcast_bytes: int | None = None, **_) -> DataFrame:
+               broadcast_bytes: int | None = None) -> DataFrame:
         """Probe lists, table-lookup distances, optional exact re-rank of ``k * rerank``.
 
         Same two plans as IVF-flat: broadcast queries + one scan of the probed

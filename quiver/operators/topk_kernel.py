@@ -3,7 +3,9 @@
 Given a block of queries and a block of corpus rows it keeps, per query, the
 k nearest rows seen so far. Distances are chosen with a BLAS product and the
 survivors are recomputed exactly (difference form, double precision), so the
-emitted distances do not depend on the block layout. Only k rows per query per
+emitted distances do not depend on the block layout. A survivor is every row whose
+product-form value lies within that form's rounding bound of the k-th, so close
+vectors are never cut by rounding. Only k rows per query per
 task leave the kernel; no (query, row) pair is ever materialised as a row.
 """
 
@@ -15,8 +17,10 @@ import pyarrow as pa
 ID_SENTINEL = np.iinfo(np.int64).max
 # Cap on the doubles held by one distance tile (rows x queries): 32 MiB.
 TILE_DOUBLES = 1 << 22
-# Extra candidates per query re-ranked exactly, to absorb rounding of the BLAS form.
-EXTRA = 4
+# Candidates per query above k that are re-ranked as one block; a query with more is re-ranked alone.
+EXTRA = 16
+# Rounding of the product form, in units of dim * machine epsilon * magnitude.
+ROUNDING = 4 * np.finfo(np.float64).eps
 
 
 def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -38,17 +42,24 @@ def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None)
     return flat.astype(np.float64, copy=False).reshape(n, d)
 
 
-def _approx(metric: str, Q: np.ndarray, qn: np.ndarray, X: np.ndarray, xn: np.ndarray) -> np.ndarray:
-    G = Q @ X.T
+def _approx(metric: str, Q: np.ndarray, qn: np.ndarray, X: np.ndarray, xn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Product-form distances (squared for l2) and, per query, a bound on their rounding error."""
+    unit = ROUNDING * (Q.shape[1] + 8)
     if metric in ("l2", "l2sq"):
-        return (qn * qn)[:, None] + (xn * xn)[None, :] - 2.0 * G
+        # Shifting both sides by the rows' mean leaves differences alone and shrinks the magnitudes that cancel.
+        mean = X.mean(axis=0)
+        Qs, Xs = Q - mean, X - mean
+        q2, x2 = np.einsum("qd,qd->q", Qs, Qs), np.einsum("nd,nd->n", Xs, Xs)
+        shift = ROUNDING * (qn + xn.max()) * (np.sqrt(q2) + np.sqrt(x2.max()))  # the shift itself rounds
+        return q2[:, None] + x2[None, :] - 2.0 * (Qs @ Xs.T), unit * (q2 + x2.max()) + 4 * shift
+    G = Q @ X.T
     if metric == "ip":
-        return -G
+        return -G, unit * qn * xn.max()
     den = qn[:, None] * xn[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         D = 1.0 - G / den
     D[den == 0] = np.inf
-    return D
+    return D, np.full(len(Q), unit)
 
 
 def exact(metric: str, Q: np.ndarray, Xc: np.ndarray) -> np.ndarray:
@@ -126,19 +137,33 @@ class TopK:
         if flags is None:
             flags = np.ones(n, dtype=bool)
         xn = np.sqrt(np.einsum("nd,nd->n", X, X))
-        kk = min(n, self.k + EXTRA)
-        dim = X.shape[1]
-        tile = max(1, min(len(sel), TILE_DOUBLES // max(n, kk * dim, 1)))
+        k, dim = min(n, self.k), X.shape[1]
+        most = min(n, self.k + EXTRA)
+        tile = max(1, min(len(sel), TILE_DOUBLES // max(n, most * dim, 1)))
         for s in range(0, len(sel), tile):
             rows = sel[s:s + tile]
             Qt = self.Q[rows]
-            D = _approx(self.metric, Qt, self.qn[rows], X, xn)
-            cand = topk_indices(D, kk, ids)
-            Dc = exact(self.metric, Qt, X[cand])
-            Dc = np.where(np.isnan(Dc), np.inf, Dc)
-            self.merge(rows, Dc, ids[cand], flags[cand])
+            D, bound = _approx(self.metric, Qt, self.qn[rows], X, xn)
+            D = np.where(np.isnan(D), np.inf, D)
+            kth = np.partition(D, k - 1, axis=1)[:, k - 1]
+            near = D <= (kth + 2 * bound)[:, None]
+            count = near.sum(axis=1)
+            block = count <= most
+            if block.any():
+                cand = topk_indices(D[block], int(count[block].max()), ids)
+                self._rerank(rows[block], Qt[block], X[cand], ids[cand], flags[cand])
+            step = max(1, TILE_DOUBLES // max(dim, 1))
+            for r in np.flatnonzero(~block):
+                idx = np.flatnonzero(near[r])
+                for a in range(0, len(idx), step):
+                    part = idx[None, a:a + step]
+                    self._rerank(rows[r:r + 1], Qt[r:r + 1], X[part], ids[part], flags[part])
         self.seen[sel] += n
 
+    def _rerank(self, rows: np.ndarray, Q: np.ndarray, Xc: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
+        Dc = exact(self.metric, Q, Xc)
+        self.merge(rows, np.where(np.isnan(Dc), np.inf, Dc), i, f)
+
     def merge(self, rows: np.ndarray, d: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
         """Merge candidate (distance, id, flag) matrices into the top-k of query rows ``rows``."""
         cd = np.concatenate([self.best_d[rows], d], axis=1)
