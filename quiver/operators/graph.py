@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import distance, resolve_metric
@@ -155,6 +155,7 @@ class GraphIndex:
     max_iter: int = 32
     seed: int = 42
     seed_family: str = "fast"  # hash family of the start-node draw ("md5" has a DuckDB twin)
+    attributes: DataFrame | None = None  # id and the columns that filters read
     _vec_ready: bool = False
     _edges_ready: bool = False
 
@@ -171,38 +172,37 @@ class GraphIndex:
             self._edges_ready = True
         return self
 
-    def search(self, queries: DataFrame, k: int, itopk: int | None = None, search_width: int | None = None,
-               max_iter: int | None = None, qvec_col: str = "embed", **_) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
+               itopk: int | None = None, search_width: int | None = None, max_iter: int | None = None,
+               qvec_col: str = "embed") -> DataFrame:
+        """The walk visits every node; ``where`` decides which nodes may be returned, ``flag`` is returned as ``ok``."""
         return graph_search(self, queries, k, itopk or self.itopk, search_width or self.search_width,
-                            max_iter or self.max_iter, qvec_col)
+                            max_iter or self.max_iter, qvec_col, where=where, flag=flag)
+
+    def marks(self, condition: Column) -> DataFrame:
+        """``(id, ok)`` for a filter over the attribute columns."""
+        if self.attributes is None:
+            raise ValueError("this graph index keeps no attribute columns to filter on")
+        return self.attributes.select("id", F.coalesce(condition, F.lit(False)).alias("ok"))
 
 
 def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_degree: int = 128, metric: str = "l2",
                 index=None, detour_method: str = "arrays", **search_kw) -> GraphIndex:
     """kNN graph with detour pruning.
 
-    The initial neighbour lists are exact while the table fits the broadcast
-    budget; above it (an all-pairs self search would replicate the corpus per
-    query block) they come from an IVF index built here unless one is given.
-    Vectors and edges are hash partitioned by id once and checkpointed, so
+    The initial neighbour lists are exact at every size (an all-pairs self
+    search, so quadratic); pass an IVF ``index`` to take them from its probes. Vectors and edges are hash partitioned by id once and checkpointed, so
     search steps shuffle only the small frontier and candidate tables.
     """
-    from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _conf_int, _vector_stats
-    from quiver.operators import ivf
-
     m = resolve_metric(metric)
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
-    if index is None:
-        n, dim = _vector_stats(table, "embed")
-        if n * max(dim, 1) * 4 > _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES):
-            index = ivf.build_ivf(table, metric=m, n_probes=8)
     e = knn_edges(table, intermediate_graph_degree, m, index)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = detours_arrays(e) if detour_method == "arrays" else detours(e)
     g = prune(scored, graph_degree).repartition(parts, "src").checkpoint(eager=True)
     # Vectors are partitioned for search on the first search (prepare()).
-    return GraphIndex(table.select("id", "embed"), g, m, **search_kw, _edges_ready=True)
+    return GraphIndex(table.select("id", "embed"), g, m, **search_kw, attributes=table.drop("embed"), _edges_ready=True)
 
 
 def save_graph(g: GraphIndex, path: str) -> GraphIndex:
@@ -212,8 +212,11 @@ def save_graph(g: GraphIndex, path: str) -> GraphIndex:
     p = path.rstrip("/")
     g.vectors.write.mode("overwrite").parquet(f"{p}/vectors")
     g.edges.write.mode("overwrite").parquet(f"{p}/edges")
+    if g.attributes is not None:
+        g.attributes.write.mode("overwrite").parquet(f"{p}/attributes")
     meta = {"type": "graph", "metric": g.metric, "itopk": g.itopk, "search_width": g.search_width,
-            "n_seeds": g.n_seeds, "max_iter": g.max_iter, "seed": g.seed, "seed_family": g.seed_family}
+            "n_seeds": g.n_seeds, "max_iter": g.max_iter, "seed": g.seed, "seed_family": g.seed_family,
+            "attributes": g.attributes is not None}
     _write_text(g.vectors.sparkSession, f"{p}/meta.json", json.dumps(meta))
     return load_graph(g.vectors.sparkSession, p)
 
@@ -226,7 +229,8 @@ def load_graph(spark, path: str) -> GraphIndex:
     vec = spark.read.parquet(f"{p}/vectors")
     edges = spark.read.parquet(f"{p}/edges")
     return GraphIndex(vec, edges, meta["metric"], meta["itopk"], meta["search_width"], meta["n_seeds"], meta["max_iter"],
-                      meta["seed"], meta.get("seed_family", "fast"))
+                      meta["seed"], meta.get("seed_family", "fast"),
+                      spark.read.parquet(f"{p}/attributes") if meta.get("attributes") else None)
 
 
 def hnsw_params(m: int = 100, ef_construction: int = 400, ef_search: int = 200) -> dict:
@@ -235,8 +239,13 @@ def hnsw_params(m: int = 100, ef_construction: int = 400, ef_search: int = 200)
 
 
 def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: int, max_iter: int,
-                 qvec_col: str = "embed") -> DataFrame:
-    """Beam search for a whole query set; result ``(qid, id, d, rk)``."""
+                 qvec_col: str = "embed", where: Column | None = None, flag: Column | None = None) -> DataFrame:
+    """Beam search for a whole query set; result ``(qid, id, d, rk)``, with ``flag`` also ``ok``.
+
+    With ``where`` the beam holds the ``itopk`` nearest nodes and, besides, the ``k``
+    nearest eligible ones seen, so the walk goes on through ineligible nodes while
+    only eligible ones are returned.
+    """
     from quiver.operators.dml import sample_ids
 
     spark = queries.sparkSession
@@ -249,10 +258,17 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(qvec_col).alias("qv")).repartition(parts, "qid").checkpoint(
         eager=True)
     vec = g.vectors.select("id", F.col("embed").alias("v"))
-    seeds = [r["id"] for r in sample_ids(vec, g.n_seeds, g.seed, g.seed_family).collect()]  # n_seeds ids, a parameter
+    condition = where if where is not None else flag
+    if condition is None:
+        vec = vec.withColumn("ok", F.lit(True))
+    else:
+        vec = vec.join(g.marks(condition), "id")
+    seeds = [r["id"] for r in sample_ids(g.vectors.select("id"), g.n_seeds, g.seed, g.seed_family).collect()]  # n_seeds ids, a parameter
+    # The seeds' vectors are n_seeds rows (a parameter): broadcast, so that no key gathers every query.
     start = q.select("qid", "qv", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("id"))
-    beam = _score(start, vec, g.metric).withColumn("visited", F.lit(False))
-    beam = _top(beam, itopk).checkpoint(eager=True)
+    start = _score(start, F.broadcast(vec.where(F.col("id").isin(seeds))), g.metric)
+    keep = (lambda beam: _top(beam, itopk)) if where is None else (lambda beam: _top_eligible(beam, itopk, k))
+    beam = keep(start.withColumn("visited", F.lit(False))).checkpoint(eager=True)
     edges = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("nid"))
     # Unvisited entries first (False < True), nearest first: one window over
     # the beam (already partitioned by qid) opens the `width` best unvisited
@@ -263,7 +279,7 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
         opened = ~F.col("visited") & (o <= width)
         # No shuffle: the beam is checkpointed and partitioned by qid, so the
         # window is recomputed cheaply by the emptiness check and the step.
-        marked = beam.select("qid", "id", "d", (F.col("visited") | opened).alias("visited"), opened.alias("opened"))
+        marked = beam.select("qid", "id", "d", "ok", (F.col("visited") | opened).alias("visited"), opened.alias("opened"))
         frontier = marked.where(F.col("opened")).select("qid", "id")
         if frontier.isEmpty():
             break
@@ -271,15 +287,25 @@ def graph_search(g: GraphIndex, queries: DataFrame, k: int, itopk: int, width: i
         nbrs = frontier.join(edges, "id").select("qid", F.col("nid").alias("id")).distinct()
         new = nbrs.join(marked.select("qid", "id"), ["qid", "id"], "left_anti").join(q, "qid")
         scored = _score(new, vec, g.metric).withColumn("visited", F.lit(False))
-        beam = _top(marked.unionByName(scored), itopk).checkpoint(eager=True)
-    return rank_partials(beam.select("qid", "id", "d"), k).select("qid", "id", "d", "rk")
+        beam = keep(marked.unionByName(scored)).checkpoint(eager=True)
+    out = beam.select("qid", "id", "d", "ok")
+    out = rank_partials(out if where is None else out.where("ok"), k)
+    return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
 
 def _score(pairs: DataFrame, vec: DataFrame, metric: str) -> DataFrame:
     """Distances of (qid, qv, id) pairs to the stored vectors (JVM-side)."""
-    return pairs.join(vec, "id").select("qid", "id", distance(metric, "qv", "v").alias("d"))
+    return pairs.join(vec, "id").select("qid", "id", distance(metric, "qv", "v").alias("d"), "ok")
 
 
 def _top(beam: DataFrame, itopk: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("d").asc_nulls_last(), "id")
     return beam.withColumn("b", F.row_number().over(w)).where(F.col("b") <= itopk).drop("b")
+
+
+def _top_eligible(beam: DataFrame, itopk: int, k: int) -> DataFrame:
+    """The ``itopk`` nearest and, besides, the ``k`` nearest eligible entries of each query."""
+    near = Window.partitionBy("qid").orderBy(F.col("d").asc_nulls_last(), "id")
+    own = Window.partitionBy("qid", "ok").orderBy(F.col("d").asc_nulls_last(), "id")
+    ranked = beam.withColumn("b", F.row_number().over(near)).withColumn("e", F.row_number().over(own))
+    return ranked.where((F.col("b") <= itopk) | (F.col("ok") & (F.col("e") <= k))).drop("b", "e")
