@@ -52,14 +52,16 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 def bulk_load(table: DataFrame, rows: DataFrame, check_unique: bool = True) -> DataFrame:
     """Append rows (from CSV or the generator) to the table.
 
-    With ``check_unique`` a semi join counts new ids already present and
-    raises: the table has a primary key.
+    With ``check_unique`` new ids that are already present, or repeated among
+    the new rows, raise: the table has a primary key.
     """
     new = rows.select(*VECTOR_COLUMNS)
     if check_unique:
         clash = new.join(table.select("id"), "id", "left_semi").limit(1).count()
         if clash:
             raise ValueError("appended rows reuse existing ids")
+        if new.groupBy("id").count().where("count > 1").limit(1).count():
+            raise ValueError("appended rows repeat an id")
     return table.select(*VECTOR_COLUMNS).unionByName(new)
 
 
@@ -146,9 +148,12 @@ def update(table: DataFrame, ids: DataFrame, dim: int, seed: int = DEFAULT_SEED,
     )
 
 
-def delete(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Remove rows whose id is in ``ids`` (anti join)."""
-    return table.join(ids.select("id"), "id", "left_anti").select(*VECTOR_COLUMNS)
+def delete(table: DataFrame, ids: DataFrame, n_hint: int | None = None) -> DataFrame:
+    """Remove rows whose id is in ``ids`` (anti join; the ids are broadcast only when known to be few)."""
+    gone = ids.select("id")
+    if n_hint is not None and n_hint * 16 <= BROADCAST_ROWS_BYTES:
+        gone = F.broadcast(gone)
+    return table.join(gone, "id", "left_anti").select(*VECTOR_COLUMNS)
 
 
 def mix_counts(batch: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
@@ -156,56 +161,87 @@ def mix_counts(batch: int, ratios: tuple[float, float, float]) -> tuple[int, int
     tot = float(sum(ratios))
     if tot <= 0 or len(ratios) != 3:
         raise ValueError("ratios must be three non-negative numbers with a positive sum")
-    ni = int(batch * ratios[0] / tot)
-    nu = int(batch * ratios[1] / tot)
+    ni = int(batch * (ratios[0] / tot))
+    nu = int(batch * (ratios[1] / tot))
     return ni, nu, batch - ni - nu
 
 
+OVERLAY = "id long, embed array<float>, i32v int, f32v float, strv string, is_new boolean, gone boolean"
+
+
 def mix(table: DataFrame, total_ops: int, ratios=(1, 8, 1), batch_size: int = 1000, dim: int | None = None,
-        seed: int = DEFAULT_SEED, family: str = "fast", checkpoint: bool = True, report: bool = False):
+        seed: int = DEFAULT_SEED, family: str = "fast", report: bool = False):
     """Mixed workload; per batch insert, then update, then delete, in that order.
 
-    Each batch's table is checkpointed to the shared checkpoint folder so the
-    lineage stays one batch long and a lost executor replays one batch only.
+    The batches work on an overlay of the rows they touch (at most one per
+    operation), written to the shared checkpoint folder after each batch; of
+    the table itself a batch reads the ids alone, and the overlay is merged into it
+    once at the end. New ids go on from the last inserted one, so the id of
+    a deleted row is never used again.
     With ``report=True`` returns ``(table, stats)`` where ``stats`` has one row
     per batch with the planned operations and the rows actually affected
     (a sample cannot exceed the table), for the M2/M4 reports.
     """
-    if checkpoint:
-        ensure_checkpoint_dir(table.sparkSession)
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
     if dim is None:
         dim = int(table.select(F.size("embed")).first()[0])
-    cur = table.select(*VECTOR_COLUMNS)
-    done, b = 0, 0
-    stats = []
+    base = table.select(*VECTOR_COLUMNS)
+    overlay = spark.createDataFrame([], OVERLAY)
+    next_id = int(max_id(table).first()["max_id"]) + 1 if total_ops > 0 else 0
+    done, b, stats = 0, 0, []
     while done < total_ops:
         cb = min(batch_size, total_ops - done)
         ni, nu, nd = mix_counts(cb, ratios)
         s = seed + 1000 * b
         affected = [ni, 0, 0]
         if ni:
-            cur = insert(cur, ni, dim, s, family)
-        if nu:
-            ids = sample_ids(cur, nu, s + 1, family)
+            new = rows_for_ids(spark.range(next_id, next_id + ni), dim, s, family)
+            overlay = overlay.unionByName(new.withColumn("is_new", F.lit(True)).withColumn("gone", F.lit(False)))
+            next_id += ni
+        for op, n in (("update", nu), ("delete", nd)):
+            if not n:
+                continue
+            ids = sample_ids(_live_ids(base, overlay), n, s + (1 if op == "update" else 3), family).checkpoint(eager=True)
             if report:
-                ids = ids.checkpoint(eager=True)
-                affected[1] = ids.count()
-            cur = update(cur, ids, dim, s + 2, family, n_hint=nu)
-        if nd:
-            ids = sample_ids(cur, nd, s + 3, family)
-            if report:
-                ids = ids.checkpoint(eager=True)
-                affected[2] = ids.count()
-            cur = delete(cur, ids)
-        if checkpoint:
-            cur = cur.checkpoint(eager=True)
+                affected[1 if op == "update" else 2] = ids.count()
+            overlay = _updated(overlay, ids, dim, s + 2, family) if op == "update" else _gone(overlay, ids)
+        overlay = overlay.checkpoint(eager=True)
         stats.append((b, cb, ni, nu, nd, *affected))
         done += cb
         b += 1
+    out = merge_overlay(base, overlay)
     if not report:
-        return cur
-    spark = table.sparkSession
+        return out
     stats_df = spark.createDataFrame(
         stats, "batch int, ops int, planned_insert int, planned_update int, planned_delete int, "
                "inserted long, updated long, deleted long")
-    return cur, stats_df
+    return out, stats_df
+
+
+def _live_ids(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    dead = overlay.where("gone and not is_new").select("id")
+    return base.select("id").join(dead, "id", "left_anti").unionByName(overlay.where("is_new and not gone").select("id"))
+
+
+def _updated(overlay: DataFrame, ids: DataFrame, dim: int, seed: int, family: str) -> DataFrame:
+    """The overlay with new ``embed`` and ``i32v`` for ``ids``; rows of the table get an overlay row without the rest."""
+    new = rows_for_ids(ids, dim, seed, family).select("id", F.col("embed").alias("e"), F.col("i32v").alias("i"))
+    j = overlay.join(new, "id", "full")
+    return j.select("id", F.coalesce("e", "embed").alias("embed"), F.coalesce("i", "i32v").alias("i32v"), "f32v", "strv",
+                    F.coalesce("is_new", F.lit(False)).alias("is_new"), F.coalesce("gone", F.lit(False)).alias("gone"))
+
+
+def _gone(overlay: DataFrame, ids: DataFrame) -> DataFrame:
+    j = overlay.join(ids.withColumn("del", F.lit(True)), "id", "full")
+    return j.select("id", "embed", "i32v", "f32v", "strv", F.coalesce("is_new", F.lit(False)).alias("is_new"),
+                    (F.coalesce("gone", F.lit(False)) | F.coalesce("del", F.lit(False))).alias("gone"))
+
+
+def merge_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """The table after the overlay's inserts, updates and deletes: one join."""
+    new = overlay.where("is_new and not gone").select(*VECTOR_COLUMNS)
+    touched = overlay.where("not is_new").select("id", F.col("embed").alias("e"), F.col("i32v").alias("i"), "gone")
+    kept = base.join(touched, "id", "left").where("gone is null or not gone")
+    kept = kept.select("id", F.coalesce("e", "embed").alias("embed"), F.coalesce("i", "i32v").alias("i32v"), "f32v", "strv")
+    return kept.unionByName(new)
