@@ -136,6 +136,13 @@ def parse_vector(s: ColumnOrName) -> Column:
     return F.from_json(bracketed, "array<float>")
 
 
+def strict_vector(s: ColumnOrName) -> Column:
+    """``parse_vector``, or a job error where the text is null or not a list of numbers."""
+    v = parse_vector(s)
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull())
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a vector: "), F.coalesce(F.substring(_c(s), 1, 80), F.lit("null"))))).otherwise(v)
+
+
 # -- V8 scalar quantization ---------------------------------------------------
 
 # Code ranges of the integer quantization types.

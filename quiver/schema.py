@@ -52,6 +52,8 @@ class IndexConfig:
     ef_construction: int | None = None
     ef_search: int | None = None
     distribution_mode: str = "sharded"
+    n_probes: int | None = None
+    search_width: int | None = None
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,11 @@ class Config:
     kmeans_train_percent: float = 10.0
     distance: str = "vector_l2_ops"
 
+    @property
+    def probes(self) -> int:
+        """Lists to probe: the index's own ``n_probes``, else the run's ``probe_limit``."""
+        return self.index.n_probes or self.probe_limit
+
     @property
     def metric(self) -> str:
         return self.index.op_type or self.distance

@@ -42,22 +42,25 @@ def uniform(seed: int | Column, id_col: Column, j: Column | int, family: str = "
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def rows_for_ids(ids: DataFrame, dim: int, seed: int = DEFAULT_SEED, family: str = "fast", id_col: str = "id") -> DataFrame:
-    """A synthetic row ``(id, embed, i32v, f32v, strv)`` for every id of ``ids``."""
-    i = F.col(id_col).cast("long")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: uniform(seed, i, j, family))
+def _metadata(i: Column, seed: int, family: str) -> list[Column]:
+    """``i32v, f32v, strv`` of an id: functions of the id alone."""
     slen = F.lit(STR_MIN_LEN) + F.floor(uniform(seed + 3, i, -1, family) * (STR_MAX_LEN - STR_MIN_LEN + 1)).cast("int")
     chars = F.transform(
         F.sequence(F.lit(0), slen - 1),
         lambda j: F.substring(F.lit(ALPHABET), (F.floor(uniform(seed + 3, i, j, family) * len(ALPHABET)) + 1).cast("int"), 1),
     )
-    return ids.select(
-        i.alias("id"),
-        normalize(raw).alias("embed"),
+    return [
         F.floor(uniform(seed + 1, i, 0, family) * I32V_RANGE).cast("int").alias("i32v"),
         uniform(seed + 2, i, 0, family).cast("float").alias("f32v"),
         F.array_join(chars, "").alias("strv"),
-    )
+    ]
+
+
+def rows_for_ids(ids: DataFrame, dim: int, seed: int = DEFAULT_SEED, family: str = "fast", id_col: str = "id") -> DataFrame:
+    """A synthetic row ``(id, embed, i32v, f32v, strv)`` for every id of ``ids``."""
+    i = F.col(id_col).cast("long")
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: uniform(seed, i, j, family))
+    return ids.select(i.alias("id"), normalize(raw).alias("embed"), *_metadata(i, seed, family))
 
 
 def generate(spark: SparkSession, n: int, dim: int, seed: int = DEFAULT_SEED, start_id: int = 0,
@@ -71,8 +74,7 @@ def metadata_for(vecs: DataFrame, seed: int = DEFAULT_SEED, start_id: int = 0, f
                  pos_col: str = "pos", vec_col: str = "embed") -> DataFrame:
     """Give decoded vectors ``(pos, embed)`` an id (start_id + position) and synthetic metadata."""
     i = (F.col(pos_col) + F.lit(int(start_id))).cast("long")
-    meta = rows_for_ids(vecs.select(i.alias("id")), 1, seed, family).drop("embed")
-    return vecs.select(i.alias("id"), F.col(vec_col).cast("array<float>").alias("embed")).join(meta, "id")
+    return vecs.select(i.alias("id"), F.col(vec_col).cast("array<float>").alias("embed"), *_metadata(i, seed, family))
 
 
 def generate_sql_u(seed_sql: str, id_sql: str, j_sql: str) -> str:

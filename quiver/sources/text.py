@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.functions.vector import parse_vector, to_text
+from quiver.functions.vector import parse_vector, strict_vector, to_text
 from quiver.schema import CSV_SCHEMA
 
 
@@ -67,7 +67,7 @@ def read_csv(spark: SparkSession, files: Iterable[str] = (), prefix: str | None
     )
     return raw.select(
         F.col("id"),
-        parse_vector("vector").alias("embed"),
+        strict_vector("vector").alias("embed"),
         "i32v",
         "f32v",
         F.col("str").alias("strv"),
