@@ -329,11 +329,8 @@ def _recall_by_mode(spark, sf):
     "FROM (SELECT count(*) AS n FROM embeddings)",
 )
 def _lists_rule(spark, sf):
-    v = vectors(spark, sf)
-    n = F.col("n")
-    return v.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.greatest(F.when(n < 1_000_000, F.floor(n / 1000)).otherwise(F.floor(F.sqrt(n))), F.lit(10)).cast("int").alias("lists")
-    )
+    n = vectors(spark, sf).count()
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(ivf.lists_rule(n)).cast("int").alias("lists"))
 
 
 @register("ivf_centroids", f"WITH {S.V}, {S.label_centroids_cte()} SELECT list_id, CAST(generate_subscripts(centroid, 1) - 1 AS INTEGER) AS pos, "
@@ -497,6 +494,77 @@ def _mix_batch(spark, sf):
     return _summary(dml.mix(v, 100, (1, 8, 1), 100, DIM, SEED, "md5"))
 
 
+def _mix_many_sql(batches: int, size: int) -> str:
+    ni, nu, nd = dml.mix_counts(size, (1, 8, 1))
+    ctes, cur = [], _V_COLS
+    for b in range(batches):
+        s = SEED + 1000 * b
+        first = f"(SELECT coalesce(max(id), 0) FROM ({_V_COLS})) + 1 + {b * ni}"
+        rows = gen.rows_sql(f"SELECT {first} + range AS id FROM range({ni})", DIM, s)
+        ctes += [f"i{b} AS (SELECT id, embed, i32v, f32v, strv FROM ({cur}) UNION ALL {rows})",
+                 f"u{b} AS ({_upd_sql(f'SELECT * FROM i{b}', nu, s + 1, s + 2)})",
+                 f"d{b} AS ({_del_sql(f'SELECT * FROM u{b}', nd, s + 3)})"]
+        cur = f"SELECT * FROM d{b}"
+    return f"WITH {S.V}, " + ", ".join(ctes) + " " + _summary_sql(cur)
+
+
+@register("mix_many_batches", _mix_many_sql(3, 60))
+def _mix_many(spark, sf):
+    """T10 over three batches: ids go on from the last inserted one, the overlay is merged once."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    return _summary(dml.mix(v, 180, (1, 8, 1), 60, DIM, SEED, "md5"))
+
+
+_NEAR = 400
+
+
+@register("knn_l2_near_duplicates", (
+    "WITH b AS (SELECT vec_id, embedding FROM embeddings), "
+    f"c AS (SELECT vec_id AS id, CAST([CASE WHEN j <= 4 THEN (vec_id * 31 + j * 17) % {_NEAR} ELSE 4096 * 1024 + j END FOR j IN range(1, len(embedding) + 1)] AS DOUBLE[]) AS x FROM b) "
+    "SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT q.id AS qid, c.id AS id, list_distance(q.x, c.x) AS d, "
+    "row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.x, c.x), c.id) AS rk FROM c q CROSS JOIN c) "
+    f"WHERE rk <= {K}"))
+def _knn_near(spark, sf):
+    """K2 on vectors that are close to each other and far from the origin: the product form cancels, the answer must not."""
+    v = vectors(spark, sf)
+    near = lambda x, j: F.when(j < 4, (F.col("id") * 31 + (j + 1) * 17) % _NEAR).otherwise(4096 * 1024 + j + 1).cast("float")
+    near_v = v.select("id", F.transform("embed", near).alias("embed"))
+    return _ranked(knn_mod.knn(near_v, queries_from(near_v), K, "l2"))
+
+
+@register("distance_columns", f"WITH {S.V}, q AS (SELECT embed FROM v WHERE id = (SELECT min(id) FROM v)) SELECT v.id, " + ", ".join(
+    f"round({S.dist(m, 'v.embed', 'q.embed')}, 6) AS {m}" for m in ("l2sq", "cosine", "ip")) + " FROM v, q")
+def _distance_columns(spark, sf):
+    """V2-V4 as Columns: every stored vector against one literal vector."""
+    v = vectors(spark, sf)
+    first = v.orderBy("id").select("embed").first()["embed"]
+    lit = F.array(*[F.lit(float(x)) for x in first]).cast("array<float>")
+    return v.select("id", *[F.round(vf.distance(m, "embed", lit), 6).alias(m) for m in ("l2sq", "cosine", "ip")])
+
+
+_IVF_FILTERED = f"c.i32v < {FILTER_WIDE}"
+
+
+@register("ivf_search_post", (
+    f"WITH {S.V}, {S.label_centroids_cte()}, {S.assign_cte()}, {S.ivf_search_cte('r0', 2 * K, N_PROBES)}, "
+    f"kept AS (SELECT r0.qid, r0.id, r0.d FROM r0 JOIN v c ON c.id = r0.id WHERE {_IVF_FILTERED}), "
+    "r AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM kept) "
+    f"{S.ranked_select('r')} WHERE rk <= {K}"))
+def _ivf_search_post(spark, sf):
+    """I3 under mode ``post``: twice K nearest of the probed lists, then the filter."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="post", oversample=2,
+                                  index=label_index(v)))
+
+
+@register("ivf_trained_all_lists", ORACLE["knn_l2"])
+def _ivf_trained(spark, sf):
+    """I2 with k-means lists: probing all of them is exact search."""
+    v = vectors(spark, sf)
+    index = ivf.build_ivf(v, lists=12, train_percent=50, n_probes=12)
+    return _ranked(index.search(queries_from(v), K))
+
+
 @register("append_rows", f"WITH {S.V} " + _summary_sql(
     f"{_V_COLS} UNION ALL SELECT id + 1000000 AS id, embed, i32v, f32v, strv FROM v"))
 def _append_rows(spark, sf):
@@ -692,8 +760,14 @@ def _graph_detours(spark, sf):
 G_ITOPK, G_WIDTH, G_SEEDS, G_STEPS, G_SEED = 32, 4, 9, 8, 42
 
 
-def _graph_search_sql() -> str:
-    """Beam search as a recursive CTE over step-indexed beam states (one iteration = one step)."""
+def _graph_search_sql(where: str | None = None, tail: str | None = None) -> str:
+    """Beam search as a recursive CTE over step-indexed beam states (one iteration = one step).
+
+    ``where``: the beam also keeps the K nearest rows that fit it, and only those are returned.
+    """
+    extra = f"OR (rn2 <= {K} AND id IN (SELECT id FROM v WHERE {where}))" if where else ""
+    own = f", row_number() OVER (PARTITION BY qid, id IN (SELECT id FROM v WHERE {where}) ORDER BY d, id) AS rn2" if where else ""
+    only = f"AND id IN (SELECT id FROM v WHERE {where})" if where else ""
     head = _graph_sql().rsplit(" SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM fin WHERE rank <= ", 1)[0]
     u = gen.generate_sql_u(str(G_SEED), "id", "0")
     d = S.dist("l2", "q.embed", "c.embed")
@@ -703,8 +777,8 @@ def _graph_search_sql() -> str:
         f"seeds AS (SELECT id FROM v ORDER BY {u}, id LIMIT {G_SEEDS}), "
         f"b0 AS (SELECT q.id AS qid, c.id AS id, {d} AS d FROM v q CROSS JOIN seeds s JOIN v c ON c.id = s.id), "
         "beam(step, qid, id, d, visited) AS ("
-        f"SELECT 0, qid, id, d, false FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM b0) "
-        f"WHERE rn <= {G_ITOPK} UNION ALL SELECT step + 1, qid, id, d, visited FROM ("
+        f"SELECT 0, qid, id, d, false FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn{own} FROM b0) "
+        f"WHERE rn <= {G_ITOPK} {extra} UNION ALL SELECT step + 1, qid, id, d, visited FROM ("
         f"WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY visited, d, id) AS o FROM beam "
         f"WHERE step < {G_STEPS}), "
         f"marked AS (SELECT step, qid, id, d, (visited OR (NOT visited AND o <= {G_WIDTH})) AS visited, "
@@ -714,9 +788,9 @@ def _graph_search_sql() -> str:
         f"sc AS (SELECT nw.step, nw.qid, nw.id, {d} AS d, false AS visited FROM nw JOIN v q ON q.id = nw.qid "
         "JOIN v c ON c.id = nw.id), "
         "un AS (SELECT step, qid, id, d, visited FROM marked UNION ALL SELECT step, qid, id, d, visited FROM sc) "
-        f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM un) WHERE rn <= {G_ITOPK}) "
-        "SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT qid, id, d, "
-        f"row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM beam WHERE step = {G_STEPS}) WHERE rk <= {K}"
+        f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn{own} FROM un) WHERE rn <= {G_ITOPK} {extra}) "
+        + (tail or "SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT qid, id, d, "
+           f"row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM beam WHERE step = {G_STEPS} {only}) WHERE rk <= {K}")
     )
 
 
@@ -732,6 +806,34 @@ def _graph_search(spark, sf):
     return _ranked(_graph_index(v).search(queries_from(v), K))
 
 
+@register("graph_search_pre", _graph_search_sql(f"i32v < {FILTER_WIDE}"))
+def _graph_search_pre(spark, sf):
+    """I7 under mode ``pre``: the walk passes ineligible nodes, only eligible ones are returned."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="pre", index=_graph_index(v)))
+
+
+@register("graph_search_post", _graph_search_sql(tail=(
+    "SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk "
+    f"FROM (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS r0 FROM beam WHERE step = {G_STEPS}) "
+    f"WHERE r0 <= {2 * K} AND id IN (SELECT id FROM v WHERE i32v < {FILTER_WIDE})) WHERE rk <= {K}")))
+def _graph_search_post(spark, sf):
+    """I7 under mode ``post``: twice K nearest of the walk, then the filter."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="post", oversample=2,
+                                  index=_graph_index(v)))
+
+
+@register("hnsw_search_pre", _graph_search_sql(f"i32v < {FILTER_NARROW}"))
+def _hnsw_search_pre(spark, sf):
+    """I8 under mode ``pre`` with a narrow filter: hnsw's m, ef_construction and ef_search mapped to the graph's degrees and beam."""
+    v = vectors(spark, sf)
+    p = graph.hnsw_params(GD, IGD, G_ITOPK)
+    index = graph.build_graph(v, p["graph_degree"], p["intermediate_graph_degree"], "l2", itopk=p["itopk"], search_width=G_WIDTH,
+                              n_seeds=G_SEEDS, max_iter=G_STEPS, seed=G_SEED, seed_family="md5")
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_NARROW), mode="pre", index=index))
+
+
 # -- S9, I14: streaming (file stream of the table, several files, one per trigger) -----------
 
 from quiver.session import scratch_dir  # noqa: E402

@@ -28,7 +28,7 @@ class ExactIndex:
     distribution: str = "sharded"
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None, **kw):
-        return knn.knn(self.table, queries, k, self.metric, where=where, flag=flag, distribution=self.distribution)
+        return knn.knn(self.table, queries, k, self.metric, where=where, flag=flag, distribution=self.distribution, **kw)
 
 
 def quantize_vectors(df: DataFrame, quantization: str | None, vec_col: str = "embed") -> DataFrame:
@@ -64,13 +64,13 @@ def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: i
     if kind == "ivfflat":
         n = cfg.dataset_size or df.count()
         return ivf.build_ivf(data, cfg.index.lists or ivf.lists_rule(n), metric, train_percent=cfg.kmeans_train_percent,
-                             n_probes=cfg.probe_limit, seed=seed, path=path)
+                             n_probes=cfg.probes, seed=seed, path=path)
     if kind == "ivfpq":
         n = cfg.dataset_size or df.count()
         dim = cfg.dimension or int(df.select(F.size("embed")).first()[0])
         index = pq.build_ivfpq(data, cfg.index.m or 4, dim, lists=cfg.index.lists or ivf.lists_rule(n),
                                bits=cfg.index.bits_per_code, metric=metric, train_percent=cfg.kmeans_train_percent,
-                               n_probes=cfg.probe_limit, seed=seed)
+                               n_probes=cfg.probes, seed=seed)
         return pq.save_ivfpq(index, path) if path else index
     if kind in ("cagra", "hnsw"):
         if kind == "hnsw":
@@ -78,6 +78,7 @@ def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: i
         else:
             p = {"graph_degree": cfg.index.graph_degree, "intermediate_graph_degree": cfg.index.intermediate_graph_degree,
                  "itopk": cfg.index.itopk_size}
-        g = graph.build_graph(data, p["graph_degree"], p["intermediate_graph_degree"], metric, itopk=p["itopk"])
+        width = {"search_width": cfg.index.search_width} if cfg.index.search_width else {}
+        g = graph.build_graph(data, p["graph_degree"], p["intermediate_graph_degree"], metric, itopk=p["itopk"], **width)
         return graph.save_graph(g, path) if path else g
     raise ValueError(f"unknown index type {cfg.index.type!r}")
