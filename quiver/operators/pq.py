@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from quiver.functions.vector import quantize, resolve_metric
 from quiver.operators import ivf
 from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials
-from quiver.operators.topk_kernel import TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
-from quiver.session import ensure_checkpoint_dir
+from quiver.operators.topk_kernel import TILE_DOUBLES, TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
+from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
 
@@ -51,40 +51,78 @@ def codebook_from_labels(df: DataFrame, m: int, dim: int, label_col: str = "labe
 
 
 def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train_percent: float = 10.0,
-                    seed: int = 42, vec_col: str = "embed", iters: int = 20, points_per_code: int = 256) -> DataFrame:
-    """I4 training: one k-means per sub-space, all sub-spaces in one grouped job.
+                    seed: int = 42, vec_col: str = "embed", iters: int = 20) -> DataFrame:
+    """I4 training: k-means in every sub-space, distributed over the rows.
 
-    The sample per sub-space is ``train_percent`` of the rows, at most
-    ``points_per_code * 2^bits`` rows (the usual PQ training size), so each
-    group held by a task is bounded.
+    The sample is ``train_percent`` of the rows, nothing else cuts it. It is
+    written once to the shared checkpoint folder; each iteration broadcasts the
+    codebook (m x 2^bits x dim/m numbers, size-checked), every task sums its rows per
+    (sub-space, code), and the sums are added per sub-space.
     """
-    ncodes = 1 << bits
-    cap = points_per_code * ncodes
-    n = residuals.count()
-    frac = min(1.0, train_percent / 100.0, cap / max(n, 1))
+    import pyarrow as pa
+
+    spark = residuals.sparkSession
+    ncodes, ds = 1 << bits, dim // m
+    if m * ncodes * ds * 8 > CODEBOOK_BROADCAST_BYTES:
+        raise ValueError("codebook over the broadcast budget")
+    frac = min(1.0, train_percent / 100.0)
     sample = residuals.select(vec_col)
-    if frac < 1.0:
-        sample = sample.sample(fraction=frac, seed=seed)
-    parts = sample.select(F.posexplode(F.array(*sub_slices(vec_col, m, dim))).alias("sub", "x"))
-
-    def fit(pdf):
-        import pandas as pd
-
-        X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-        sub = int(pdf["sub"].iloc[0])
-        rng = np.random.default_rng(seed + sub)
-        k = min(ncodes, len(X))
-        C = X[rng.choice(len(X), size=k, replace=False)].copy()
-        for _ in range(iters):
-            d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-            a = d.argmin(1)
-            for c in range(k):
-                sel = X[a == c]
-                if len(sel):
-                    C[c] = sel.mean(0)
-        return pd.DataFrame({"sub": sub, "code": np.arange(k, dtype=np.int32), "centroid": list(C.astype(np.float32))})
-
-    return parts.groupBy("sub").applyInPandas(fit, "sub int, code int, centroid array<float>")
+    path = scratch_dir(spark, "pq-sample")
+    (sample.sample(fraction=frac, seed=seed) if frac < 1.0 else sample).write.parquet(path)
+    sample = spark.read.parquet(path)
+    # The first codes are the slices of 2^bits rows in hash order: a bounded read, whatever the sample's size.
+    first = sample.orderBy(F.xxhash64(F.col(vec_col), F.lit(seed)), vec_col).limit(ncodes).toArrow().column(vec_col)
+    first = vectors_from_arrow(first, dim)
+    k = len(first)
+    if not k:
+        raise ValueError("no rows to train a codebook on")
+    C = first.reshape(k, m, ds).transpose(1, 0, 2).copy()
+
+    def sums(book):
+        def kernel(batches):
+            cb = book.value
+            total, count = np.zeros((m, k, ds)), np.zeros((m, k))
+            for rb in batches:
+                X = vectors_from_arrow(rb.column(0), dim).reshape(-1, m, ds)
+                for s, code in enumerate(nearest_codes(X, cb)):
+                    np.add.at(total[s], code, X[:, s])
+                    count[s] += np.bincount(code, minlength=k)
+            if count.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(m), pa.int32()), pa.array([np.column_stack([t, c]).tobytes() for t, c in zip(total, count)], pa.binary())], ["sub", "sums"])
+
+        return kernel
+
+    def add(table):
+        total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
+        return pa.table({"sub": table.column("sub").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    for _ in range(iters):
+        book = spark.sparkContext.broadcast(C)
+        rows = sample.mapInArrow(sums(book), "sub int, sums binary").groupBy("sub").applyInArrow(add, "sub int, sums binary").collect()
+        after = C.copy()
+        for r in rows:  # m rows of 2^bits codes
+            t = np.frombuffer(r["sums"]).reshape(k, ds + 1)
+            used = t[:, -1] > 0
+            after[r["sub"], used] = t[used, :-1] / t[used, -1:]
+        book.unpersist()
+        if np.allclose(after, C, rtol=0, atol=1e-9):
+            break
+        C = after
+    rows = [(s, c, [float(x) for x in C[s, c].astype(np.float32)]) for s in range(m) for c in range(k)]
+    return spark.createDataFrame(rows, "sub int, code int, centroid array<float>")
+
+
+def nearest_codes(X: np.ndarray, CB: np.ndarray):
+    """For each sub-space, the nearest code (the smaller of equals) of each row's slice; tiled to TILE_DOUBLES."""
+    m, nc, ds = CB.shape
+    tile = max(1, TILE_DOUBLES // max(1, nc * ds))
+    for s in range(m):
+        out = np.empty(len(X), np.int64)
+        for a in range(0, len(X), tile):
+            diff = X[a:a + tile, s, None, :] - CB[s][None, :, :]
+            out[a:a + tile] = np.einsum("ncd,ncd->nc", diff, diff).argmin(axis=1)
+        yield out
 
 
 def freeze_codebook(codebook: DataFrame) -> DataFrame:
@@ -157,14 +195,8 @@ def encode(df: DataFrame, codebook: DataFrame, centroids: DataFrame | None = Non
 
 
 def _encode_block(X: np.ndarray, CB: np.ndarray) -> np.ndarray:
-    m, nc, ds = CB.shape
-    Xs = X.reshape(len(X), m, ds)
-    out = np.empty((len(X), m), dtype=np.int64)
-    for s in range(m):
-        diff = Xs[:, s, None, :] - CB[s][None, :, :]
-        d = np.einsum("ncd,ncd->nc", diff, diff)
-        out[:, s] = d.argmin(1)  # first minimum -> smaller code on ties
-    return out
+    m, _, ds = CB.shape
+    return np.column_stack(list(nearest_codes(X.reshape(len(X), m, ds), CB)))
 
 
 @dataclass
@@ -290,20 +322,25 @@ def pq_candidates(Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, ids: np.nda
     """Top-k of queries ``Q`` among rows of one list: (distances, ids, row positions), each (nq, <=k).
 
     Candidates by table-lookup distance (tie-aware); with ``rerank`` the top
-    ``k * rerank`` are re-ranked by exact distance from ``X``.
+    ``k * rerank`` are re-ranked by exact distance from ``X``. Queries are taken in tiles, so that
+    no matrix of a tile (distances, lookup tables, re-ranked rows) is over TILE_DOUBLES.
     """
-    D = adc_distances(Q - cen, codes, CB)
     keep = min(len(ids), k * rerank if rerank else k)
-    cand = topk_indices(D, keep, ids)
-    Dc = np.take_along_axis(D, cand, axis=1)
-    if rerank:
-        Dc = exact("l2sq", Q, X[cand])
-    Ic = ids[cand]
-    order = np.lexsort((Ic, Dc), axis=1)[:, :k]
-    Dk = np.take_along_axis(Dc, order, axis=1)
-    if metric == "l2":
-        Dk = np.sqrt(np.maximum(Dk, 0.0))
-    return Dk, np.take_along_axis(Ic, order, axis=1), np.take_along_axis(cand, order, axis=1)
+    widest = max(len(ids), CB[0].size, keep * (X.shape[1] if rerank else 1), 1)
+    tile = max(1, TILE_DOUBLES // widest)
+    parts = []
+    for a in range(0, len(Q), tile):
+        q = Q[a:a + tile]
+        D = adc_distances(q - cen, codes, CB)
+        cand = topk_indices(D, keep, ids)
+        Dc = exact("l2sq", q, X[cand]) if rerank else np.take_along_axis(D, cand, axis=1)
+        Ic = ids[cand]
+        order = np.lexsort((Ic, Dc), axis=1)[:, :k]
+        Dk = np.take_along_axis(Dc, order, axis=1)
+        if metric == "l2":
+            Dk = np.sqrt(np.maximum(Dk, 0.0))
+        parts.append((Dk, np.take_along_axis(Ic, order, axis=1), np.take_along_axis(cand, order, axis=1)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def adc_distances(Qres: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
@@ -340,8 +377,7 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
     if codebook is None:
         # Residuals of a training sample, JVM-side: the centroid table is bounded
         # by the list count and broadcast into the join.
-        cap = (1 << bits) * 256
-        frac = min(1.0, train_percent / 100.0, cap / max(df.count(), 1))
+        frac = min(1.0, train_percent / 100.0)
         smp = assigned.sample(fraction=frac, seed=seed) if frac < 1.0 else assigned
         cen_df = F.broadcast(centroids) if ivf.is_local(centroids) else centroids
         res = smp.join(cen_df, "list_id").select(
