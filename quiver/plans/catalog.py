@@ -834,6 +834,33 @@ def _hnsw_search_pre(spark, sf):
     return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_NARROW), mode="pre", index=index))
 
 
+def _trained_pq(v: DataFrame, rerank: int) -> pq.IvfPqIndex:
+    return pq.build_ivfpq(v, 8, DIM, lists=6, bits=8, train_percent=60, n_probes=6, rerank=rerank, keep_vectors=True)
+
+
+@register("pq_trained_rerank_all", ORACLE["knn_l2"])
+def _pq_trained(spark, sf):
+    """I4/I5 with trained lists and 8-bit residual codes: probing all lists and re-ranking all candidates is exact search."""
+    v = vectors(spark, sf)
+    return _ranked(_trained_pq(v, v.count() // K + 1).search(queries_from(v), K))
+
+
+@register("pq_search_pre", ORACLE["knn_normal_filtered"])
+def _pq_search_pre(spark, sf):
+    """I5 under mode ``pre``, all lists probed and all candidates re-ranked: exact filtered search."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="pre",
+                                  index=_trained_pq(v, v.count() // K + 1)))
+
+
+@register("pq_search_post", ORACLE["knn_post"])
+def _pq_search_post(spark, sf):
+    """I5 under mode ``post``, likewise."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="post", oversample=2,
+                                  index=_trained_pq(v, v.count() // K + 1)))
+
+
 # -- S9, I14: streaming (file stream of the table, several files, one per trigger) -----------
 
 from quiver.session import scratch_dir  # noqa: E402
