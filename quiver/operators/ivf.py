@@ -43,7 +43,7 @@ from quiver.operators.knn import (
     rank_partials,
 )
 from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
-from quiver.session import ensure_checkpoint_dir
+from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 DEFAULT_BLOCK_BYTES = 64 << 20
 CENTROID_BROADCAST_BYTES = 256 << 20
@@ -213,6 +213,8 @@ def probe_plan(q: DataFrame, probes: DataFrame, k: int, budget: int | None = Non
     if nq * (max(dim, 1) * 4 + k * 24) + n_probe_rows * 12 > budget:
         return None
     qids, Q, _ = _collect_matrix(q, "qid", "v")
+    if len(np.unique(qids)) < len(qids):
+        raise ValueError("query ids repeat")
     t = probes.select("qid", "list_id").toArrow()
     p_qid = t.column("qid").to_numpy()
     p_lid = t.column("list_id").to_numpy().astype(np.int64)
@@ -276,12 +278,11 @@ def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
             ids = rb.column(1).to_numpy()
             X = vectors_from_arrow(rb.column(2))
             flags = rb.column(3).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-            for lid in np.unique(lids):
-                sel = list_queries(plan, int(lid))
-                if len(sel) == 0:
-                    continue
-                mask = lids == lid
-                top.add(ids[mask], X[mask], flags[mask] if with_flag else None, qidx=sel)
+            order = np.argsort(lids, kind="stable")  # one sort, then a slice per list
+            for rows in np.split(order, np.flatnonzero(np.diff(lids[order])) + 1):
+                sel = list_queries(plan, int(lids[rows[0]]))
+                if len(sel):
+                    top.add(ids[rows], X[rows], flags[rows] if with_flag else None, qidx=sel)
         if top.seen.any():
             yield top.result(with_flag=with_flag)
 
@@ -290,7 +291,7 @@ def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
 
 # Per-list statistics are broadcast up to this many lists.
 MAX_BROADCAST_LISTS = 1 << 20
-# Above this many probed lists the static partition filter is skipped.
+# Up to this many probed lists are a static partition filter; more are a broadcast semi join.
 MAX_PRUNE_LISTS = 65536
 
 
@@ -300,10 +301,11 @@ def prune_lists(lists: DataFrame, probes: DataFrame) -> DataFrame:
     The probed set is bounded by the list count (never by the data); the filter
     prunes ``list_id=`` directories at planning time for saved indexes.
     """
-    probed = [r[0] for r in probes.select("list_id").distinct().limit(MAX_PRUNE_LISTS + 1).collect()]
-    if not probed or len(probed) > MAX_PRUNE_LISTS:
-        return lists
-    return lists.where(F.col("list_id").isin(probed))
+    distinct = probes.select("list_id").distinct()
+    probed = [r[0] for r in distinct.limit(MAX_PRUNE_LISTS + 1).collect()]
+    if len(probed) > MAX_PRUNE_LISTS:  # too long for a filter; still at most one row per list
+        return lists.join(F.broadcast(distinct), "list_id", "left_semi").select(*lists.columns)
+    return lists.where(F.col("list_id").isin(probed)) if probed else lists
 
 
 def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: DataFrame, k: int, metric: str,
@@ -377,16 +379,11 @@ def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, ce
     centroids = freeze_centroids(centroids)
     cen = centroid_arrays(centroids)
     assigned = assign(df, centroids, m, vec_col, arrays=cen)
-    if path:
-        idx = IvfIndex(centroids, assigned, assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), m, n_probes, vec_col)
-        return save_ivf(idx, path)
-    # An in-memory index is still a materialised structure: the assigned rows
-    # are checkpointed to the shared checkpoint folder once, not re-assigned
-    # by every search.
-    ensure_checkpoint_dir(spark)
-    lists_t = assigned.checkpoint(eager=True)
-    sizes = lists_t.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    return IvfIndex(centroids, lists_t, sizes, m, n_probes, vec_col, _cen=cen)
+    # Always written, partitioned by list: searches then prune lists, columns and filters at the scan.
+    idx = IvfIndex(centroids, assigned, assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), m, n_probes, vec_col)
+    idx = save_ivf(idx, path or scratch_dir(spark, "ivf"))
+    idx._cen = cen
+    return idx
 
 
 def is_local(df: DataFrame) -> bool:

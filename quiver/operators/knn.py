@@ -6,9 +6,9 @@ Plans (``distribution``):
   broadcast after a size check, each corpus partition is a shard, an Arrow
   kernel keeps a partial top-k per query per partition, and a
   ``row_number() <= k`` window over ``qid`` merges the partials (Spark adds a
-  partial WindowGroupLimit before the shuffle). The kernel input is coalesced
-  to at most ``quiver.knn.maxKernelTasks`` tasks, so the shuffle is
-  tasks x queries x k rows, independent of the corpus size and width.
+  partial WindowGroupLimit before the shuffle), so the shuffle is tasks x
+  queries x k rows, whatever the vectors' width. Splits of the corpus
+  (``spark.sql.files.maxPartitionBytes``) set the number of tasks.
 * ``sharded`` over query blocks: a query set up to ``maxScanBlocks`` times
   the budget is split by hash into blocks, each broadcast (size-checked) to
   its own kernel scan of the corpus; the corpus is read once per block and
@@ -119,6 +119,8 @@ def knn(
             raise ValueError(f"corpus of {n} x {dim} is over the broadcast budget {bbytes} bytes; use 'sharded'")
         return _replicated(c, q, k, m, with_flag)
     nq, dim = _vector_stats(q, "v")
+    if nq and q.select("qid").distinct().count() < nq:
+        raise ValueError("query ids repeat")
     # Broadcast bytes plus the per-task top-k state (ids, distances) of every query.
     q_bytes = nq * (max(dim, 1) * 4 + k * 24)
     blocks = max(1, math.ceil(q_bytes / bbytes))

@@ -387,10 +387,10 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
     coded = encode(assigned, codebook, centroids, vec_col, cb_array=cb_arr, cen_arrays=cen)
     if keep_vectors is False or (keep_vectors is None and not rerank):
         coded = coded.drop(vec_col)
-    ensure_checkpoint_dir(spark)
-    coded = coded.checkpoint(eager=True)
-    sizes = coded.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    coarse = ivf.IvfIndex(centroids, coded, sizes, mt, n_probes, vec_col, _cen=cen)
+    # Written by list like an IVF index: searches prune lists and columns at the scan.
+    coarse = ivf.IvfIndex(centroids, coded, coded.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), mt, n_probes, vec_col)
+    coarse = ivf.save_ivf(coarse, scratch_dir(spark, "ivfpq"), kind="ivfpq", extra_meta={"m": m, "rerank": rerank})
+    coarse._cen = cen
     return IvfPqIndex(coarse, codebook, m, mt, rerank, _cb=cb_arr)
 
 
