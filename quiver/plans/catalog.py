@@ -565,6 +565,42 @@ def _ivf_trained(spark, sf):
     return _ranked(index.search(queries_from(v), K))
 
 
+_N_ROWS_SQL = "(SELECT count(*) FROM embeddings)"
+
+
+@register("gen_partitioned", _summary_sql(gen.rows_sql(f"SELECT 1000 + range AS id FROM range({_N_ROWS_SQL})", DIM, SEED)))
+def _gen_partitioned(spark, sf):
+    """As many rows as the table has, over contiguous id ranges per partition."""
+    n = vectors(spark, sf).count()
+    return _summary(gen.generate(spark, n, DIM, SEED, 1000, 5, "md5"))
+
+
+@register("table_lifecycle", f"WITH {S.V} " + _summary_sql(
+    f"{_V_COLS} UNION ALL " + gen.rows_sql("SELECT id + (SELECT max(id) FROM v) + 1 AS id FROM v", DIM, SEED)))
+def _table_lifecycle(spark, sf):
+    """Create a table, load the stored and then generated rows, write a version, drop the first table, read back."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    base = scratch_dir(spark, "table")
+    empty = dml.create_table(spark, f"{base}/empty", DIM)
+    shift = int(dml.max_id(v).first()["max_id"]) + 1
+    made = gen.rows_for_ids(v.select((F.col("id") + shift).alias("id")), DIM, SEED, "md5")
+    path = dml.write_version(dml.bulk_load(dml.bulk_load(empty, v), made), base, 1)
+    dml.drop_table(spark, f"{base}/empty")
+    return _summary(spark.read.parquet(path))
+
+
+@register("ivf_recreate_chunks", ORACLE["ivf_search"])
+def _ivf_recreate(spark, sf):
+    """A table added in chunks, indexed, the index dropped and built again."""
+    v = vectors(spark, sf)
+    table = ivf.add_chunks([v.where(F.pmod("id", F.lit(3)) == k) for k in range(3)])
+    path = scratch_dir(spark, "ivf-again")
+    cen = ivf.centroids_from_labels(v)
+    ivf.build_ivf(table, metric="l2", centroids=cen, n_probes=1, path=path)
+    again = ivf.recreate_index(table, path, metric="l2", centroids=cen, n_probes=N_PROBES)
+    return _ranked(again.search(queries_from(v), K))
+
+
 @register("append_rows", f"WITH {S.V} " + _summary_sql(
     f"{_V_COLS} UNION ALL SELECT id + 1000000 AS id, embed, i32v, f32v, strv FROM v"))
 def _append_rows(spark, sf):
