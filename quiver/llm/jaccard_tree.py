@@ -54,7 +54,7 @@ BUCKET_KEYS = 1_000_000  # keys a routing bucket holds on average
 BLOCK = 2_000_000  # shingles of a tree block
 BROADCAST_ROWS = 1_000_000  # member rows (at most 40 bytes each) that may be broadcast
 FANOUT = 16
-PAIRS = 1 << 16  # node pairs handled at once
+PAIRS = 1 << 12  # node pairs handled at once; their children are up to FANOUT**2 times as many
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -267,7 +267,7 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
         keep = (same[depth][x] < 0) | (same[depth][x] != same[depth][y])
         keep &= (hi[x] * 100 >= t * lo[y]) & (hi[y] * 100 >= t * lo[x])
         x, y = x[keep], y[keep]
-        step = max(1, (1 << 22) // nodes.shape[1])
+        step = max(1, (1 << 19) // nodes.shape[1])
         bound = np.empty(len(x), np.int64)
         for at in range(0, len(x), step):
             p, q = nodes[x[at : at + step]], nodes[y[at : at + step]]
