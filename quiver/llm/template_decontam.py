@@ -1,7 +1,7 @@
 """Operator 3: benchmark decontamination by template windows, in DataFrame functions only.
 
 A text becomes a template: lower-cased words, with numbers, names (capitalised
-inside a sentence) and units (a unit word after a number) replaced by typed
+inside a sentence; words all in capitals are ordinary words) and units (a unit word after a number) replaced by typed
 placeholders; the words that were replaced are its slots. Every window of ``WINDOW``
 template tokens with at least ``LITERALS`` plain words is a key; items shorter than a window are one
 window of their own length (items under ``SHORTEST`` tokens are not searched).
@@ -45,7 +45,7 @@ _MARK = "\x01"
 
 def tokens(text: Column) -> Column:
     """Words, lower-cased; a name keeps a mark in front."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\x09-\x0D\x20.!?:;])([\x09-\x0D\x20]+)(\p{Lu})", f"$1 {_MARK}$3")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\x09-\x0D\x20.!?:;])([\x09-\x0D\x20]+)(\p{Lu}\p{Ll})", f"$1 {_MARK}$3")
     t = F.regexp_replace(F.lower(t), r"([0-9])[.,]([0-9])", "$1$2")
     t = F.regexp_replace(t, r"([0-9])(\p{L})", "$1 $2")
     return F.array_remove(F.split(t, r"[^\x01\p{L}\p{M}\p{N}]+"), "")
@@ -147,7 +147,7 @@ _TEMPLATED = f"""
   SELECT key, words, list_transform(words, lambda w, i: CASE WHEN starts_with(w, chr(1)) THEN '<name>' WHEN w >= '0' AND w < ':' THEN '<num>'
     WHEN w IN ({_UNIT_LIST}) AND i > 1 AND words[i - 1] >= '0' AND words[i - 1] < ':' THEN '<unit>' ELSE w END) AS tmpl
   FROM (SELECT key, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''),
-      '([^\\x09-\\x0D\\x20.!?:;])([\\x09-\\x0D\\x20]+)(\\p{{Lu}})', '\\1 ' || chr(1) || '\\3', 'g')),
+      '([^\\x09-\\x0D\\x20.!?:;])([\\x09-\\x0D\\x20]+)(\\p{{Lu}}\\p{{Ll}})', '\\1 ' || chr(1) || '\\3', 'g')),
       '([0-9])[.,]([0-9])', '\\1\\2', 'g'), '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '[^\\x01\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM %s)"""
 _WINDOWS = f"""
   SELECT key, pos, k AS size, array_to_string(tmpl[pos:pos + k - 1], ' ') AS win,

@@ -37,6 +37,7 @@ def corpus(seed=7):
     texts.append("Well then " + items[1].replace("Anna", "Bruno").replace("4 apples", "17 apples").replace("6 km", "29 km") + " And more")
     texts.append("Not this " + items[2].replace("Anna had", "Bruno had") + " slots disagree")
     texts.append("x " + items[6] + " y")
+    texts.append("LOUD " + items[3].upper())
     texts += ["Released under the MIT License.", "Licensed under the Apache-License, Version 2.0; and CC BY-NC 4.0, cc by nc cc by nc",
               "Relaesed under the MIT Licence today", "licensed under the GNU Genral Public Licence, version 3 or later", "under  the\nmit license 日本 under the mit licenses"]
     texts.append("same line here again\n" * 30 + "!!! ### " * 20)
