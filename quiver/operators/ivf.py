@@ -422,10 +422,12 @@ def save_ivf(idx: IvfIndex, path: str, kind: str = "ivfflat", extra_meta: dict |
     p = path.rstrip("/")
     idx.centroids.write.mode("overwrite").parquet(f"{p}/centroids")
     (idx.lists.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{p}/lists"))
-    spark.read.parquet(f"{p}/lists").groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
+    # The schema is kept: an index of no rows has no files to read it from.
+    spark.read.schema(idx.lists.schema).parquet(f"{p}/lists").groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
         f"{p}/list_sizes"
     )
-    meta = {"type": kind, "metric": idx.metric, "n_probes": idx.n_probes, "vec_col": idx.vec_col, **(extra_meta or {})}
+    meta = {"type": kind, "metric": idx.metric, "n_probes": idx.n_probes, "vec_col": idx.vec_col, "schema": idx.lists.schema.jsonValue(),
+            **(extra_meta or {})}
     _write_text(spark, f"{p}/meta.json", json.dumps(meta))
     return load_ivf(spark, p)
 
@@ -436,7 +438,7 @@ def load_ivf(spark: SparkSession, path: str, n_probes: int | None = None) -> Ivf
     meta = json.loads(_read_text(spark, f"{p}/meta.json"))
     return IvfIndex(
         spark.read.parquet(f"{p}/centroids"),
-        spark.read.parquet(f"{p}/lists"),
+        (spark.read.schema(T.StructType.fromJson(meta["schema"])) if "schema" in meta else spark.read).parquet(f"{p}/lists"),
         spark.read.parquet(f"{p}/list_sizes"),
         meta["metric"],
         n_probes or meta.get("n_probes", 1),
