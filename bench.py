@@ -24,6 +24,7 @@ HEADLINE = [
     "knn_post",
     "ivf_search",        # I3: probe 3 lists, exact rank inside
     "pq_search",         # I5: table-lookup distances over PQ codes
+    "graph_search",      # I7: beam search over the pruned graph
     "graph_build_exact",  # I6
     "recall_by_mode",    # R9
     "recall_gt_k",       # R2 through IVF
