@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.llm.batches import bound_batches
+
 # Phrase and label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 NOTICES = PHRASES + (
@@ -139,6 +141,7 @@ def notice_spans(docs: DataFrame, notices=NOTICES, share: float = EDIT_SHARE, ph
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(exact, pa.list_(place)), pa.array(spans, pa.list_(span))],
                 ["doc_id", "n_words", "exact", "spans"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scan, f"doc_id long, n_words long, exact array<struct<label:string,first:long>>, spans {SPAN}")
 
