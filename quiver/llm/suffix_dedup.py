@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.llm import textkernel as K
+from quiver.llm.batches import bound_batches
 from quiver.session import scratch_dir
 
 WINDOW = 50
@@ -97,17 +98,27 @@ def sequences(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
-    """``(doc_id, fp_a, key, pos)`` from packed anchors."""
+    """``(doc_id, fp_a, key, at)`` from packed anchors: a row per anchor of a document, with all its positions there."""
 
     def run(batches):
         for batch in batches:
-            got = [np.frombuffer(k.as_buffer(), np.int64).reshape(2, -1) for k in batch.column(2)]
-            count = [g.shape[1] for g in got]
-            for column in (np.concatenate(got, axis=1),) if got else ():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(c).to_numpy(), count)) for c in (0, 1)] + [pa.array(column[0]), pa.array(column[1].astype(np.int32))], ["doc_id", "fp_a", "key", "pos"])
-
-    return rows.select("doc_id", "fp_a", "keys").mapInArrow(run, "doc_id long, fp_a long, key long, pos int")
+            count, keys, sizes, at = [], [], [], []
+            for packed in batch.column(2):
+                key, pos = np.frombuffer(packed.as_buffer(), np.int64).reshape(2, -1)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                count.append(len(head))
+                keys.append(key[head])
+                sizes.append(np.diff(np.append(head, len(key))))
+                at.append(pos[order].astype(np.int32))
+            if count:
+                ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
+                own = [pa.array(np.repeat(batch.column(c).to_numpy(), count)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(keys)), places], ["doc_id", "fp_a", "key", "at"])
+
+    return rows.select("doc_id", "fp_a", "keys").mapInArrow(run, "doc_id long, fp_a long, key long, at array<int>")
 
 
 def _sized_join(left: DataFrame, right: DataFrame, size: int, how: str) -> DataFrame:
@@ -118,7 +129,7 @@ def _sized_join(left: DataFrame, right: DataFrame, size: int, how: str) -> DataF
 def stretches(docs: DataFrame, live: DataFrame, size: int, window: int, prefix: int) -> DataFrame:
     """``(key, id, hot, words, lowest, docs, fps, at)``: distinct stretches of a task with their occurrences.
 
-    ``live(doc_id, fp_a, pos, hot)``: positions of repeated anchors. A stretch spans the consecutive windows of one anchor
+    ``live(doc_id, fp_a, at, hot)``: positions of repeated anchors. A stretch spans the consecutive windows of one anchor
     (one window if hot); ``docs, fps, at`` are packed.
     """
 
@@ -167,7 +178,8 @@ def stretches(docs: DataFrame, live: DataFrame, size: int, window: int, prefix:
         if held:
             yield flush()
 
-    per_doc = live.groupBy("doc_id", "fp_a").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("hot").cast("int").alias("hot")))).alias("z"))
+    marked = F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("hot").cast("int").alias("hot")))
+    per_doc = live.groupBy("doc_id", "fp_a").agg(F.sort_array(F.flatten(F.collect_list(marked))).alias("z"))
     per_doc = per_doc.select("doc_id", "fp_a", F.col("z.pos").alias("pos"), F.col("z.hot").alias("hot"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = _sized_join(texts, per_doc, size, "inner").select("doc_id", "text", "fp_a", "pos", "hot")
@@ -244,6 +256,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, pre
 
     ``kept``: the words left, joined by one space; with ``digest`` their SHA-256 as ``kept_sha256`` instead.
     """
+    bound_batches(spark)
     base = scratch_dir(spark, "suffixes")
     sequences(docs, window, prefix).write.parquet(f"{base}/sequences")
     seq = spark.read.parquet(f"{base}/sequences").where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
@@ -251,10 +264,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, pre
     leads = seq.groupBy(*same).agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other")
     copies = seq.select("doc_id", *same).join(leads, same).where("doc_id > lead").select("doc_id", *same)
     anchors = _unpacked(seq.join(copies.select("doc_id", *same).distinct(), ["doc_id", *same], "left_anti"))
-    keys = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("a < b")
-    anchors.join(keys.select("key", (F.col("c") > GROUP).alias("hot")), "key").select("doc_id", "fp_a", "pos", "hot").write.parquet(f"{base}/live")
+    keys = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum(F.size("at")).alias("c")).where("a < b")
+    # Written, so that the join deals both sides anew and adaptive execution may split a hot anchor.
+    keys.select("key", (F.col("c") > GROUP).alias("hot")).write.parquet(f"{base}/keys")
+    anchors.join(spark.read.parquet(f"{base}/keys"), "key").select("doc_id", "fp_a", "at", "hot").write.parquet(f"{base}/live")
     live = spark.read.parquet(f"{base}/live")
-    stretches(docs, live, live.count() * 16, window, prefix).write.parquet(f"{base}/stretches")
+    n_live = live.agg(F.sum(F.size("at"))).first()[0] or 0
+    stretches(docs, live, n_live * 16, window, prefix).write.parquet(f"{base}/stretches")
     found = spark.read.parquet(f"{base}/stretches")
     ranges = covered(found, decided(found, found.count(), window), window)
     ranges = ranges.unionByName(copies.distinct().select("doc_id", "fp_a", F.lit(0).cast("long").alias("first"), F.col("n_words").alias("last")))
