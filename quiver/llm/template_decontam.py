@@ -6,16 +6,18 @@ placeholders; the words that were replaced are its slots. Every window of ``WIND
 template tokens with at least ``LITERALS`` plain words is a key; items shorter than a window are one
 window of their own length (items under ``SHORTEST`` tokens are not searched).
 
-1. *Candidates.* Window hashes of all documents meet the items' distinct
+1. *Candidates.* Window hashes of all documents, in the forms that the items' keys have, meet the items' distinct
    hashes; only (id, hash) leave the projection, and only documents with a
    hit go on. The items' hashes are broadcast when their counted rows are
    within ``BROADCAST_ROWS``, else both sides are shuffled by hash.
-2. *Verification.* For the candidates alone, windows carry their template and
-   slots and join the items' on hash and template. Hits of one item at one
-   alignment (document position less item position) must be slot consistent: equal
-   item slots have equal document slots and the reverse, whatever the
-   values are. So a question with other numbers or names is caught, while a
-   chance template with unrelated fillers is not.
+2. *Verification.* For the candidates alone, windows carry their key and
+   words and join the items' on hash and key. Hits of one item at one
+   alignment (document position less item position) are compared slot by slot: a slot conflicts when it
+   differs from the item's and its value is not the most frequent (or as frequent) for that
+   item value there. Only windows with a conflicting slot count as inconsistent.
+
+``op3_template_decontam`` returns ``template_rows``, which are bound to the SQL twin: template keys alone, and an
+alignment with one conflict is left out. ``leaks`` and ``clean``, which the pipeline runs, do the above.
 
 Defined results: null and empty texts have no windows; rows with a null ``doc_id`` are
 not judged (``clean`` keeps them); rows that repeat a ``doc_id`` are judged together; repeated items
@@ -24,15 +26,19 @@ count once per ``item_id``; a null ``item_id`` is searched like any other; no ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.llm.selection import without
+from quiver.session import scratch_dir
 
 WINDOW = 8
 LITERALS = 4
 SHORTEST = 4
 BROADCAST_ROWS = 1_000_000
+RAW, BLIND, TEMPLATE = range(3)  # forms of a key: no placeholder; numbers and units; names too
 
 # Unit words that make a unit placeholder after a number.
 UNITS = (
@@ -43,10 +49,10 @@ NAME, NUMBER, UNIT = "<name>", "<num>", "<unit>"
 _MARK = "\x01"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, fold=F.lower) -> Column:
     """Words, lower-cased; a name keeps a mark in front."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\x09-\x0D\x20.!?:;])([\x09-\x0D\x20]+)(\p{Lu}\p{Ll})", f"$1 {_MARK}$3")
-    t = F.regexp_replace(F.lower(t), r"([0-9])[.,]([0-9])", "$1$2")
+    t = F.regexp_replace(fold(t), r"([0-9])[.,]([0-9])", "$1$2")
     t = F.regexp_replace(t, r"([0-9])(\p{L})", "$1 $2")
     return F.array_remove(F.split(t, r"[^\x01\p{L}\p{M}\p{N}]+"), "")
 
@@ -92,10 +98,10 @@ def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
     return rows.where(F.col("plain") >= _least(size)).drop("plain")
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, item_id, n_windows, n_slots, first_word, last_word)``: each item found in a document.
+def template_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, item_id, n_windows, n_slots, first_word, last_word)``: the rows that ``ORACLE`` defines.
 
-    Windows matched at the item's longest consistent alignment, distinct slot values there, and the span of template tokens (from 0).
+    Template windows alone, at the item's longest alignment without any slot conflict; fewer than ``leaks`` finds.
     """
     items = _templated(benchmark, "item_id").withColumn("n", F.size("tmpl")).where(F.col("n") >= SHORTEST)
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - SHORTEST values
@@ -132,14 +138,113 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
                        (-F.col("m.col2") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
 
 
+def _folded(df: DataFrame, key: str) -> DataFrame:
+    """``(key, n, raw, nums, blind, tmpl)``: words whatever their case, with numbers, with numbers and units, with all placeholders."""
+    df = df.select(key, tokens(F.col("text"), lambda t: F.lower(F.upper(t))).alias("words"))
+    df = df.withColumn("raw", F.transform("words", lambda w: F.translate(w, _MARK, "")))
+    nums = F.transform("raw", lambda w: F.when(_is_number(w), F.lit(NUMBER)).otherwise(w))
+    return df.select(key, F.size("raw").alias("n"), "raw", nums.alias("nums"), template(F.col("raw")).alias("blind"), template(F.col("words")).alias("tmpl"))
+
+
+def _form(form: int, size: int):
+    """The window at a position in one form. What precedes a window doesn't change its case-blind form, so no unit leads it."""
+    if form == BLIND:
+        return lambda i: F.concat(F.slice("nums", i, 1), F.slice("blind", i + 1, size - 1))
+    return lambda i: F.slice("raw" if form == RAW else "tmpl", i, size)
+
+
+def _hash_of(form: int, size: int):
+    return lambda i: F.xxhash64(_form(form, size)(i))
+
+
+def _window_of(form: int, size: int):
+    return lambda i: F.struct(i.alias("pos"), _hash_of(form, size)(i).alias("hash"), F.array_join(_form(form, size)(i), " ").alias("window"), F.slice("raw", i, size).alias("words"))
+
+
+def _item_windows(items: DataFrame, size: int) -> DataFrame:
+    """``(item_id, n, item_pos, size, rich, slots, form, hash, window)``: the keys of every window of one size."""
+    make = lambda i: F.struct(i.alias("item_pos"), *(_form(f, size)(i).alias(c) for f, c in ((RAW, "r"), (BLIND, "b"), (TEMPLATE, "t"))))
+    rows = items.select("item_id", "n", F.explode(_slices("raw", size, make)).alias("z")).select("item_id", "n", "z.*")
+    enough = lambda w: (_plain(F.col(w)) >= _least(size)) & (F.col("n") >= SHORTEST)
+    slots = F.filter(F.transform("t", lambda t, k: F.struct(k.alias("k"), F.get("r", k).alias("b"), t.alias("t"))), lambda z: z["t"].startswith("<"))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(enough("t"), F.col("t")))))
+    rows = rows.select("item_id", "n", "item_pos", F.lit(size).alias("size"), enough("b").alias("rich"), slots.alias("slots"), F.explode(keys).alias("key"))
+    named = F.exists("key", lambda t: t == NAME) | (F.get("key", F.lit(0)) == UNIT)
+    form = F.when(named, F.lit(TEMPLATE)).when(F.exists("key", lambda t: t.startswith("<")), F.lit(BLIND)).otherwise(F.lit(RAW))
+    return rows.select("*", form.alias("form"), F.xxhash64("key").alias("hash"), F.array_join("key", " ").alias("window")).drop("key").distinct()
+
+
+def _alignments(hits: DataFrame) -> DataFrame:
+    """One row per document, item and shift: matched windows, those without a conflicting slot, longest verbatim run."""
+    at = ["doc_id", "item_id", "shift"]
+    pair = F.transform("slots", lambda s: F.struct((F.col("pos") + s["k"]).alias("q"), s["b"].alias("b"), F.get("words", s["k"]).alias("d")))
+    hits = hits.withColumn("pairs", pair).withColumn("same", F.forall("pairs", lambda p: p["b"] == p["d"]) & F.col("rich"))
+    hits = hits.select(*at, "pos", "size", "n", "n_doc", "same", F.explode_outer("pairs").alias("p")).select("*", "p.*").repartition(*at)
+    votes = F.size(F.collect_set("q").over(Window.partitionBy(*at, "b", "d")))
+    hits = hits.withColumn("votes", votes).withColumn("top", F.max("votes").over(Window.partitionBy(*at, "b")))
+    conflict = (F.col("d") != F.col("b")) & (F.col("votes") < F.col("top"))
+    rows = hits.groupBy(*at).agg(
+        F.collect_set("pos").alias("all"), F.collect_set(F.when(conflict, F.col("pos"))).alias("bad"), F.collect_set(F.when(F.col("same"), F.col("pos"))).alias("verbatim"),
+        F.size(F.collect_set(F.when(F.col("p").isNotNull(), F.struct("b", "d")))).alias("n_slots"), F.max("size").alias("size"), F.max("n").alias("n"), F.max("n_doc").alias("n_doc"))
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def longer(acc: Column, p: Column) -> Column:
+        run = F.when(p == acc["at"] + 1, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("at"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    run = F.aggregate(F.array_sort("verbatim"), start, longer)["most"]
+    return rows.select(
+        "doc_id", "item_id", "n", "n_doc", (F.col("n") - F.col("size") + 1).alias("n_item"), F.size("all").alias("n_windows"), F.size(F.array_except("all", "bad")).alias("n_consistent"),
+        "n_slots", F.when(run > 0, run + F.col("size") - 1).otherwise(F.lit(0)).alias("n_verbatim"),
+        F.array_min("all").alias("first_pos"), (F.array_max("all") + F.col("size")).alias("end_pos"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, item_id, n_windows, n_consistent, n_item, n_slots, n_verbatim, first_word, last_word)``: each item found in a document.
+
+    Windows matched at the item's best alignment, those of them without a conflicting slot, all windows of the item, distinct
+    slot pairs, words of the longest verbatim run, and the span of tokens (from 0) that the matched windows cover.
+    """
+    items = _folded(benchmark, "item_id").where(F.col("n") >= SHORTEST)
+    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 values
+    keyed = None
+    for size in [*short, window]:
+        part = _item_windows(items.where(F.col("n") == size) if size < window else items.where(F.col("n") >= window), size)
+        keyed = part if keyed is None else keyed.unionByName(part)
+    path = scratch_dir(spark, "item_windows")
+    keyed.write.parquet(path)
+    keyed = spark.read.parquet(path)
+    keys = keyed.select("hash").distinct()
+    fit = F.broadcast if keyed.count() <= BROADCAST_ROWS else (lambda d: d)
+    used = sorted(tuple(r) for r in keyed.select("form", "size").distinct().collect())  # a document's windows in other forms meet no key
+
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    none = F.array().cast("array<bigint>")
+    hashes = [none, *(F.coalesce(_slices("raw", size, _hash_of(form, size)), none) for form, size in used)]
+    found = _folded(known, "doc_id").select("doc_id", F.explode(F.concat(*hashes)).alias("hash")).join(fit(keys), "hash", "left_semi")
+
+    again = _folded(known.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    mine = []
+    for form, size in used:
+        mine.append(again.select("doc_id", F.col("n").alias("n_doc"), F.lit(size).alias("size"), F.lit(form).alias("form"), F.explode(_slices("raw", size, _window_of(form, size))).alias("z")).select("doc_id", "n_doc", "size", "form", "z.*"))
+    if not mine:
+        mine = [again.select("doc_id", F.col("n").alias("n_doc"), F.lit(0).alias("size"), F.lit(0).alias("form"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("window"), F.col("raw").alias("words"))]
+    met = reduce(DataFrame.unionByName, mine).join(fit(keyed), ["hash", "window", "size", "form"])
+    rows = _alignments(met.withColumn("shift", F.col("pos") - F.col("item_pos")))
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_consistent", "n_windows", -F.col("first_pos"), "end_pos", "n_item", "n_slots", "n_verbatim")).alias("m"))
+    count = lambda c: F.col(f"m.{c}").cast("long").alias(c)
+    return best.select("doc_id", "item_id", *(count(c) for c in ("n_windows", "n_consistent", "n_item", "n_slots", "n_verbatim")),
+                       (-F.col("m.col3") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
+
+
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
-    return without(spark, docs, leaks(spark, docs, benchmark, window))
+    return without(spark, docs, leaks(spark, docs, benchmark, window).where("n_consistent > 0"))
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents`` against all of ``benchmark``."""
-    return leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """All of ``documents`` against all of ``benchmark``, as ``ORACLE`` defines the rows."""
+    return template_rows(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
