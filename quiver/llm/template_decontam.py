@@ -3,8 +3,9 @@
 A text becomes a template: lower-cased words, with numbers, names (capitalised
 inside a sentence; words all in capitals are ordinary words) and units (a unit word after a number) replaced by typed
 placeholders; the words that were replaced are its slots. Every window of ``WINDOW``
-template tokens with at least ``LITERALS`` plain words is a key; items shorter than a window are one
-window of their own length (items under ``SHORTEST`` tokens are not searched).
+template tokens with at least ``LITERALS`` plain words is a key; a poorer window, and an item under ``SHORTEST``
+tokens, is keyed by its words as they are, so every item with a word has a key. Items shorter than a window are one
+window of their own length.
 
 1. *Candidates.* Window hashes of all documents, in the forms that the items' keys have, meet the items' distinct
    hashes; only (id, hash) leave the projection, and only documents with a
@@ -167,7 +168,7 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
     rows = items.select("item_id", "n", F.explode(_slices("raw", size, make)).alias("z")).select("item_id", "n", "z.*")
     enough = lambda w: (_plain(F.col(w)) >= _least(size)) & (F.col("n") >= SHORTEST)
     slots = F.filter(F.transform("t", lambda t, k: F.struct(k.alias("k"), F.get("r", k).alias("b"), t.alias("t"))), lambda z: z["t"].startswith("<"))
-    keys = F.array_distinct(F.array_compact(F.array(F.when(enough("t"), F.col("t")))))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(enough("t"), F.col("t")), F.when(~enough("t"), F.col("r")))))
     rows = rows.select("item_id", "n", "item_pos", F.lit(size).alias("size"), enough("b").alias("rich"), slots.alias("slots"), F.explode(keys).alias("key"))
     named = F.exists("key", lambda t: t == NAME) | (F.get("key", F.lit(0)) == UNIT)
     form = F.when(named, F.lit(TEMPLATE)).when(F.exists("key", lambda t: t.startswith("<")), F.lit(BLIND)).otherwise(F.lit(RAW))
@@ -200,12 +201,13 @@ def _alignments(hits: DataFrame) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, item_id, n_windows, n_consistent, n_item, n_slots, n_verbatim, first_word, last_word)``: each item found in a document.
+    """``(doc_id, item_id, n_windows, n_consistent, n_item, n_slots, n_verbatim, whole, first_word, last_word)``: each item found in a document.
 
     Windows matched at the item's best alignment, those of them without a conflicting slot, all windows of the item, distinct
-    slot pairs, words of the longest verbatim run, and the span of tokens (from 0) that the matched windows cover.
+    slot pairs, words of the longest verbatim run, whether the
+    item has ``SHORTEST`` tokens or is the whole text, and the span of tokens (from 0) that the matched windows cover.
     """
-    items = _folded(benchmark, "item_id").where(F.col("n") >= SHORTEST)
+    items = _folded(benchmark, "item_id").where("n > 0")
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 values
     keyed = None
     for size in [*short, window]:
@@ -231,15 +233,17 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
         mine = [again.select("doc_id", F.col("n").alias("n_doc"), F.lit(0).alias("size"), F.lit(0).alias("form"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("window"), F.col("raw").alias("words"))]
     met = reduce(DataFrame.unionByName, mine).join(fit(keyed), ["hash", "window", "size", "form"])
     rows = _alignments(met.withColumn("shift", F.col("pos") - F.col("item_pos")))
-    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_consistent", "n_windows", -F.col("first_pos"), "end_pos", "n_item", "n_slots", "n_verbatim")).alias("m"))
+    whole = (F.col("n") >= SHORTEST) | (F.col("n_doc") == F.col("n"))
+    rows = rows.withColumn("whole", whole)
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("whole", "n_consistent", "n_windows", -F.col("first_pos"), "end_pos", "n_item", "n_slots", "n_verbatim")).alias("m"))
     count = lambda c: F.col(f"m.{c}").cast("long").alias(c)
-    return best.select("doc_id", "item_id", *(count(c) for c in ("n_windows", "n_consistent", "n_item", "n_slots", "n_verbatim")),
-                       (-F.col("m.col3") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
+    return best.select("doc_id", "item_id", *(count(c) for c in ("n_windows", "n_consistent", "n_item", "n_slots", "n_verbatim")), "m.whole",
+                       (-F.col("m.col4") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no item was found."""
-    return without(spark, docs, leaks(spark, docs, benchmark, window).where("n_consistent > 0"))
+    """The rows of ``docs`` in which no item was found (an item under ``SHORTEST`` tokens: as the whole text)."""
+    return without(spark, docs, leaks(spark, docs, benchmark, window).where("n_consistent > 0 and whole"))
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,3 +23,12 @@ def test_one_changed_value_does_not_hide_a_passage(spark):
     assert found[0, 0].n_consistent == found[0, 0].n_item and found[1, 0].n_consistent == found[1, 0].n_item
     assert found[2, 1].n_consistent == found[2, 1].n_item - 8  # the windows over the 3, which two unchanged values outvote
     assert kept == set()
+
+
+def test_items_of_numbers_or_names_are_searched(spark):
+    items = ["Compute 12 + 7 - 3 * (8 + 15) / 2 - 41 + 6 * 9.", "Present: Anna, Bruno, Clara, Dieter, Emil, Frida, Georg, Hanna, Ivan, Julia.", "17 + 25", "Tiny", "", None]
+    texts = ["Now do this. " + items[0], "Now do this. Compute 13 + 7 - 4 * (8 + 16) / 2 - 40 + 6 * 8.", "At the table. " + items[1], "17 + 25", "a tiny word", "17 + 26"]
+    found, kept = run(spark, texts, items)
+    assert set(found) == {(0, 0), (2, 1), (3, 2), (4, 3)}
+    assert all(r.n_windows == r.n_item for r in found.values())
+    assert kept == {1, 4, 5}  # an item of three words or fewer must be the whole text
