@@ -3,9 +3,10 @@
 A text becomes a template: lower-cased words, with numbers, names (capitalised
 inside a sentence; words all in capitals are ordinary words) and units (a unit word after a number) replaced by typed
 placeholders; the words that were replaced are its slots. Every window of ``WINDOW``
-template tokens with at least ``LITERALS`` plain words is a key; a poorer window, and an item under ``SHORTEST``
-tokens, is keyed by its words as they are, so every item with a word has a key. Items shorter than a window are one
-window of their own length.
+template tokens with at least ``LITERALS`` plain words is a key; so is its case-blind form, with numbers
+and units replaced but no names, so a verbatim passage is found whatever its case or surroundings. A window that is
+poor in plain words even so, and an item under ``SHORTEST`` tokens, is keyed by its words as they are, so every item
+with a word has a key. Items shorter than a window are one window of their own length.
 
 1. *Candidates.* Window hashes of all documents, in the forms that the items' keys have, meet the items' distinct
    hashes; only (id, hash) leave the projection, and only documents with a
@@ -168,7 +169,7 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
     rows = items.select("item_id", "n", F.explode(_slices("raw", size, make)).alias("z")).select("item_id", "n", "z.*")
     enough = lambda w: (_plain(F.col(w)) >= _least(size)) & (F.col("n") >= SHORTEST)
     slots = F.filter(F.transform("t", lambda t, k: F.struct(k.alias("k"), F.get("r", k).alias("b"), t.alias("t"))), lambda z: z["t"].startswith("<"))
-    keys = F.array_distinct(F.array_compact(F.array(F.when(enough("t"), F.col("t")), F.when(~enough("t"), F.col("r")))))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(enough("t"), F.col("t")), F.when(enough("b"), F.col("b")), F.when(~enough("b"), F.col("r")))))
     rows = rows.select("item_id", "n", "item_pos", F.lit(size).alias("size"), enough("b").alias("rich"), slots.alias("slots"), F.explode(keys).alias("key"))
     named = F.exists("key", lambda t: t == NAME) | (F.get("key", F.lit(0)) == UNIT)
     form = F.when(named, F.lit(TEMPLATE)).when(F.exists("key", lambda t: t.startswith("<")), F.lit(BLIND)).otherwise(F.lit(RAW))

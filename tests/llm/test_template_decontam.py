@@ -32,3 +32,13 @@ def test_items_of_numbers_or_names_are_searched(spark):
     assert set(found) == {(0, 0), (2, 1), (3, 2), (4, 3)}
     assert all(r.n_windows == r.n_item for r in found.values())
     assert kept == {1, 4, 5}  # an item of three words or fewer must be the whole text
+
+
+def test_verbatim_text_is_found_in_any_case_and_place(spark):
+    item = "Yesterday the old Anna met young Bruno near big Hamburg where small Clara sold red Tulips to poor Dieter at home"
+    ask, walk = "What is the capital city of France?", "Days went by and nobody came home"
+    texts = [item, item.upper(), item.lower(), item.title(), "Geography\n" + ask, "- " + ask, "then we asked them " + ask, "THEN " + ask.upper(), "after 5 " + walk]
+    found, kept = run(spark, texts, [item, ask, walk])
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 1), (8, 2)}
+    assert all(r.n_windows == r.n_consistent == r.n_item for r in found.values())
+    assert kept == set()
