@@ -17,6 +17,8 @@ with a word has a key. Items shorter than a window are one window of their own l
    alignment (document position less item position) are compared slot by slot: a slot conflicts when it
    differs from the item's and its value is not the most frequent (or as frequent) for that
    item value there. Only windows with a conflicting slot count as inconsistent.
+3. *Dropping.* ``leaks`` reports every item found; ``clean`` drops a document for a share of an item's windows or a long
+   verbatim run, so a stock phrase of one window is not enough.
 
 ``op3_template_decontam`` returns ``template_rows``, which are bound to the SQL twin: template keys alone, and an
 alignment with one conflict is left out. ``leaks`` and ``clean``, which the pipeline runs, do the above.
@@ -40,6 +42,8 @@ WINDOW = 8
 LITERALS = 4
 SHORTEST = 4
 BROADCAST_ROWS = 1_000_000
+SHARE = 50  # per cent of an item's windows that drop a document
+RUN = 13  # words of a verbatim run that do so
 RAW, BLIND, TEMPLATE = range(3)  # forms of a key: no placeholder; numbers and units; names too
 
 # Unit words that make a unit placeholder after a number.
@@ -202,11 +206,14 @@ def _alignments(hits: DataFrame) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, item_id, n_windows, n_consistent, n_item, n_slots, n_verbatim, whole, first_word, last_word)``: each item found in a document.
+    """``(doc_id, item_id, n_windows, n_consistent, n_item, n_slots, n_verbatim, leaked, first_word, last_word)``: each item found in a document.
 
     Windows matched at the item's best alignment, those of them without a conflicting slot, all windows of the item, distinct
-    slot pairs, words of the longest verbatim run, whether the
-    item has ``SHORTEST`` tokens or is the whole text, and the span of tokens (from 0) that the matched windows cover.
+    slot pairs, words of the longest verbatim run, whether that is
+    enough to drop the document, and the span of tokens (from 0) that the matched windows cover.
+
+    Enough is, at one alignment: ``SHARE`` per cent of the item's windows (all of them where it has no more than ``window``), or a
+    verbatim run of ``RUN`` words, each window of it with enough plain words. An item under ``SHORTEST`` tokens must be the whole text.
     """
     items = _folded(benchmark, "item_id").where("n > 0")
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 values
@@ -234,17 +241,18 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
         mine = [again.select("doc_id", F.col("n").alias("n_doc"), F.lit(0).alias("size"), F.lit(0).alias("form"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("window"), F.col("raw").alias("words"))]
     met = reduce(DataFrame.unionByName, mine).join(fit(keyed), ["hash", "window", "size", "form"])
     rows = _alignments(met.withColumn("shift", F.col("pos") - F.col("item_pos")))
+    share = F.when(F.col("n_item") > window, F.col("n_consistent") * 100 >= F.col("n_item") * SHARE).otherwise(F.col("n_consistent") == F.col("n_item"))
     whole = (F.col("n") >= SHORTEST) | (F.col("n_doc") == F.col("n"))
-    rows = rows.withColumn("whole", whole)
-    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("whole", "n_consistent", "n_windows", -F.col("first_pos"), "end_pos", "n_item", "n_slots", "n_verbatim")).alias("m"))
+    rows = rows.withColumn("leaked", whole & (share | (F.col("n_verbatim") >= RUN)))
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("leaked", "n_consistent", "n_windows", -F.col("first_pos"), "end_pos", "n_item", "n_slots", "n_verbatim")).alias("m"))
     count = lambda c: F.col(f"m.{c}").cast("long").alias(c)
-    return best.select("doc_id", "item_id", *(count(c) for c in ("n_windows", "n_consistent", "n_item", "n_slots", "n_verbatim")), "m.whole",
+    return best.select("doc_id", "item_id", *(count(c) for c in ("n_windows", "n_consistent", "n_item", "n_slots", "n_verbatim")), "m.leaked",
                        (-F.col("m.col4") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no item was found (an item under ``SHORTEST`` tokens: as the whole text)."""
-    return without(spark, docs, leaks(spark, docs, benchmark, window).where("n_consistent > 0 and whole"))
+    """The rows of ``docs`` without enough of any item; ``leaks`` tells what is enough."""
+    return without(spark, docs, leaks(spark, docs, benchmark, window).where("leaked"))
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_verbatim_text_is_found_in_any_case_and_place(spark):
     assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 1), (8, 2)}
     assert all(r.n_windows == r.n_consistent == r.n_item for r in found.values())
     assert kept == set()
+
+
+def test_stock_phrases_do_not_drop_clean_documents(spark):
+    one = "We know that the chemist Marie Curie was born in 1867 in Warsaw and later shared a prize with her husband"
+    two = "The painter Clara Blau was born in Ulm. She moved in 1901 to Paris to study the colours of old glass windows there"
+    texts = ["The physicist Albert Einstein was born in 1879 in Ulm and then left", "In short Emma Roth was born in Bonn. She moved in 1950 to Rome to study law",
+             "Before. " + one, "We know that the chemist Lise Meitner was born in 1878 in Vienna and later shared a prize with her husband", "He said that " + " ".join((one + " " + two).split()[14:28])]
+    found, kept = run(spark, texts, [one, two, one + " " + two + " " + PROBLEM])
+    assert 0 < found[0, 0].n_consistent < found[0, 0].n_item / 2 and 0 < found[1, 1].n_consistent < found[1, 1].n_item / 2
+    assert kept == {0, 1}
+    assert found[4, 2].leaked and found[4, 2].n_consistent * 2 < found[4, 2].n_item  # a verbatim run of a long item
