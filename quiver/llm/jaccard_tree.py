@@ -22,7 +22,8 @@ nothing). Two documents link when ``100 * |A & B| >= threshold * |A | B|``.
    children and the size range; the dual traversal drops node pairs whose
    sizes cannot match or whose largest possible overlap is too small, and pairs
    that verified links have already put into one component. Surviving leaf pairs
-   are verified on the full sets.
+   are verified on the full sets. ``jaccard_links`` verifies every surviving pair, also
+   inside a component, and counts each document's links.
 4. The verified links and the copies give the components.
 
 Nothing is approximate: each pruning step has a proof, and no partner,
@@ -55,6 +56,7 @@ BUCKET_KEYS = 1_000_000  # keys a routing bucket holds on average
 BLOCK = 2_000_000  # shingles of a tree block
 BROADCAST_ROWS = 1_000_000  # member rows (at most 40 bytes each) that may be broadcast
 FANOUT = 16
+LINK = ("n_a", "sum_a", "par_a", "n_b", "sum_b", "par_b")  # a link between two sets, each by size, sum and parity
 PAIRS = 1 << 12  # node pairs handled at once; their children are up to FANOUT**2 times as many
 
 
@@ -129,7 +131,7 @@ def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         plan = Parts(threshold)
         for batch in batches:
             for lo, sets in _batch_sets(batch.column(1), width):
-                fp = [np.array([f.reduce(s) for s in sets], np.uint64).view(np.int64) for f in (np.add, np.bitwise_xor)]
+                fp = _prints(sets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0]), pa.array(fp[1]),
                      K.binary([plan.keys(s) for s in sets])],
@@ -213,8 +215,8 @@ class Forest:
             lab = up
 
 
-def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Index pairs of linked sets that connect what is linked (a spanning forest of all links)."""
+def tree_links(sets: list[np.ndarray], threshold: int, every: bool = False) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that connect what is linked (a spanning forest of all links), or all of them with ``every``."""
     m, t = len(sets), threshold
     if m < 2:
         return []
@@ -243,7 +245,7 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
             forest.join(x, y)
             found.append((order[x], order[y]))
 
-    for x in range(m - 1):  # neighbours in the tree's order are the likeliest links
+    for x in range(0 if every else m - 1):  # neighbours in the tree's order are the likeliest links
         if min(size[x], size[x + 1]) * 100 >= t * max(size[x], size[x + 1]):
             verify(x, x + 1)
 
@@ -265,7 +267,7 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
             stack += [(depth, x[PAIRS:], y[PAIRS:]), (depth, x[:PAIRS], y[:PAIRS])]
             continue
         nodes, lo, hi, slack = levels[depth]
-        keep = (same[depth][x] < 0) | (same[depth][x] != same[depth][y])
+        keep = (same[depth][x] < 0) | (same[depth][x] != same[depth][y]) | every
         keep &= (hi[x] * 100 >= t * lo[y]) & (hi[y] * 100 >= t * lo[x])
         x, y = x[keep], y[keep]
         step = max(1, (1 << 19) // nodes.shape[1])
@@ -292,15 +294,23 @@ def tree_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
         joined = len(found)
         for k in np.argsort(-bound + need(size[x], size[y]), kind="stable"):
             i, j = int(x[k]), int(y[k])
-            if forest.find(i) != forest.find(j):
+            if every or forest.find(i) != forest.find(j):
                 verify(i, j)
-        if len(found) > joined:
+        if len(found) > joined and not every:
             same = uniform()
     return found
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n_members: int, weight: int, width: int, threshold: int) -> DataFrame:
-    """``(a, b)`` links inside the groups of ``members(doc_id, gid)``, which hold ``weight`` shingles in all."""
+def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sum and parity of every set, which with its size tell sets apart."""
+    return [np.array([f.reduce(s) for s in sets], np.uint64).view(np.int64) for f in (np.add, np.bitwise_xor)]
+
+
+def verified_links(docs: DataFrame, members: DataFrame, n_members: int, weight: int, width: int, threshold: int, every: bool = False) -> DataFrame:
+    """``(a, b)`` links inside the groups of ``members(doc_id, gid)``, which hold ``weight`` shingles in all.
+
+    With ``every``, all links between different sets, by size, sum and parity: ``(n_a, sum_a, par_a, n_b, sum_b, par_b)``, each once.
+    """
     bins = max(1, -(-weight // BLOCK))
 
     def sets(batches):
@@ -319,10 +329,27 @@ def verified_links(docs: DataFrame, members: DataFrame, n_members: int, weight:
             links += [(int(ids[group[x]]), int(ids[group[y]])) for x, y in tree_links(got, threshold)]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
+    def all_pairs(table: pa.Table) -> pa.Table:
+        gid, packed = table.column("gid").to_numpy(), table.column("shingles")
+        order = np.argsort(gid, kind="stable")
+        parts = []
+        for group in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
+            got = [np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in group]
+            marks = np.stack([np.array([len(s) for s in got], np.int64), *_prints(got)], axis=1)
+            marks, first = np.unique(marks, axis=0, return_index=True)  # rows that repeat an id repeat its set
+            full = np.flatnonzero(marks[:, 0] > 0)
+            pairs = np.array(tree_links([got[first[i]] for i in full], threshold, every=True), np.int64).reshape(-1, 2)
+            pairs = full[np.sort(pairs, axis=1)]
+            parts.append(np.concatenate([marks[pairs[:, 0]], marks[pairs[:, 1]]], axis=1))
+        out = np.concatenate(parts)
+        return pa.table({c: pa.array(out[:, k], pa.int64()) for k, c in enumerate(LINK)})
+
     members = members.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     routed = texts.join(F.broadcast(members) if n_members <= BROADCAST_ROWS else members, "doc_id")
     routed = routed.select("doc_id", "text", "gid", "bin").mapInArrow(sets, "doc_id long, gid long, bin long, shingles binary")
+    if every:  # sets of one cell meet in several trees
+        return routed.groupBy("bin").applyInArrow(all_pairs, ", ".join(f"{c} long" for c in LINK)).distinct()
     return routed.groupBy("bin").applyInArrow(trees, "a long, b long")
 
 
@@ -353,8 +380,8 @@ def tree_groups(members: DataFrame, threshold: int) -> DataFrame:
     return small.unionByName(large.select("doc_id", "n_shingles", F.explode(gids).alias("gid")))
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module."""
+def _routed(spark: SparkSession, docs: DataFrame, width: int, threshold: int) -> tuple:
+    """Signatures, those that can link, the smallest id of each set, tree members, and the members' rows and shingles."""
     if not 50 < threshold <= 100:
         raise ValueError("threshold is a percentage over 50")
     bound_batches(spark)
@@ -370,13 +397,45 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, thr
     tree_groups(members, threshold).write.parquet(f"{base}/members")
     members = spark.read.parquet(f"{base}/members")
     rows, weight = members.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
-    links = verified_links(docs, members.select("doc_id", "gid"), rows, weight or 0, width, threshold)
+    return sig, known, leads, members.select("doc_id", "gid"), rows, weight or 0
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module."""
+    sig, known, leads, members, rows, weight = _routed(spark, docs, width, threshold)
+    links = verified_links(docs, members, rows, weight, width, threshold)
     copies = known.join(leads, ["n_shingles", "fp_a", "fp_b"]).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     found = components(spark, links.unionByName(copies.where("a <> b")))
     out = sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links)`` for every row of ``docs``, no link left out.
+
+    ``n_links`` counts the other documents whose set links with the row's; a document whose rows hold different sets counts once per set.
+    Rows with a null ``doc_id`` have none.
+    """
+    sig, known, leads, members, rows, weight = _routed(spark, docs, width, threshold)
+    path = scratch_dir(spark, "links")
+    verified_links(docs, members, rows, weight, width, threshold, every=True).write.parquet(path)
+    links = spark.read.parquet(path)
+    mark = ["n_shingles", "fp_a", "fp_b"]
+    one, other = LINK[:3], LINK[3:]
+    sides = [links.select(*(F.col(c).alias(m) for c, m in zip(x, mark, strict=True)), *(F.col(c).alias(f"to_{m}") for c, m in zip(y, mark, strict=True))) for x, y in ((one, other), (other, one))]
+    copies = known.groupBy(*mark).agg(F.countDistinct("doc_id").alias("copies"), F.min("doc_id").alias("lead"))
+    partner = copies.select(*(F.col(m).alias(f"to_{m}") for m in mark), F.col("copies").alias("partners"), F.col("lead").alias("b"))
+    met = sides[0].unionByName(sides[1]).join(partner, [f"to_{m}" for m in mark])
+    own = copies.join(met.groupBy(*mark).agg(F.sum("partners").alias("partners")), mark, "left")
+    own = own.select(*mark, "lead", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
+    edges = met.join(copies, mark).select(F.col("lead").alias("a"), "b").where("a > b")
+    same = known.join(leads, mark).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    found = components(spark, edges.unionByName(same.where("a <> b")))
+    out = sig.select("doc_id", *mark).join(own.drop("lead"), mark, "left").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    n_links = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """One row of each group of linked documents: that of the smallest id. Rows with a null id stay."""
     linked = jaccard_components(spark, docs, width, threshold).where("doc_id <> component_id")
