@@ -16,6 +16,7 @@ _OPERATORS = {
     "token_shards": "op8_token_shards",
     "suffix_dedup": "op9_suffix_dedup",
     "fair_mix": "op10_fair_mix",
+    "external_shuffle": "op11_external_shuffle",
 }
 
 
