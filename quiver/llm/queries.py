@@ -17,6 +17,7 @@ _OPERATORS = {
     "suffix_dedup": "op9_suffix_dedup",
     "fair_mix": "op10_fair_mix",
     "external_shuffle": "op11_external_shuffle",
+    "whitening": "op12_embedding_whitening",
 }
 
 
