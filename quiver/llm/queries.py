@@ -18,6 +18,7 @@ _OPERATORS = {
     "fair_mix": "op10_fair_mix",
     "external_shuffle": "op11_external_shuffle",
     "whitening": "op12_embedding_whitening",
+    "prefix_trie": "op13_prefix_trie",
 }
 
 
