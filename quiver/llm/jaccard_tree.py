@@ -9,12 +9,15 @@ nothing). Two documents link when ``100 * |A & B| >= threshold * |A | B|``.
    cut into more than H parts, some part is equal in both. Each document
    carries one 64-bit key per part; documents that share a key are joined to the
    smallest id of the key, and the connected components of these stars are the
-   trees' roots. Parts with fewer than ``MIN_PART`` shingles are left out where
+   trees' roots. Near copies share most keys, so keys meet in two rounds: first the
+   ``EARLY`` least keys of each size class, then all keys under the ids of the components
+   found so far, where near copies have one id and give no further links. A bucket of keys gives a
+   spanning forest at most. Parts with fewer than ``MIN_PART`` shingles are left out where
    the spare parts guarantee another equal one, so common passages don't glue
    unrelated documents together. Keys travel as packed blocks; equal keys
    are combined before the shuffle.
 2. *Exact copies* (equal sets, by size and 128 bits of sum and parity) are represented by
-   their smallest id; only representatives enter a tree.
+   their smallest id; only representatives are routed and enter a tree.
 3. *Trees.* A root of more than ``BLOCK`` shingles is cut by size range, and
    by hash inside a range, into blocks; every pair of blocks with compatible
    size ranges is one tree join, so no task holds more than two blocks. Inside a
@@ -53,6 +56,7 @@ from quiver.session import scratch_dir
 MIN_PART = {90: 4}  # smallest part (in shingles) that makes a key, by threshold; 2 elsewhere
 FLUSH_KEYS = 2_000_000  # keys a routing task gathers before it sends blocks
 BUCKET_KEYS = 1_000_000  # keys a routing bucket holds on average
+EARLY = 2  # keys of a size class that meet in the first round
 BLOCK = 2_000_000  # shingles of a tree block
 BROADCAST_ROWS = 1_000_000  # member rows (at most 40 bytes each) that may be broadcast
 FANOUT = 16
@@ -107,7 +111,8 @@ class Parts:
             out.append((c, parts, parts - 1 - self._reach(n + min(most, high))))
         return out
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray) -> list[np.ndarray]:
+        """The keys of a set, by size class."""
         out = []
         spread = s >> K.U(31)  # the hashes are well mixed: any bits deal them out, and sums tell sets apart
         for c, k, spare in self.classes(len(s)):
@@ -121,24 +126,42 @@ class Parts:
             key = K.mix(sums[:k] + K.mix(np.arange(k, dtype=np.uint64), 1000 + c), 7)
             small = count < self.min_part
             out.append(key[~small] if small.sum() <= spare else key)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return out
 
 
 def signatures(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """``(doc_id, n_shingles, fp_a, fp_b, keys)`` of every row."""
+    """``(doc_id, n_shingles, fp_a, fp_b, early, keys)`` of every row; ``early`` are the least keys of each class."""
+    none = np.zeros(0, np.uint64)
 
     def run(batches):
         plan = Parts(threshold)
         for batch in batches:
             for lo, sets in _batch_sets(batch.column(1), width):
                 fp = _prints(sets)
+                keys = [plan.keys(s) for s in sets]
+                early = [np.concatenate([none, *(np.sort(c)[:EARLY] for c in k)]) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0]), pa.array(fp[1]),
-                     K.binary([plan.keys(s) for s in sets])],
-                    ["doc_id", "n_shingles", "fp_a", "fp_b", "keys"],
+                     K.binary(early), K.binary([np.concatenate([none, *k]) for k in keys])],
+                    ["doc_id", "n_shingles", "fp_a", "fp_b", "early", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp_a long, fp_b long, keys binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp_a long, fp_b long, early binary, keys binary")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what ``(a, b)`` connects: each id to the smallest one of its component."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        for side in (x, y):
+            np.minimum.at(root, root[side], low)
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[own], ids[root[own]]
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +170,11 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     k, i = keys[order], ids[order]
     head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     lead = np.repeat(i[head], np.diff(np.append(head, len(k))))
-    links = np.unique(np.stack([i[lead != i], lead[lead != i]]), axis=1)
-    return k[head], i[head], links[0], links[1]
+    return k[head], i[head], *_forest(i[lead != i], lead[lead != i])
 
 
 def key_links(sig: DataFrame, n_buckets: int) -> DataFrame:
-    """``(a, b)``: every document to the smallest id that shares one of its keys."""
+    """``(a, b)``: links that connect all ids of ``sig(doc_id, keys)`` which share a key; a spanning forest per bucket."""
 
     def deal(batches):
         keys, ids, held = [], [], 0
@@ -182,7 +204,7 @@ def key_links(sig: DataFrame, n_buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         got = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64 if c == "keys" else np.int64) for c in ("keys", "ids", "a", "b")}
         _, _, a, b = _stars(got["keys"], got["ids"])
-        a, b = np.unique(np.stack([np.concatenate((a, got["a"])), np.concatenate((b, got["b"]))]), axis=1)
+        a, b = _forest(np.concatenate((a, got["a"])), np.concatenate((b, got["b"])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = sig.where("doc_id is not null").select("doc_id", "keys").mapInArrow(deal, "bucket long, keys binary, ids binary, a binary, b binary")
@@ -380,32 +402,48 @@ def tree_groups(members: DataFrame, threshold: int) -> DataFrame:
     return small.unionByName(large.select("doc_id", "n_shingles", F.explode(gids).alias("gid")))
 
 
+MARK = ("n_shingles", "fp_a", "fp_b")
+
+
+def _roots(spark: SparkSession, sig: DataFrame) -> DataFrame:
+    """``(node, component)`` of all ids of ``sig(doc_id, early, keys)`` that share a key with another one, in two rounds."""
+    bytes_of = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    buckets = [max(1, n // 8 // BUCKET_KEYS) for n in sig.agg(bytes_of("early"), bytes_of("keys")).first()]
+    path = scratch_dir(spark, "rounds")
+    components(spark, key_links(sig.select("doc_id", F.col("early").alias("keys")), buckets[0])).write.parquet(path)
+    found = spark.read.parquet(path)
+    few = found.count() <= BROADCAST_ROWS
+    again = sig.join(F.broadcast(found) if few else found, sig["doc_id"] == found["node"], "left")
+    again = again.select(F.coalesce("component", "doc_id").alias("doc_id"), "keys")
+    return components(spark, found.toDF("a", "b").unionByName(key_links(again, buckets[1])))
+
+
 def _routed(spark: SparkSession, docs: DataFrame, width: int, threshold: int) -> tuple:
-    """Signatures, those that can link, the smallest id of each set, tree members, and the members' rows and shingles."""
+    """Signatures, those that can link, each copy's ``lead``, tree members, and the members' rows and shingles."""
     if not 50 < threshold <= 100:
         raise ValueError("threshold is a percentage over 50")
     bound_batches(spark)
     base = scratch_dir(spark, "jaccard")
     signatures(docs, width, threshold).write.parquet(f"{base}/signatures")
     sig = spark.read.parquet(f"{base}/signatures")
-    n_keys = sig.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     known = sig.where("doc_id is not null and n_shingles > 0")
-    leads = known.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("lead"))
-    roots = components(spark, key_links(sig, max(1, n_keys // 8 // BUCKET_KEYS)))
-    distinct = leads.select(F.col("lead").alias("doc_id"), "n_shingles")
-    members = distinct.join(roots.withColumnsRenamed({"node": "doc_id", "component": "root"}), "doc_id")
-    tree_groups(members, threshold).write.parquet(f"{base}/members")
+    leads = known.groupBy(*MARK).agg(F.min("doc_id").alias("lead"))
+    known.select("doc_id", *MARK).join(leads, list(MARK)).where("doc_id <> lead").distinct().write.parquet(f"{base}/copies")
+    copies = spark.read.parquet(f"{base}/copies")
+    led = copies.drop("lead")
+    distinct = known.join(F.broadcast(led) if led.count() <= BROADCAST_ROWS else led, ["doc_id", *MARK], "left_anti")
+    roots = _roots(spark, distinct).withColumnsRenamed({"node": "doc_id", "component": "root"})
+    tree_groups(distinct.select("doc_id", *MARK).distinct().join(roots, "doc_id"), threshold).write.parquet(f"{base}/members")
     members = spark.read.parquet(f"{base}/members")
     rows, weight = members.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
-    return sig, known, leads, members.select("doc_id", "gid"), rows, weight or 0
+    return sig, known, copies, members.select("doc_id", "gid"), rows, weight or 0
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module."""
-    sig, known, leads, members, rows, weight = _routed(spark, docs, width, threshold)
+    sig, _, copies, members, rows, weight = _routed(spark, docs, width, threshold)
     links = verified_links(docs, members, rows, weight, width, threshold)
-    copies = known.join(leads, ["n_shingles", "fp_a", "fp_b"]).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    found = components(spark, links.unionByName(copies.where("a <> b")))
+    found = components(spark, links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))))
     out = sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -416,11 +454,11 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, threshol
     ``n_links`` counts the other documents whose set links with the row's; a document whose rows hold different sets counts once per set.
     Rows with a null ``doc_id`` have none.
     """
-    sig, known, leads, members, rows, weight = _routed(spark, docs, width, threshold)
+    sig, known, same, members, rows, weight = _routed(spark, docs, width, threshold)
     path = scratch_dir(spark, "links")
     verified_links(docs, members, rows, weight, width, threshold, every=True).write.parquet(path)
     links = spark.read.parquet(path)
-    mark = ["n_shingles", "fp_a", "fp_b"]
+    mark = list(MARK)
     one, other = LINK[:3], LINK[3:]
     sides = [links.select(*(F.col(c).alias(m) for c, m in zip(x, mark, strict=True)), *(F.col(c).alias(f"to_{m}") for c, m in zip(y, mark, strict=True))) for x, y in ((one, other), (other, one))]
     copies = known.groupBy(*mark).agg(F.countDistinct("doc_id").alias("copies"), F.min("doc_id").alias("lead"))
@@ -429,8 +467,7 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, threshol
     own = copies.join(met.groupBy(*mark).agg(F.sum("partners").alias("partners")), mark, "left")
     own = own.select(*mark, "lead", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
     edges = met.join(copies, mark).select(F.col("lead").alias("a"), "b").where("a > b")
-    same = known.join(leads, mark).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    found = components(spark, edges.unionByName(same.where("a <> b")))
+    found = components(spark, edges.unionByName(same.select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))))
     out = sig.select("doc_id", *mark).join(own.drop("lead"), mark, "left").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     n_links = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))

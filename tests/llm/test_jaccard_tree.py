@@ -65,7 +65,7 @@ def test_linked_sets_share_a_key(seed, threshold, n):
     both = len(np.intersect1d(a, b))
     if 100 * both >= threshold * (len(a) + len(b) - both) and not np.array_equal(a, b):
         plan = J.Parts(threshold)
-        assert set(plan.keys(a).tolist()) & set(plan.keys(b).tolist())
+        assert set(np.concatenate(plan.keys(a)).tolist()) & set(np.concatenate(plan.keys(b)).tolist())
 
 
 def test_tree_finds_what_pairs_find():
@@ -95,3 +95,40 @@ def test_keep_one(spark, odd_docs):
     assert sorted(i for i in ids if i is not None) == sorted({c for c in found.values() if c is not None})
     assert ids.count(None) == 3
     assert kept.columns == odd_docs.columns
+
+
+def test_routing_links_do_not_grow_with_the_buckets(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*base[: k % 390], f"x{k}", *base[k % 390 + 1 :]])) for k in range(300)]
+    sig = J.signatures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80)
+    plain, counts = J.key_links, []
+
+    def counted(sig, n_buckets):
+        links = plain(sig, n_buckets).persist()
+        counts.append((n_buckets, links.count()))
+        return links
+
+    monkeypatch.setattr(J, "key_links", counted)
+    roots = []
+    for per_bucket in (10**6, 400):
+        monkeypatch.setattr(J, "BUCKET_KEYS", per_bucket)
+        roots.append(sorted(map(tuple, J._roots(spark, sig).collect())))
+    assert roots[0] == roots[1] == [(k, 0) for k in range(300)]
+    (b1, one), (b2, two), (b3, early), (b4, rest) = counts
+    assert (b1, b2, one) == (1, 1, 299) and b4 > 50 and two < 30 and rest < 60
+    assert early <= 3 * J.EARLY * 300
+    assert plain(sig, b4).count() > 5 * (early + rest)  # all keys at once: a link a bucket
+    spark.catalog.clearCache()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_forest(links):
+    a, b = (np.array([e[k] for e in links], np.int64) for k in (0, 1))
+    up = dict(zip(*(x.tolist() for x in J._forest(a, b)), strict=True))
+    parent = {x: x for e in links for x in e}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for x, y in links:
+        x, y = sorted((find(x), find(y)))
+        parent[y] = x
+    assert up == {x: find(x) for x in parent if find(x) != x}
