@@ -60,14 +60,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERC
 def fair_mix(
     spark: SparkSession, sized: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, repeats: int = REPEATS, seed: str = "mix"
 ) -> DataFrame:
-    """``sized(doc_id, source, size, ...)`` plus ``source_size, target, copies, taken``; every row stays.
+    """``sized(doc_id, source, size, ...)`` plus ``source_size, target, copies, taken``, which replace columns of these names; every row stays.
 
     ``size`` must not be null. ``copies`` is how often the mix takes the document, ``taken`` its words in all.
     """
     buckets = 1 << max(0, (sized.count() // BUCKET_ROWS).bit_length())
     key = F.md5(F.concat(F.lit(seed), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     at = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
-    rows = sized.withColumn("mix_key", key).withColumn("mix_at", at)
+    extra = [c for c in sized.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")]
+    held = F.struct(*[sized[c] for c in extra]) if extra else F.lit(True)
+    rows = sized.select("doc_id", "source", "size", held.alias("mix_row")).withColumn("mix_key", key).withColumn("mix_at", at)
     totals = rows.groupBy("source", "mix_at").agg(F.sum("size").alias("words"))
     path = scratch_dir(spark, "mix")
     totals.write.parquet(path)
@@ -95,7 +97,8 @@ def fair_mix(
         cut = F.struct(F.lit(row["t"]).alias("t"), F.lit(row["s"]).alias("s"), F.lit(row["n"]).alias("n"), F.lit(row["k"]).alias("k"), F.lit(row["c"]).alias("c"))
         copies = sum((F.when(place(F.lit(c)) <= cut, 1).otherwise(0) for c in range(repeats)), F.lit(0))
     out = served.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[sized[c] for c in sized.columns], "source_size", "target", "copies", "taken")
+    own = [c for c in sized.columns if c in extra or c in ("doc_id", "source", "size")]
+    return out.select(*[F.col("mix_row")[c].alias(c) if c in extra else F.col(c) for c in own], "source_size", "target", "copies", "taken")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

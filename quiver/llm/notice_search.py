@@ -4,13 +4,14 @@ Text is folded to its words (A-Z lower-cased; ASCII letters and digits and every
 other character make words, the rest separates them) joined by one space. A notice of the catalogue may
 differ by at most ``edits`` insertions, deletions or substitutions of characters.
 By the pigeonhole principle, one of its ``edits + 1`` consecutive pieces then stands
-unchanged in the text, so exact search for the pieces yields every candidate;
-around each hit the ``regex`` library's bounded-error matching decides, and
-the match with the fewest edits at a place is reported as a span of words.
+unchanged in the text, so exact search for the pieces yields every place where a notice can begin: the word starts
+within ``edits`` characters of where the piece puts it. From each of them the ``regex`` library's bounded-error matching decides,
+once, on a window of the notice's length and the edits, so the work is linear in the text.
+Of overlapping matches the one with the fewest edits is reported as a span of words (then the first, then the shortest).
 Documents are independent: one pass, no shuffle, one Arrow batch in memory.
 
-Defined results: a null text is an empty one; every row is scanned by itself,
-whatever its id; no other column is read.
+Defined results: a null text is an empty one; every row is scanned by itself, whatever its id, so repeated rows give
+repeated results; long texts are scanned whole; an empty table gives no rows; no other column is read.
 """
 
 from __future__ import annotations
@@ -49,9 +50,9 @@ class Notice:
     edits: int
 
     def pattern(self) -> str:
-        """For the ``regex`` library: the best match within the edits, between word limits."""
+        """For the ``regex`` library: the best match within the edits that ends at a word's end."""
         phrase = re.sub(r"([^\w ])", r"\\\1", self.phrase)
-        return rf"(?b)(?<![^ ])(?:{phrase}){{e<={self.edits}}}(?![^ ])"
+        return rf"(?b)(?:{phrase}){{e<={self.edits}}}(?<! )(?![^ ])"
 
     def pieces(self) -> list[tuple[int, str]]:
         n, k = len(self.phrase), self.edits + 1
@@ -87,20 +88,20 @@ def exact_places(text: str, phrase: str) -> list[int]:
 
 
 def fuzzy_spans(text: str, notice: Notice, pattern) -> list[tuple[int, int, int]]:
-    """``(start, end, edits)`` of the best matches, in characters of a folded text, not overlapping, at word limits."""
+    """``(start, end, edits)`` of the matches that none with fewer edits overlaps, in characters of a folded text, at word limits."""
     slack, n = notice.edits, len(notice.phrase)
-    found: list[tuple[int, int, int]] = []
-    zones: list[list[int]] = []
-    hits = sorted({hit - offset for offset, piece in notice.pieces() for hit in _everywhere(text, piece)})
-    for start in hits:
-        lo, hi = max(0, start - slack), min(len(text), max(0, start) + n + 2 * slack)
-        lo, hi = text.rfind(" ", 0, lo) + 1, (text.find(" ", hi) + 1 or len(text) + 1) - 1  # whole words
-        if zones and lo <= zones[-1][1]:
-            zones[-1][1] = max(zones[-1][1], hi)
-        else:
-            zones.append([lo, hi])
-    for lo, hi in zones:
-        for m in pattern.finditer(text, lo, hi, overlapped=True):
+    starts = set()
+    for offset, piece in notice.pieces():
+        for hit in _everywhere(text, piece):
+            at = max(0, hit - offset - slack)
+            at = 0 if not at else text.find(" ", at - 1) + 1 or len(text)
+            while at <= hit - offset + slack and at < len(text):
+                starts.add(at)
+                at = text.find(" ", at) + 1 or len(text)
+    found = []
+    for at in starts:
+        end = text.find(" ", min(len(text), at + n + slack))
+        if m := pattern.match(text, at, len(text) if end < 0 else end):
             found.append((sum(m.fuzzy_counts), *m.span()))
     best: list[tuple[int, int, int]] = []
     for e, a, b in sorted(found):
@@ -130,8 +131,9 @@ def notice_spans(docs: DataFrame, notices=NOTICES, share: float = EDIT_SHARE, ph
                 rows = []
                 for notice, pattern in wanted:
                     if any(piece in text for _, piece in notice.pieces()):
+                        first = at = 0
                         for a, b, e in fuzzy_spans(text, notice, pattern):
-                            first = text.count(" ", 0, a)
+                            first, at = first + text.count(" ", at, a), a
                             rows.append({"label": notice.label, "first": first, "last": first + text.count(" ", a, b), "edits": e,
                                          "score": 1 - e / len(notice.phrase)})
                 spans.append(rows)

@@ -111,17 +111,19 @@ def _condition(rule: Rule) -> Column:
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] | list[Rule], wanted: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` plus the ``wanted`` measures of every row and ``rejected_by``: the first rule, in the given order, that rejects it."""
-    own = [c for c in docs.columns if not c.startswith("m_")]
-    df = docs.select(*own, F.coalesce("text", F.lit("")).alias("m_text"), F.lit(None).cast("string").alias("m_by"))
+    """``docs`` plus the ``wanted`` measures of every row and ``rejected_by``: the first rule, in the given order, that rejects it.
+
+    These replace columns of their names; all others stay.
+    """
+    own = [c for c in docs.columns if c not in wanted and c != "rejected_by"]
+    df = docs.select(F.struct(*[docs[c] for c in own]).alias("m_row"), F.coalesce("text", F.lit("")).alias("m_text"), F.lit(None).cast("string").alias("m_by"))
     for name in wanted:
         df = _add(df, name, None)
     for rule in rules:
         for name in rule.needs:
             df = _add(df, name, F.col("m_by").isNull())
         df = df.withColumn("m_by", F.when(F.col("m_by").isNull() & _condition(rule), F.lit(rule.name)).otherwise(F.col("m_by")))
-    own = [c for c in own if c not in wanted and c != "rejected_by"]
-    return df.select(*own, *[F.col(f"m_{n}").alias(n) for n in wanted], F.col("m_by").alias("rejected_by"))
+    return df.select(*[F.col("m_row")[c].alias(c) for c in own], *[F.col(f"m_{n}").alias(n) for n in wanted], F.col("m_by").alias("rejected_by"))
 
 
 def measured_order(spark: SparkSession, docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:

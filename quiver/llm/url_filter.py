@@ -169,18 +169,18 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def judged_urls(spark: SparkSession, pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """``pages`` plus ``host, path, rule, block_score, verdict``."""
+    """``pages`` plus ``host, path, rule, block_score, verdict``, which replace columns of these names; all others stay."""
     model = {r["bucket"]: r["weight"] for r in train(spark, labelled_urls(spark) if labelled is None else labelled).collect()}  # BUCKETS + 1 rows at most
     weights = F.from_json(F.lit(json.dumps([model.get(b, 0.0) for b in range(BUCKETS)])), "array<double>")
     host, path = host_and_path(F.col("url"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "block_score", "verdict")]
-    out = pages.select(*own, host.alias("host"), path.alias("path"))
+    out = pages.select(F.struct(*[pages[c] for c in own]).alias("row"), host.alias("host"), path.alias("path"))
     out = out.withColumn("url_b", buckets(F.col("host"), F.col("path")))
     total = F.aggregate("url_b", F.lit(0.0), lambda s, b: s + F.get(weights, b)) / F.sqrt(F.greatest(F.size("url_b"), F.lit(1)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumn("block_score", 1 / (1 + F.exp(-(total + F.lit(model.get(BUCKETS, 0.0))))))
     out = out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
-    return out.select(*own, "host", "path", "rule", "block_score", "verdict")
+    return out.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", "rule", "block_score", "verdict")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

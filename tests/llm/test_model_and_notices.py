@@ -1,5 +1,11 @@
+import itertools
+import time
+
 import numpy as np
+import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiver.llm import notice_search as N
@@ -78,20 +84,72 @@ def edits(a, b):
     return row[-1]
 
 
+def near_spans(words, notice):
+    """Edits of every run of words within a notice's edits, by (first, end)."""
+    n = len(notice.phrase.split())
+    runs = ((i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + n + notice.edits) + 1))
+    runs = ((i, j) for i, j in runs if abs(len(" ".join(words[i:j])) - len(notice.phrase)) <= notice.edits)
+    return {(i, j): e for i, j in runs if (e := edits(" ".join(words[i:j]), notice.phrase)) <= notice.edits}
+
+
+def check_spans(text, notice):
+    near = near_spans(text.split(), notice)
+    spans = N.fuzzy_spans(text, notice, regex.compile(notice.pattern()))
+    got = {(text.count(" ", 0, a), text.count(" ", 0, b) + 1): e for a, b, e in spans}
+    assert len(got) == len(spans) and got.items() <= near.items()
+    for (i, j), e in near.items():  # each is reported, or something with as few edits that overlaps it
+        assert any(x < j and y > i and k <= e for (x, y), k in got.items()), (text, notice, i, j)
+    return got
+
+
 def test_fuzzy_spans_against_all_word_spans():
     texts = ["relaesed under the mit licence today", "licensed under the gnu genral public licence version 3 or later", "redistribution and usage in source or binary forms",
-             "in the public domain dedicated to thee public domains", "under the mit license under teh mit license", "nothing of the sort here"]
+             "in the public domain dedicated to thee public domains", "nothing of the sort here", "", "a", "under", "the mit license", "license license license"]
+    exact, near, bad = "under the mit license", "under teh mit license", "undr the mti license"
+    texts += [" ".join(p) for n in (1, 2, 3) for p in itertools.product((exact, near, bad, "x"), repeat=n)]
+    texts += ["un" + exact, exact + "s", "xx " + exact + "x under the", exact.replace(" ", " the "), "cc by nc cc by nc by nc"]
     for text in texts:
-        words = text.split()
         for notice in N.catalogue():
-            near = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if edits(" ".join(words[i:j]), notice.phrase) <= notice.edits}
-            spans = N.fuzzy_spans(text, notice, regex.compile(notice.pattern()))
-            got = {(text.count(" ", 0, a), text.count(" ", 0, b) + 1) for a, b, _ in spans}
-            assert got <= near
-            assert bool(got) == bool(near), (text, notice)
-            assert all(e == edits(text[a:b], notice.phrase) for a, b, e in spans)
-
-
-def test_labels_of_the_query(spark, odd_dir):
-    got = {r.labels for r in N.op7_license_notices(spark, odd_dir).where("n_base = 0").collect()}
-    assert {"", "mit", "gpl-3"} <= got
+            check_spans(text, notice)
+    mit = N.catalogue()[0]
+    assert set(check_spans(f"{near} {exact}", mit).values()) == {0, 2}
+    assert len(check_spans(f"{bad[:-1]}e {near} {exact} {near}", mit)) >= 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("under the teh mit mi t license licenses lic ense cc by nc x".split()), max_size=14))
+def test_fuzzy_spans_of_jumbled_words(words):
+    for notice in N.catalogue()[:4]:
+        check_spans(" ".join(words), notice)
+
+
+def test_a_long_text_takes_time_in_proportion():
+    mit = N.catalogue()[0]
+    pattern, took = regex.compile(mit.pattern()), []
+    for n in (2_000, 16_000):
+        text = " ".join(["under teh mit license"] * n)
+        began = time.process_time()
+        spans = N.fuzzy_spans(text, mit, pattern)
+        took.append(time.process_time() - began)
+        assert len(spans) == n and {e for *_, e in spans} == {2}
+    assert took[1] < 25 * took[0]
+
+
+def test_the_query_against_brute_force(spark, odd_dir):
+    rows = {r.doc_id: r for r in N.op7_license_notices(spark, odd_dir).collect()}
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for doc_id, text in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        base = sorted((p, label) for phrase, label in N.PHRASES for p in brute_places(text, phrase)[1])
+        r = rows[doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None)
+        assert r.base_labels == ",".join(sorted({label for _, label in base}))
+        if len(words) > 20 and not any(w in words for w in ("license", "licence", "public", "redistribution")):
+            assert (r.labels, r.score) == ("", 0.0)
+            continue
+        near = [(notice, e) for notice in N.catalogue() for e in near_spans(words, notice).values()]
+        assert r.labels == ",".join(sorted({label for _, label in base} | {n.label for n, _ in near}))
+        assert r.score == pytest.approx(1.0 if base else max((1 - e / len(n.phrase) for n, e in near), default=0.0))
+    assert {"", "mit", "gpl-3"} <= {r.labels for r in rows.values() if r.n_base == 0}
