@@ -42,6 +42,7 @@ from quiver.operators.knn import (
     _vector_stats,
     rank_partials,
 )
+from quiver.operators import expand
 from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir, scratch_dir
 
@@ -80,6 +81,10 @@ def train_centroids(df: DataFrame, lists: int, train_percent: float = 10.0, metr
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     m = resolve_metric(metric)
+    budget = _conf_int(df.sparkSession, "quiver.ivf.centroidBroadcastBytes", CENTROID_BROADCAST_BYTES)
+    dim = len((df.select(vec_col).first() or [[]])[0] or [])
+    if lists * dim * 4 > budget:  # before training: Spark's k-means holds all centres on the driver
+        raise ValueError(f"{lists} centroids x {dim} exceed the broadcast budget {budget} bytes")
     vec = normalize(vec_col) if m in ("cosine", "ip") else F.col(vec_col)
     frac = min(1.0, max(train_percent, 0.0) / 100.0)
     sample = df.select(array_to_vector(vec).alias("features"))
@@ -149,6 +154,7 @@ class IvfIndex:
     path: str | None = None
     meta: dict = field(default_factory=dict)
     _cen: tuple | None = field(default=None, repr=False)
+    _radii: np.ndarray | None = field(default=None, repr=False)
 
     def centroid_matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """The (size-checked) centroid matrix, collected once per index object."""
@@ -166,22 +172,43 @@ class IvfIndex:
         r = replicated_arrays(q, cids, C, p, self.metric)
         return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rk").alias("probe_rank"))
 
+    def radii(self) -> np.ndarray:
+        """Per list of ``centroid_matrix``, the greatest distance of a row from the centroid (-1: an empty list); stored with the index."""
+        if self._radii is None:
+            metric = resolve_metric(self.metric)
+            self._radii = stored_radii(self, "list_radii", expand.vector_offsets(metric), [self.vec_col])
+        return self._radii
+
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                n_probes: int | None = None, qvec_col: str = "embed", block_bytes: int | None = None,
-               broadcast_bytes: int | None = None) -> DataFrame:
+               broadcast_bytes: int | None = None, fill: bool = True) -> DataFrame:
         """Probe ``n_probes`` lists, rank exactly inside them, filter first (``pre``).
 
         Plan: when the query set and its probe map fit the broadcast budget,
         they are broadcast and the (partition-pruned) lists are scanned once
         by an Arrow kernel; each list's rows are ranked only against the
         queries that probe it and no list row is shuffled. Otherwise the
-        bounded-cell cogroup plan (:func:`cell_search`) is used.
+        bounded-cell cogroup plan (:func:`cell_search`) is used. With ``fill``, a query that a filter
+        leaves under k rows goes on through further lists (:mod:`quiver.operators.expand`).
         """
         ensure_checkpoint_dir(queries.sparkSession)
         # (qid, list_id) is consumed twice (probe counts and query cells):
         # computed once and checkpointed (queries x probes small rows).
         probes = self.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
+        run = lambda q, probes: self._partials(q, probes, k, where, flag, block_bytes, broadcast_bytes)
+        out = rank_partials(run(q, probes), k)
+        if fill and where is not None and flag is None:
+            cids, C = self.centroid_matrix()
+            p = n_probes or self.n_probes
+            if p < len(cids):
+                near = nearest_lists(cids, C, self.metric)
+                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, p, resolve_metric(self.metric), (cids, C, self.radii()), near, run), k)
+        return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
+
+    def _partials(self, q: DataFrame, probes: DataFrame, k: int, where: Column | None, flag: Column | None,
+                  block_bytes: int | None, broadcast_bytes: int | None) -> DataFrame:
+        """Partial top-k ``(qid, id, d[, ok])`` of the pairs ``probes(qid, list_id)``."""
         rows = prune_lists(self.lists, probes)
         rows = rows if where is None else rows.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col(self.vec_col).alias("v")]
@@ -196,8 +223,34 @@ class IvfIndex:
             partials = cell_search(rows, q, probes, self.list_sizes, k, self.metric, flag is not None,
                                    block_bytes or _conf_int(rows.sparkSession, "quiver.knn.blockBytes", DEFAULT_BLOCK_BYTES),
                                    n_lists=len(self.centroid_matrix()[0]))
-        out = rank_partials(partials, k)
-        return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
+        return partials
+
+
+def nearest_lists(cids: np.ndarray, C: np.ndarray, metric: str):
+    """Positions of the lists that :meth:`IvfIndex.probes` gives each query, by the same kernel."""
+    m, at = resolve_metric(metric), np.argsort(cids)
+
+    def nearest(Q: np.ndarray, n: int) -> np.ndarray:
+        top = TopK(np.arange(len(Q), dtype=np.int64), Q, n, m)
+        top.add(cids, C.astype(np.float64))
+        return at[np.searchsorted(cids[at], top.best_i)]
+
+    return nearest
+
+
+def stored_radii(index: IvfIndex, name: str, offsets, columns: list[str]) -> np.ndarray:
+    """The radii kept below the index's path under ``name``, computed and written there where they aren't yet."""
+    spark = index.lists.sparkSession
+    cids, C = index.centroid_matrix()
+    if index.path and not index.meta.get("appended"):
+        path = f"{index.path}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            expand.radii(index.lists, (cids, C), offsets, columns).write.mode("overwrite").parquet(path)
+        table = spark.read.schema("list_id int, radius double").parquet(path)
+    else:
+        table = expand.radii(index.lists, (cids, C), offsets, columns)
+    found = {r["list_id"]: r["radius"] for r in table.collect()}  # a row per list
+    return np.array([found.get(int(c), -1.0) for c in cids])
 
 
 def probe_plan(q: DataFrame, probes: DataFrame, k: int, budget: int | None = None):
@@ -420,6 +473,8 @@ def save_ivf(idx: IvfIndex, path: str, kind: str = "ivfflat", extra_meta: dict |
     """Write the index tables and meta.json; return the index read back."""
     spark = idx.lists.sparkSession
     p = path.rstrip("/")
+    for stale in ("list_radii", "code_radii"):
+        drop_index(spark, f"{p}/{stale}")
     idx.centroids.write.mode("overwrite").parquet(f"{p}/centroids")
     (idx.lists.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{p}/lists"))
     # The schema is kept: an index of no rows has no files to read it from.
@@ -448,6 +503,11 @@ def load_ivf(spark: SparkSession, path: str, n_probes: int | None = None) -> Ivf
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def drop_index(spark: SparkSession, path: str) -> None:
     """Remove an index directory; the vector table is untouched."""
     jvm = spark.sparkContext._jvm
@@ -468,7 +528,7 @@ def with_appended(index: IvfIndex, rows: DataFrame) -> IvfIndex:
     cols = index.lists.columns
     lists = index.lists.unionByName(rows.select(*cols))
     sizes = lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    return IvfIndex(index.centroids, lists, sizes, index.metric, index.n_probes, index.vec_col, index.path, dict(index.meta),
+    return IvfIndex(index.centroids, lists, sizes, index.metric, index.n_probes, index.vec_col, index.path, {**index.meta, "appended": True},
                     _cen=index._cen)
 
 

@@ -2,14 +2,14 @@
 
 IVF-PQ (Jegou, Douze, Schmid, TPAMI 2011): residual r = v - centroid(list),
 split into ``m`` equal slices; slice s is encoded by the id of its nearest of
-``2^bits`` sub-centroids. Tables::
+``2^bits`` sub-centroids; for cosine v is scaled to unit length first. Tables::
 
     codebook(sub int, code int, centroid array<float>)
     codes(list_id int, id long, codes array<smallint>, <metadata>, [embed])
 
 Search probes lists like IVF-flat; inside a bounded cell, a per (query, list)
-lookup table ``lut[s][c] = |q_res_s - cb[s][c]|^2`` is built in the kernel
-(never as rows) and distances are sums of table lookups. With ``rerank`` the
+lookup table ``lut[s][c] = |q_res_s - cb[s][c]|^2`` (``-q_s . cb[s][c]`` for inner product
+and cosine) is built in the kernel (never as rows) and distances are sums of table lookups. With ``rerank`` the
 top ``k * rerank`` by table distance are re-ranked exactly from ``embed``.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.functions.vector import quantize, resolve_metric
-from quiver.operators import ivf
+from quiver.functions.vector import normalize, quantize, resolve_metric
+from quiver.operators import expand, ivf
 from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials
 from quiver.operators.topk_kernel import TILE_DOUBLES, TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir, scratch_dir
@@ -155,10 +155,10 @@ def _codebook_array(codebook: DataFrame) -> np.ndarray:
 
 
 def encode(df: DataFrame, codebook: DataFrame, centroids: DataFrame | None = None, vec_col: str = "embed",
-           cb_array: np.ndarray | None = None, cen_arrays: tuple | None = None) -> DataFrame:
+           cb_array: np.ndarray | None = None, cen_arrays: tuple | None = None, unit: bool = False) -> DataFrame:
     """I4: append ``codes array<smallint>`` (nearest sub-centroid per slice, ties -> smaller code).
 
-    With ``centroids`` the residual to the row's ``list_id`` centroid is encoded.
+    With ``centroids`` the residual to the row's ``list_id`` centroid is encoded; with ``unit`` that of the vector at unit length.
     """
     spark = df.sparkSession
     CB = cb_array if cb_array is not None else _codebook_array(codebook)
@@ -183,6 +183,7 @@ def encode(df: DataFrame, codebook: DataFrame, centroids: DataFrame | None = Non
             if rb.num_rows == 0:
                 continue
             X = vectors_from_arrow(rb.column(vi))
+            X = expand.unit(X) if unit else X
             if cen_ is not None:
                 lids = rb.column(li).to_numpy()
                 X = X - cen_[1].astype(np.float64)[[lookup[int(x)] for x in lids]]
@@ -207,23 +208,59 @@ class IvfPqIndex:
     metric: str = "l2"
     rerank: int = 0
     _cb: np.ndarray | None = field(default=None, repr=False)
+    _radii: dict = field(default_factory=dict, repr=False)
 
     @property
     def codes(self) -> DataFrame:
         return self.coarse.lists
 
+    def radii(self, rerank: int) -> np.ndarray:
+        """Per list, the greatest distance from the centroid of what the search ranks: stored vectors, or vectors as coded."""
+        if bool(rerank) not in self._radii:
+            if rerank:
+                found = ivf.stored_radii(self.coarse, "list_radii", expand.vector_offsets(resolve_metric(self.metric)), [self.coarse.vec_col])
+            else:
+                norms = np.einsum("mcd,mcd->mc", *(np.nan_to_num(self.codebook_array(), posinf=0.0),) * 2)
+
+                def offsets(columns, C):
+                    codes = vectors_from_arrow(columns[0]).astype(np.int64)
+                    return np.sqrt(sum(norms[s, codes[:, s]] for s in range(len(norms))))
+
+                found = ivf.stored_radii(self.coarse, "code_radii", offsets, ["codes"])
+            self._radii[bool(rerank)] = found
+        return self._radii[bool(rerank)]
+
+    def codebook_array(self) -> np.ndarray:
+        if self._cb is None:
+            self._cb = _codebook_array(self.codebook)
+        return self._cb
+
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                n_probes: int | None = None, qvec_col: str = "embed", rerank: int | None = None,
-               broadcast_bytes: int | None = None) -> DataFrame:
+               broadcast_bytes: int | None = None, fill: bool = True) -> DataFrame:
         """Probe lists, table-lookup distances, optional exact re-rank of ``k * rerank``.
 
         Same two plans as IVF-flat: broadcast queries + one scan of the probed
-        lists when they fit the budget, bounded cogroup cells otherwise.
+        lists when they fit the budget, bounded cogroup cells otherwise. With ``fill``, a query that
+        a filter leaves under k rows goes on through further lists, as in IVF-flat.
         """
         rr = self.rerank if rerank is None else rerank
         ensure_checkpoint_dir(queries.sparkSession)
         probes = self.coarse.probes(queries, n_probes, qvec_col).checkpoint(eager=True)
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
+        run = lambda q, probes: self._partials(q, probes, k, rr, where, flag, broadcast_bytes)
+        out = rank_partials(run(q, probes), k)
+        if fill and where is not None and flag is None:
+            cids, C = self.coarse.centroid_matrix()
+            p = n_probes or self.coarse.n_probes
+            if p < len(cids):
+                near = ivf.nearest_lists(cids, C, self.metric)
+                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, p, resolve_metric(self.metric), (cids, C, self.radii(rr)), near, run), k)
+        return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
+
+    def _partials(self, q: DataFrame, probes: DataFrame, k: int, rr: int, where: Column | None, flag: Column | None,
+                  broadcast_bytes: int | None) -> DataFrame:
+        """Partial top-k ``(qid, id, d[, ok])`` of the pairs ``probes(qid, list_id)``."""
         rows = ivf.prune_lists(self.codes, probes)
         rows = rows if where is None else rows.where(where)
         cols = [F.col("list_id"), F.col("id"), F.col("codes")]
@@ -233,10 +270,9 @@ class IvfPqIndex:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
         spark = rows.sparkSession
-        if self._cb is None:
-            self._cb = _codebook_array(self.codebook)
         cids, C = self.coarse.centroid_matrix()
-        bc = spark.sparkContext.broadcast((self._cb, cids, C))
+        by_id = np.argsort(cids)
+        bc = spark.sparkContext.broadcast((self.codebook_array(), cids[by_id], C[by_id].astype(np.float64)))
         m = self.metric
 
         def factory(with_flag):
@@ -246,14 +282,14 @@ class IvfPqIndex:
                 if ct.num_rows == 0 or qt.num_rows == 0:
                     return empty_result(with_flag)
                 CB_, cids_, C_ = bc.value
-                lid = int(qt.column("list_id")[0].as_py())
-                cen = C_[int(np.nonzero(cids_ == lid)[0][0])].astype(np.float64)
+                cen = C_[np.searchsorted(cids_, int(qt.column("list_id")[0].as_py()))]
                 X = vectors_from_arrow(ct.column("x")) if rr else None
                 Dk, Ik, pos = pq_candidates(vectors_from_arrow(qt.column("v")), cen,
                                             vectors_from_arrow(ct.column("codes")).astype(np.int64),
                                             ct.column("id").to_numpy().astype(np.int64), CB_, k, rr, X, m)
+                d = Dk.ravel()
                 out = {"qid": np.repeat(qt.column("qid").to_numpy().astype(np.int64), Dk.shape[1]), "id": Ik.ravel(),
-                       "d": Dk.ravel()}
+                       "d": pa.array(d, pa.float64(), mask=~np.isfinite(d))}
                 if with_flag:
                     out["ok"] = flags_from(ct)[pos].ravel()
                 return pa.table(out)
@@ -277,17 +313,17 @@ class IvfPqIndex:
                     codes = vectors_from_arrow(rb.column(2)).astype(np.int64)
                     X = vectors_from_arrow(rb.column(names.index("x"))) if rr else None
                     flags = rb.column(names.index("ok")).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-                    for lid in np.unique(lids):
-                        sel = ivf.list_queries(pl, int(lid))
+                    order = np.argsort(lids, kind="stable")  # one sort, then a slice per list
+                    for own in np.split(order, np.flatnonzero(np.diff(lids[order])) + 1):
+                        lid = int(lids[own[0]])
+                        sel = ivf.list_queries(pl, lid)
                         if len(sel) == 0:
                             continue
-                        mask = lids == lid
-                        cen = C_[int(np.nonzero(cids_ == lid)[0][0])].astype(np.float64)
-                        Dk, Ik, pos = pq_candidates(Q64[sel], cen, codes[mask], ids[mask], CB_, k, rr,
-                                                    X[mask] if rr else None, m)
-                        f = flags[mask][pos] if with_flag else np.ones(Ik.shape, dtype=bool)
+                        cen = C_[np.searchsorted(cids_, lid)]
+                        Dk, Ik, pos = pq_candidates(Q64[sel], cen, codes[own], ids[own], CB_, k, rr, X[own] if rr else None, m)
+                        f = flags[own][pos] if with_flag else np.ones(Ik.shape, dtype=bool)
                         top.merge(sel, Dk, Ik, f)
-                        top.seen[sel] += int(mask.sum())
+                        top.seen[sel] += len(own)
                 if top.seen.any():
                     yield top.result(with_flag=with_flag)
 
@@ -299,8 +335,7 @@ class IvfPqIndex:
             partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, k, m, with_flag,
                                        _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES),
                                        kernel_factory=factory, n_lists=len(cids))
-        out = rank_partials(partials, k)
-        return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
+        return partials
 
 
 def save_ivfpq(idx: IvfPqIndex, path: str) -> IvfPqIndex:
@@ -331,9 +366,9 @@ def pq_candidates(Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, ids: np.nda
     parts = []
     for a in range(0, len(Q), tile):
         q = Q[a:a + tile]
-        D = adc_distances(q - cen, codes, CB)
+        D = table_distances(metric, q, cen, codes, CB)
         cand = topk_indices(D, keep, ids)
-        Dc = exact("l2sq", q, X[cand]) if rerank else np.take_along_axis(D, cand, axis=1)
+        Dc = exact("l2sq" if metric == "l2" else metric, q, X[cand]) if rerank else np.take_along_axis(D, cand, axis=1)
         Ic = ids[cand]
         order = np.lexsort((Ic, Dc), axis=1)[:, :k]
         Dk = np.take_along_axis(Dc, order, axis=1)
@@ -343,6 +378,22 @@ def pq_candidates(Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, ids: np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def table_distances(metric: str, Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
+    """Distances (squared for l2) of each query to each vector as coded in a list with centroid ``cen``; infinite for cosine of a zero query."""
+    if metric in ("l2", "l2sq"):
+        return adc_distances(Q - cen, codes, CB)
+    m, nc, ds = CB.shape
+    unit = expand.unit(Q) if metric == "cosine" else Q
+    parts = unit.reshape(len(Q), m, ds)
+    D = np.repeat(-(unit @ cen)[:, None], len(codes), axis=1)
+    for s in range(m):
+        D -= (parts[:, s] @ CB[s].T)[:, codes[:, s]]  # (nq, ncodes), built per cell, never as rows
+    if metric == "cosine":
+        D += 1.0
+        D[~Q.any(axis=1)] = np.inf
+    return D
+
+
 def adc_distances(Qres: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
     """Squared distances of each residual query to each encoded row: sum_s lut[q, s, codes[:, s]]."""
     m, nc, ds = CB.shape
@@ -361,8 +412,6 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
                 vec_col: str = "embed") -> IvfPqIndex:
     """I4: coarse IVF + PQ codes of residuals. ``lists=1`` with a zero centroid is plain PQ."""
     mt = resolve_metric(metric)
-    if mt not in ("l2", "l2sq"):
-        raise ValueError("PQ table distances are defined for l2 / l2sq")
     spark = df.sparkSession
     if centroids is None:
         if lists == 1:
@@ -380,11 +429,12 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
         frac = min(1.0, train_percent / 100.0)
         smp = assigned.sample(fraction=frac, seed=seed) if frac < 1.0 else assigned
         cen_df = F.broadcast(centroids) if ivf.is_local(centroids) else centroids
+        scaled = normalize(vec_col) if mt == "cosine" else F.col(vec_col)
         res = smp.join(cen_df, "list_id").select(
-            F.zip_with(vec_col, "centroid", lambda x, c: (x - c).cast("float")).alias(vec_col))
+            F.zip_with(scaled, "centroid", lambda x, c: (x - c).cast("float")).alias(vec_col))
         codebook = freeze_codebook(train_codebooks(res, m, dim, bits, 100.0, seed, vec_col))
     cb_arr = _codebook_array(codebook)
-    coded = encode(assigned, codebook, centroids, vec_col, cb_array=cb_arr, cen_arrays=cen)
+    coded = encode(assigned, codebook, centroids, vec_col, cb_array=cb_arr, cen_arrays=cen, unit=mt == "cosine")
     if keep_vectors is False or (keep_vectors is None and not rerank):
         coded = coded.drop(vec_col)
     # Written by list like an IVF index: searches prune lists and columns at the scan.

@@ -1075,3 +1075,47 @@ def _sql_filtered_ip(spark, sf):
         f"SELECT id, round(dist, 6) AS d FROM (SELECT id, neg_inner_product(embed, vec('{text}')) AS dist "
         f"FROM quiver_vectors WHERE i32v < {FILTER_WIDE}) ORDER BY dist, id LIMIT {K}"
     )
+
+
+# -- K3, K4 through IVF and PQ: probe expansion under a selective filter -------------------
+
+_SELECTIVE_SQL = (
+    f"WITH {S.V}, {S.label_centroids_cte()}, {S.assign_cte()}, {S.ivf_search_cte('a', K, 1, f'c.i32v < {FILTER_NARROW}')}, "
+    f"{S.knn_cte('x', K, 'l2', f'c.i32v < {FILTER_NARROW}')}, enough AS (SELECT qid FROM a GROUP BY qid HAVING count(*) = {K}), "
+    "r AS (SELECT * FROM a WHERE qid IN (SELECT qid FROM enough) UNION ALL SELECT * FROM x WHERE qid NOT IN (SELECT qid FROM enough)) "
+    + S.ranked_select("r")
+)
+
+
+@register("ivf_search_pre_selective", _SELECTIVE_SQL)
+def _ivf_pre_selective(spark, sf):
+    """One probe and a filter that few rows pass: queries left under K rows go on to the nearest of all eligible rows."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_NARROW), mode="pre",
+                                  index=label_index(v, 1)))
+
+
+@register("pq_search_pre_selective", _SELECTIVE_SQL)
+def _pq_pre_selective(spark, sf):
+    """The same through PQ codes of label lists, candidates re-ranked."""
+    v = vectors(spark, sf)
+    index = pq.build_ivfpq(v, PQ_M, DIM, centroids=ivf.centroids_from_labels(v), codebook=pq.codebook_from_labels(v, PQ_M, DIM),
+                           n_probes=1, rerank=v.count() // K + 1)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_NARROW), mode="pre", index=index))
+
+
+# -- I4, I5 under inner product and cosine -------------------------------------------------
+
+
+def _pq_metric_query(metric: str):
+    def q(spark, sf):
+        v = vectors(spark, sf)
+        index = pq.build_ivfpq(v, 8, DIM, lists=6, bits=6, metric=metric, train_percent=60, n_probes=6, rerank=v.count() // K + 1)
+        return _ranked(index.search(queries_from(v), K))
+
+    q.__doc__ = f"I4/I5 for {metric}: trained lists and residual codes, all probed and re-ranked, are exact search."
+    return q
+
+
+for _m in ("ip", "cosine"):
+    register(f"pq_search_{_m}", ORACLE[f"knn_{_m}"])(_pq_metric_query(_m))
