@@ -17,9 +17,10 @@ Every per-node group is bounded by the degree parameters; reversed edges into
 a hub (unbounded in-degree) are cut to ``graph_degree`` per node by a
 ``row_number`` limit that Spark applies partially before the shuffle.
 
-Search: an iterative beam join (frontier -> edges -> vectors), one
-checkpointed table per step in the shared checkpoint folder. Throughput
-oriented: a batch of queries advances together, one Spark job per step.
+Search: a graph within the broadcast budget is sent to the tasks as one block, where each
+batch of queries walks without a Spark job per step (:mod:`quiver.operators.graph_block`, which also has
+independent graphs per shard for what is larger). Beyond it, an iterative beam join (frontier -> edges -> vectors) over one
+graph, one checkpointed table per step in the shared checkpoint folder. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import distance, resolve_metric
-from quiver.operators.knn import knn, rank_partials
+from quiver.operators import graph_block
+from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, knn, rank_partials
 from quiver.session import ensure_checkpoint_dir
 
 
@@ -158,6 +160,7 @@ class GraphIndex:
     attributes: DataFrame | None = None  # id and the columns that filters read
     _vec_ready: bool = False
     _edges_ready: bool = False
+    _block: graph_block.Block | None = None
 
     def prepare(self) -> GraphIndex:
         """Hash partition vectors by id and edges by src once (checkpointed) for the search joins."""
@@ -172,12 +175,42 @@ class GraphIndex:
             self._edges_ready = True
         return self
 
+    def block(self, budget: int) -> graph_block.Block | None:
+        """The whole graph as one block, or None where its arrays are over the budget; checked before anything is collected."""
+        if self._block is None:
+            n, dim = self.vectors.agg(F.count(F.lit(1)), F.max(F.size("embed"))).first()
+            degree = self.edges.agg(F.max("rank")).first()[0] or 1
+            if not n or n * (dim * 4 + degree * 4 + 9) > budget:
+                return None
+            from quiver.operators.dml import sample_ids
+
+            ids, X, _ = _collect_matrix(self.vectors, "id", "embed")
+            order = np.argsort(ids)
+            ids, X = ids[order], X[order]
+            t = self.edges.select("src", "dst", F.col("rank").cast("int").alias("rank")).toArrow()
+            edges = graph_block.positions(*(t.column(c).to_numpy() for c in ("src", "dst", "rank")), ids)
+            seeds = [r["id"] for r in sample_ids(self.vectors.select("id"), self.n_seeds, self.seed, self.seed_family).collect()]
+            self._block = graph_block.Block(ids, X, edges, np.searchsorted(ids, np.sort(np.array(seeds, np.int64))))
+        return self._block
+
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                itopk: int | None = None, search_width: int | None = None, max_iter: int | None = None,
-               qvec_col: str = "embed") -> DataFrame:
+               qvec_col: str = "embed", broadcast_bytes: int | None = None) -> DataFrame:
         """The walk visits every node; ``where`` decides which nodes may be returned, ``flag`` is returned as ``ok``."""
-        return graph_search(self, queries, k, itopk or self.itopk, search_width or self.search_width,
-                            max_iter or self.max_iter, qvec_col, where=where, flag=flag)
+        args = (itopk or self.itopk, search_width or self.search_width, max_iter or self.max_iter)
+        block = self.block(broadcast_bytes or _conf_int(queries.sparkSession, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES))
+        if block is None:
+            return graph_search(self, queries, k, *args, qvec_col, where=where, flag=flag)
+        condition, ok = where if where is not None else flag, None
+        if condition is not None:  # one id and flag a node: within the block's size
+            marks = self.marks(condition).toArrow()
+            ids, fits = marks.column("id").to_numpy(), marks.column("ok").to_numpy(zero_copy_only=False).astype(bool)
+            ok = np.zeros(len(block.ids), bool)
+            ok[np.searchsorted(block.ids, ids)] = fits
+        q = queries.select(F.col("qid").cast("long").alias("qid"), F.col(qvec_col).alias("v"))
+        parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = graph_block.replicated_search(q.repartition(parts, "qid"), block, k, *args, self.metric, ok, where is not None)
+        return rank_partials(out, k).select("qid", "id", "d", "rk", *(["ok"] if where is None and flag is not None else []))
 
     def marks(self, condition: Column) -> DataFrame:
         """``(id, ok)`` for a filter over the attribute columns."""

@@ -23,6 +23,7 @@ cell, final ``row_number`` per query.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from dataclasses import dataclass, field
@@ -156,6 +157,31 @@ class IvfIndex:
     _cen: tuple | None = field(default=None, repr=False)
     _radii: np.ndarray | None = field(default=None, repr=False)
 
+    @property
+    def shards(self) -> int:
+        """K8: independent sub-indexes; the lists of shard s have the ids that leave s when divided by their number."""
+        return int(self.meta.get("shards", 1))
+
+    def centroid_groups(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The centroid matrix of each shard."""
+        cids, C = self.centroid_matrix()
+        return [(cids[cids % self.shards == s], C[cids % self.shards == s]) for s in range(self.shards)]
+
+    def nearest(self, n_probes: int):
+        """``(function, number)``: positions in ``centroid_matrix`` of the lists that :meth:`probes` gives each query, and how many."""
+        cids, groups, m = self.centroid_matrix()[0], self.centroid_groups(), resolve_metric(self.metric)
+        by = np.argsort(cids)
+
+        def positions(Q: np.ndarray, _: int) -> np.ndarray:
+            out = []
+            for own, C in groups:
+                top = TopK(np.arange(len(Q), dtype=np.int64), Q, min(n_probes, len(own)), m)
+                top.add(own, C.astype(np.float64))
+                out.append(by[np.searchsorted(cids[by], top.best_i)])
+            return np.concatenate(out, axis=1)
+
+        return positions, sum(min(n_probes, len(own)) for own, _ in groups)
+
     def centroid_matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """The (size-checked) centroid matrix, collected once per index object."""
         if self._cen is None:
@@ -163,13 +189,15 @@ class IvfIndex:
         return self._cen
 
     def probes(self, queries: DataFrame, n_probes: int | None = None, qvec_col: str = "embed") -> DataFrame:
-        """(qid, list_id, probe_rank): the nearest lists of each query (broadcast centroids, no shuffle)."""
+        """(qid, list_id, probe_rank): the nearest lists of each query, in every shard (broadcast centroids, no shuffle)."""
         from quiver.operators.knn import replicated_arrays
 
         p = n_probes or self.n_probes
-        cids, C = self.centroid_matrix()
         q = queries.select(F.col("qid").cast("long"), F.col(qvec_col).alias("v"))
-        r = replicated_arrays(q, cids, C, p, self.metric)
+        found = [replicated_arrays(q, cids, C, p, self.metric) for cids, C in self.centroid_groups() if len(cids)]
+        if not found:
+            return q.sparkSession.createDataFrame([], "qid long, list_id int, probe_rank int")
+        r = functools.reduce(DataFrame.unionByName, found)
         return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rk").alias("probe_rank"))
 
     def radii(self) -> np.ndarray:
@@ -200,10 +228,9 @@ class IvfIndex:
         out = rank_partials(run(q, probes), k)
         if fill and where is not None and flag is None:
             cids, C = self.centroid_matrix()
-            p = n_probes or self.n_probes
-            if p < len(cids):
-                near = nearest_lists(cids, C, self.metric)
-                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, p, resolve_metric(self.metric), (cids, C, self.radii()), near, run), k)
+            near, probed = self.nearest(n_probes or self.n_probes)
+            if probed < len(cids):
+                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, probed, resolve_metric(self.metric), (cids, C, self.radii()), near, run), k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
     def _partials(self, q: DataFrame, probes: DataFrame, k: int, where: Column | None, flag: Column | None,
@@ -226,18 +253,6 @@ class IvfIndex:
         return partials
 
 
-def nearest_lists(cids: np.ndarray, C: np.ndarray, metric: str):
-    """Positions of the lists that :meth:`IvfIndex.probes` gives each query, by the same kernel."""
-    m, at = resolve_metric(metric), np.argsort(cids)
-
-    def nearest(Q: np.ndarray, n: int) -> np.ndarray:
-        top = TopK(np.arange(len(Q), dtype=np.int64), Q, n, m)
-        top.add(cids, C.astype(np.float64))
-        return at[np.searchsorted(cids[at], top.best_i)]
-
-    return nearest
-
-
 def stored_radii(index: IvfIndex, name: str, offsets, columns: list[str]) -> np.ndarray:
     """The radii kept below the index's path under ``name``, computed and written there where they aren't yet."""
     spark = index.lists.sparkSession
@@ -415,30 +430,45 @@ def _flat_cell(k: int, metric: str, with_flag: bool):
     return cell
 
 
-def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, centroids: DataFrame | None = None,
+def build_ivf(df: DataFrame, lists: int | None = None, metric: str = "l2", *, centroids: DataFrame | list[DataFrame] | None = None,
               train_percent: float = 10.0, n_probes: int = 1, seed: int = 42, path: str | None = None,
-              vec_col: str = "embed") -> IvfIndex:
+              vec_col: str = "embed", shards: int = 1, shard: Column | None = None) -> IvfIndex:
     """I2 (+I12 when ``path`` is given): build an IVF-flat index.
 
-    ``centroids`` may be supplied (e.g. :func:`centroids_from_labels`);
+    ``centroids`` may be supplied (e.g. :func:`centroids_from_labels`; one table per shard if there are several);
     otherwise k-means is trained on a ``train_percent`` sample with
-    ``lists`` (default :func:`lists_rule`) clusters.
+    ``lists`` (default :func:`lists_rule`) clusters. ``shards`` (K8): that many independent sub-indexes, by the integer column
+    ``shard`` (default: a hash of the id); a search probes ``n_probes`` lists in each and merges.
     """
     m = resolve_metric(metric)
     spark = df.sparkSession
-    if centroids is None:
-        lists = lists or lists_rule(df.count())
-        centroids = train_centroids(df, lists, train_percent, m, seed, vec_col)
-    centroids = freeze_centroids(centroids)
-    cen = centroid_arrays(centroids)
-    assigned = assign(df, centroids, m, vec_col, arrays=cen)
+    centroids, assigned, cen = assigned_lists(df, lists, m, centroids, train_percent, seed, vec_col, shards, shard)
     # Always written, partitioned by list: searches then prune lists, columns and filters at the scan.
     idx = IvfIndex(centroids, assigned, assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), m, n_probes, vec_col)
-    idx = save_ivf(idx, path or scratch_dir(spark, "ivf"))
+    idx = save_ivf(idx, path or scratch_dir(spark, "ivf"), extra_meta={"shards": shards})
     idx._cen = cen
     return idx
 
 
+def assigned_lists(df: DataFrame, lists: int | None, m: str, centroids, train_percent: float, seed: int, vec_col: str,
+                   shards: int = 1, shard: Column | None = None) -> tuple[DataFrame, DataFrame, tuple]:
+    """Frozen centroids, the rows with their ``list_id``, and the centroid arrays; each shard (a parameter: few) has its own."""
+    at = shard if shard is not None else F.pmod(F.xxhash64("id"), F.lit(shards))
+    given = centroids if isinstance(centroids, list) else [centroids] * shards
+    tables, rows = [], []
+    for s in range(shards):
+        own = df if shards == 1 else df.where(at == s)
+        cen = given[s]
+        if cen is None:
+            cen = train_centroids(own, lists or lists_rule(own.count()), train_percent, m, seed, vec_col)
+        if shards > 1:
+            cen = cen.select((F.col("list_id") * shards + s).cast("int").alias("list_id"), "centroid")
+        tables.append(freeze_centroids(cen))
+        rows.append(assign(own, tables[-1], m, vec_col, arrays=centroid_arrays(tables[-1])))
+    centroids = tables[0] if shards == 1 else freeze_centroids(functools.reduce(DataFrame.unionByName, tables))
+    return centroids, functools.reduce(DataFrame.unionByName, rows), centroid_arrays(centroids)
+
+
 def is_local(df: DataFrame) -> bool:
     """Whether a DataFrame is a frozen, size-checked driver-side table (see :func:`freeze_centroids`)."""
     return bool(getattr(df, "_quiver_frozen", False))

@@ -252,10 +252,9 @@ class IvfPqIndex:
         out = rank_partials(run(q, probes), k)
         if fill and where is not None and flag is None:
             cids, C = self.coarse.centroid_matrix()
-            p = n_probes or self.coarse.n_probes
-            if p < len(cids):
-                near = ivf.nearest_lists(cids, C, self.metric)
-                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, p, resolve_metric(self.metric), (cids, C, self.radii(rr)), near, run), k)
+            near, probed = self.coarse.nearest(n_probes or self.coarse.n_probes)
+            if probed < len(cids):
+                out = rank_partials(expand.filled(out.select("qid", "id", "d"), q, k, probed, resolve_metric(self.metric), (cids, C, self.radii(rr)), near, run), k)
         return out.select("qid", "id", "d", "rk", *(["ok"] if flag is not None else []))
 
     def _partials(self, q: DataFrame, probes: DataFrame, k: int, rr: int, where: Column | None, flag: Column | None,
@@ -342,7 +341,7 @@ def save_ivfpq(idx: IvfPqIndex, path: str) -> IvfPqIndex:
     """Codes as IVF lists, plus the codebook and PQ parameters in meta.json."""
     p = path.rstrip("/")
     idx.codebook.write.mode("overwrite").parquet(f"{p}/codebook")
-    coarse = ivf.save_ivf(idx.coarse, p, kind="ivfpq", extra_meta={"m": idx.m, "rerank": idx.rerank})
+    coarse = ivf.save_ivf(idx.coarse, p, kind="ivfpq", extra_meta={"m": idx.m, "rerank": idx.rerank, "shards": idx.coarse.shards})
     return IvfPqIndex(coarse, idx.codebook.sparkSession.read.parquet(f"{p}/codebook"), idx.m, idx.metric, idx.rerank)
 
 
@@ -409,20 +408,18 @@ def adc_distances(Qres: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> np.nda
 def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bits: int = 8, metric: str = "l2",
                 centroids: DataFrame | None = None, codebook: DataFrame | None = None, train_percent: float = 10.0,
                 n_probes: int = 1, rerank: int = 0, seed: int = 42, keep_vectors: bool | None = None,
-                vec_col: str = "embed") -> IvfPqIndex:
-    """I4: coarse IVF + PQ codes of residuals. ``lists=1`` with a zero centroid is plain PQ."""
+                vec_col: str = "embed", shards: int = 1, shard: Column | None = None) -> IvfPqIndex:
+    """I4: coarse IVF + PQ codes of residuals. ``lists=1`` with a zero centroid is plain PQ.
+
+    ``shards``: as in :func:`quiver.operators.ivf.build_ivf`, independent lists per shard; the codebook is one.
+    """
     mt = resolve_metric(metric)
     spark = df.sparkSession
-    if centroids is None:
-        if lists == 1:
-            centroids = spark.createDataFrame([(0, [0.0] * dim)], "list_id int, centroid array<float>")
-        else:
-            centroids = ivf.train_centroids(df, lists or ivf.lists_rule(df.count()), train_percent, mt, seed, vec_col)
-    centroids = ivf.freeze_centroids(centroids)
-    cen = ivf.centroid_arrays(centroids)
+    if centroids is None and lists == 1:
+        centroids = spark.createDataFrame([(0, [0.0] * dim)], "list_id int, centroid array<float>")
+    centroids, assigned, cen = ivf.assigned_lists(df, lists, mt, centroids, train_percent, seed, vec_col, shards, shard)
     if codebook is not None:
         codebook = freeze_codebook(codebook)
-    assigned = ivf.assign(df, centroids, mt, vec_col, arrays=cen)
     if codebook is None:
         # Residuals of a training sample, JVM-side: the centroid table is bounded
         # by the list count and broadcast into the join.
@@ -439,7 +436,7 @@ def build_ivfpq(df: DataFrame, m: int, dim: int, *, lists: int | None = None, bi
         coded = coded.drop(vec_col)
     # Written by list like an IVF index: searches prune lists and columns at the scan.
     coarse = ivf.IvfIndex(centroids, coded, coded.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), mt, n_probes, vec_col)
-    coarse = ivf.save_ivf(coarse, scratch_dir(spark, "ivfpq"), kind="ivfpq", extra_meta={"m": m, "rerank": rerank})
+    coarse = ivf.save_ivf(coarse, scratch_dir(spark, "ivfpq"), kind="ivfpq", extra_meta={"m": m, "rerank": rerank, "shards": shards})
     coarse._cen = cen
     return IvfPqIndex(coarse, codebook, m, mt, rerank, _cb=cb_arr)
 

@@ -750,10 +750,10 @@ from quiver.operators import graph  # noqa: E402
 IGD, GD = 16, 8
 
 
-def _graph_sql() -> str:
+def _graph_sql(base: str = S.V) -> str:
     h = GD // 2
     return (
-        f"WITH {S.V}, {S.knn_cte('r0', IGD + 1, 'l2')}, "
+        f"WITH {base}, {S.knn_cte('r0', IGD + 1, 'l2')}, "
         "e0 AS (SELECT qid AS src, id AS dst, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM r0 WHERE id <> qid), "
         f"e AS (SELECT * FROM e0 WHERE rank <= {IGD}), "
         "tri AS (SELECT a.src AS s, b.dst AS t, count(*) AS nd FROM e a JOIN e b ON b.src = a.dst "
@@ -796,22 +796,23 @@ def _graph_detours(spark, sf):
 G_ITOPK, G_WIDTH, G_SEEDS, G_STEPS, G_SEED = 32, 4, 9, 8, 42
 
 
-def _graph_search_sql(where: str | None = None, tail: str | None = None) -> str:
+def _graph_search_sql(where: str | None = None, tail: str | None = None, base: str = S.V, queries: str = "v") -> str:
     """Beam search as a recursive CTE over step-indexed beam states (one iteration = one step).
 
-    ``where``: the beam also keeps the K nearest rows that fit it, and only those are returned.
+    ``where``: the beam also keeps the K nearest rows that fit it, and only those are returned. ``base``
+    defines the table ``v`` that is indexed, ``queries`` names the one that is searched for.
     """
     extra = f"OR (rn2 <= {K} AND id IN (SELECT id FROM v WHERE {where}))" if where else ""
     own = f", row_number() OVER (PARTITION BY qid, id IN (SELECT id FROM v WHERE {where}) ORDER BY d, id) AS rn2" if where else ""
     only = f"AND id IN (SELECT id FROM v WHERE {where})" if where else ""
-    head = _graph_sql().rsplit(" SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM fin WHERE rank <= ", 1)[0]
+    head = _graph_sql(base).rsplit(" SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM fin WHERE rank <= ", 1)[0]
     u = gen.generate_sql_u(str(G_SEED), "id", "0")
     d = S.dist("l2", "q.embed", "c.embed")
     return (
         head.replace("WITH ", "WITH RECURSIVE ", 1)
         + f", g AS (SELECT src, dst FROM fin WHERE rank <= {GD}), "
         f"seeds AS (SELECT id FROM v ORDER BY {u}, id LIMIT {G_SEEDS}), "
-        f"b0 AS (SELECT q.id AS qid, c.id AS id, {d} AS d FROM v q CROSS JOIN seeds s JOIN v c ON c.id = s.id), "
+        f"b0 AS (SELECT q.id AS qid, c.id AS id, {d} AS d FROM {queries} q CROSS JOIN seeds s JOIN v c ON c.id = s.id), "
         "beam(step, qid, id, d, visited) AS ("
         f"SELECT 0, qid, id, d, false FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn{own} FROM b0) "
         f"WHERE rn <= {G_ITOPK} {extra} UNION ALL SELECT step + 1, qid, id, d, visited FROM ("
@@ -821,7 +822,7 @@ def _graph_search_sql(where: str | None = None, tail: str | None = None) -> str:
         f"(NOT visited AND o <= {G_WIDTH}) AS opened FROM ranked), "
         "nb AS (SELECT DISTINCT m.step, m.qid, g.dst AS id FROM marked m JOIN g ON g.src = m.id WHERE m.opened), "
         "nw AS (SELECT nb.* FROM nb ANTI JOIN marked m ON m.qid = nb.qid AND m.id = nb.id), "
-        f"sc AS (SELECT nw.step, nw.qid, nw.id, {d} AS d, false AS visited FROM nw JOIN v q ON q.id = nw.qid "
+        f"sc AS (SELECT nw.step, nw.qid, nw.id, {d} AS d, false AS visited FROM nw JOIN {queries} q ON q.id = nw.qid "
         "JOIN v c ON c.id = nw.id), "
         "un AS (SELECT step, qid, id, d, visited FROM marked UNION ALL SELECT step, qid, id, d, visited FROM sc) "
         f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn{own} FROM un) WHERE rn <= {G_ITOPK} {extra}) "
@@ -1119,3 +1120,59 @@ def _pq_metric_query(metric: str):
 
 for _m in ("ip", "cosine"):
     register(f"pq_search_{_m}", ORACLE[f"knn_{_m}"])(_pq_metric_query(_m))
+
+
+# -- K8 for indexes: sharded graph ---------------------------------------------------------
+
+from quiver.operators import graph_block  # noqa: E402
+
+SHARDS = 2
+
+
+def _graph_sharded_sql(where: str | None = None) -> str:
+    only = f"AND id IN (SELECT id FROM v WHERE {where})" if where else ""
+    tail = f"SELECT qid, id, d FROM beam WHERE step = {G_STEPS} {only}"
+    shards = []
+    for s in range(SHARDS):
+        base = f"vq AS ({S.VECTORS_SQL}), v AS (SELECT * FROM vq WHERE id % {SHARDS} = {s})"
+        shards.append(f"SELECT * FROM ({_graph_search_sql(where, tail, base, 'vq')})")
+    return ("SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk "
+            f"FROM ({' UNION ALL '.join(shards)})) WHERE rk <= {K}")
+
+
+def _graph_shards(v: DataFrame) -> graph_block.GraphShards:
+    return graph_block.build_shards(v, GD, IGD, "l2", shards=SHARDS, shard=F.pmod("id", F.lit(SHARDS)), n_seeds=G_SEEDS, seed=G_SEED,
+                                    seed_family="md5", itopk=G_ITOPK, search_width=G_WIDTH, max_iter=G_STEPS)
+
+
+@register("graph_sharded", _graph_sharded_sql())
+def _graph_sharded(spark, sf):
+    """I6, I7 under ``sharded`` distribution: an independent graph per shard, partial top-k merged."""
+    v = vectors(spark, sf)
+    return _ranked(_graph_shards(v).search(queries_from(v), K))
+
+
+@register("graph_sharded_pre", _graph_sharded_sql(f"i32v < {FILTER_WIDE}"))
+def _graph_sharded_pre(spark, sf):
+    """The same under mode ``pre``: the walks pass ineligible nodes, only eligible ones are returned."""
+    v = vectors(spark, sf)
+    return _ranked(knn_mod.search(v, queries_from(v), K, "l2", where=flt.where(i32v_lt=FILTER_WIDE), mode="pre", index=_graph_shards(v)))
+
+
+def _ivf_sharded_sql() -> str:
+    shards = []
+    for s in range(SHARDS):
+        shards.append(f"SELECT * FROM (WITH vq AS ({S.VECTORS_SQL}), v AS (SELECT * FROM vq WHERE id % {SHARDS} = {s}), {S.label_centroids_cte()}, {S.assign_cte()}, "
+                      f"{S.ivf_search_cte('r', K, N_PROBES, queries='vq')} SELECT qid, id, d FROM r)")
+    return ("SELECT qid, id, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk "
+            f"FROM ({' UNION ALL '.join(shards)})) WHERE rk <= {K}")
+
+
+@register("ivf_sharded", _ivf_sharded_sql())
+def _ivf_sharded(spark, sf):
+    """I2, I3 under ``sharded`` distribution: lists of their own in each shard, N_PROBES probed in each, partial top-k merged."""
+    v = vectors(spark, sf)
+    at = F.pmod("id", F.lit(SHARDS))
+    index = ivf.build_ivf(v, metric="l2", centroids=[ivf.centroids_from_labels(v.where(at == s)) for s in range(SHARDS)], n_probes=N_PROBES,
+                          shards=SHARDS, shard=at)
+    return _ranked(index.search(queries_from(v), K))

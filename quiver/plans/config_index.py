@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import dequantize, quantize
-from quiver.operators import graph, ivf, knn, pq
+from quiver.operators import graph, graph_block, ivf, knn, pq
 from quiver.schema import Config
 
 
@@ -50,27 +50,36 @@ def load_config(text_or_dict) -> tuple[Config, dict]:
     return Config.from_json(json.dumps(raw)), raw
 
 
-def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: int = 42):
-    """Build the configured index over ``df`` (``id, embed`` and metadata columns)."""
+def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: int = 42, shards: int = 4):
+    """Build the configured index over ``df`` (``id, embed`` and metadata columns).
+
+    ``distribution_mode`` (K8): ``sharded`` builds ``shards`` independent sub-indexes (for graphs more, where blocks need it)
+    whose results are merged; ``single`` and ``replicated`` build one, which a search sends to every task where it
+    fits the broadcast budget (graph) or scans where it lies.
+    """
     cfg, raw = load_config(config)
     idx_raw = raw.get("index", {}) if isinstance(raw.get("index"), dict) else {}
     kind = cfg.index.type.lower()
     metric = cfg.metric
     quant = idx_raw.get("quantization") or raw.get("qtype")
     data = quantize_vectors(df, quant)
-    dist = (idx_raw.get("distribution_mode") or raw.get("mode") or "sharded").lower()
+    given = idx_raw.get("distribution_mode") or raw.get("mode")
+    dist = (given or "sharded").lower()
+    if dist not in ("single", "sharded", "replicated"):
+        raise ValueError(f"unknown distribution mode {dist!r}")
+    split = shards if given and dist == "sharded" else 1
     if kind in ("bruteforce", "brute_force", "flat"):
         return ExactIndex(data, metric, "sharded" if dist == "single" else dist)
     if kind == "ivfflat":
         n = cfg.dataset_size or df.count()
         return ivf.build_ivf(data, cfg.index.lists or ivf.lists_rule(n), metric, train_percent=cfg.kmeans_train_percent,
-                             n_probes=cfg.probes, seed=seed, path=path)
+                             n_probes=cfg.probes, seed=seed, path=path, shards=split)
     if kind == "ivfpq":
         n = cfg.dataset_size or df.count()
         dim = cfg.dimension or int(df.select(F.size("embed")).first()[0])
         index = pq.build_ivfpq(data, cfg.index.m or 4, dim, lists=cfg.index.lists or ivf.lists_rule(n),
                                bits=cfg.index.bits_per_code, metric=metric, train_percent=cfg.kmeans_train_percent,
-                               n_probes=cfg.probes, seed=seed)
+                               n_probes=cfg.probes, seed=seed, shards=split)
         return pq.save_ivfpq(index, path) if path else index
     if kind in ("cagra", "hnsw"):
         if kind == "hnsw":
@@ -79,6 +88,11 @@ def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: i
             p = {"graph_degree": cfg.index.graph_degree, "intermediate_graph_degree": cfg.index.intermediate_graph_degree,
                  "itopk": cfg.index.itopk_size}
         width = {"search_width": cfg.index.search_width} if cfg.index.search_width else {}
+        if split > 1:
+            n, dim = knn._vector_stats(data, "embed")
+            need = -(-n * (dim * 4 + p["graph_degree"] * 4 + 8) // graph_block.BLOCK_BYTES)
+            return graph_block.build_shards(data, p["graph_degree"], p["intermediate_graph_degree"], metric, shards=max(split, need),
+                                            path=path, itopk=p["itopk"], **width)
         g = graph.build_graph(data, p["graph_degree"], p["intermediate_graph_degree"], metric, itopk=p["itopk"], **width)
         return graph.save_graph(g, path) if path else g
     raise ValueError(f"unknown index type {cfg.index.type!r}")

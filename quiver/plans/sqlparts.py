@@ -60,13 +60,13 @@ def probes_cte(name: str, n_probes: int, cen: str = "cen", queries: str = "v") -
     )
 
 
-def ivf_search_cte(name: str, k: int, n_probes: int, corpus_filter: str | None = None, metric: str = "l2") -> str:
+def ivf_search_cte(name: str, k: int, n_probes: int, corpus_filter: str | None = None, metric: str = "l2", queries: str = "v") -> str:
     """IVF search over label centroids; needs ``cen`` and ``asg`` CTEs."""
     w = f"AND {corpus_filter}" if corpus_filter else ""
     d = dist(metric, "q.embed", "c.embed")
     return (
-        probes_cte(f"{name}_pr", n_probes)
+        probes_cte(f"{name}_pr", n_probes, queries=queries)
         + f", {name} AS (SELECT qid, id, d, rk FROM (SELECT q.id AS qid, c.id AS id, {d} AS d, "
         f"row_number() OVER (PARTITION BY q.id ORDER BY {d} NULLS LAST, c.id) AS rk "
-        f"FROM v q JOIN {name}_pr p ON p.qid = q.id JOIN asg c ON c.list_id = p.list_id WHERE TRUE {w}) WHERE rk <= {k})"
+        f"FROM {queries} q JOIN {name}_pr p ON p.qid = q.id JOIN asg c ON c.list_id = p.list_id WHERE TRUE {w}) WHERE rk <= {k})"
     )
