@@ -220,17 +220,25 @@ class GraphIndex:
 
 
 def build_graph(table: DataFrame, graph_degree: int = 64, intermediate_graph_degree: int = 128, metric: str = "l2",
-                index=None, detour_method: str = "arrays", **search_kw) -> GraphIndex:
+                index=None, detour_method: str = "arrays", neighbours: str = "exact", **search_kw) -> GraphIndex:
     """kNN graph with detour pruning.
 
     The initial neighbour lists are exact at every size (an all-pairs self
-    search, so quadratic); pass an IVF ``index`` to take them from its probes. Vectors and edges are hash partitioned by id once and checkpointed, so
+    search, so quadratic); ``neighbours="descent"`` takes them from NN-descent (:mod:`quiver.operators.descent`), which has no
+    quadratic step, and an IVF ``index`` from its probes. Vectors and edges are hash partitioned by id once and checkpointed, so
     search steps shuffle only the small frontier and candidate tables.
     """
     m = resolve_metric(metric)
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
-    e = knn_edges(table, intermediate_graph_degree, m, index)
+    if neighbours not in ("exact", "descent"):
+        raise ValueError(f"unknown neighbours {neighbours!r}")
+    if neighbours == "descent":
+        from quiver.operators.descent import nn_descent
+
+        e = nn_descent(table, intermediate_graph_degree, m)
+    else:
+        e = knn_edges(table, intermediate_graph_degree, m, index)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = detours_arrays(e) if detour_method == "arrays" else detours(e)
     g = prune(scored, graph_degree).repartition(parts, "src").checkpoint(eager=True)

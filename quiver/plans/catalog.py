@@ -1176,3 +1176,11 @@ def _ivf_sharded(spark, sf):
     index = ivf.build_ivf(v, metric="l2", centroids=[ivf.centroids_from_labels(v.where(at == s)) for s in range(SHARDS)], n_probes=N_PROBES,
                           shards=SHARDS, shard=at)
     return _ranked(index.search(queries_from(v), K))
+
+
+# -- I6 without all pairs (iterative and drawn at random: rows only; recall is tested) ------
+
+@register("graph_descent_edges")
+def _graph_descent(spark, sf):
+    """NN-descent: the IGD nearest others of every vector, pruned to degree GD."""
+    return graph.build_graph(vectors(spark, sf), GD, IGD, "l2", neighbours="descent").edges.select("src", "dst", F.col("rank").cast("int").alias("rank"))
