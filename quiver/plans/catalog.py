@@ -1184,3 +1184,35 @@ def _ivf_sharded(spark, sf):
 def _graph_descent(spark, sf):
     """NN-descent: the IGD nearest others of every vector, pruned to degree GD."""
     return graph.build_graph(vectors(spark, sf), GD, IGD, "l2", neighbours="descent").edges.select("src", "dst", F.col("rank").cast("int").alias("rank"))
+
+
+# -- I14 for IVF-PQ (with compaction) and graph indexes --------------------------------------
+
+from quiver.streaming import graph_stream  # noqa: E402
+
+
+@register("stream_ivfpq", f"WITH {S.V}, {_PQ_SQL} SELECT id, sub, code FROM enc")
+def _stream_ivfpq(spark, sf):
+    """Rows arrive on a stream, are encoded with the frozen codebook, and the batches are compacted (= batch encoding)."""
+    v = vectors(spark, sf)
+    out, ck = scratch_dir(spark, "stream-codes"), scratch_dir(spark, "stream-codes-ck")
+    maintain.maintain_ivfpq(_table_stream(spark, sf), _pq_index(v), out, ck).awaitTermination()
+    maintain.compact_lists(spark, out)
+    return maintain.read_stream_lists(spark, out).select("id", F.posexplode("codes").alias("sub", "code")).select(
+        "id", "sub", F.col("code").cast("int").alias("code"))
+
+
+@register("stream_graph", f"WITH {S.V} SELECT id, true AS reachable, true AS within_degree FROM v WHERE id % 5 <> 0")
+def _stream_graph(spark, sf):
+    """Rows arrive on a stream and are inserted into a graph, every fifth is deleted, the rest compacted: every row left finds
+    itself as its own nearest, and no node has more than GD edges."""
+    stream = _table_stream(spark, sf)
+    store = graph_stream.GraphStore.create(spark, scratch_dir(spark, "graph-store"), stream.schema, graph_degree=GD, candidates=2 * GD, itopk=4 * GD, n_seeds=32)
+    graph_stream.maintain_graph(stream, store, scratch_dir(spark, "graph-store-ck")).awaitTermination()
+    v = vectors(spark, sf)
+    store.delete(v.where("id % 5 = 0").select("id"), max(store.commits()) + 1)
+    store.compact()
+    g = store.load()
+    found = g.search(queries_from(v.where("id % 5 <> 0")), 1).where("rk = 1").select(F.col("qid").alias("id"), (F.col("id") == F.col("qid")).alias("reachable"))
+    wide = g.edges.groupBy("src").agg((F.count(F.lit(1)) <= GD).alias("within_degree"))
+    return g.attributes.select("id").join(found, "id", "left").join(wide.withColumnRenamed("src", "id"), "id", "left").select("id", "reachable", "within_degree")
