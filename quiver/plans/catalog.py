@@ -1205,14 +1205,28 @@ def _stream_ivfpq(spark, sf):
 @register("stream_graph", f"WITH {S.V} SELECT id, true AS reachable, true AS within_degree FROM v WHERE id % 5 <> 0")
 def _stream_graph(spark, sf):
     """Rows arrive on a stream and are inserted into a graph, every fifth is deleted, the rest compacted: every row left finds
-    itself as its own nearest, and no node has more than GD edges."""
+    itself as its own nearest, and no node has more than 2 GD edges."""
     stream = _table_stream(spark, sf)
-    store = graph_stream.GraphStore.create(spark, scratch_dir(spark, "graph-store"), stream.schema, graph_degree=GD, candidates=2 * GD, itopk=4 * GD, n_seeds=32)
+    store = graph_stream.GraphStore.create(spark, scratch_dir(spark, "graph-store"), stream.schema, graph_degree=2 * GD, candidates=6 * GD, itopk=16 * GD, n_seeds=32, max_iter=64)
     graph_stream.maintain_graph(stream, store, scratch_dir(spark, "graph-store-ck")).awaitTermination()
     v = vectors(spark, sf)
     store.delete(v.where("id % 5 = 0").select("id"), max(store.commits()) + 1)
     store.compact()
     g = store.load()
     found = g.search(queries_from(v.where("id % 5 <> 0")), 1).where("rk = 1").select(F.col("qid").alias("id"), (F.col("id") == F.col("qid")).alias("reachable"))
-    wide = g.edges.groupBy("src").agg((F.count(F.lit(1)) <= GD).alias("within_degree"))
+    wide = g.edges.groupBy("src").agg((F.count(F.lit(1)) <= 2 * GD).alias("within_degree"))
     return g.attributes.select("id").join(found, "id", "left").join(wide.withColumnRenamed("src", "id"), "id", "left").select("id", "reachable", "within_degree")
+
+
+# -- S3: query files in the order given ----------------------------------------------------
+
+@register("query_set_files", f"WITH {S.V}, f AS (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS ordinal FROM v) "
+          f"SELECT ordinal, {_META} FROM f WHERE id >= 20 ORDER BY ordinal, id LIMIT 400")
+def _query_set_files(spark, sf):
+    """Two query files given as z, a: the rows of z come first, each file in its row order, 400 in all (the limit is the feature)."""
+    v = vectors(spark, sf).select("id", "embed", "i32v", "f32v", "strv")
+    base = scratch_dir(spark, "query-files")
+    for name, third in (("a", F.col("id") % 3 == 0), ("z", F.col("id") % 3 != 0)):
+        csv_io.write_csv(v.where(third), f"{base}/{name}", chunks=1)
+    files = [f for name in ("z", "a") for f in csv_io.expand_paths(spark, prefix=f"{base}/{name}/part-")]
+    return csv_io.query_files(spark, files, start_id=20, n=400).select("ordinal", "id", "i32v", "f32v", "strv")

@@ -56,7 +56,11 @@ def read_csv(spark: SparkSession, files: Iterable[str] = (), prefix: str | None
 
     ``_file`` (the file name) is kept for file-ordered query sets (S3).
     """
-    paths = expand_paths(spark, files, prefix)
+    return _read_paths(spark, expand_paths(spark, files, prefix))
+
+
+def _read_paths(spark: SparkSession, paths: list[str], *more) -> DataFrame:
+    """The rows of CSV files, with their file and the columns ``more``."""
     raw = (
         spark.read.schema(CSV_SCHEMA)
         .option("header", True)
@@ -72,9 +76,31 @@ def read_csv(spark: SparkSession, files: Iterable[str] = (), prefix: str | None
         "f32v",
         F.col("str").alias("strv"),
         F.col("_metadata.file_path").alias("_file"),
+        *more,
     )
 
 
+def query_files(spark: SparkSession, files: Iterable[str] = (), prefix: str | None = None, start_id: int = 0, n: int | None = None) -> DataFrame:
+    """S3 in the order given: rows with ``id >= start_id`` of the files as listed, each in its own row order, then the first ``n``.
+
+    A table of the files' ordinals (a row per file) is broadcast and joined on the path; within a file a row's place is
+    its split's offset and its place in the split. ``ordinal, offset, place`` are kept: they are the order. A file listed twice is read twice.
+    """
+    from quiver.operators.dml import smallest_n
+
+    paths = expand_paths(spark, files, prefix)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    full = [(p := path(f)).getFileSystem(conf).makeQualified(p).toUri().toString() for f in paths]
+    norm = lambda f: f.replace("file:///", "file:/")  # noqa: E731  both spellings of a local path
+    ordinals = spark.createDataFrame([(norm(f), i) for i, f in enumerate(full)], "_path string, ordinal int")
+    rows = _read_paths(spark, list(dict.fromkeys(paths)), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.where(F.col("id") >= F.lit(int(start_id)))
+    rows = rows.join(F.broadcast(ordinals), F.replace("_file", F.lit("file:///"), F.lit("file:/")) == F.col("_path")).drop("_path")
+    order = ["ordinal", "offset", "place"]
+    return rows.orderBy(*order) if n is None else smallest_n(rows, int(n), order)
+
+
 def query_set(df: DataFrame, start_id: int = 0, n: int | None = None) -> DataFrame:
     """S3: rows with ``id >= start_id``, then the first ``n`` in file order (file name, id).
 
