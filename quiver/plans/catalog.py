@@ -1230,3 +1230,21 @@ def _query_set_files(spark, sf):
         csv_io.write_csv(v.where(third), f"{base}/{name}", chunks=1)
     files = [f for name in ("z", "a") for f in csv_io.expand_paths(spark, prefix=f"{base}/{name}/part-")]
     return csv_io.query_files(spark, files, start_id=20, n=400).select("ordinal", "id", "i32v", "f32v", "strv")
+
+
+# -- V8: stored codes ---------------------------------------------------------------------
+
+from quiver.operators import codes  # noqa: E402
+
+
+def _codes_query(qtype: str):
+    def q(spark, sf):
+        v = vectors(spark, sf)
+        return _ranked(codes.build_coded(v, qtype).search(queries_from(v), K))
+
+    q.__doc__ = f"Vectors stored as {qtype} codes, scanned with an error bound, what lies inside it re-ranked: exact search."
+    return q
+
+
+for _qt in ("fp16", "int8"):
+    register(f"knn_codes_{_qt}", ORACLE["knn_l2"])(_codes_query(_qt))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import dequantize, quantize
-from quiver.operators import graph, graph_block, ivf, knn, pq
+from quiver.operators import codes, graph, graph_block, ivf, knn, pq
 from quiver.schema import Config
 
 
@@ -69,6 +69,8 @@ def build_from_config(df: DataFrame, config, *, path: str | None = None, seed: i
         raise ValueError(f"unknown distribution mode {dist!r}")
     split = shards if given and dist == "sharded" else 1
     if kind in ("bruteforce", "brute_force", "flat"):
+        if (quant or "").lower() in codes.NAMES:  # kept as codes of that precision
+            return codes.build_coded(df, quant, metric, keep_vectors=False, path=path)
         return ExactIndex(data, metric, "sharded" if dist == "single" else dist)
     if kind == "ivfflat":
         n = cfg.dataset_size or df.count()
