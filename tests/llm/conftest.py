@@ -69,6 +69,9 @@ def odd_dir(tmp_path_factory):
                           "role": ["user" if i % 2 else "bob by" for i in range(150)] + ["system", "user", "user", "assistant", "system", None, "user", "user"],
                           "text": [f"turn {i} <|im_end|>" for i in range(150)] + ["be kind", "hi", "hi", "first", "alone", None, "", "same"], "chunk": ["clash"] * 158},
     }
+    vectors = [[(i * 7 % 11) / 11, (i * 5 % 13) / 13, i / 30] for i in range(30)] + [None, [], [None, 1.0, 1.0], [float("nan"), 1.0, 1.0], [1.0, 2.0]]
+    tables["embeddings"] = {"vec_id": pa.array([*range(34), None], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())),
+                            "label": pa.array([0] * 35, pa.int32()), "component": ["clash"] * 35}
     for name, columns in tables.items():
         pq.write_table(pa.table(columns), base / f"{name}.parquet")
     return str(base)
