@@ -8,7 +8,10 @@ Plans (``distribution``):
   ``row_number() <= k`` window over ``qid`` merges the partials (Spark adds a
   partial WindowGroupLimit before the shuffle), so the shuffle is tasks x
   queries x k rows, whatever the vectors' width. Splits of the corpus
-  (``spark.sql.files.maxPartitionBytes``) set the number of tasks.
+  (``spark.sql.files.maxPartitionBytes``) set the number of tasks. A corpus of many
+  files is searched in two levels: one task in every ``quiver.knn.pilotStride`` gives each
+  query a bound on its k-th distance, and the scan's tasks send only rows within it, about
+  stride x queries x k rows however many tasks there are.
 * ``sharded`` over query blocks: a query set up to ``maxScanBlocks`` times
   the budget is split by hash into blocks, each broadcast (size-checked) to
   its own kernel scan of the corpus; the corpus is read once per block and
@@ -47,6 +50,8 @@ DEFAULT_BLOCK_BYTES = 64 << 20
 # Query sets needing up to this many broadcast blocks scan the corpus once per
 # block (no corpus shuffle); larger ones use the grid plan.
 DEFAULT_MAX_SCAN_BLOCKS = 8
+# One scan task in so many is searched first for the bounds; a corpus of fewer than 4 x as many files goes without.
+DEFAULT_PILOT_STRIDE = 64
 
 
 def _conf_int(spark, key: str, default: int) -> int:
@@ -127,12 +132,13 @@ def knn(
     max_scans = _conf_int(spark, "quiver.knn.maxScanBlocks", DEFAULT_MAX_SCAN_BLOCKS)
     if dist != "grid" and 1 < blocks <= max_scans:
         blocks = _fit_blocks(q, blocks, max_scans, q_bytes / max(nq, 1), bbytes)
+    stride = pilot_stride(c) if dist != "grid" and blocks <= max_scans else 0
     if dist != "grid" and blocks == 1:
-        partials = _sharded_partials(c, q, k, m, with_flag)
+        partials = _sharded_partials(c, q, k, m, with_flag, stride)
     elif dist != "grid" and blocks <= max_scans:
         # A few size-checked query blocks, each broadcast to its own scan of
         # the corpus: the corpus is read `blocks` times but never shuffled.
-        parts = [_sharded_partials(c, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, m, with_flag)
+        parts = [_sharded_partials(c, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, m, with_flag, stride)
                  for b in range(blocks)]
         partials = parts[0]
         for p_ in parts[1:]:
@@ -155,25 +161,48 @@ def _fit_blocks(q: DataFrame, blocks: int, max_blocks: int, row_bytes: float, bu
     return max_blocks + 1  # does not fit: grid plan
 
 
-def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool) -> DataFrame:
+def pilot_stride(c: DataFrame) -> int:
+    """One in how many scan tasks is searched first; 0 (none) for a corpus of few files or one not read from files."""
+    stride = _conf_int(c.sparkSession, "quiver.knn.pilotStride", DEFAULT_PILOT_STRIDE)
+    return stride if stride > 0 and len(c.inputFiles()) >= 4 * stride else 0
+
+
+def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: bool, stride: int = 0) -> DataFrame:
+    """Each scan task's top-k; with ``stride``, only what lies within the k-th distance found by one task in ``stride``.
+
+    Any k rows of the corpus bound the k-th distance from above, so the bounds cut nothing that ranks. A query for
+    which those tasks hold fewer than k rows (a selective filter) has no bound.
+    """
     spark = c.sparkSession
     qids, Q, _ = _collect_matrix(q, "qid", "v")
     bq = spark.sparkContext.broadcast((qids, Q))
     schema = KNN_SCHEMA + (", ok boolean" if with_flag else "")
 
-    def kernel(batches):
-        qids_, Q_ = bq.value
-        top = TopK(qids_, Q_.astype(np.float64), k, m)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            X = vectors_from_arrow(rb.column(1))
-            flags = rb.column(2).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-            top.add(rb.column(0).to_numpy(), X, flags)
-        if top.seen.any():
-            yield top.result(with_flag=with_flag)
-
-    return c.mapInArrow(kernel, schema)
+    def scan(limits=None, every: int = 1) -> DataFrame:
+        def kernel(batches):
+            from pyspark import TaskContext
+
+            if every > 1 and TaskContext.get().partitionId() % every:
+                return  # reads no input
+            qids_, Q_ = bq.value
+            top = TopK(qids_, Q_.astype(np.float64), k, m)
+            for rb in batches:
+                if rb.num_rows == 0:
+                    continue
+                X = vectors_from_arrow(rb.column(1))
+                flags = rb.column(2).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
+                top.add(rb.column(0).to_numpy(), X, flags)
+            if top.seen.any():
+                yield top.result(with_flag=with_flag, limit=None if limits is None else limits.value)
+
+        return c.mapInArrow(kernel, schema)
+
+    if not stride:
+        return scan()
+    found = rank_partials(scan(every=stride), k).where((F.col("rk") == k) & F.col("d").isNotNull()).select("qid", "d").toArrow()  # a row per query
+    limit, order = np.full(len(qids), np.inf), np.argsort(qids)
+    limit[order[np.searchsorted(qids[order], found["qid"].to_numpy())]] = found["d"].to_numpy()
+    return scan(spark.sparkContext.broadcast(limit))
 
 
 def _grid_partials(c, q, k, m, with_flag, nq, nc, dim, blk) -> DataFrame:

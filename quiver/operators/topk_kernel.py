@@ -124,6 +124,7 @@ class TopK:
         self.best_i = np.full((nq, k), ID_SENTINEL, dtype=np.int64)
         self.best_f = np.zeros((nq, k), dtype=bool)
         self.seen = np.zeros(nq, dtype=np.int64)
+        self.reach = 0.0  # greatest norm of the rows seen
 
     def add(self, ids: np.ndarray, X: np.ndarray, flags: np.ndarray | None = None,
             qidx: np.ndarray | None = None) -> None:
@@ -137,6 +138,7 @@ class TopK:
         if flags is None:
             flags = np.ones(n, dtype=bool)
         xn = np.sqrt(np.einsum("nd,nd->n", X, X))
+        self.reach = max(self.reach, float(np.nanmax(xn, initial=0.0)))
         k, dim = min(n, self.k), X.shape[1]
         most = min(n, self.k + EXTRA)
         tile = max(1, min(len(sel), TILE_DOUBLES // max(n, most * dim, 1)))
@@ -174,8 +176,12 @@ class TopK:
         self.best_i[rows] = np.take_along_axis(ci, order, axis=1)
         self.best_f[rows] = np.take_along_axis(cf, order, axis=1)
 
-    def result(self, with_rank: bool = False, with_flag: bool = False) -> pa.RecordBatch:
+    def result(self, with_rank: bool = False, with_flag: bool = False, limit: np.ndarray | None = None) -> pa.RecordBatch:
+        """The rows kept; with ``limit`` (a distance per query, inf for none) only those not beyond it."""
         valid = self.best_i != ID_SENTINEL  # queries that saw no row emit nothing
+        if limit is not None:
+            slack = 1e-9 * np.abs(limit) + 1e-10 * self.qn * self.reach + 1e-12  # above the rounding of a distance
+            valid &= self.best_d <= (limit + slack)[:, None]
         q = np.broadcast_to(self.qids[:, None], self.best_i.shape)[valid]
         i = self.best_i[valid]
         d = self.best_d[valid]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions import filters as flt
 from quiver.functions import vector as vf
-from quiver.operators import ivf, knn as knn_mod, recall
+from quiver.operators import chunks, ivf, knn as knn_mod, recall
 from quiver.plans import sqlparts as S
 from quiver.schema import queries_from, vectors
 
@@ -601,6 +601,20 @@ def _ivf_recreate(spark, sf):
     return _ranked(again.search(queries_from(v), K))
 
 
+@register("ivf_add_chunks", ORACLE["ivf_search"])
+def _ivf_add_chunks(spark, sf):
+    """Two chunks before the build, one (added twice, as a retry would) into the built index."""
+    v = vectors(spark, sf)
+    part = lambda r: v.where(F.pmod("id", F.lit(3)) == r)
+    chunked = chunks.ChunkedIvf(spark, scratch_dir(spark, "ivf-chunks"), "l2")
+    chunked.add("a", part(0))
+    chunked.add("b", part(1))
+    chunked.build(n_probes=N_PROBES, centroids=ivf.centroids_from_labels(v))
+    chunked.add("c", part(2))
+    chunked.add("c", part(2))
+    return _ranked(chunked.index().search(queries_from(v), K))
+
+
 @register("append_rows", f"WITH {S.V} " + _summary_sql(
     f"{_V_COLS} UNION ALL SELECT id + 1000000 AS id, embed, i32v, f32v, strv FROM v"))
 def _append_rows(spark, sf):
