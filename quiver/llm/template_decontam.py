@@ -10,8 +10,8 @@ with a word has a key. Items shorter than a window are one window of their own l
 
 1. *Candidates.* Window hashes of all documents, in the forms that the items' keys have, meet the items' distinct
    hashes; only (id, hash) leave the projection, and only documents with a
-   hit go on. The items' hashes are broadcast when their counted rows are
-   within ``BROADCAST_ROWS``, else both sides are shuffled by hash.
+   hit go on. A token is hashed once per form, a window from its tokens' hashes. The items' windows are broadcast when
+   their measured bytes are within ``BROADCAST_BYTES``, else both sides are shuffled by hash.
 2. *Verification.* For the candidates alone, windows carry their key and
    words and join the items' on hash and key. Hits of one item at one
    alignment (document position less item position) are compared slot by slot: a slot conflicts when it
@@ -20,12 +20,13 @@ with a word has a key. Items shorter than a window are one window of their own l
 3. *Dropping.* ``leaks`` reports every item found; ``clean`` drops a document for a share of an item's windows or a long
    verbatim run, so a stock phrase of one window is not enough.
 
-``op3_template_decontam`` returns ``template_rows``, which are bound to the SQL twin: template keys alone, and an
-alignment with one conflict is left out. ``leaks`` and ``clean``, which the pipeline runs, do the above.
+``op3_template_decontam`` returns the rows of ``leaks``, which ``ORACLE`` defines in SQL; the pipeline runs ``clean``.
 
-Defined results: null and empty texts have no windows; rows with a null ``doc_id`` are
+Defined results: null and empty texts have no windows, and empty tables give no rows (``clean`` then keeps all); long texts
+are searched whole; rows with a null ``doc_id`` are
 not judged (``clean`` keeps them); rows that repeat a ``doc_id`` are judged together; repeated items
-count once per ``item_id``; a null ``item_id`` is searched like any other; no other column is read.
+count once per ``item_id``; a null ``item_id`` is searched like any other; of alignments that tie, the earliest and then the
+longest is reported; no other column is read, so none clashes.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from quiver.session import scratch_dir
 WINDOW = 8
 LITERALS = 4
 SHORTEST = 4
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20  # of item windows, by their measured text
 SHARE = 50  # per cent of an item's windows that drop a document
 RUN = 13  # words of a verbatim run that do so
 RAW, BLIND, TEMPLATE = range(3)  # forms of a key: no placeholder; numbers and units; names too
@@ -80,10 +81,6 @@ def _slices(of: str, size: int, make) -> Column:
     return F.when(F.size(of) >= size, F.transform(at, make))
 
 
-def _hashes(size: int) -> Column:
-    return _slices("tmpl", size, lambda i: F.xxhash64(F.slice("tmpl", i, size)))
-
-
 def _plain(window: Column) -> Column:
     return F.size(F.filter(window, lambda t: ~t.startswith("<")))
 
@@ -92,58 +89,6 @@ def _least(size: int) -> int:
     return min(LITERALS, size // 2)
 
 
-def _templated(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, tokens(F.col("text")).alias("words")).withColumn("tmpl", template(F.col("words")))
-
-
-def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``(key, pos, hash, window, slots)``: windows of one size with enough plain words."""
-    slots = lambda i: F.transform(F.filter(F.arrays_zip(F.slice("tmpl", i, size).alias("t"), F.slice("words", i, size).alias("w")), lambda z: z["t"].startswith("<")), lambda z: z["w"])
-    make = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("tmpl", i, size)).alias("hash"), F.array_join(F.slice("tmpl", i, size), " ").alias("window"), _plain(F.slice("tmpl", i, size)).alias("plain"), slots(i).alias("slots"))
-    rows = df.select(key, F.explode(_slices("tmpl", size, make)).alias("z")).select(key, "z.*")
-    return rows.where(F.col("plain") >= _least(size)).drop("plain")
-
-
-def template_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, item_id, n_windows, n_slots, first_word, last_word)``: the rows that ``ORACLE`` defines.
-
-    Template windows alone, at the item's longest alignment without any slot conflict; fewer than ``leaks`` finds.
-    """
-    items = _templated(benchmark, "item_id").withColumn("n", F.size("tmpl")).where(F.col("n") >= SHORTEST)
-    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - SHORTEST values
-    sizes = [*short, window]
-    keyed = None
-    for size in sizes:
-        some = items.where(F.col("n") == size) if size < window else items.where(F.col("n") >= window)
-        part = _windows(some, "item_id", size).withColumn("size", F.lit(size)).distinct()
-        keyed = part if keyed is None else keyed.unionByName(part)
-    keys = keyed.select("hash").distinct()
-    small = keyed.count() <= BROADCAST_ROWS
-    fit = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-
-    known = docs.where("doc_id is not null").select("doc_id", "text")
-    hashed = _templated(known, "doc_id")
-    hashes = [F.coalesce(_hashes(size), F.array().cast("array<bigint>")) for size in sizes]
-    found = hashed.select("doc_id", F.explode(F.concat(*hashes)).alias("hash")).join(fit(keys), "hash", "left_semi")
-    hit = found.select("doc_id").distinct()
-
-    again = _templated(known.join(hit, "doc_id", "left_semi"), "doc_id")
-    mine = None
-    for size in sizes:
-        part = _windows(again, "doc_id", size).withColumn("size", F.lit(size))
-        mine = part if mine is None else mine.unionByName(part)
-    theirs = keyed.select("item_id", "hash", "window", "size", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = mine.join(fit(theirs), ["hash", "window", "size"])
-    met = met.select("doc_id", "item_id", "pos", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), F.explode_outer(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b"))).alias("s"))
-    same = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("pos").alias("n_windows"), F.min("pos").alias("first_pos"), F.max(F.col("pos") + F.col("size")).alias("end_pos"),
-        F.size(F.collect_set("s")).alias("pairs"), F.size(F.collect_set("s.d")).alias("d"), F.size(F.collect_set("s.b")).alias("b"))
-    same = same.where("pairs = d and pairs = b")
-    best = same.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("first_pos"), "end_pos", "pairs")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.n_windows"), F.col("m.pairs").cast("long").alias("n_slots"),
-                       (-F.col("m.col2") - 1).cast("long").alias("first_word"), (F.col("m.end_pos") - 2).cast("long").alias("last_word"))
-
-
 def _folded(df: DataFrame, key: str) -> DataFrame:
     """``(key, n, raw, nums, blind, tmpl)``: words whatever their case, with numbers, with numbers and units, with all placeholders."""
     df = df.select(key, tokens(F.col("text"), lambda t: F.lower(F.upper(t))).alias("words"))
@@ -159,12 +104,21 @@ def _form(form: int, size: int):
     return lambda i: F.slice("raw" if form == RAW else "tmpl", i, size)
 
 
+def _token_hashes(tokens: Column | str) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
 def _hash_of(form: int, size: int):
+    """A window's hash, over columns that hold their tokens' hashes; ``_key_hash`` gives the same for a window's tokens."""
     return lambda i: F.xxhash64(_form(form, size)(i))
 
 
+def _key_hash(tokens: Column | str) -> Column:
+    return F.xxhash64(_token_hashes(tokens))
+
+
 def _window_of(form: int, size: int):
-    return lambda i: F.struct(i.alias("pos"), _hash_of(form, size)(i).alias("hash"), F.array_join(_form(form, size)(i), " ").alias("window"), F.slice("raw", i, size).alias("words"))
+    return lambda i: F.struct(i.alias("pos"), _key_hash(_form(form, size)(i)).alias("hash"), F.array_join(_form(form, size)(i), " ").alias("window"), F.slice("raw", i, size).alias("words"))
 
 
 def _item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -177,7 +131,7 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
     rows = rows.select("item_id", "n", "item_pos", F.lit(size).alias("size"), enough("b").alias("rich"), slots.alias("slots"), F.explode(keys).alias("key"))
     named = F.exists("key", lambda t: t == NAME) | (F.get("key", F.lit(0)) == UNIT)
     form = F.when(named, F.lit(TEMPLATE)).when(F.exists("key", lambda t: t.startswith("<")), F.lit(BLIND)).otherwise(F.lit(RAW))
-    return rows.select("*", form.alias("form"), F.xxhash64("key").alias("hash"), F.array_join("key", " ").alias("window")).drop("key").distinct()
+    return rows.select("*", form.alias("form"), _key_hash("key").alias("hash"), F.array_join("key", " ").alias("window")).drop("key").distinct()
 
 
 def _alignments(hits: DataFrame) -> DataFrame:
@@ -225,13 +179,15 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     keyed.write.parquet(path)
     keyed = spark.read.parquet(path)
     keys = keyed.select("hash").distinct()
-    fit = F.broadcast if keyed.count() <= BROADCAST_ROWS else (lambda d: d)
+    held = keyed.agg(F.sum(2 * F.octet_length("window") + 200)).first()[0] or 0  # a row's slots are words of its window
+    fit = F.broadcast if held <= BROADCAST_BYTES else (lambda d: d)
     used = sorted(tuple(r) for r in keyed.select("form", "size").distinct().collect())  # a document's windows in other forms meet no key
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
     none = F.array().cast("array<bigint>")
     hashes = [none, *(F.coalesce(_slices("raw", size, _hash_of(form, size)), none) for form, size in used)]
-    found = _folded(known, "doc_id").select("doc_id", F.explode(F.concat(*hashes)).alias("hash")).join(fit(keys), "hash", "left_semi")
+    hashed = _folded(known, "doc_id").select("doc_id", *(_token_hashes(c).alias(c) for c in ("raw", "nums", "blind", "tmpl")))
+    found = hashed.select("doc_id", F.explode(F.concat(*hashes)).alias("hash")).join(fit(keys), "hash", "left_semi")
 
     again = _folded(known.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     mine = []
@@ -256,34 +212,57 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents`` against all of ``benchmark``, as ``ORACLE`` defines the rows."""
-    return template_rows(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """All of ``documents`` against all of ``benchmark``: ``leaks``."""
+    return leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
-_TEMPLATED = f"""
-  SELECT key, words, list_transform(words, lambda w, i: CASE WHEN starts_with(w, chr(1)) THEN '<name>' WHEN w >= '0' AND w < ':' THEN '<num>'
-    WHEN w IN ({_UNIT_LIST}) AND i > 1 AND words[i - 1] >= '0' AND words[i - 1] < ':' THEN '<unit>' ELSE w END) AS tmpl
-  FROM (SELECT key, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''),
-      '([^\\x09-\\x0D\\x20.!?:;])([\\x09-\\x0D\\x20]+)(\\p{{Lu}}\\p{{Ll}})', '\\1 ' || chr(1) || '\\3', 'g')),
-      '([0-9])[.,]([0-9])', '\\1\\2', 'g'), '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '[^\\x01\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM %s)"""
-_WINDOWS = f"""
-  SELECT key, pos, k AS size, array_to_string(tmpl[pos:pos + k - 1], ' ') AS win,
-    list_transform(list_filter(range(pos, pos + k), lambda j: starts_with(tmpl[j], '<')), lambda j: words[j]) AS slots
-  FROM %s, sizes, unnest(range(1, len(tmpl) - k + 2)) AS u(pos)
-  WHERE len(list_filter(tmpl[pos:pos + k - 1], lambda t: NOT starts_with(t, '<'))) >= least({LITERALS}, k // 2)"""
+
+
+def _template_sql(words: str, name: str) -> str:
+    return f"""list_transform({words}, lambda w, i: CASE WHEN starts_with(w, chr(1)) THEN '<name>' WHEN w >= '0' AND w < ':' THEN '<num>'
+    WHEN w IN ({_UNIT_LIST}) AND i > 1 AND {words}[i - 1] >= '0' AND {words}[i - 1] < ':' THEN '<unit>' ELSE w END) AS {name}"""
+
+
+_FOLDED = f"""
+  SELECT *, len(raw) AS n, list_transform(raw, lambda w: CASE WHEN w >= '0' AND w < ':' THEN '<num>' ELSE w END) AS nums, {_template_sql('raw', 'blind')}, {_template_sql('words', 'tmpl')}
+  FROM (SELECT *, list_transform(words, lambda w: replace(w, chr(1), '')) AS raw
+    FROM (SELECT key, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(upper(regexp_replace(coalesce(text, ''),
+      '([^\\x09-\\x0D\\x20.!?:;])([\\x09-\\x0D\\x20]+)(\\p{{Lu}}\\p{{Ll}})', '\\1 ' || chr(1) || '\\3', 'g'))),
+      '([0-9])[.,]([0-9])', '\\1\\2', 'g'), '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '[^\\x01\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM %s))"""
+_FORMS = """
+  SELECT key, n, pos, k AS size, raw[pos:pos + k - 1] AS r, list_concat(nums[pos:pos], blind[pos + 1:pos + k - 1]) AS b, tmpl[pos:pos + k - 1] AS t
+  FROM %s, unnest(range(1, n - k + 2)) AS u(pos)"""
+_ENOUGH = "(len(list_filter({0}, lambda x: NOT starts_with(x, '<'))) >= least({1}, size // 2) AND n >= {2})"
 ORACLE = f"""
-WITH items AS (SELECT * FROM ({_TEMPLATED % '(SELECT item_id AS key, text FROM benchmark)'}) WHERE len(tmpl) >= {SHORTEST}),
-sizes AS (SELECT DISTINCT least(len(tmpl), {WINDOW})::BIGINT AS k FROM items UNION SELECT {WINDOW}),
-docs AS ({_TEMPLATED % '(SELECT doc_id AS key, text FROM documents WHERE doc_id IS NOT NULL)'}),
-iw AS (SELECT DISTINCT w.* FROM ({_WINDOWS % 'items'}) w JOIN items USING (key) WHERE size = least(len(tmpl), {WINDOW})),
-dw AS ({_WINDOWS % 'docs'}),
-met AS (SELECT d.key AS doc_id, i.key AS item_id, d.pos - i.pos AS shift, d.pos, d.size, d.slots AS ds, i.slots AS bs
-  FROM dw d JOIN iw i ON d.win = i.win AND d.size = i.size),
-pairs AS (SELECT doc_id, item_id, shift, unnest(ds) AS d, unnest(bs) AS b FROM met),
-consistent AS (SELECT doc_id, item_id, shift, count(DISTINCT d || chr(0) || b) AS p, count(DISTINCT d) AS nd, count(DISTINCT b) AS nb FROM pairs GROUP BY ALL),
-same AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n, min(pos) AS lo, max(pos + size) AS hi FROM met GROUP BY ALL),
-ok AS (SELECT same.*, coalesce(p, 0) AS p FROM same LEFT JOIN consistent USING (doc_id, item_id, shift) WHERE p IS NULL OR (p = nd AND p = nb))
-SELECT doc_id, item_id, n::BIGINT AS n_windows, p::BIGINT AS n_slots, (lo - 1)::BIGINT AS first_word, (hi - 2)::BIGINT AS last_word FROM ok
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, lo, hi DESC, p DESC) = 1
+WITH items AS (SELECT * FROM ({_FOLDED % '(SELECT item_id AS key, text FROM benchmark)'}) WHERE n > 0),
+sizes AS (SELECT DISTINCT least(n, {WINDOW}) AS k FROM items),
+docs AS ({_FOLDED % '(SELECT doc_id AS key, text FROM documents WHERE doc_id IS NOT NULL)'}),
+iw AS (SELECT *, {_ENOUGH.format('t', LITERALS, SHORTEST)} AS et, {_ENOUGH.format('b', LITERALS, SHORTEST)} AS eb
+  FROM ({_FORMS % f'(SELECT *, least(n, {WINDOW}) AS k FROM items)'})),
+keys AS (SELECT DISTINCT key, n, pos, size, eb AS rich, list_filter(list_transform(t, lambda x, i: CASE WHEN starts_with(x, '<') THEN {{'i': i, 'b': r[i]}} END), lambda s: s IS NOT NULL) AS slots,
+    unnest(list_filter([CASE WHEN et THEN t END, CASE WHEN eb THEN b END, CASE WHEN NOT eb THEN r END], lambda x: x IS NOT NULL)) AS w FROM iw),
+theirs AS (SELECT *, array_to_string(w, ' ') AS win,
+    CASE WHEN list_contains(w, '{NAME}') OR w[1] = '{UNIT}' THEN {TEMPLATE} WHEN len(list_filter(w, lambda x: starts_with(x, '<'))) > 0 THEN {BLIND} ELSE {RAW} END AS form FROM keys),
+forms AS ({_FORMS % 'docs, sizes'}),
+mine AS (SELECT key, n, pos, size, r, {RAW} AS form, array_to_string(r, ' ') AS win FROM forms
+  UNION ALL SELECT key, n, pos, size, r, {BLIND}, array_to_string(b, ' ') FROM forms
+  UNION ALL SELECT key, n, pos, size, r, {TEMPLATE}, array_to_string(t, ' ') FROM forms),
+met AS (SELECT m.key AS doc_id, i.key AS item_id, m.pos - i.pos AS shift, m.pos, m.size, i.n, m.n AS n_doc,
+    i.rich AND len(list_filter(i.slots, lambda s: s.b <> m.r[s.i])) = 0 AS same,
+    list_transform(i.slots, lambda s: {{'q': m.pos + s.i, 'b': s.b, 'd': m.r[s.i]}}) AS pairs
+  FROM mine m JOIN theirs i ON m.win = i.win AND m.size = i.size AND m.form = i.form),
+one AS (SELECT * EXCLUDE (pairs), unnest(CASE WHEN len(pairs) = 0 THEN [NULL] ELSE pairs END) AS p FROM met),
+voted AS (SELECT *, p.b AS b, p.d AS d, count(DISTINCT p.q) OVER (PARTITION BY doc_id, item_id, shift, p.b, p.d) AS votes FROM one),
+topped AS (SELECT *, max(votes) OVER (PARTITION BY doc_id, item_id, shift, b) AS top FROM voted),
+aligned AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n_windows, count(DISTINCT pos) - count(DISTINCT CASE WHEN d <> b AND votes < top THEN pos END) AS n_consistent,
+    list_transform(list_sort(list(DISTINCT pos) FILTER (WHERE same)), lambda x, i: x - i) AS runs, count(DISTINCT b || chr(0) || d) AS n_slots,
+    max(size) AS size, max(n) AS n, max(n_doc) AS n_doc, min(pos) AS lo, max(pos) + max(size) AS hi FROM topped GROUP BY doc_id, item_id, shift),
+measured AS (SELECT *, n - size + 1 AS n_item,
+    CASE WHEN len(runs) > 0 THEN list_max(list_transform(list_distinct(runs), lambda x: len(list_filter(runs, lambda y: y = x)))) + size - 1 ELSE 0 END AS n_verbatim FROM aligned),
+judged AS (SELECT *, (n >= {SHORTEST} OR n_doc = n)
+    AND (CASE WHEN n_item > {WINDOW} THEN n_consistent * 100 >= n_item * {SHARE} ELSE n_consistent = n_item END OR n_verbatim >= {RUN}) AS leaked FROM measured)
+SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, n_consistent::BIGINT AS n_consistent, n_item::BIGINT AS n_item, n_slots::BIGINT AS n_slots,
+  n_verbatim::BIGINT AS n_verbatim, leaked, (lo - 1)::BIGINT AS first_word, (hi - 2)::BIGINT AS last_word FROM judged
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY leaked DESC, n_consistent DESC, n_windows DESC, lo, hi DESC, n_item DESC, n_slots DESC, n_verbatim DESC) = 1
 """

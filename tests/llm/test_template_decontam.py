@@ -1,6 +1,9 @@
-"""What leaks() finds beyond the rows of the SQL twin, and what clean() drops."""
+"""What leaks() finds and clean() drops, and the query's SQL twin on planted names, arithmetic, capitals and look-alikes."""
+
+import pytest
 
 from quiver.llm import template_decontam as T
+from tests.oracle_check import compare, duck
 
 
 def run(spark, texts, items):
@@ -53,3 +56,23 @@ def test_stock_phrases_do_not_drop_clean_documents(spark):
     assert 0 < found[0, 0].n_consistent < found[0, 0].n_item / 2 and 0 < found[1, 1].n_consistent < found[1, 1].n_item / 2
     assert kept == {0, 1}
     assert found[4, 2].leaked and found[4, 2].n_consistent * 2 < found[4, 2].n_item  # a verbatim run of a long item
+
+
+ASK = "What is the capital city of France?"
+SUM = "Compute 12 + 7 - 3 * (8 + 15) / 2 - 41 + 6 * 9."
+NAMES = "Present: Anna, Bruno, Clara, Dieter, Emil, Frida, Georg, Hanna, Ivan, Julia."
+ITEMS = [PROBLEM, PROBLEM, PROBLEM + " and 2 dogs that sleep there by the stove", SUM, NAMES, ASK, "17 + 25", "Tiny", "", None, "The physicist was born in 1867 in Warsaw and later ran 5 km each day of 3 weeks"]
+
+
+@pytest.mark.parametrize("broadcast", [T.BROADCAST_BYTES, 0])
+def test_twin_on_planted_cases(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(T, "BROADCAST_BYTES", broadcast)
+    values = [PROBLEM.replace("2 pounds a", "3 pounds a"), PROBLEM.replace("for 2 pounds each", "for 4 pounds each").replace("for 2 pounds a", "for 3 pounds a"), PROBLEM.upper(), PROBLEM.title()]
+    texts = [*(t for t in ITEMS if t), *values, *(ITEMS[2].replace("2", n) for n in "378"), "So: " + SUM, SUM.replace("12", "13"), "At table. " + NAMES.upper(), NAMES.replace("Emil", "Otto"),
+             "THEN " + ASK.upper(), "- " + ASK + " " + ASK, "17 + 26", "a tiny word", " ".join([PROBLEM] * 3), "The chemist was born in 1901 in Ulm and later ran 7 km each day of 9 weeks",
+             "the physicist was born in 1867 in Warsaw and later ran", "5 km and 3 weeks, 5 km and 3 weeks", "", None, "été à Zürich " + PROBLEM]
+    docs = [*enumerate(texts), (None, PROBLEM), (3, PROBLEM), (0, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(ITEMS), (0, SUM), (None, NAMES)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert T.op3_template_decontam(spark, str(tmp_path)).count() > 40
+    assert compare(spark, str(tmp_path), "op3", T.op3_template_decontam, T.ORACLE, duck(str(tmp_path)))["status"] == "ok"
