@@ -42,9 +42,10 @@ from quiver.operators.knn import (
     _conf_int,
     _vector_stats,
     rank_partials,
+    spread,
 )
 from quiver.operators import expand
-from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
+from quiver.operators.topk_kernel import QUERY_GROUP, TopK, empty_result, flags_from, row_chunks, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 DEFAULT_BLOCK_BYTES = 64 << 20
@@ -118,13 +119,12 @@ def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str
         import pyarrow as pa
 
         cids_, C_ = bc.value
-        C64 = C_.astype(np.float64)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             X = vectors_from_arrow(rb.column(vi))
             top = TopK(np.arange(rb.num_rows, dtype=np.int64), X, 1, m)
-            top.add(cids_, C64)
+            top.add(cids_, C_)
             res = top.result()
             lid = np.empty(rb.num_rows, dtype=np.int32)
             lid[res.column(0).to_numpy()] = res.column(1).to_numpy().astype(np.int32)
@@ -243,7 +243,7 @@ class IvfIndex:
             cols.append(F.coalesce(flag, F.lit(False)).alias("ok"))
         rows = rows.select(*cols)
         with_flag = flag is not None
-        partials = scan_partials(rows, q, probes, k, broadcast_bytes,
+        partials = scan_partials(spread(rows), q, probes, k, broadcast_bytes,
                                  lambda bp: _flat_scan_kernel(bp, k, self.metric, with_flag),
                                  KNN_SCHEMA + (", ok boolean" if with_flag else ""))
         if partials is None:
@@ -325,34 +325,37 @@ def scan_partials(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, budg
     return out
 
 
-def list_queries(plan, lid: int):
-    """Query row indices probing list ``lid`` (empty when none)."""
+def list_queries(plan, lid: int, first: int = 0, stop: int | None = None):
+    """Query row indices in ``[first, stop)`` probing list ``lid`` (empty when none), ascending."""
     _, _, lids, offsets, qix = plan
     j = int(np.searchsorted(lids, lid))
     if j >= len(lids) or lids[j] != lid:
         return qix[:0]
-    return qix[offsets[j]:offsets[j + 1]]
+    own = qix[offsets[j]:offsets[j + 1]]
+    return own if stop is None else own[np.searchsorted(own, first):np.searchsorted(own, stop)]
+
+
+def by_list(lids: np.ndarray) -> list[np.ndarray]:
+    """Row positions of each list, by one sort."""
+    order = np.argsort(lids, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(lids[order])) + 1)
 
 
 def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
     def kernel(batches):
         plan = bplan.value
         qids, Q = plan[0], plan[1]
-        top = TopK(qids, Q.astype(np.float64), k, metric)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            lids = rb.column(0).to_numpy()
-            ids = rb.column(1).to_numpy()
-            X = vectors_from_arrow(rb.column(2))
-            flags = rb.column(3).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-            order = np.argsort(lids, kind="stable")  # one sort, then a slice per list
-            for rows in np.split(order, np.flatnonzero(np.diff(lids[order])) + 1):
-                sel = list_queries(plan, int(lids[rows[0]]))
-                if len(sel):
-                    top.add(ids[rows], X[rows], flags[rows] if with_flag else None, qidx=sel)
-        if top.seen.any():
-            yield top.result(with_flag=with_flag)
+        for t in row_chunks(batches, Q.shape[1]):
+            lids, ids, X = t.column(0).to_numpy(), t.column(1).to_numpy(), vectors_from_arrow(t.column(2))
+            flags = flags_from(t) if with_flag else None
+            lists = [(int(lids[rows[0]]), ids[rows], X[rows], flags[rows] if with_flag else None) for rows in by_list(lids)]
+            del X
+            for a in range(0, len(qids), QUERY_GROUP):  # the state held is a group's, whatever the query set
+                top = TopK(qids[a:a + QUERY_GROUP], Q[a:a + QUERY_GROUP], k, metric)
+                for lid, own, vectors, fits in lists:
+                    top.add(own, vectors, fits, qidx=list_queries(plan, lid, a, a + QUERY_GROUP) - a)
+                if top.seen.any():
+                    yield top.result(with_flag=with_flag)
 
     return kernel
 

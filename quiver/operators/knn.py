@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import distance, resolve_metric
-from quiver.operators.topk_kernel import TopK, empty_result, flags_from, vectors_from_arrow
+from quiver.operators.topk_kernel import QUERY_GROUP, TopK, empty_result, flags_from, row_chunks, vectors_from_arrow
 
 KNN_SCHEMA = "qid long, id long, d double"
 KNN_RANKED_SCHEMA = "qid long, id long, d double, rk int"
@@ -74,6 +74,12 @@ def _collect_matrix(df: DataFrame, id_col: str, vec_col: str, extra: list[str] |
     return ids, X, ex
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where their files are few: a row's work grows with the query set, and each row moves once."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < 4 * cores else rows
+
+
 def rank_partials(partials: DataFrame, k: int, order_null_last: bool = True) -> DataFrame:
     """Merge partial top-k rows into final ranks per query."""
     w = Window.partitionBy("qid").orderBy(F.col("d").asc_nulls_last(), F.col("id").asc())
@@ -185,18 +191,18 @@ def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: boo
             if every > 1 and TaskContext.get().partitionId() % every:
                 return  # reads no input
             qids_, Q_ = bq.value
-            top = TopK(qids_, Q_.astype(np.float64), k, m)
-            for rb in batches:
-                if rb.num_rows == 0:
-                    continue
-                X = vectors_from_arrow(rb.column(1))
-                flags = rb.column(2).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-                top.add(rb.column(0).to_numpy(), X, flags)
-            if top.seen.any():
-                yield top.result(with_flag=with_flag, limit=None if limits is None else limits.value)
-
-        return c.mapInArrow(kernel, schema)
-
+            for t in row_chunks(batches, Q_.shape[1]):
+                ids, X = t.column(0).to_numpy(), vectors_from_arrow(t.column(1))
+                flags = flags_from(t) if with_flag else None
+                for a in range(0, len(qids_), QUERY_GROUP):  # the state held is a group's, whatever the query set
+                    own = slice(a, a + QUERY_GROUP)
+                    top = TopK(qids_[own], Q_[own], k, m)
+                    top.add(ids, X, flags)
+                    yield top.result(with_flag=with_flag, limit=None if limits is None else limits.value[own])
+
+        return rows.mapInArrow(kernel, schema)
+
+    rows = c if stride else spread(c)
     if not stride:
         return scan()
     found = rank_partials(scan(every=stride), k).where((F.col("rk") == k) & F.col("d").isNotNull()).select("qid", "d").toArrow()  # a row per query
@@ -239,12 +245,11 @@ def replicated_arrays(q: DataFrame, ids: np.ndarray, X: np.ndarray, k: int, m: s
 
     def kernel(batches):
         ids_, X_, f_ = bc.value
-        X64 = X_.astype(np.float64)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             top = TopK(rb.column(0).to_numpy(), vectors_from_arrow(rb.column(1)), k, m)
-            top.add(ids_, X64, f_)
+            top.add(ids_, X_, f_)
             out = top.result(with_rank=True, with_flag=with_flag)
             if with_flag:
                 out = out.select(["qid", "id", "d", "rk", "ok"])

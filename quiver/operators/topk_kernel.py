@@ -17,7 +17,11 @@ import pyarrow as pa
 ID_SENTINEL = np.iinfo(np.int64).max
 # Cap on the doubles held by one distance tile (rows x queries): 32 MiB.
 TILE_DOUBLES = 1 << 22
-# Candidates per query above k that are re-ranked as one block; a query with more is re-ranked alone.
+# Queries and rows of one product.
+QUERIES, COLUMNS = 512, 2048
+# Float bytes of a task's rows held at once, and queries whose top-k is held with them.
+CHUNK_BYTES, QUERY_GROUP = 32 << 20, 1 << 16
+# Queries with more candidates above k in a block are merged apart from the others.
 EXTRA = 16
 # Rounding of the product form, in units of dim * machine epsilon * magnitude.
 ROUNDING = 4 * np.finfo(np.float64).eps
@@ -42,24 +46,42 @@ def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None)
     return flat.astype(np.float64, copy=False).reshape(n, d)
 
 
-def _approx(metric: str, Q: np.ndarray, qn: np.ndarray, X: np.ndarray, xn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Product-form distances (squared for l2) and, per query, a bound on their rounding error."""
-    unit = ROUNDING * (Q.shape[1] + 8)
-    if metric in ("l2", "l2sq"):
-        # Shifting both sides by the rows' mean leaves differences alone and shrinks the magnitudes that cancel.
-        mean = X.mean(axis=0)
-        Qs, Xs = Q - mean, X - mean
-        q2, x2 = np.einsum("qd,qd->q", Qs, Qs), np.einsum("nd,nd->n", Xs, Xs)
-        shift = ROUNDING * (qn + xn.max()) * (np.sqrt(q2) + np.sqrt(x2.max()))  # the shift itself rounds
-        return q2[:, None] + x2[None, :] - 2.0 * (Qs @ Xs.T), unit * (q2 + x2.max()) + 4 * shift
-    G = Q @ X.T
-    if metric == "ip":
-        return -G, unit * qn * xn.max()
-    den = qn[:, None] * xn[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        D = 1.0 - G / den
-    D[den == 0] = np.inf
-    return D, np.full(len(Q), unit)
+class Columns:
+    """A block of rows, made ready for product-form distances to many queries."""
+
+    def __init__(self, metric: str, X: np.ndarray, norms: np.ndarray | None = None):
+        """``norms``: bounds of the rows' norms, where the rows are sums whose parts are longer than they are."""
+        self.metric, self.X = metric, X
+        xn = np.sqrt(np.einsum("nd,nd->n", X, X))
+        fit = np.isfinite(xn)
+        self.far = float(np.max((xn if norms is None else norms)[fit], initial=0.0))
+        if metric in ("l2", "l2sq"):
+            # Shifting both sides by the rows' mean leaves differences alone and shrinks the magnitudes that cancel.
+            self.mean = X[fit].mean(axis=0) if fit.any() else np.zeros(X.shape[1])
+            Xs = X - self.mean
+            x2 = np.einsum("nd,nd->n", Xs, Xs)
+            self.most = float(np.max(x2[fit], initial=0.0))
+            self.rows = np.column_stack([Xs, x2])
+        elif metric == "cosine":
+            self.zero = xn == 0
+            self.rows = X / np.where(self.zero, 1.0, xn)[:, None]
+        else:
+            self.rows = X
+
+    def distances(self, Q: np.ndarray, qn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Product-form distances (squared for l2) less ``base``, ``base`` and a bound on their rounding error, the last two per query."""
+        unit = ROUNDING * (Q.shape[1] + 8)
+        if self.metric in ("l2", "l2sq"):
+            Qs = Q - self.mean
+            q2 = np.einsum("qd,qd->q", Qs, Qs)
+            shift = ROUNDING * (qn + self.far) * (np.sqrt(q2) + np.sqrt(self.most))  # the shift itself rounds
+            return np.column_stack([-2.0 * Qs, np.ones(len(Q))]) @ self.rows.T, q2, unit * (q2 + self.most) + 4 * shift
+        if self.metric == "ip":
+            return -Q @ self.rows.T, np.zeros(len(Q)), unit * qn * self.far
+        D = (-Q / np.where(qn == 0, 1.0, qn)[:, None]) @ self.rows.T
+        D[:, self.zero] = np.inf
+        D[qn == 0] = np.inf
+        return D, np.ones(len(Q)), np.full(len(Q), unit)
 
 
 def exact(metric: str, Q: np.ndarray, Xc: np.ndarray) -> np.ndarray:
@@ -110,12 +132,38 @@ def flags_from(t: pa.Table, name: str = "ok") -> np.ndarray:
     return t.column(name).to_numpy(zero_copy_only=False).astype(bool)
 
 
+def distinct_rows(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows that can rank under ``k``: of equal ``rows``, the k with the smallest ids."""
+    rows = np.ascontiguousarray(rows)
+    _, same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    count = np.bincount(same)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+    return np.sort(order[place < k])
+
+
+def row_chunks(batches, dim: int):
+    """A task's Arrow batches joined to tables of at most CHUNK_BYTES of float vectors."""
+    most = max(1, CHUNK_BYTES // (4 * max(1, dim)))
+    held, n = [], 0
+    for rb in batches:
+        for a in range(0, rb.num_rows, most):
+            part = rb.slice(a, most)
+            if n + part.num_rows > most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 class TopK:
     """Running per-query top-k over blocks of corpus rows."""
 
     def __init__(self, qids: np.ndarray, Q: np.ndarray, k: int, metric: str):
         self.qids = qids
-        self.Q = Q
+        self.Q = Q = Q.astype(np.float64, copy=False)
         self.qn = np.sqrt(np.einsum("qd,qd->q", Q, Q)) if len(Q) else np.zeros(0)
         self.k = k
         self.metric = metric
@@ -127,8 +175,13 @@ class TopK:
         self.reach = 0.0  # greatest norm of the rows seen
 
     def add(self, ids: np.ndarray, X: np.ndarray, flags: np.ndarray | None = None,
-            qidx: np.ndarray | None = None) -> None:
-        """Merge rows ``(ids, X)`` into the top-k of all queries, or of the queries ``qidx`` only."""
+            qidx: np.ndarray | None = None, score=None, norms: np.ndarray | None = None) -> None:
+        """Merge rows ``(ids, X)`` into the top-k of all queries, or of the queries ``qidx`` only.
+
+        A row is scored only if its product-form distance may be under the query's k-th so far.
+        ``score(query rows, row positions)``: the distances that count, by default the exact ones; they must be those of ``X`` but for
+        rounding, for which ``norms`` bounds the parts that a row is the sum of.
+        """
         n = len(ids)
         sel = np.arange(len(self.qids)) if qidx is None else np.asarray(qidx)
         if n == 0 or len(sel) == 0:
@@ -137,34 +190,47 @@ class TopK:
             raise ValueError(f"vector dimension mismatch: queries {self.Q.shape[1]}, rows {X.shape[1]}")
         if flags is None:
             flags = np.ones(n, dtype=bool)
-        xn = np.sqrt(np.einsum("nd,nd->n", X, X))
-        self.reach = max(self.reach, float(np.nanmax(xn, initial=0.0)))
-        k, dim = min(n, self.k), X.shape[1]
-        most = min(n, self.k + EXTRA)
-        tile = max(1, min(len(sel), TILE_DOUBLES // max(n, most * dim, 1)))
-        for s in range(0, len(sel), tile):
-            rows = sel[s:s + tile]
-            Qt = self.Q[rows]
-            D, bound = _approx(self.metric, Qt, self.qn[rows], X, xn)
-            D = np.where(np.isnan(D), np.inf, D)
-            kth = np.partition(D, k - 1, axis=1)[:, k - 1]
-            near = D <= (kth + 2 * bound)[:, None]
-            count = near.sum(axis=1)
-            block = count <= most
-            if block.any():
-                cand = topk_indices(D[block], int(count[block].max()), ids)
-                self._rerank(rows[block], Qt[block], X[cand], ids[cand], flags[cand])
-            step = max(1, TILE_DOUBLES // max(dim, 1))
-            for r in np.flatnonzero(~block):
-                idx = np.flatnonzero(near[r])
-                for a in range(0, len(idx), step):
-                    part = idx[None, a:a + step]
-                    self._rerank(rows[r:r + 1], Qt[r:r + 1], X[part], ids[part], flags[part])
+        dim = X.shape[1]
+        for a in range(0, n, COLUMNS):
+            block = Columns(self.metric, X[a:a + COLUMNS].astype(np.float64, copy=False), None if norms is None else norms[a:a + COLUMNS])
+            self.reach = max(self.reach, block.far)
+            own = slice(a, a + COLUMNS)
+            for s in range(0, len(sel), QUERIES):
+                rows = sel[s:s + QUERIES]
+                Qt, qn = self.Q[rows], self.qn[rows]
+                D, base, bound = block.distances(Qt, qn)
+                kth = self.best_d[rows, -1]
+                kth = kth * kth if self.metric == "l2" else kth
+                limit = kth + ROUNDING * (dim + 8) * np.abs(kth) + 2 * bound - base
+                free = np.isinf(kth)  # under k rows so far
+                if free.any() and D.shape[1] >= self.k:
+                    limit[free] = np.partition(D[free], self.k - 1, axis=1)[:, self.k - 1] + 2 * bound[free]
+                r, c = np.divmod(np.flatnonzero(~(D > limit[:, None])), D.shape[1])  # what isn't a number is scored
+                if len(r):
+                    self._score(rows, Qt, block.X, ids[own], flags[own], r, c, score and (lambda i, j, a=a: score(i, j + a)))
         self.seen[sel] += n
 
-    def _rerank(self, rows: np.ndarray, Q: np.ndarray, Xc: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
-        Dc = exact(self.metric, Q, Xc)
-        self.merge(rows, np.where(np.isnan(Dc), np.inf, Dc), i, f)
+    def _score(self, rows, Q, X, ids, flags, r, c, score) -> None:
+        """Distances of the pairs (query ``rows[r]``, row ``c``), merged; ``r`` ascends."""
+        d = np.empty(len(r))
+        step = max(1, TILE_DOUBLES // max(1, 4 * X.shape[1]))
+        for p in range(0, len(r), step):
+            i, j = r[p:p + step], c[p:p + step]
+            d[p:p + step] = exact(self.metric, Q[i], X[j][:, None, :])[:, 0] if score is None else score(rows[i], j)
+        d = np.where(np.isnan(d), np.inf, d)
+        count = np.bincount(r, minlength=len(rows))
+        place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        few = count <= self.k + EXTRA
+        for some in (few & (count > 0), ~few):  # those with many candidates are padded among themselves
+            if not some.any():
+                continue
+            at = np.cumsum(some) - 1
+            pair = some[r]
+            shape = (int(some.sum()), int(count[some].max()))
+            pd, pi, pf = np.full(shape, np.inf), np.full(shape, ID_SENTINEL, dtype=np.int64), np.zeros(shape, dtype=bool)
+            to = (at[r[pair]], place[pair])
+            pd[to], pi[to], pf[to] = d[pair], ids[c[pair]], flags[c[pair]]
+            self.merge(rows[some], pd, pi, pf)
 
     def merge(self, rows: np.ndarray, d: np.ndarray, i: np.ndarray, f: np.ndarray) -> None:
         """Merge candidate (distance, id, flag) matrices into the top-k of query rows ``rows``."""
