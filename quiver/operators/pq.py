@@ -10,7 +10,9 @@ split into ``m`` equal slices; slice s is encoded by the id of its nearest of
 Search probes lists like IVF-flat; inside a bounded cell, a per (query, list)
 lookup table ``lut[s][c] = |q_res_s - cb[s][c]|^2`` (``-q_s . cb[s][c]`` for inner product
 and cosine) is built in the kernel (never as rows) and distances are sums of table lookups. With ``rerank`` the
-top ``k * rerank`` by table distance are re-ranked exactly from ``embed``.
+top ``k * rerank`` by table distance are re-ranked exactly from ``embed``. The scan finds the rows whose table distance may rank by one
+matrix product with the decoded rows, and sums the table's terms of these only; of rows with equal codes it looks at
+the k smallest ids. Where ``k * rerank`` covers a list, its table distances cut nothing and all its rows are ranked exactly.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 
 from quiver.functions.vector import normalize, quantize, resolve_metric
 from quiver.operators import expand, ivf
-from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials
-from quiver.operators.topk_kernel import TILE_DOUBLES, TopK, empty_result, exact, flags_from, topk_indices, vectors_from_arrow
+from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials, spread
+from quiver.operators.topk_kernel import QUERY_GROUP, TILE_DOUBLES, TopK, distinct_rows, empty_result, exact, flags_from, row_chunks, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -301,34 +303,48 @@ class IvfPqIndex:
             def kernel(batches):
                 CB_, cids_, C_ = bc.value
                 pl = bplan.value
-                Q64 = pl[1].astype(np.float64)
-                top = TopK(pl[0], Q64, k, m)
-                for rb in batches:
-                    if rb.num_rows == 0:
-                        continue
-                    names = rb.schema.names
-                    lids = rb.column(0).to_numpy()
-                    ids = rb.column(1).to_numpy().astype(np.int64)
-                    codes = vectors_from_arrow(rb.column(2)).astype(np.int64)
-                    X = vectors_from_arrow(rb.column(names.index("x"))) if rr else None
-                    flags = rb.column(names.index("ok")).to_numpy(zero_copy_only=False).astype(bool) if with_flag else None
-                    order = np.argsort(lids, kind="stable")  # one sort, then a slice per list
-                    for own in np.split(order, np.flatnonzero(np.diff(lids[order])) + 1):
-                        lid = int(lids[own[0]])
-                        sel = ivf.list_queries(pl, lid)
-                        if len(sel) == 0:
-                            continue
-                        cen = C_[np.searchsorted(cids_, lid)]
-                        Dk, Ik, pos = pq_candidates(Q64[sel], cen, codes[own], ids[own], CB_, k, rr, X[own] if rr else None, m)
-                        f = flags[own][pos] if with_flag else np.ones(Ik.shape, dtype=bool)
-                        top.merge(sel, Dk, Ik, f)
-                        top.seen[sel] += len(own)
-                if top.seen.any():
-                    yield top.result(with_flag=with_flag)
+                qids_, Q_ = pl[0], pl[1]
+                for t in row_chunks(batches, Q_.shape[1]):
+                    lids, ids = t.column("list_id").to_numpy(), t.column("id").to_numpy()
+                    codes = vectors_from_arrow(t.column("codes")).astype(np.int16)
+                    X = vectors_from_arrow(t.column("x")) if rr else None
+                    flags = flags_from(t) if with_flag else np.ones(len(ids), dtype=bool)
+                    lists = []
+                    for own in ivf.by_list(lids):
+                        if not rr:  # rows coded alike are equally far: the k smallest ids of a code are all that can rank
+                            own = own[distinct_rows(ids[own], codes[own], k)]
+                        lists.append((int(lids[own[0]]), own))
+                    for a in range(0, len(qids_), QUERY_GROUP):  # the state held is a group's, whatever the query set
+                        Q = Q_[a:a + QUERY_GROUP].astype(np.float64)
+                        zero = ~Q.any(axis=1)
+                        shifted = m == "cosine" and not rr  # 1 - q'.c: ranked by the product with the query at unit length
+                        top = TopK(qids_[a:a + QUERY_GROUP], expand.unit(Q) if shifted else Q, k, "ip" if shifted else m)
+                        for lid, own in lists:
+                            sel = ivf.list_queries(pl, lid, a, a + QUERY_GROUP) - a
+                            if len(sel) == 0:
+                                continue
+                            cen = C_[np.searchsorted(cids_, lid)]
+                            if not rr:
+                                R = decoded(codes[own], CB_)
+                                norms = np.sqrt(np.einsum("nd,nd->n", R, R)) + np.sqrt(cen @ cen)
+                                top.add(ids[own], cen + R, flags[own], sel, coded_distances(top.metric, top.Q, cen, R, len(CB_)), norms)
+                            elif k * rr >= len(own):  # no candidate is cut by its table distance
+                                top.add(ids[own], X[own], flags[own], sel)
+                            else:
+                                Dk, Ik, pos = pq_candidates(Q[sel], cen, codes[own].astype(np.int64), ids[own], CB_, k, rr, X[own], m)
+                                top.merge(sel, Dk, Ik, flags[own][pos])
+                                top.seen[sel] += len(own)
+                        if shifted:
+                            top.best_d += 1.0
+                            top.best_d[zero] = np.inf
+                        if top.seen.any():
+                            yield top.result(with_flag=with_flag)
 
             return kernel
 
-        partials = ivf.scan_partials(rows, q, probes, k, broadcast_bytes, kernel_for,
+        # Dealt to all cores where a row's rank doesn't hang on the rows beside it.
+        whole = not rr or k * rr >= (self.coarse.list_sizes.agg(F.max("n")).first()[0] or 0)
+        partials = ivf.scan_partials(spread(rows) if whole else rows, q, probes, k, broadcast_bytes, kernel_for,
                                      KNN_SCHEMA + (", ok boolean" if with_flag else ""))
         if partials is None:
             partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, k, m, with_flag,
@@ -351,6 +367,30 @@ def load_ivfpq(spark, path: str, n_probes: int | None = None) -> IvfPqIndex:
                       int(coarse.meta.get("rerank", 0)))
 
 
+def decoded(codes: np.ndarray, CB: np.ndarray) -> np.ndarray:
+    """What the codes stand for: each row's residual, put together from its sub-centroids."""
+    return np.concatenate([CB[s][codes[:, s]] for s in range(len(CB))], axis=1)
+
+
+def coded_distances(metric: str, Q: np.ndarray, cen: np.ndarray, R: np.ndarray, m: int):
+    """A function of (query rows, row positions): :func:`table_distances` of these pairs, where ``R`` has the decoded residuals."""
+    ds = Q.shape[1] // m
+
+    def score(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if metric in ("l2", "l2sq"):
+            diff = ((Q[i] - cen) - R[j]).reshape(-1, m, ds)
+            parts = np.einsum("pmd,pmd->pm", diff, diff)
+            D = np.zeros(len(i))
+        else:
+            parts = -np.einsum("pmd,pmd->pm", Q[i].reshape(-1, m, ds), R[j].reshape(-1, m, ds))
+            D = -np.einsum("pd,d->p", Q[i], cen)
+        for s in range(m):  # added in one order, so that equal codes are equally far
+            D = D + parts[:, s]
+        return np.sqrt(D) if metric == "l2" else D
+
+    return score
+
+
 def pq_candidates(Q: np.ndarray, cen: np.ndarray, codes: np.ndarray, ids: np.ndarray, CB: np.ndarray, k: int,
                   rerank: int, X: np.ndarray | None, metric: str):
     """Top-k of queries ``Q`` among rows of one list: (distances, ids, row positions), each (nq, <=k).
