@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import INT8_RANGE, distance, resolve_metric
-from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, _vector_stats, rank_partials
-from quiver.operators.topk_kernel import TILE_DOUBLES, exact, vectors_from_arrow
+from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, _vector_stats, rank_partials, spread
+from quiver.operators.topk_kernel import COLUMNS, QUERIES, TILE_DOUBLES, Columns, exact, row_chunks, vectors_from_arrow
 from quiver.session import scratch_dir
 
 STEPS = 255
@@ -114,6 +114,85 @@ def error_bound(metric: str, Q: np.ndarray, D: np.ndarray, X: np.ndarray, err: n
     return D - off, np.where(off >= 2, np.inf, D + off) if metric == "cosine" else D + off
 
 
+def _reach(metric: str, qn: np.ndarray, kth: np.ndarray, block: Columns, slack: float) -> np.ndarray:
+    """Per query, what the distance (squared for l2) to a decoded row of the block is not over if its lower bound is within ``kth``."""
+    if metric in ("l2", "l2sq"):
+        root = (np.sqrt(kth) if metric == "l2sq" else kth) + slack
+        return root * root * (1 + 1e-8)
+    if metric == "ip":
+        return kth + qn * slack + 2e-9 * qn * block.far
+    return kth + slack
+
+
+def _slack(metric: str, X: np.ndarray, err: np.ndarray) -> float:
+    """The most that :func:`error_bound` allows a row of the block (for ip: per unit of the query's length)."""
+    slack = err * (1 + 1e-5) + 1e-12
+    if metric != "cosine":
+        return float(slack.max())
+    size = np.sqrt(np.einsum("nd,nd->n", X, X))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.max(np.where(size > slack, 2 * slack / size, 2.0))) + 1e-8
+
+
+def _inside(metric: str, Q: np.ndarray, blocks: list[tuple[int, Columns]], err: np.ndarray, k: int, exactly: bool) -> tuple[np.ndarray, ...]:
+    """(query row, row position, distance, lower, upper bound) of the rows whose lower bound is not over the k-th upper bound.
+
+    A matrix product leaves out the rows that are surely over it; distances are taken of the others only.
+    """
+    qn = np.sqrt(np.einsum("qd,qd->q", Q, Q))
+    kth, found = np.full((len(Q), k), np.inf), []
+    for a, block in blocks:
+        own = err[a : a + len(block.X)]
+        slack = _slack(metric, block.X, own) if exactly else 0.0
+        D, base, bound = block.distances(Q, qn)
+        if metric == "cosine" and exactly:
+            D[np.isinf(D)] = -1.0  # no angle: bounded as distance 0
+        limit = _reach(metric, qn, kth[:, -1], block, slack) + 2 * bound - base
+        free = np.isinf(kth[:, -1])
+        if free.any() and D.shape[1] >= k:
+            near = np.partition(D[free], k - 1, axis=1)[:, k - 1] + base[free] + bound[free]
+            if metric in ("l2", "l2sq"):
+                high = np.sqrt(np.maximum(near, 0)) * (1 + 1e-8) + slack
+            elif metric == "ip":
+                high = near + qn[free] * slack + 2e-9 * qn[free] * block.far
+            else:
+                high = near + slack if slack < 2 else np.full(len(near), np.inf)
+            limit[free] = _reach(metric, qn[free], high * high if metric == "l2sq" else high, block, slack) + 2 * bound[free] - base[free]
+        # What isn't a number is looked at.
+        r, c = np.divmod(np.flatnonzero(~(D > limit[:, None])), D.shape[1])
+        step, parts = max(1, TILE_DOUBLES // max(1, 4 * Q.shape[1])), []
+        for p in range(0, len(r), step):
+            i, j = r[p : p + step], c[p : p + step]
+            d = exact(metric, Q[i], block.X[j][:, None, :])
+            low, high = _pair_bounds(metric, Q[i], d, block.X[j], own[j]) if exactly else (d, d)
+            parts.append((d[:, 0], low[:, 0], high[:, 0]))
+        if not parts:
+            continue
+        d, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        high = np.where(np.isnan(high), np.inf, high)
+        order = np.lexsort((high, r))
+        place = np.arange(len(r)) - np.searchsorted(r, r)  # of the sorted pairs: r ascends
+        best = place < k
+        new = np.full((len(Q), k), np.inf)
+        new[r[order][best], place[best]] = high[order][best]
+        kth = np.sort(np.concatenate([kth, new], axis=1), axis=1)[:, :k]
+        keep = low <= kth[r, -1]
+        found.append((r[keep], c[keep] + a, d[keep], low[keep], high[keep]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 3
+    r, c, d, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = low <= kth[r, -1]
+    return r[keep], c[keep], d[keep], low[keep], high[keep]
+
+
+def _pair_bounds(metric: str, Q: np.ndarray, d: np.ndarray, X: np.ndarray, err: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`error_bound` of pairs: row i of ``Q`` with row i of ``X``, ``d`` as a column."""
+    if metric == "cosine":  # the bound hangs on the row
+        low, high = error_bound(metric, Q[:1], d.T, X, err)
+        return low.T, np.broadcast_to(high, d.T.shape).T
+    return error_bound(metric, Q, d, X, err[:, None])
+
+
 @dataclass
 class CodedIndex:
     """Exact search over codes; ``codes(id, code, err, attributes)`` and, where kept, ``vectors(id, embed)``."""
@@ -145,27 +224,22 @@ class CodedIndex:
             import pyarrow as pa
 
             qids_, Q_ = bc.value
-            Q_ = Q_.astype(np.float64)
-            kth = np.full((len(Q_), k), np.inf)  # the k least upper bounds so far
-            for rb in batches:
-                X = codec.vectors(rb.column(1))
-                if not len(X) or not len(Q_):
-                    continue
-                ids, err = rb.column(0).to_numpy(), rb.column(2).to_numpy().astype(np.float64)
-                step = max(1, TILE_DOUBLES // max(1, X.size))
-                for a in range(0, len(Q_), step):
-                    part = Q_[a : a + step]
-                    D = exact(m, part, np.broadcast_to(X, (len(part), *X.shape)))
-                    low, high = error_bound(m, part, D, X, err) if exactly else (D, D)
-                    kth[a : a + step] = np.sort(np.concatenate([kth[a : a + step], np.sort(high, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
-                    row, col = np.nonzero(low <= kth[a : a + step, -1:])
-                    d, up = D[row, col], high[row, col]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(qids_[a + row], pa.int64()), pa.array(ids[col], pa.int64()), pa.array(d, pa.float64(), mask=~np.isfinite(d)),
-                         pa.array(low[row, col], pa.float64()), pa.array(up, pa.float64())], ["qid", "id", "d", "low", "high"])
+            for t in row_chunks(batches, Q_.shape[1]):
+                ids, err = t.column(0).to_numpy(), t.column(2).to_numpy().astype(np.float64)
+                blocks = [(a, Columns(m, codec.vectors(t.column(1).slice(a, COLUMNS).combine_chunks()))) for a in range(0, len(ids), COLUMNS)]
+                held = []
+                for q0 in range(0, len(Q_), QUERIES):
+                    held.append(_inside(m, Q_[q0 : q0 + QUERIES].astype(np.float64), blocks, err, k, exactly))
+                    held[-1][0][:] += q0
+                    if len(held) == 64 or q0 + QUERIES >= len(Q_):
+                        row, col, d, low, up = (np.concatenate(x) for x in zip(*held, strict=True))
+                        held = []
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(qids_[row], pa.int64()), pa.array(ids[col], pa.int64()), pa.array(d, pa.float64(), mask=~np.isfinite(d)),
+                             pa.array(low, pa.float64()), pa.array(up, pa.float64())], ["qid", "id", "d", "low", "high"])
 
         rows = self.codes if where is None else self.codes.where(where)
-        found = rows.select(F.col("id").cast("long"), "code", "err").mapInArrow(kernel, "qid long, id long, d double, low double, high double")
+        found = spread(rows.select(F.col("id").cast("long"), "code", "err")).mapInArrow(kernel, "qid long, id long, d double, low double, high double")
         if exactly:
             path = scratch_dir(spark, "candidates")
             found.write.parquet(path)
