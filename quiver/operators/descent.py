@@ -8,8 +8,8 @@ update, and the nearest of list and updates are the next list. It ends when unde
 The lists kept meanwhile are ``WIDEN`` times as long as those wanted, which is what recall hangs on: measured on 2,000 vectors of 64
 dimensions (``igd`` 16, cells of 200 rows) 0.40 at the start, 0.81 without widening, 0.98 with it.
 
-Work per round is n x (4 x ``sample``)^2 distances, and what moves is the vectors of the groups' members and the
-updates; a hub's reverse neighbours are cut by a partial ``row_number`` before the shuffle, and joins on a hub are split by
+Work per round is n x (4 x ``sample``)^2 distances, and what moves is the groups' members and the updates. Vectors within the broadcast
+budget are sent to the tasks once, and members are then ids; beyond it each member brings its vector; a hub's reverse neighbours are cut by a partial ``row_number`` before the shuffle, and joins on a hub are split by
 adaptive execution. The lists are written to the shared checkpoint folder after each round.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.vector import resolve_metric
 from quiver.operators import ivf
-from quiver.operators.knn import replicated_arrays
+from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, _vector_stats, replicated_arrays
 from quiver.operators.topk_kernel import TopK, exact, vectors_from_arrow
 from quiver.session import scratch_dir
 
@@ -73,7 +73,19 @@ def nearest_edges(edges: DataFrame, igd: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= igd).drop("r")
 
 
-def _compare(metric: str):
+def best_updates(src: np.ndarray, dst: np.ndarray, d: np.ndarray, igd: int) -> np.ndarray:
+    """Positions of the ``igd`` nearest distinct ``dst`` of every ``src``: no other of them can be in the next list."""
+    order = np.lexsort((d, dst, src))
+    s, t = src[order], dst[order]
+    order = order[np.append(True, (s[1:] != s[:-1]) | (t[1:] != t[:-1]))] if len(s) else order
+    order = order[np.lexsort((dst[order], d[order], src[order]))]
+    s = src[order]
+    return order[np.arange(len(s)) - np.searchsorted(s, s) < igd]
+
+
+def _compare(metric: str, igd: int, table=None):
+    """``table``: the broadcast (sorted ids, vectors), where the groups' members come without their vectors."""
+
     def kernel(batches):
         import pyarrow as pa
 
@@ -85,7 +97,11 @@ def _compare(metric: str):
                 ids, first = np.unique(ids, return_index=True)  # a neighbour both ways is one member
                 fresh = np.zeros(len(ids), bool)
                 np.logical_or.at(fresh, np.searchsorted(ids, m.field("id").to_numpy()), new.astype(bool))
-                X = vectors_from_arrow(m.field("embed"))[first]
+                if table is None:
+                    X = vectors_from_arrow(m.field("embed"))[first]
+                else:
+                    held, vectors = table.value
+                    X = vectors[np.searchsorted(held, ids)].astype(np.float64)
                 D = exact(metric, X, np.broadcast_to(X, (len(X), *X.shape)))
                 D = np.where(np.isnan(D), np.inf, D)
                 near = (D < kth[first][:, None]) & (fresh[:, None] | fresh[None, :]) & ~np.eye(len(ids), dtype=bool)
@@ -93,6 +109,8 @@ def _compare(metric: str):
                 for x, y in zip(out, (ids[a], ids[b], D[a, b]), strict=True):
                     x.append(y)
             src, dst, d = (np.concatenate(x) if x else np.zeros(0) for x in out)
+            own = best_updates(src, dst, d, igd)
+            src, dst, d = src[own], dst[own], d[own]
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(d, pa.float64()), pa.array(np.ones(len(d), bool))], ["src", "dst", "d", "new"])
 
     return kernel
@@ -105,6 +123,15 @@ def nn_descent(table: DataFrame, igd: int, metric: str = "l2", *, sample: int =
     table.select("id", "embed").write.parquet(f"{base}/vectors")
     vectors = spark.read.parquet(f"{base}/vectors")
     places = vectors.count() * igd
+    n, dim = _vector_stats(vectors, "embed")
+    held = None
+    if n * (dim * 4 + 8) <= _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES):
+        ids, X, _ = _collect_matrix(vectors, "id", "embed")
+        order = np.argsort(ids, kind="stable")
+        if len(np.unique(ids)) == len(ids):  # of a repeated id, a member's vector is its own
+            held = spark.sparkContext.broadcast((ids[order], X[order]))
+        del ids, X
+    carried = ["embed"] if held is None else []
     start_lists(vectors, igd, m, seed).write.parquet(f"{base}/0")
     for step in range(max_rounds):
         edges = spark.read.schema(EDGES).parquet(f"{base}/{step}")
@@ -115,9 +142,9 @@ def nn_descent(table: DataFrame, igd: int, metric: str = "l2", *, sample: int =
         back = forward.withColumn("r", F.row_number().over(Window.partitionBy("dst", "new").orderBy(draw))).where(F.col("r") <= sample)
         met = forward.select("src", F.col("dst").alias("id"), "new").unionByName(back.select(F.col("dst").alias("src"), F.col("src").alias("id"), "new"))
         full = edges.groupBy("src").agg(F.when(F.count("d") >= igd, F.max("d")).alias("kth"))
-        nodes = vectors.join(full.withColumnRenamed("src", "id"), "id", "left").select("id", "embed", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
-        groups = met.join(nodes, "id").groupBy("src").agg(F.collect_list(F.struct("id", "embed", "kth", "new")).alias("members"))  # at most 4 x sample
-        updates = groups.select("members").mapInArrow(_compare(m), EDGES)
+        nodes = vectors.join(full.withColumnRenamed("src", "id"), "id", "left").select("id", *carried, F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+        groups = met.join(nodes, "id").groupBy("src").agg(F.collect_list(F.struct("id", *carried, "kth", "new")).alias("members"))  # at most 4 x sample
+        updates = groups.select("members").mapInArrow(_compare(m, igd, held), EDGES)
         tried = forward.where("new").select("src", "dst", F.lit(True).alias("tried"))
         aged = edges.join(tried, ["src", "dst"], "left").select("src", "dst", "d", (F.col("new") & F.col("tried").isNull()).alias("new"))
         nearest_edges(aged.unionByName(updates), igd).write.parquet(f"{base}/{step + 1}")
