@@ -256,30 +256,39 @@ class GraphShards:
         budget = broadcast_bytes or _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES)
         pieces = max(1, math.ceil(nq * (max(dim, 1) * 4 + k * 24) / budget))  # of the query set, each a scan of the blocks
         args = (k, itopk or self.itopk, search_width or self.search_width, max_iter or self.max_iter, resolve_metric(self.metric))
+        shares = max(1, spark.sparkContext.defaultParallelism // max(1, self.blocks.count()))  # where blocks are few, each goes to several tasks
+        if shares > 1:
+            blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(spark.sparkContext.defaultParallelism)
         out = None
         for b in range(pieces):
             part = q if pieces == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(pieces)) == b)
             bc = spark.sparkContext.broadcast(_collect_matrix(part, "qid", "v")[:2])
-            found = blocks.mapInArrow(_shard_kernel(bc, args, only, flagged), "qid long, id long, d double" + (", ok boolean" if flagged else ""))
+            found = blocks.mapInArrow(_shard_kernel(bc, args, only, flagged, shares), "qid long, id long, d double" + (", ok boolean" if flagged else ""))
             out = found if out is None else out.unionByName(found)
         return rank_partials(out, k).select("qid", "id", "d", "rk", *(["ok"] if flagged else []))
 
 
-def _shard_kernel(bc, args, only: bool, flagged: bool):
+def _shard_kernel(bc, args, only: bool, flagged: bool, shares: int = 1):
+    """Walks of every query in a row's block, or with ``shares`` of each one in so many, from the row's ``share``."""
+
     def kernel(batches):
         qids, Q = bc.value
-        Q = Q.astype(np.float64)
-        top = TopK(qids, Q, args[0], args[-1])
+        tops = {}
         for rb in batches:
             for r in rb.to_pylist():
+                share = r.get("share", 0)
+                if share not in tops:
+                    tops[share] = TopK(qids[share::shares], Q[share::shares], args[0], args[-1])
+                top = tops[share]
                 block, fits = Block.from_row(r), None
                 if only or flagged:
                     fits = np.isin(block.ids, np.asarray(r["fits"] or [], np.int64))
-                at, d = walk(block, Q, *args, fits, only)
+                at, d = walk(block, top.Q, *args, fits, only)
                 ids = np.where(at >= 0, block.ids[at], np.iinfo(np.int64).max)
-                top.merge(np.arange(len(Q)), d, ids, fits[at] if flagged else np.ones(at.shape, bool))
-        if len(Q):
-            yield top.result(with_flag=flagged)
+                top.merge(np.arange(len(top.Q)), d, ids, fits[at] if flagged else np.ones(at.shape, bool))
+        for top in tops.values():
+            if len(top.Q):
+                yield top.result(with_flag=flagged)
 
     return kernel
 
