@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.vector import INT8_RANGE, distance, resolve_metric
 from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, _vector_stats, rank_partials, spread
-from quiver.operators.topk_kernel import COLUMNS, QUERIES, TILE_DOUBLES, Columns, exact, row_chunks, vectors_from_arrow
+from quiver.operators.topk_kernel import COLUMNS, QUERIES, TILE_DOUBLES, Columns, exact, row_chunks, vectors_from_arrow, within
 from quiver.session import scratch_dir
 
 STEPS = 255
@@ -158,8 +158,7 @@ def _inside(metric: str, Q: np.ndarray, blocks: list[tuple[int, Columns]], err:
             else:
                 high = near + slack if slack < 2 else np.full(len(near), np.inf)
             limit[free] = _reach(metric, qn[free], high * high if metric == "l2sq" else high, block, slack) + 2 * bound[free] - base[free]
-        # What isn't a number is looked at.
-        r, c = np.divmod(np.flatnonzero(~(D > limit[:, None])), D.shape[1])
+        r, c = within(D, limit)
         step, parts = max(1, TILE_DOUBLES // max(1, 4 * Q.shape[1])), []
         for p in range(0, len(r), step):
             i, j = r[p : p + step], c[p : p + step]

@@ -341,19 +341,33 @@ def by_list(lids: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(lids[order])) + 1)
 
 
+def list_runs(plan, lids: np.ndarray, first: int, stop: int) -> list[tuple[slice, np.ndarray | None]]:
+    """(rows, query rows of the group) to be scanned together, for rows sorted by list; neighbouring lists that all of the group's queries probe are one run (None)."""
+    size, found = min(stop, len(plan[0])) - first, []
+    edges = np.flatnonzero(np.concatenate([[True], lids[1:] != lids[:-1], [True]])).tolist()
+    for s, e in zip(edges, edges[1:]):
+        own = list_queries(plan, int(lids[s]), first, stop) - first
+        if len(own) == size:
+            own = None
+            if found and found[-1][1] is None and found[-1][0].stop == s:
+                s = found.pop()[0].start
+        if own is None or len(own):
+            found.append((slice(s, e), own))
+    return found
+
+
 def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
     def kernel(batches):
         plan = bplan.value
         qids, Q = plan[0], plan[1]
         for t in row_chunks(batches, Q.shape[1]):
-            lids, ids, X = t.column(0).to_numpy(), t.column(1).to_numpy(), vectors_from_arrow(t.column(2))
-            flags = flags_from(t) if with_flag else None
-            lists = [(int(lids[rows[0]]), ids[rows], X[rows], flags[rows] if with_flag else None) for rows in by_list(lids)]
-            del X
+            order = np.argsort(t.column(0).to_numpy(), kind="stable")
+            lids, ids, X = t.column(0).to_numpy()[order], t.column(1).to_numpy()[order], vectors_from_arrow(t.column(2))[order]
+            flags = flags_from(t)[order] if with_flag else None
             for a in range(0, len(qids), QUERY_GROUP):  # the state held is a group's, whatever the query set
                 top = TopK(qids[a:a + QUERY_GROUP], Q[a:a + QUERY_GROUP], k, metric)
-                for lid, own, vectors, fits in lists:
-                    top.add(own, vectors, fits, qidx=list_queries(plan, lid, a, a + QUERY_GROUP) - a)
+                for own, sel in list_runs(plan, lids, a, a + QUERY_GROUP):
+                    top.add(ids[own], X[own], flags[own] if with_flag else None, qidx=sel)
                 if top.seen.any():
                     yield top.result(with_flag=with_flag)
 

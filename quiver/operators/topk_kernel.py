@@ -1,8 +1,8 @@
 """Numpy top-k block kernel used inside Spark tasks (mapInArrow / applyInPandas).
 
 Given a block of queries and a block of corpus rows it keeps, per query, the
-k nearest rows seen so far. Distances are chosen with a BLAS product and the
-survivors are recomputed exactly (difference form, double precision), so the
+k nearest rows seen so far. Distances are chosen with a BLAS product (in single
+precision where the numbers allow) and the survivors are recomputed exactly (difference form, double precision), so the
 emitted distances do not depend on the block layout. A survivor is every row whose
 product-form value lies within that form's rounding bound of the k-th, so close
 vectors are never cut by rounding. Only k rows per query per
@@ -17,14 +17,18 @@ import pyarrow as pa
 ID_SENTINEL = np.iinfo(np.int64).max
 # Cap on the doubles held by one distance tile (rows x queries): 32 MiB.
 TILE_DOUBLES = 1 << 22
+# Doubles of the rows gathered at once to be scored: what a core's cache holds.
+PAIR_DOUBLES = 1 << 16
 # Queries and rows of one product.
-QUERIES, COLUMNS = 512, 2048
+QUERIES, COLUMNS = 256, 2048
 # Float bytes of a task's rows held at once, and queries whose top-k is held with them.
 CHUNK_BYTES, QUERY_GROUP = 32 << 20, 1 << 16
 # Queries with more candidates above k in a block are merged apart from the others.
 EXTRA = 16
 # Rounding of the product form, in units of dim * machine epsilon * magnitude.
-ROUNDING = 4 * np.finfo(np.float64).eps
+ROUNDING, ROUNDING_SINGLE = 4 * np.finfo(np.float64).eps, 4 * np.finfo(np.float32).eps
+# Norms under which no product in single precision overflows, and what one may lose by underflow.
+LARGE, TINY = 1e18, 4 * float(np.finfo(np.float32).tiny)
 
 
 def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -67,21 +71,42 @@ class Columns:
             self.rows = X / np.where(self.zero, 1.0, xn)[:, None]
         else:
             self.rows = X
+        self.small = self.rows.astype(np.float32) if fit.all() and self.far < LARGE else None
 
     def distances(self, Q: np.ndarray, qn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Product-form distances (squared for l2) less ``base``, ``base`` and a bound on their rounding error, the last two per query."""
-        unit = ROUNDING * (Q.shape[1] + 8)
+        single = self.small is not None and bool((qn < LARGE).all())
+        rows, kind = (self.small, np.float32) if single else (self.rows, np.float64)
+        unit = (ROUNDING_SINGLE if single else ROUNDING) * (Q.shape[1] + 8)
+        lost = TINY * (Q.shape[1] + 8) * (1 + qn + self.far) if single else 0.0
         if self.metric in ("l2", "l2sq"):
             Qs = Q - self.mean
             q2 = np.einsum("qd,qd->q", Qs, Qs)
             shift = ROUNDING * (qn + self.far) * (np.sqrt(q2) + np.sqrt(self.most))  # the shift itself rounds
-            return np.column_stack([-2.0 * Qs, np.ones(len(Q))]) @ self.rows.T, q2, unit * (q2 + self.most) + 4 * shift
+            sides = np.column_stack([-2.0 * Qs, np.ones(len(Q))]).astype(kind, copy=False)
+            return sides @ rows.T, q2, unit * (q2 + self.most) + 4 * shift + lost
         if self.metric == "ip":
-            return -Q @ self.rows.T, np.zeros(len(Q)), unit * qn * self.far
-        D = (-Q / np.where(qn == 0, 1.0, qn)[:, None]) @ self.rows.T
+            return (-Q).astype(kind, copy=False) @ rows.T, np.zeros(len(Q)), unit * qn * self.far + lost
+        D = (-Q / np.where(qn == 0, 1.0, qn)[:, None]).astype(kind, copy=False) @ rows.T
         D[:, self.zero] = np.inf
         D[qn == 0] = np.inf
-        return D, np.ones(len(Q)), np.full(len(Q), unit)
+        return D, np.ones(len(Q)), np.full(len(Q), unit) + lost
+
+
+def within(D: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries that are not over their row's limit, rows ascending; what isn't a number is one of them."""
+    if not D.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.flatnonzero(~(D.min(axis=1) > limit))  # most rows have none
+    part = D if len(near) == len(D) else D[near]
+    with np.errstate(over="ignore"):
+        limit = np.nextafter(limit[near].astype(D.dtype), np.inf, dtype=D.dtype)  # compared in the entries' own precision
+    hit = ~(part > limit[:, None])
+    eights = hit.reshape(-1, 8) if D.shape[1] % 8 == 0 else hit.reshape(-1, 1)  # looked through by eights, as few are set
+    some = np.flatnonzero(eights.view(np.uint64 if eights.shape[1] == 8 else np.uint8))
+    i, j = np.divmod(np.flatnonzero(eights[some]), eights.shape[1])
+    r, c = np.divmod(some[i] * eights.shape[1] + j, D.shape[1])
+    return near[r], c
 
 
 def exact(metric: str, Q: np.ndarray, Xc: np.ndarray) -> np.ndarray:
@@ -191,10 +216,11 @@ class TopK:
         if flags is None:
             flags = np.ones(n, dtype=bool)
         dim = X.shape[1]
-        for a in range(0, n, COLUMNS):
-            block = Columns(self.metric, X[a:a + COLUMNS].astype(np.float64, copy=False), None if norms is None else norms[a:a + COLUMNS])
+        edges = np.linspace(0, n, -(-n // COLUMNS) + 1).astype(int).tolist()  # even blocks
+        for a, b in zip(edges, edges[1:]):
+            own = slice(a, b)
+            block = Columns(self.metric, X[own].astype(np.float64, copy=False), None if norms is None else norms[own])
             self.reach = max(self.reach, block.far)
-            own = slice(a, a + COLUMNS)
             for s in range(0, len(sel), QUERIES):
                 rows = sel[s:s + QUERIES]
                 Qt, qn = self.Q[rows], self.qn[rows]
@@ -205,7 +231,7 @@ class TopK:
                 free = np.isinf(kth)  # under k rows so far
                 if free.any() and D.shape[1] >= self.k:
                     limit[free] = np.partition(D[free], self.k - 1, axis=1)[:, self.k - 1] + 2 * bound[free]
-                r, c = np.divmod(np.flatnonzero(~(D > limit[:, None])), D.shape[1])  # what isn't a number is scored
+                r, c = within(D, limit)
                 if len(r):
                     self._score(rows, Qt, block.X, ids[own], flags[own], r, c, score and (lambda i, j, a=a: score(i, j + a)))
         self.seen[sel] += n
@@ -213,7 +239,7 @@ class TopK:
     def _score(self, rows, Q, X, ids, flags, r, c, score) -> None:
         """Distances of the pairs (query ``rows[r]``, row ``c``), merged; ``r`` ascends."""
         d = np.empty(len(r))
-        step = max(1, TILE_DOUBLES // max(1, 4 * X.shape[1]))
+        step = max(1, PAIR_DOUBLES // max(1, X.shape[1]))
         for p in range(0, len(r), step):
             i, j = r[p:p + step], c[p:p + step]
             d[p:p + step] = exact(self.metric, Q[i], X[j][:, None, :])[:, 0] if score is None else score(rows[i], j)
