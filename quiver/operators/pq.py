@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from quiver.functions.vector import normalize, quantize, resolve_metric
 from quiver.operators import expand, ivf
 from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials, spread
-from quiver.operators.topk_kernel import QUERY_GROUP, TILE_DOUBLES, TopK, distinct_rows, empty_result, exact, flags_from, row_chunks, topk_indices, vectors_from_arrow
+from quiver.operators.topk_kernel import QUERY_GROUP, ROUNDING, TILE_DOUBLES, TopK, distinct_rows, empty_result, exact, flags_from, row_chunks, topk_indices, vectors_from_arrow
 from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -70,7 +70,8 @@ def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train
     frac = min(1.0, train_percent / 100.0)
     sample = residuals.select(vec_col)
     path = scratch_dir(spark, "pq-sample")
-    (sample.sample(fraction=frac, seed=seed) if frac < 1.0 else sample).write.parquet(path)
+    sample = sample.sample(fraction=frac, seed=seed) if frac < 1.0 else sample
+    sample.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)  # even files: every iteration reads them on all cores
     sample = spark.read.parquet(path)
     # The first codes are the slices of 2^bits rows in hash order: a bounded read, whatever the sample's size.
     first = sample.orderBy(F.xxhash64(F.col(vec_col), F.lit(seed)), vec_col).limit(ncodes).toArrow().column(vec_col)
@@ -116,14 +117,31 @@ def train_codebooks(residuals: DataFrame, m: int, dim: int, bits: int = 8, train
 
 
 def nearest_codes(X: np.ndarray, CB: np.ndarray):
-    """For each sub-space, the nearest code (the smaller of equals) of each row's slice; tiled to TILE_DOUBLES."""
+    """For each sub-space, the nearest code (the smaller of equals) of each row's slice; tiled to TILE_DOUBLES.
+
+    By a product; where its rounding leaves several codes, by their differences.
+    """
     m, nc, ds = CB.shape
-    tile = max(1, TILE_DOUBLES // max(1, nc * ds))
+    tile = max(1, TILE_DOUBLES // (4 * max(1, nc, ds)))
     for s in range(m):
         out = np.empty(len(X), np.int64)
+        fit = np.isfinite(CB[s]).all(axis=1)  # codes that the codebook has
+        C = np.where(fit[:, None], CB[s], 0.0)
+        c2 = np.where(fit, np.einsum("cd,cd->c", C, C), np.inf)
+        most = c2[fit].max(initial=0.0)
         for a in range(0, len(X), tile):
-            diff = X[a:a + tile, s, None, :] - CB[s][None, :, :]
-            out[a:a + tile] = np.einsum("ncd,ncd->nc", diff, diff).argmin(axis=1)
+            x = X[a:a + tile, s].astype(np.float64, copy=False)
+            D = x @ (-2.0 * C.T) + c2
+            own = D.argmin(axis=1)
+            low = np.take_along_axis(D, own[:, None], axis=1)[:, 0]
+            bound = ROUNDING * (ds + 8) * (np.einsum("nd,nd->n", x, x) + most)
+            several = np.flatnonzero(~((D <= (low + 2 * bound)[:, None]).sum(axis=1) == 1))  # or not numbers
+            step = max(1, tile * 4 // max(1, ds))
+            for b in range(0, len(several), step):
+                r = several[b:b + step]
+                diff = x[r, None, :] - CB[s][None, :, :]
+                own[r] = np.einsum("ncd,ncd->nc", diff, diff).argmin(axis=1)
+            out[a:a + tile] = own
         yield out
 
 
@@ -305,12 +323,14 @@ class IvfPqIndex:
                 pl = bplan.value
                 qids_, Q_ = pl[0], pl[1]
                 for t in row_chunks(batches, Q_.shape[1]):
-                    lids, ids = t.column("list_id").to_numpy(), t.column("id").to_numpy()
-                    codes = vectors_from_arrow(t.column("codes")).astype(np.int16)
-                    X = vectors_from_arrow(t.column("x")) if rr else None
-                    flags = flags_from(t) if with_flag else np.ones(len(ids), dtype=bool)
+                    order = np.argsort(t.column("list_id").to_numpy(), kind="stable")
+                    lids, ids = t.column("list_id").to_numpy()[order], t.column("id").to_numpy()[order]
+                    codes = vectors_from_arrow(t.column("codes")).astype(np.int16)[order]
+                    X = vectors_from_arrow(t.column("x"))[order] if rr else None
+                    flags = flags_from(t)[order] if with_flag else np.ones(len(ids), dtype=bool)
+                    uncut = rr and k * rr >= len(ids)  # no candidate of any list is cut by its table distance
                     lists = []
-                    for own in ivf.by_list(lids):
+                    for own in [] if uncut else ivf.by_list(lids):
                         if not rr:  # rows coded alike are equally far: the k smallest ids of a code are all that can rank
                             own = own[distinct_rows(ids[own], codes[own], k)]
                         lists.append((int(lids[own[0]]), own))
@@ -319,6 +339,8 @@ class IvfPqIndex:
                         zero = ~Q.any(axis=1)
                         shifted = m == "cosine" and not rr  # 1 - q'.c: ranked by the product with the query at unit length
                         top = TopK(qids_[a:a + QUERY_GROUP], expand.unit(Q) if shifted else Q, k, "ip" if shifted else m)
+                        for own, sel in ivf.list_runs(pl, lids, a, a + QUERY_GROUP) if uncut else []:
+                            top.add(ids[own], X[own], flags[own], sel)
                         for lid, own in lists:
                             sel = ivf.list_queries(pl, lid, a, a + QUERY_GROUP) - a
                             if len(sel) == 0:
