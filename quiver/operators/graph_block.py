@@ -278,7 +278,7 @@ def _shard_kernel(bc, args, only: bool, flagged: bool, shares: int = 1):
             for r in rb.to_pylist():
                 share = r.get("share", 0)
                 if share not in tops:
-                    tops[share] = TopK(qids[share::shares], Q[share::shares], args[0], args[-1])
+                    tops[share] = TopK(qids[share::shares], Q[share::shares].astype(np.float64), args[0], args[-1])
                 top = tops[share]
                 block, fits = Block.from_row(r), None
                 if only or flagged:

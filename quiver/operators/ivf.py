@@ -122,7 +122,7 @@ def assign(df: DataFrame, centroids: DataFrame, metric: str = "l2", vec_col: str
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = vectors_from_arrow(rb.column(vi))
+            X = vectors_from_arrow(rb.column(vi), stored=True)
             top = TopK(np.arange(rb.num_rows, dtype=np.int64), X, 1, m)
             top.add(cids_, C_)
             res = top.result()
@@ -362,8 +362,9 @@ def _flat_scan_kernel(bplan, k: int, metric: str, with_flag: bool):
         qids, Q = plan[0], plan[1]
         for t in row_chunks(batches, Q.shape[1]):
             order = np.argsort(t.column(0).to_numpy(), kind="stable")
-            lids, ids, X = t.column(0).to_numpy()[order], t.column(1).to_numpy()[order], vectors_from_arrow(t.column(2))[order]
+            lids, ids, X = t.column(0).to_numpy()[order], t.column(1).to_numpy()[order], vectors_from_arrow(t.column(2), stored=True)[order]
             flags = flags_from(t)[order] if with_flag else None
+            del t  # the sorted rows are all that is held
             for a in range(0, len(qids), QUERY_GROUP):  # the state held is a group's, whatever the query set
                 top = TopK(qids[a:a + QUERY_GROUP], Q[a:a + QUERY_GROUP], k, metric)
                 for own, sel in list_runs(plan, lids, a, a + QUERY_GROUP):
@@ -440,8 +441,8 @@ def _flat_cell(k: int, metric: str, with_flag: bool):
 
         if ct.num_rows == 0 or qt.num_rows == 0:
             return empty_result(with_flag)
-        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v")), k, metric)
-        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v")), flags_from(ct) if with_flag else None)
+        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v"), stored=True), k, metric)
+        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v"), stored=True), flags_from(ct) if with_flag else None)
         return pa.Table.from_batches([top.result(with_flag=with_flag)])
 
     return cell

@@ -326,7 +326,7 @@ class IvfPqIndex:
                     order = np.argsort(t.column("list_id").to_numpy(), kind="stable")
                     lids, ids = t.column("list_id").to_numpy()[order], t.column("id").to_numpy()[order]
                     codes = vectors_from_arrow(t.column("codes")).astype(np.int16)[order]
-                    X = vectors_from_arrow(t.column("x"))[order] if rr else None
+                    X = vectors_from_arrow(t.column("x"), stored=True)[order] if rr else None
                     flags = flags_from(t)[order] if with_flag else np.ones(len(ids), dtype=bool)
                     uncut = rr and k * rr >= len(ids)  # no candidate of any list is cut by its table distance
                     lists = []
@@ -353,7 +353,7 @@ class IvfPqIndex:
                             elif k * rr >= len(own):  # no candidate is cut by its table distance
                                 top.add(ids[own], X[own], flags[own], sel)
                             else:
-                                Dk, Ik, pos = pq_candidates(Q[sel], cen, codes[own].astype(np.int64), ids[own], CB_, k, rr, X[own], m)
+                                Dk, Ik, pos = pq_candidates(Q[sel], cen, codes[own].astype(np.int64), ids[own], CB_, k, rr, X[own].astype(np.float64, copy=False), m)
                                 top.merge(sel, Dk, Ik, flags[own][pos])
                                 top.seen[sel] += len(own)
                         if shifted:

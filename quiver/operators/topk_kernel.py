@@ -22,7 +22,7 @@ PAIR_DOUBLES = 1 << 16
 # Queries and rows of one product.
 QUERIES, COLUMNS = 256, 2048
 # Float bytes of a task's rows held at once, and queries whose top-k is held with them.
-CHUNK_BYTES, QUERY_GROUP = 32 << 20, 1 << 16
+CHUNK_BYTES, QUERY_GROUP = 32 << 20, 1 << 14
 # Queries with more candidates above k in a block are merged apart from the others.
 EXTRA = 16
 # Rounding of the product form, in units of dim * machine epsilon * magnitude.
@@ -31,8 +31,11 @@ ROUNDING, ROUNDING_SINGLE = 4 * np.finfo(np.float64).eps, 4 * np.finfo(np.float3
 LARGE, TINY = 1e18, 4 * float(np.finfo(np.float32).tiny)
 
 
-def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
-    """``list<float>`` Arrow column -> (n, dim) float64 matrix; raises on NULL or ragged rows."""
+def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None, stored: bool = False) -> np.ndarray:
+    """``list<float>`` Arrow column -> (n, dim) float64 matrix; raises on NULL or ragged rows.
+
+    ``stored``: floats stay in single precision, as a view of the column.
+    """
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
@@ -47,6 +50,8 @@ def vectors_from_arrow(col: pa.Array | pa.ChunkedArray, dim: int | None = None)
         bad = int(sizes[sizes != d][0])
         raise ValueError(f"vector dimension mismatch: expected {d}, got {bad}")
     flat = col.flatten().to_numpy(zero_copy_only=False)
+    if stored and flat.dtype == np.float32:
+        return flat.reshape(n, d)
     return flat.astype(np.float64, copy=False).reshape(n, d)
 
 
@@ -171,25 +176,34 @@ def row_chunks(batches, dim: int):
     """A task's Arrow batches joined to tables of at most CHUNK_BYTES of float vectors."""
     most = max(1, CHUNK_BYTES // (4 * max(1, dim)))
     held, n = [], 0
+
+    def joined() -> pa.Table:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()  # not held beside the table
+        return t
+
     for rb in batches:
         for a in range(0, rb.num_rows, most):
             part = rb.slice(a, most)
             if n + part.num_rows > most:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, n = [], 0
+                yield joined()
+                n = 0
             held.append(part)
             n += part.num_rows
     if n:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield joined()
 
 
 class TopK:
-    """Running per-query top-k over blocks of corpus rows."""
+    """Running per-query top-k over blocks of corpus rows.
+
+    Queries and rows may be in single precision; a tile of them at a time is taken to doubles.
+    """
 
     def __init__(self, qids: np.ndarray, Q: np.ndarray, k: int, metric: str):
         self.qids = qids
-        self.Q = Q = Q.astype(np.float64, copy=False)
-        self.qn = np.sqrt(np.einsum("qd,qd->q", Q, Q)) if len(Q) else np.zeros(0)
+        self.Q = Q
+        self.qn = np.sqrt(np.einsum("qd,qd->q", Q, Q, dtype=np.float64)) if len(Q) else np.zeros(0)
         self.k = k
         self.metric = metric
         nq = len(qids)
@@ -223,7 +237,7 @@ class TopK:
             self.reach = max(self.reach, block.far)
             for s in range(0, len(sel), QUERIES):
                 rows = sel[s:s + QUERIES]
-                Qt, qn = self.Q[rows], self.qn[rows]
+                Qt, qn = self.Q[rows].astype(np.float64, copy=False), self.qn[rows]
                 D, base, bound = block.distances(Qt, qn)
                 kth = self.best_d[rows, -1]
                 kth = kth * kth if self.metric == "l2" else kth
