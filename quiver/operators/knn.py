@@ -69,7 +69,7 @@ def _collect_matrix(df: DataFrame, id_col: str, vec_col: str, extra: list[str] |
     """Collect a size-checked vector table to the driver as numpy (for broadcast)."""
     t = df.select(id_col, vec_col, *(extra or [])).toArrow()
     ids = t.column(id_col).to_numpy().astype(np.int64)
-    X = vectors_from_arrow(t.column(vec_col)).astype(np.float32)
+    X = vectors_from_arrow(t.column(vec_col), stored=True).astype(np.float32)
     ex = {c: t.column(c).to_numpy(zero_copy_only=False) for c in (extra or [])}
     return ids, X, ex
 
@@ -192,7 +192,7 @@ def _sharded_partials(c: DataFrame, q: DataFrame, k: int, m: str, with_flag: boo
                 return  # reads no input
             qids_, Q_ = bq.value
             for t in row_chunks(batches, Q_.shape[1]):
-                ids, X = t.column(0).to_numpy(), vectors_from_arrow(t.column(1))
+                ids, X = t.column(0).to_numpy(), vectors_from_arrow(t.column(1), stored=True)
                 flags = flags_from(t) if with_flag else None
                 for a in range(0, len(qids_), QUERY_GROUP):  # the state held is a group's, whatever the query set
                     own = slice(a, a + QUERY_GROUP)
@@ -222,8 +222,8 @@ def _grid_partials(c, q, k, m, with_flag, nq, nc, dim, blk) -> DataFrame:
     def cell(ct, qt):
         if ct.num_rows == 0 or qt.num_rows == 0:
             return empty_result(with_flag)
-        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v")), k, m)
-        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v")), flags_from(ct) if with_flag else None)
+        top = TopK(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v"), stored=True), k, m)
+        top.add(ct.column("id").to_numpy(), vectors_from_arrow(ct.column("v"), stored=True), flags_from(ct) if with_flag else None)
         return pa.Table.from_batches([top.result(with_flag=with_flag)])
 
     return crep.groupBy("qb", "cb").cogroup(qrep.groupBy("qb", "cb")).applyInArrow(cell, schema)
@@ -248,7 +248,7 @@ def replicated_arrays(q: DataFrame, ids: np.ndarray, X: np.ndarray, k: int, m: s
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            top = TopK(rb.column(0).to_numpy(), vectors_from_arrow(rb.column(1)), k, m)
+            top = TopK(rb.column(0).to_numpy(), vectors_from_arrow(rb.column(1), stored=True), k, m)
             top.add(ids_, X_, f_)
             out = top.result(with_rank=True, with_flag=with_flag)
             if with_flag:
