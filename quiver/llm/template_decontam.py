@@ -11,7 +11,7 @@ with a word has a key. Items shorter than a window are one window of their own l
 1. *Candidates.* Window hashes of all documents, in the forms that the items' keys have, meet the items' distinct
    hashes; only (id, hash) leave the projection, and only documents with a
    hit go on. A token is hashed once per form, a window from its tokens' hashes. The items' windows are broadcast when
-   their measured bytes are within ``BROADCAST_BYTES``, else both sides are shuffled by hash.
+   their measured bytes are within ``BROADCAST_BYTES`` and their rows within ``BROADCAST_ROWS``, else both sides are shuffled by hash.
 2. *Verification.* For the candidates alone, windows carry their key and
    words and join the items' on hash and key. Hits of one item at one
    alignment (document position less item position) are compared slot by slot: a slot conflicts when it
@@ -43,6 +43,7 @@ WINDOW = 8
 LITERALS = 4
 SHORTEST = 4
 BROADCAST_BYTES = 64 << 20  # of item windows, by their measured text
+BROADCAST_ROWS = 1_000_000  # of item windows
 SHARE = 50  # per cent of an item's windows that drop a document
 RUN = 13  # words of a verbatim run that do so
 RAW, BLIND, TEMPLATE = range(3)  # forms of a key: no placeholder; numbers and units; names too
@@ -179,8 +180,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     keyed.write.parquet(path)
     keyed = spark.read.parquet(path)
     keys = keyed.select("hash").distinct()
-    held = keyed.agg(F.sum(2 * F.octet_length("window") + 200)).first()[0] or 0  # a row's slots are words of its window
-    fit = F.broadcast if held <= BROADCAST_BYTES else (lambda d: d)
+    n, held = keyed.agg(F.count(F.lit(1)), F.sum(2 * F.octet_length("window") + 200)).first()  # a row's slots are words of its window
+    fit = F.broadcast if n <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES else (lambda d: d)
     used = sorted(tuple(r) for r in keyed.select("form", "size").distinct().collect())  # a document's windows in other forms meet no key
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
