@@ -395,7 +395,7 @@ def prune_lists(lists: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: DataFrame, k: int, metric: str,
-                with_flag: bool, block_bytes: int, kernel_factory=None, n_lists: int | None = None) -> DataFrame:
+                with_flag: bool, block_bytes: int, kernel_factory=None, n_lists: int | None = None, schema: str | None = None) -> DataFrame:
     """Partial top-k of probed queries inside each list, in bounded cells.
 
     rows: (list_id, id, v[, ok]); q: (qid, v); probes: (qid, list_id, ...).
@@ -429,7 +429,7 @@ def cell_search(rows: DataFrame, q: DataFrame, probes: DataFrame, list_sizes: Da
     qrep = pq.join(stats, "list_id").withColumn("qsplit", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int")).withColumn(
         "csplit", F.explode(F.sequence(F.lit(0), F.col("cs") - 1))
     ).drop("cs", "qs")
-    schema = KNN_SCHEMA + (", ok boolean" if with_flag else "")
+    schema = schema or KNN_SCHEMA + (", ok boolean" if with_flag else "")
     fn = kernel_factory(with_flag) if kernel_factory else _flat_cell(k, metric, with_flag)
     keys = ["list_id", "csplit", "qsplit"]
     return crep.groupBy(*keys).cogroup(qrep.groupBy(*keys)).applyInArrow(fn, schema)

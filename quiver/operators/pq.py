@@ -13,6 +13,8 @@ and cosine) is built in the kernel (never as rows) and distances are sums of tab
 top ``k * rerank`` by table distance are re-ranked exactly from ``embed``. The scan finds the rows whose table distance may rank by one
 matrix product with the decoded rows, and sums the table's terms of these only; of rows with equal codes it looks at
 the k smallest ids. Where ``k * rerank`` covers a list, its table distances cut nothing and all its rows are ranked exactly.
+Elsewhere the ``k * rerank`` are those of the whole list, whatever tasks its rows are dealt to: a search by many queries holds the rows in every
+task (size-checked) and deals the queries; otherwise the tasks' candidates are merged per (query, list), each with both its distances.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.functions.vector import normalize, quantize, resolve_metric
-from quiver.operators import expand, ivf
-from quiver.operators.knn import KNN_SCHEMA, _conf_int, rank_partials, spread
-from quiver.operators.topk_kernel import QUERY_GROUP, ROUNDING, TILE_DOUBLES, TopK, distinct_rows, empty_result, exact, flags_from, row_chunks, topk_indices, vectors_from_arrow
+from quiver.operators import expand, ivf, packed
+from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, KNN_SCHEMA, _conf_int, _vector_stats, rank_partials, spread
+from quiver.operators.topk_kernel import (
+    ID_SENTINEL, PAIR_DOUBLES, QUERY_GROUP, ROUNDING, TILE_DOUBLES, TopK, distinct_rows, empty_result, exact, flags_from, row_chunks, topk_indices, vectors_from_arrow)
 from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 CODEBOOK_BROADCAST_BYTES = 64 << 20
@@ -293,6 +296,8 @@ class IvfPqIndex:
         by_id = np.argsort(cids)
         bc = spark.sparkContext.broadcast((self.codebook_array(), cids[by_id], C[by_id].astype(np.float64)))
         m = self.metric
+        if rr and k * rr < (self.coarse.list_sizes.agg(F.max("n")).first()[0] or 0):
+            return self._reranked(rows, q, probes, k, k * rr, flag is not None, broadcast_bytes, bc)
 
         def factory(with_flag):
             def cell(ct, qt):
@@ -328,34 +333,25 @@ class IvfPqIndex:
                     codes = vectors_from_arrow(t.column("codes")).astype(np.int16)[order]
                     X = vectors_from_arrow(t.column("x"), stored=True)[order] if rr else None
                     flags = flags_from(t)[order] if with_flag else np.ones(len(ids), dtype=bool)
-                    uncut = rr and k * rr >= len(ids)  # no candidate of any list is cut by its table distance
                     lists = []
-                    for own in [] if uncut else ivf.by_list(lids):
-                        if not rr:  # rows coded alike are equally far: the k smallest ids of a code are all that can rank
-                            own = own[distinct_rows(ids[own], codes[own], k)]
+                    for own in [] if rr else ivf.by_list(lids):  # rows coded alike are equally far: the k smallest ids of a code are all that can rank
+                        own = own[distinct_rows(ids[own], codes[own], k)]
                         lists.append((int(lids[own[0]]), own))
                     for a in range(0, len(qids_), QUERY_GROUP):  # the state held is a group's, whatever the query set
                         Q = Q_[a:a + QUERY_GROUP].astype(np.float64)
                         zero = ~Q.any(axis=1)
                         shifted = m == "cosine" and not rr  # 1 - q'.c: ranked by the product with the query at unit length
                         top = TopK(qids_[a:a + QUERY_GROUP], expand.unit(Q) if shifted else Q, k, "ip" if shifted else m)
-                        for own, sel in ivf.list_runs(pl, lids, a, a + QUERY_GROUP) if uncut else []:
+                        for own, sel in ivf.list_runs(pl, lids, a, a + QUERY_GROUP) if rr else []:  # no candidate is cut by its table distance
                             top.add(ids[own], X[own], flags[own], sel)
                         for lid, own in lists:
                             sel = ivf.list_queries(pl, lid, a, a + QUERY_GROUP) - a
                             if len(sel) == 0:
                                 continue
                             cen = C_[np.searchsorted(cids_, lid)]
-                            if not rr:
-                                R = decoded(codes[own], CB_)
-                                norms = np.sqrt(np.einsum("nd,nd->n", R, R)) + np.sqrt(cen @ cen)
-                                top.add(ids[own], cen + R, flags[own], sel, coded_distances(top.metric, top.Q, cen, R, len(CB_)), norms)
-                            elif k * rr >= len(own):  # no candidate is cut by its table distance
-                                top.add(ids[own], X[own], flags[own], sel)
-                            else:
-                                Dk, Ik, pos = pq_candidates(Q[sel], cen, codes[own].astype(np.int64), ids[own], CB_, k, rr, X[own].astype(np.float64, copy=False), m)
-                                top.merge(sel, Dk, Ik, flags[own][pos])
-                                top.seen[sel] += len(own)
+                            R = decoded(codes[own], CB_)
+                            norms = np.sqrt(np.einsum("nd,nd->n", R, R)) + np.sqrt(cen @ cen)
+                            top.add(ids[own], cen + R, flags[own], sel, coded_distances(top.metric, top.Q, cen, R, len(CB_)), norms)
                         if shifted:
                             top.best_d += 1.0
                             top.best_d[zero] = np.inf
@@ -364,9 +360,7 @@ class IvfPqIndex:
 
             return kernel
 
-        # Dealt to all cores where a row's rank doesn't hang on the rows beside it.
-        whole = not rr or k * rr >= (self.coarse.list_sizes.agg(F.max("n")).first()[0] or 0)
-        partials = ivf.scan_partials(spread(rows) if whole else rows, q, probes, k, broadcast_bytes, kernel_for,
+        partials = ivf.scan_partials(spread(rows), q, probes, k, broadcast_bytes, kernel_for,
                                      KNN_SCHEMA + (", ok boolean" if with_flag else ""))
         if partials is None:
             partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, k, m, with_flag,
@@ -374,6 +368,159 @@ class IvfPqIndex:
                                        kernel_factory=factory, n_lists=len(cids))
         return partials
 
+    def _reranked(self, rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, keep: int, with_flag: bool, broadcast_bytes: int | None, bc) -> DataFrame:
+        """Partial top-k by exact distance among the ``keep`` nearest by table distance of each (query, list), as a whole list has them.
+
+        ``rows(list_id, id, codes, x[, ok])``. Where every task reads less by holding the rows than it would send as candidates, and they are
+        within the budget, the queries are dealt to the tasks and nothing else moves; else the rows are scanned, or cut into cells.
+        """
+        spark, m = rows.sparkSession, self.metric
+        budget = broadcast_bytes or _conf_int(spark, "quiver.knn.broadcastBytes", DEFAULT_BROADCAST_BYTES)
+        n, dim = _vector_stats(rows, "x")
+        nq = q.count()
+        size = n * (max(dim, 1) * 4 + self.m * 2 + 13)
+        if size <= budget and size <= nq * keep * 40:
+            if q.select("qid").distinct().count() < nq:
+                raise ValueError("query ids repeat")
+            return _replicated_rerank(rows, q, probes, k, keep, m, with_flag, size, bc)
+        fields = [("qid", "q"), ("list_id", "l"), ("id", "i"), ("a", "a"), ("d", "d"), *([("ok", "f")] if with_flag else [])]
+
+        def found(qids, Q, lid, ids, codes, X, flags):
+            """Both distances of the candidates that these rows of a list hold."""
+            import pyarrow as pa
+
+            CB_, cids_, C_ = bc.value
+            own = distinct_by_id(ids, codes, keep)
+            A, pos = coded_candidates(m, Q, keep, C_[np.searchsorted(cids_, lid)], codes[own], CB_)
+            D = exact_at(m, Q, X, pos, own)
+            valid = pos != ID_SENTINEL
+            at = own[pos[valid]]
+            a, d = A[valid], D[valid]
+            values = {"q": pa.array(np.repeat(qids, valid.sum(axis=1)).astype(np.int64)), "l": pa.array(np.full(len(at), lid, np.int32)), "i": pa.array(ids[at].astype(np.int64)),
+                      "a": pa.array(a), "d": pa.array(d, pa.float64(), mask=~np.isfinite(d)), "f": pa.array(flags[at]) if with_flag else None}
+            return pa.RecordBatch.from_arrays([values[v] for _, v in fields], [c for c, _ in fields])
+
+        def kernel_for(bplan):
+            def kernel(batches):
+                pl = bplan.value
+                qids, Q = pl[0], pl[1]
+                for t in row_chunks(batches, Q.shape[1]):
+                    lids, ids = t.column("list_id").to_numpy(), t.column("id").to_numpy()
+                    codes, X = vectors_from_arrow(t.column("codes")).astype(np.int16), vectors_from_arrow(t.column("x"), stored=True)
+                    flags = flags_from(t) if with_flag else None
+                    for own in ivf.by_list(lids):
+                        lid = int(lids[own[0]])
+                        rows_ = (ids[own], codes[own], X[own], flags[own] if with_flag else None)
+                        for a in range(0, len(qids), QUERY_GROUP):  # the state held is a group's, whatever the query set
+                            sel = ivf.list_queries(pl, lid, a, a + QUERY_GROUP)
+                            if len(sel):
+                                yield found(qids[sel], Q[sel].astype(np.float64), lid, *rows_)
+
+            return kernel
+
+        def factory(with_flag):
+            def cell(ct, qt):
+                import pyarrow as pa
+
+                if ct.num_rows == 0 or qt.num_rows == 0:
+                    return empty.empty_table()
+                return pa.Table.from_batches([found(qt.column("qid").to_numpy(), vectors_from_arrow(qt.column("v")), int(qt.column("list_id")[0].as_py()), ct.column("id").to_numpy(),
+                                                    vectors_from_arrow(ct.column("codes")).astype(np.int16), vectors_from_arrow(ct.column("x"), stored=True), flags_from(ct) if with_flag else None)])
+
+            return cell
+
+        schema = "qid long, list_id int, id long, a double, d double" + (", ok boolean" if with_flag else "")
+        empty = _arrow_schema(with_flag)
+        partials = ivf.scan_partials(spread(rows), q, probes, keep, broadcast_bytes, kernel_for, schema)
+        if partials is None:
+            partials = ivf.cell_search(rows, q, probes, self.coarse.list_sizes, keep, m, with_flag, _conf_int(spark, "quiver.knn.blockBytes", ivf.DEFAULT_BLOCK_BYTES),
+                                       kernel_factory=factory, n_lists=len(self.coarse.centroid_matrix()[0]), schema=schema)
+        w = Window.partitionBy("qid", "list_id").orderBy("a", "id")
+        return partials.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).drop("list_id", "a", "place")
+
+
+def _arrow_schema(with_flag: bool):
+    import pyarrow as pa
+
+    kinds = [("qid", pa.int64()), ("list_id", pa.int32()), ("id", pa.int64()), ("a", pa.float64()), ("d", pa.float64())]
+    return pa.schema(kinds + ([("ok", pa.bool_())] if with_flag else []))
+
+
+def _replicated_rerank(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int, keep: int, m: str, with_flag: bool, size: int, bc) -> DataFrame:
+    """The search of :meth:`IvfPqIndex._reranked` with the rows in every task and the queries dealt to all cores."""
+
+    def pack(rb):
+        at = {c: rb.column(i) for i, c in enumerate(rb.schema.names)}
+        return {"list_id": at["list_id"].to_numpy().astype("<i4"), "id": at["id"].to_numpy().astype("<i8"), "codes": vectors_from_arrow(at["codes"]).astype("<i2"),
+                "x": vectors_from_arrow(at["x"], stored=True).astype("<f4"), "ok": flags_from(rb).astype("<i1") if with_flag else np.zeros(0, "<i1")}
+
+    fields = ["list_id", "id", "codes", "x", "ok"]
+    path = packed.write_packed(rows, ["list_id", "id"], "pq-rows", pack, fields, size)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    own_lists = probes.groupBy("qid").agg(F.collect_list("list_id").alias("lists"))
+    dealt = q.join(own_lists, "qid").select("qid", "v", "lists").repartition(2 * cores, "qid")
+
+    def kernel(batches):
+        CB, cids, C = bc.value
+        held = None
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            Q = vectors_from_arrow(rb.column(1)).astype(np.float64)
+            if held is None:
+                held = _read_rows(path, len(CB), Q.shape[1], keep)
+            ids, codes, X, flags, lists = held
+            lids, of = rb.column(2).flatten().to_numpy(), np.repeat(np.arange(rb.num_rows), np.diff(rb.column(2).offsets.to_numpy()))
+            top = TopK(rb.column(0).to_numpy().astype(np.int64), Q, k, m)
+            for lid, own in lists:
+                sel = of[lids == lid]
+                if len(sel):
+                    _, pos = coded_candidates(m, Q[sel], keep, C[np.searchsorted(cids, lid)], codes[own], CB)
+                    D = exact_at(m, Q[sel], X, pos, own)
+                    at = own[np.where(pos == ID_SENTINEL, 0, pos)]
+                    top.merge(sel, D, np.where(pos == ID_SENTINEL, ID_SENTINEL, ids[at]), flags[at] if with_flag else np.ones(pos.shape, dtype=bool))
+            yield top.result(with_flag=with_flag)
+
+    return dealt.mapInArrow(kernel, KNN_SCHEMA + (", ok boolean" if with_flag else ""))
+
+
+def _read_rows(path: str, m: int, dim: int, keep: int):
+    """Ids, codes, vectors and flags of the packed rows, and per list the positions of those that can be candidates, by id."""
+    parts = [r for _, r in packed.read_packed(path)]
+    take = lambda f, kind, width=None: packed.joined([r.pop(f) for r in parts], kind, width)
+    lids, ids, codes, X, flags = take("list_id", "<i4"), take("id", "<i8"), take("codes", "<i2", m), take("x", "<f4", dim), take("ok", "<i1").astype(bool)
+    lists = [(int(lids[own[0]]), own[distinct_by_id(ids[own], codes[own], keep)]) for own in ivf.by_list(lids)] if len(lids) else []
+    return ids, codes, X, flags, lists
+
+
+def distinct_by_id(ids: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
+    """Positions, in the order of ids, of the rows that can be among the ``keep`` nearest by table distance: rows coded alike are equally far."""
+    own = distinct_rows(ids, codes, keep)
+    return own[np.argsort(ids[own], kind="stable")]
+
+
+def coded_candidates(metric: str, Q: np.ndarray, keep: int, cen: np.ndarray, codes: np.ndarray, CB: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` rows of one list nearest to each query by table distance (the earlier of equals): distances and positions, ID_SENTINEL where there are fewer."""
+    shifted = metric == "cosine"  # 1 - q'.c: ranked by the product with the query at unit length
+    top = TopK(np.arange(len(Q)), expand.unit(Q) if shifted else Q, keep, "ip" if shifted else metric)
+    step = max(1, TILE_DOUBLES // (4 * max(1, Q.shape[1])))  # rows decoded at once
+    for a in range(0, len(codes), step):
+        R = decoded(codes[a:a + step], CB)
+        norms = np.sqrt(np.einsum("nd,nd->n", R, R)) + np.sqrt(cen @ cen)
+        top.add(np.arange(a, a + len(R)), cen + R, None, None, coded_distances(top.metric, top.Q, cen, R, len(CB)), norms)
+    return top.best_d, top.best_i
+
+
+def exact_at(metric: str, Q: np.ndarray, X: np.ndarray, pos: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact distances of each query to its rows ``X[own[pos]]``; infinite where there is no row or no distance."""
+    D = np.full(pos.shape, np.inf)
+    step = max(1, PAIR_DOUBLES // max(1, pos.shape[1] * X.shape[1]))
+    if len(own):
+        for a in range(0, len(Q), step):
+            at = np.where(pos[a:a + step] == ID_SENTINEL, 0, pos[a:a + step])
+            D[a:a + step] = exact(metric, Q[a:a + step], X[own[at]].astype(np.float64))
+    return np.where((pos == ID_SENTINEL) | np.isnan(D), np.inf, D)
+
 
 def save_ivfpq(idx: IvfPqIndex, path: str) -> IvfPqIndex:
     """Codes as IVF lists, plus the codebook and PQ parameters in meta.json."""
