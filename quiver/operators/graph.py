@@ -17,7 +17,7 @@ Every per-node group is bounded by the degree parameters; reversed edges into
 a hub (unbounded in-degree) are cut to ``graph_degree`` per node by a
 ``row_number`` limit that Spark applies partially before the shuffle.
 
-Search: a graph within the broadcast budget is sent to the tasks as one block, where each
+Search: a graph within the broadcast budget is read by the tasks as one block, where each
 batch of queries walks without a Spark job per step (:mod:`quiver.operators.graph_block`, which also has
 independent graphs per shard for what is larger). Beyond it, an iterative beam join (frontier -> edges -> vectors) over one
 graph, one checkpointed table per step in the shared checkpoint folder. Both give the same rows.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.vector import distance, resolve_metric
 from quiver.operators import graph_block
-from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _collect_matrix, _conf_int, knn, rank_partials
+from quiver.operators.knn import DEFAULT_BROADCAST_BYTES, _conf_int, knn, rank_partials
 from quiver.session import ensure_checkpoint_dir
 
 
@@ -160,7 +160,7 @@ class GraphIndex:
     attributes: DataFrame | None = None  # id and the columns that filters read
     _vec_ready: bool = False
     _edges_ready: bool = False
-    _block: graph_block.Block | None = None
+    _block: graph_block.StoredBlock | None = None
 
     def prepare(self) -> GraphIndex:
         """Hash partition vectors by id and edges by src once (checkpointed) for the search joins."""
@@ -175,24 +175,28 @@ class GraphIndex:
             self._edges_ready = True
         return self
 
-    def block(self, budget: int) -> graph_block.Block | None:
-        """The whole graph as one block, or None where its arrays are over the budget; checked before anything is collected."""
+    def block(self, budget: int) -> graph_block.StoredBlock | None:
+        """The whole graph as one block, or None where its arrays are over the budget; checked before anything is written. The driver holds its ids alone."""
         if self._block is None:
             n, dim = self.vectors.agg(F.count(F.lit(1)), F.max(F.size("embed"))).first()
             degree = self.edges.agg(F.max("rank")).first()[0] or 1
-            if not n or n * (dim * 4 + degree * 4 + 9) > budget:
+            size = n * ((dim or 0) * 4 + degree * 4 + 9)
+            if not n or size > budget:
                 return None
             from quiver.operators.dml import sample_ids
 
-            ids, X, _ = _collect_matrix(self.vectors, "id", "embed")
-            order = np.argsort(ids)
-            ids, X = ids[order], X[order]
-            t = self.edges.select("src", "dst", F.col("rank").cast("int").alias("rank")).toArrow()
-            edges = graph_block.positions(*(t.column(c).to_numpy() for c in ("src", "dst", "rank")), ids)
             seeds = [r["id"] for r in sample_ids(self.vectors.select("id"), self.n_seeds, self.seed, self.seed_family).collect()]
-            self._block = graph_block.Block(ids, X, edges, np.searchsorted(ids, np.sort(np.array(seeds, np.int64))))
+            self._block = graph_block.StoredBlock.write(self.vectors.select("id", "embed"), self.edges, seeds, size)
         return self._block
 
+    def release(self) -> None:
+        """Deletes the block's folder: for searches whose results are stored."""
+        from quiver.operators.ivf import drop_index
+
+        if self._block is not None:
+            drop_index(self.vectors.sparkSession, self._block.path)
+            self._block = None
+
     def search(self, queries: DataFrame, k: int, where: Column | None = None, flag: Column | None = None,
                itopk: int | None = None, search_width: int | None = None, max_iter: int | None = None,
                qvec_col: str = "embed", broadcast_bytes: int | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ A block holds some vectors and their pruned kNN graph as arrays (ids, vectors, n
 in a block takes no Spark job per step: a batch of queries advances together through numpy, with the
 steps of :func:`quiver.operators.graph.graph_search` (same beam, same order of opening, same rows).
 
-* ``replicated``: a graph within the broadcast budget is one block, sent to every task; queries stay where they are.
+* ``replicated``: a graph within the broadcast budget is one block, which tasks write to the shared checkpoint folder and every task of a search
+  reads; the driver holds its ids alone, and queries stay where they are.
 * ``sharded``: :func:`build_shards` cuts the vectors by a hash of their id into blocks of ``block_bytes`` and builds
   an independent graph in each, so the build is n x block work instead of n x n and nothing but a block's rows ever meets.
   A search sends the queries (size-checked) to the blocks, walks each, and merges the partial top-k; the blocks never move.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions.vector import resolve_metric
+from quiver.operators import packed
 from quiver.operators.topk_kernel import TILE_DOUBLES, TopK, exact, vectors_from_arrow
 
 BLOCK_BYTES = 64 << 20
@@ -53,14 +55,52 @@ class Block:
                    np.frombuffer(r["edges"], "<i4").reshape(r["n"], r["degree"]), np.frombuffer(r["seeds"], "<i4"))
 
 
-def positions(edges_src: np.ndarray, edges_dst: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Neighbour positions (n, degree) of an edge list over sorted ``ids``."""
-    order = np.lexsort((rank, edges_src))
-    src, dst = np.searchsorted(ids, edges_src[order]), np.searchsorted(ids, edges_dst[order])
-    count = np.bincount(src, minlength=len(ids))
-    out = np.full((len(ids), max(1, int(count.max(initial=0)))), -1, np.int32)
-    out[src, np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)] = dst
-    return out
+@dataclass
+class StoredBlock:
+    """A block in the shared checkpoint folder, of which the driver holds the ids and seeds."""
+
+    path: str
+    ids: np.ndarray  # sorted
+    seeds: np.ndarray  # positions
+
+    @classmethod
+    def write(cls, vectors: DataFrame, edges: DataFrame, seeds: list[int], size: int) -> StoredBlock:
+        """The graph of ``vectors(id, embed)`` and ``edges(src, dst, rank)``, about ``size`` bytes."""
+        ids = np.sort(vectors.select("id").toArrow().column("id").to_numpy().astype(np.int64))
+        bc = vectors.sparkSession.sparkContext.broadcast(ids)
+        lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("nb"))  # a node's degree
+        rows = vectors.join(lists.select(F.col("src").alias("id"), F.col("nb.dst").alias("nb")), "id", "left").select("id", "embed", "nb")
+
+        def pack(rb):
+            nb = rb.column(2)
+            return {"vectors": vectors_from_arrow(rb.column(1), stored=True).astype("<f4"), "counts": np.diff(list_offsets(nb)).astype("<i4"),
+                    "edges": position_of(nb.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bc.value).astype("<i4")}
+
+        path = packed.write_packed(rows, ["id"], "graph-block", pack, ["vectors", "counts", "edges"], size)
+        return cls(path, ids, np.searchsorted(ids, np.sort(np.array(seeds, np.int64))))
+
+    def load(self) -> Block:
+        counts = packed.column(self.path, "counts", "<i4").ravel()
+        edges = np.full((len(counts), max(1, int(counts.max(initial=0)))), -1, np.int32)
+        at = 0
+        for n, (flat,) in packed.read_packed(self.path, ["edges"]):
+            own = edges[at : at + n]
+            own[np.arange(edges.shape[1])[None, :] < counts[at : at + n, None]] = np.frombuffer(flat, "<i4")  # row by row, as they are stored
+            at += n
+        return Block(self.ids, packed.column(self.path, "vectors", "<f4"), edges, self.seeds)
+
+
+def list_offsets(col) -> np.ndarray:
+    """Offsets of a list column's values, flattened; a NULL list has none."""
+    import pyarrow.compute as pc
+
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
+
+
+def position_of(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of ``values`` in the sorted ``ids``, -1 where they aren't there."""
+    at = np.minimum(np.searchsorted(ids, values), max(0, len(ids) - 1))
+    return np.where(ids[at] == values, at, -1) if len(ids) else np.full(len(values), -1)
 
 
 def pruned(near: np.ndarray, degree: int) -> np.ndarray:
@@ -205,16 +245,18 @@ def result_batch(qids: np.ndarray, ids: np.ndarray, at: np.ndarray, d: np.ndarra
     return pa.RecordBatch.from_pydict(columns)
 
 
-def replicated_search(q: DataFrame, block: Block, k: int, itopk: int, width: int, max_iter: int, metric: str,
+def replicated_search(q: DataFrame, block: StoredBlock, k: int, itopk: int, width: int, max_iter: int, metric: str,
                       ok: np.ndarray | None = None, only: bool = False) -> DataFrame:
-    """Top-k of every query ``(qid, v)`` in a block that every task holds; no shuffle of queries or block."""
+    """Top-k of every query ``(qid, v)`` in a block that every task reads; no shuffle of queries or block."""
     bc = q.sparkSession.sparkContext.broadcast((block, ok))
     flagged = ok is not None and not only
 
     def kernel(batches):
-        own, fits = bc.value
+        stored, fits = bc.value
+        own = None
         for rb in batches:
             if rb.num_rows:
+                own = own or stored.load()  # held while the task runs
                 at, d = walk(own, vectors_from_arrow(rb.column(1)), k, itopk, width, max_iter, metric, fits, only)
                 yield result_batch(rb.column(0).to_numpy(), own.ids, at, d, fits if flagged else None)
 

@@ -34,21 +34,26 @@ def write_packed(rows: DataFrame, by: list[str], name: str, pack, fields: list[s
     return path
 
 
-def read_packed(path: str):
-    """The pieces in the order of their keys, each ``(rows, {field: bytes})``."""
+def read_packed(path: str, fields: list[str]):
+    """The pieces in the order of their keys, each its number of rows and the buffers of ``fields``; other fields aren't read."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as parquet
 
     fs, at = file_system(path)
     for name in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("part-")):
         with fs.open_input_file(name) as file:
-            for rb in parquet.ParquetFile(file).iter_batches(batch_size=1):
-                for r in rb.to_pylist():
-                    yield r.pop("n"), r
-
-
-def joined(pieces: list[bytes], kind: str, width: int | None = None) -> np.ndarray:
-    """The pieces of one field as one array, of ``width`` columns if given."""
-    arrays = [np.frombuffer(x, kind) for x in pieces]
-    out = np.concatenate(arrays) if arrays else np.zeros(0, kind)
-    return out if width is None else out.reshape(-1, width)
+            for rb in parquet.ParquetFile(file).iter_batches(batch_size=1, columns=["n", *fields]):
+                yield rb.column("n")[0].as_py(), [rb.column(f)[0].as_buffer() for f in fields]
+
+
+def column(path: str, field: str, kind: str) -> np.ndarray:
+    """A field of all rows, (rows, numbers a row), filled piece by piece."""
+    total, at, out = sum(n for n, _ in read_packed(path, [])), 0, np.zeros((0, 0), kind)
+    for n, (piece,) in read_packed(path, [field]):
+        part = np.frombuffer(piece, kind).reshape(n, -1)
+        out = np.empty((total, part.shape[1]), kind) if at == 0 else out
+        if part.shape[1] != out.shape[1]:
+            raise ValueError(f"vector dimension mismatch: expected {out.shape[1]}, got {part.shape[1]}")
+        out[at:at + n] = part
+        at += n
+    return out

@@ -452,9 +452,9 @@ def _replicated_rerank(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int,
     def pack(rb):
         at = {c: rb.column(i) for i, c in enumerate(rb.schema.names)}
         return {"list_id": at["list_id"].to_numpy().astype("<i4"), "id": at["id"].to_numpy().astype("<i8"), "codes": vectors_from_arrow(at["codes"]).astype("<i2"),
-                "x": vectors_from_arrow(at["x"], stored=True).astype("<f4"), "ok": flags_from(rb).astype("<i1") if with_flag else np.zeros(0, "<i1")}
+                "x": vectors_from_arrow(at["x"], stored=True).astype("<f4"), "ok": flags_from(rb).astype("<i1") if with_flag else None}
 
-    fields = ["list_id", "id", "codes", "x", "ok"]
+    fields = ["list_id", "id", "codes", "x", *(["ok"] if with_flag else [])]
     path = packed.write_packed(rows, ["list_id", "id"], "pq-rows", pack, fields, size)
     cores = rows.sparkSession.sparkContext.defaultParallelism
     own_lists = probes.groupBy("qid").agg(F.collect_list("list_id").alias("lists"))
@@ -468,7 +468,7 @@ def _replicated_rerank(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int,
                 continue
             Q = vectors_from_arrow(rb.column(1)).astype(np.float64)
             if held is None:
-                held = _read_rows(path, len(CB), Q.shape[1], keep)
+                held = _read_rows(path, keep, with_flag)
             ids, codes, X, flags, lists = held
             lids, of = rb.column(2).flatten().to_numpy(), np.repeat(np.arange(rb.num_rows), np.diff(rb.column(2).offsets.to_numpy()))
             top = TopK(rb.column(0).to_numpy().astype(np.int64), Q, k, m)
@@ -484,13 +484,12 @@ def _replicated_rerank(rows: DataFrame, q: DataFrame, probes: DataFrame, k: int,
     return dealt.mapInArrow(kernel, KNN_SCHEMA + (", ok boolean" if with_flag else ""))
 
 
-def _read_rows(path: str, m: int, dim: int, keep: int):
+def _read_rows(path: str, keep: int, with_flag: bool):
     """Ids, codes, vectors and flags of the packed rows, and per list the positions of those that can be candidates, by id."""
-    parts = [r for _, r in packed.read_packed(path)]
-    take = lambda f, kind, width=None: packed.joined([r.pop(f) for r in parts], kind, width)
-    lids, ids, codes, X, flags = take("list_id", "<i4"), take("id", "<i8"), take("codes", "<i2", m), take("x", "<f4", dim), take("ok", "<i1").astype(bool)
+    lids, ids = packed.column(path, "list_id", "<i4").ravel(), packed.column(path, "id", "<i8").ravel()
+    codes, flags = packed.column(path, "codes", "<i2"), packed.column(path, "ok", "<i1").ravel().astype(bool) if with_flag else None
     lists = [(int(lids[own[0]]), own[distinct_by_id(ids[own], codes[own], keep)]) for own in ivf.by_list(lids)] if len(lids) else []
-    return ids, codes, X, flags, lists
+    return ids, codes, packed.column(path, "x", "<f4"), flags, lists
 
 
 def distinct_by_id(ids: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from quiver.functions.vector import resolve_metric
 from quiver.operators import graph, ivf
 from quiver.operators.knn import knn, rank_partials
 from quiver.operators.topk_kernel import exact, vectors_from_arrow
-from quiver.session import ensure_checkpoint_dir
+from quiver.session import ensure_checkpoint_dir, scratch_dir
 
 SURE = 2
 
@@ -156,14 +156,19 @@ class GraphStore:
             return
         q = new.select(F.col("id").alias("qid"), "embed")
         near = knn(new, q, n_near + 1, metric).select("qid", "id", "d")
-        vectors, edges = new, None
+        vectors, edges, held_graph, kept = new, None, None, scratch_dir(self.spark, "graph-near")
         if commits:
             held, edges, _ = self._tables()
             old = held.select("id", "embed").join(new.select("id"), "id", "left_anti")
             vectors = old.unionByName(new)
-            found = graph.GraphIndex.search(self.load(), q, n_near).select("qid", "id", "d")
+            held_graph = self.load()
+            found = graph.GraphIndex.search(held_graph, q, n_near).select("qid", "id", "d")
             near = near.unionByName(found.join(new.select("id"), "id", "left_anti").select("qid", "id", "d"))
         near = rank_partials(near.where("qid <> id"), n_near)
+        near.write.parquet(kept)  # the searches run once, and their graph goes
+        near = self.spark.read.schema(near.schema).parquet(kept)
+        if held_graph is not None:
+            held_graph.release()
         forward = pruned(near.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("sure")), vectors, degree, metric)
         forward = forward.checkpoint(eager=True)
         back = forward.join(near.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "d", "rk"), ["src", "dst"])
@@ -178,6 +183,7 @@ class GraphStore:
         after = pruned(again, vectors, degree, metric).unionByName(forward.join(touched, "src", "left_anti").select("src", "dst", "rank"))
         self._write(after, "edges", batch)
         self._commit(batch)
+        ivf.drop_index(self.spark, kept)
 
     def delete(self, ids: DataFrame, batch: int) -> None:
         """Marks ``ids(id)`` as deleted from micro-batch ``batch`` on."""
